@@ -78,7 +78,7 @@ def measures(df: DataFrame, text: str, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes by a ratio of two measures: good where ``good`` says so, bad where ``bad`` does; conditions on ``x``. Abstains with fewer than ``least`` words."""
+    """Votes by a ratio of two measures: bad where ``bad`` says so, good where ``good`` does (empty: never). Abstains with fewer than ``least`` words."""
 
     name: str
     over: str
@@ -94,19 +94,22 @@ class Rule:
 
     @staticmethod
     def _test(x: Column, condition: str) -> Column:
+        if not condition:
+            return F.lit(False)
         sign, value = condition.split()
         return x < float(value) if sign == "<" else x > float(value)
 
 
+#: Few rules can speak for a text; the others only against it, and abstain else.
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", "< 0.02", "> 0.2"),
-    Rule("repeats", "n_repeat_words", "n_words", "< 0.1", "> 0.4"),
-    Rule("lines", "n_dup_lines", "n_lines", "< 0.05", "> 0.3"),
-    Rule("capitals", "n_caps", "n_words", "< 0.1", "> 0.4"),
-    Rule("letters", "n_alpha", "n_words", "> 0.6", "< 0.45"),
-    Rule("variety", "n_distinct", "n_words", "> 0.35", "< 0.12"),
-    Rule("length", "word_chars", "n_words", "> 3.0", "> 14.0"),
-    Rule("shouts", "n_shouts", "n_words", "< 0.02", "> 0.15"),
+    Rule("symbols", "n_symbols", "n_words", "< 0.01", "> 0.1"),
+    Rule("letters", "n_alpha", "n_words", "> 0.7", "< 0.6"),
+    Rule("repeats", "n_repeat_words", "n_words", "", "> 0.3"),
+    Rule("lines", "n_dup_lines", "n_lines", "", "> 0.4"),
+    Rule("capitals", "n_caps", "n_words", "", "> 0.3"),
+    Rule("variety", "n_distinct", "n_words", "", "< 0.2"),
+    Rule("length", "word_chars", "n_words", "", "> 12.0"),
+    Rule("shouts", "n_shouts", "n_words", "", "> 0.1"),
 )
 
 
