@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, near_dedup, packing, quality, sharding, url_filter, warc
+from . import decontaminate, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, url_filter, warc
 from .common import scratch_path
 
 URL_RULES = [
@@ -88,6 +88,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(placed, "shard", ["size", "text_crc32"], "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -115,7 +119,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_url_filter, op2_decontamination, op3_near_dedup, op4_packing, op5_warc, op6_sharding, op8_language_id, op9_quality_rules, op10_html_text]
+    made = [op1_url_filter, op2_decontamination, op3_near_dedup, op4_packing, op5_warc, op6_sharding, op7_lm_score, op8_language_id, op9_quality_rules, op10_html_text]
     return {f.__name__: f for f in made}
 
 
