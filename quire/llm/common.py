@@ -70,8 +70,8 @@ class Memo(dict):
 
 
 def word_hashes(most: int = 400_000) -> Memo:
-    """word -> 64-bit hash."""
-    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), most)
+    """word, in UTF-8 -> 64-bit hash."""
+    return Memo(xxhash.xxh64_intdigest, most)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

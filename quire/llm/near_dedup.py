@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from .common import MASK, batches, col, fresh, materialize, mix, ngram_hashes, uniform, word_hashes
+from .common import MASK, batches, col, fresh, materialize, mix, ngram_hashes, uniform, word_bytes, word_hashes
 from .components import connected_components
-from .decontaminate import WORD
 
 REGISTERS, ROWS = 192, 6  # 32 bands: a pair at 0.8 shares one with probability 0.99994
 
 
 def shingles(text: str | None, words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of distinct shingles, sorted, and how often each occurs. words: from word to hash."""
-    found = list(map(words.__getitem__, WORD.findall(text.lower()))) if text else []
+    found = list(map(words.__getitem__, word_bytes(text)))
     return np.unique(ngram_hashes(np.array(found, np.uint64), n), return_counts=True)
 
 
