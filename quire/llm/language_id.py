@@ -107,7 +107,8 @@ def _counted(languages: list[str]):
                 for start, end in batches(texts, 2_000_000):
                     total[at[language]] += np.bincount(features(b"\0\0".join(map(prepared, texts[start:end]))), minlength=FEATURES)
         lang, feature = np.nonzero(total)
-        yield pd.DataFrame({"lang": [languages[k] for k in lang], "feature": feature, "n": total[lang, feature]})
+        if len(lang):
+            yield pd.DataFrame({"lang": [languages[k] for k in lang], "feature": feature, "n": total[lang, feature]})
 
     return run
 
