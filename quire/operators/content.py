@@ -35,7 +35,8 @@ def operations(contents: DataFrame) -> DataFrame:
                             number = isinstance(y, (int, float)) and not isinstance(y, bool)
                             args.append({"num": float(y) if number else None, "str": y if isinstance(y, bytes) else None, "name": str(y) if isinstance(y, syntax.Name) else None})
                     rows.append((doc, page, k, op, args))
-                yield pd.DataFrame(rows, columns=["doc_id", "page_index", "op_seq", "op", "args"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "page_index", "op_seq", "op", "args"])
 
     return contents.select("doc_id", "page_index", "data").mapInPandas(run, OPERATIONS)
 

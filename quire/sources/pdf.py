@@ -75,7 +75,8 @@ def xref(docs: DataFrame) -> DataFrame:
                 for revision, entries, _ in syntax.sections(content)
                 for obj, (kind, field, gen) in entries.items()
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "revision", "obj_num", "type", "field", "gen"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "revision", "obj_num", "type", "field", "gen"])
 
     return readable(docs).mapInPandas(run, XREF)
 
@@ -138,7 +139,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                     for number, gen, value, raw in _objects(content)
                     for path, kind, i, d, s, r in syntax.flattened(value)
                 ]
-                made = pd.DataFrame(rows, columns=["doc_id", "obj_num", "gen", "path", "kind", "i", "d", "s", "ref_obj", "ref_gen", "raw"])
+                made = pd.DataFrame(rows, columns=["doc_id", "obj_num", "gen", "path", "kind", "i", "d", "s", "ref_obj", "ref_gen", "raw"])  # the trailer is always there
                 yield made.astype({"i": "Int64", "ref_obj": "Int32", "ref_gen": "Int32"})
 
     return readable(docs).mapInPandas(run, NODES)
