@@ -233,13 +233,13 @@ def matrix_inverse(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.round(back["x"], 2).alias("x"), F.round(back["y"], 2).alias("y"))
 
 
-@query("SELECT c_custkey, c_acctbal >= 0 AND c_acctbal <= 5000 AND c_nationkey >= 0 AND c_nationkey <= 25 AS inside FROM customer WHERE c_acctbal NOT IN (0, 5000) AND c_nationkey > 0")
-def triangles_contain(spark, sf_dir):
-    x, y = F.col("c_acctbal"), F.col("c_nationkey")
-    one = G.triangle_contains(0.0, 0.0, 5000.0, 0.0, 5000.0, 25.0, x, y)
-    two = G.triangle_contains(0.0, 0.0, 5000.0, 25.0, 0.0, 25.0, x, y)
-    on_diagonal = (x / 5000.0 == y / 25.0) & x.between(0, 5000)
-    return _t(spark, sf_dir, "customer").where(~x.isin(0.0, 5000.0) & (y > 0)).select("c_custkey", (one | two | on_diagonal).alias("inside"))
+@query(
+    """WITH s AS (SELECT c_custkey, (c_acctbal - 5000) * 0 - c_nationkey * 5000.0 < 0 AS a, (c_acctbal - 5000) * 25.0 < 0 AS b, c_acctbal * -25.0 + c_nationkey * 5000.0 < 0 AS c FROM customer)
+       SELECT c_custkey, a = b AND b = c AS inside FROM s"""
+)
+def triangle_contains(spark, sf_dir):
+    inside = G.triangle_contains(0.0, 0.0, 5000.0, 0.0, 5000.0, 25.0, F.col("c_acctbal"), F.col("c_nationkey"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", inside.alias("inside"))
 
 
 @query(
