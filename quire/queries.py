@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .functions import color as C
 from .functions import geometry as G
 from .functions import text as T
-from .operators import content, crypto, forms, lookup, raster
+from .functions import sniff
+from .operators import content, crypto, forms, images, lookup, raster
+from .operators import text as search
 from .plans.extract import Documents
 from .sources import filters, pdf
 from .streaming import windows
@@ -456,6 +458,70 @@ def parse_reference(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.number_or_reference(written)["obj"].alias("obj"), T.number_or_reference(written)["gen"].alias("gen"))
 
 
+# --- revisions, search, fonts, images
+
+
+@query("SELECT doc_id, 300.0::DOUBLE AS width, 200.0::DOUBLE AS height FROM documents")
+def pdf_revision(spark, sf_dir):
+    made = _pdfs(spark, sf_dir)
+    body = F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R /MediaBox [0 0 300 200] >>")
+    revised = made.select("doc_id", pdf.append_revision(F.col("content"), pdf.start_of_xref(F.col("content")), 3, body).alias("content"))
+    return Documents(revised).pages.select("doc_id", "width", "height")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, unnest(string_split(text, 'the')) AS part, generate_subscripts(string_split(text, 'the'), 1) AS k, len(string_split(text, 'the')) AS n FROM documents),
+       q AS (SELECT doc_id, k, n, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) + 3 * (k - 1) AS pos FROM p)
+       SELECT doc_id, count(*) AS hits, sum(pos)::BIGINT AS places FROM q WHERE k < n GROUP BY 1"""
+)
+def search_all_hits(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.lit("the").alias("what"))
+    return search.hits(docs, "text", "what").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("at").cast("long").alias("places"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 1000 < 300 THEN o_custkey % 1000 + 5 WHEN o_custkey % 1000 BETWEEN 500 AND 900 THEN o_custkey % 1000 - 500 ELSE 0 END::BIGINT AS cid FROM orders")
+def cmap_lookup(spark, sf_dir):
+    cmap = "begincodespacerange <0000> <FFFF> endcodespacerange 2 begincidrange <0000> <012B> 5 <01F4> <0383> 0 endcidrange 1 begincidchar <0384> 400 endcidchar"
+    fonts = spark.createDataFrame([(1, cmap)], "font_id int, body string")
+    codes = _t(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("font_id"), (F.col("o_custkey") % 1000).alias("code"))
+    return search.cids(codes, search.cmap_ranges(fonts)).select("o_orderkey", "cid")
+
+
+@query(
+    """WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag AS l, lead(l_returnflag) OVER w AS r, l_quantity AS a FROM lineitem
+         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)),
+       k AS (SELECT *, a + CASE WHEN l = 'A' AND r = 'N' THEN -2 WHEN l = 'N' AND r = 'A' THEN -3 ELSE 0 END AS adv FROM g)
+       SELECT l_orderkey, sum(adv) AS total FROM k GROUP BY 1"""
+)
+def kerned_advance(spark, sf_dir):
+    place = F.struct("l_linenumber", "l_partkey", "l_quantity").alias("place")
+    glyphs = _t(spark, sf_dir, "lineitem").select("l_orderkey", place, F.col("l_returnflag").alias("glyph"), F.col("l_quantity").alias("advance"))
+    pairs = spark.createDataFrame([("A", "N", -2.0), ("N", "A", -3.0)], "left string, right string, kern double")
+    return search.kerned(glyphs, pairs, ["l_orderkey"], "place").groupBy("l_orderkey").agg(F.sum("advance").alias("total"))
+
+
+@query("SELECT doc_id, x::INT AS x, (ascii(substr(t, (x // 4 + 1)::INT, 1)) >> (6 - 2 * (x % 4))::INT & 3)::INT AS v FROM (SELECT doc_id, source AS t FROM documents), range(12) AS r(x)")
+def image_samples(spark, sf_dir):
+    made = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("img_id"), F.encode("source", "utf-8").alias("data"), F.lit(12).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("components"), F.lit(2).alias("bits")
+    )
+    return images.samples(made).select(F.col("img_id").alias("doc_id"), "x", "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS v, count(*) AS n FROM lineitem GROUP BY ALL")
+def wavelet_roundtrip(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("k"), F.col("l_quantity").cast("long").alias("v"))
+    back = images.lowered(images.lifted(rows, ["l_orderkey"], "k", "v"), ["l_orderkey"], "k", "v")
+    return back.groupBy("l_orderkey", "l_linenumber", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS kind FROM documents")
+def image_kinds(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.unhex(F.lit("00")))
+    return _t(spark, sf_dir, "documents").select("doc_id", sniff.image_kind(F.concat(head, F.encode("text", "utf-8"))).alias("kind"))
+
+
 # --- streams
 
 

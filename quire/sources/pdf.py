@@ -264,3 +264,28 @@ def metadata(table: DataFrame) -> DataFrame:
     info = table.where((F.col("obj_num") == TRAILER) & (F.col("path") == F.array(F.lit("Info")))).select("doc_id", F.col("ref_obj").alias("obj_num"))
     strings = entries_of(table).where("kind = 'string'").select("doc_id", "obj_num", "key", T.decode_text(F.col("s")).alias("value"))
     return info.join(strings, ["doc_id", "obj_num"]).select("doc_id", "key", "value")
+
+
+def append_revision(content: Column, last_xref, obj_num, body: Column) -> Column:
+    """The document with one object replaced or added by an incremental update; an expression.
+
+    last_xref: place of the newest cross-reference section; body: the object's text, Latin-1.
+    """
+    last, number = (x if isinstance(x, Column) else F.lit(x) for x in (last_xref, obj_num))
+
+    def latin(c: Column) -> Column:
+        return F.encode(c, "ISO-8859-1")
+
+    made = latin(F.concat(number.cast("string"), F.lit(" 0 obj\n"), body, F.lit("\nendobj\n")))
+    start = F.length(content)
+    table = F.concat(
+        F.lit("xref\n"), number.cast("string"), F.lit(" 1\n"), F.lpad(start.cast("string"), 10, "0"), F.lit(" 00000 n \ntrailer\n<< /Size "), (number + 1).cast("string"),
+        F.lit(" /Root 1 0 R /Prev "), last.cast("string"), F.lit(" >>\nstartxref\n"), (start + F.length(made)).cast("string"), F.lit("\n%%EOF\n"),
+    )
+    return F.concat(content, made, latin(table))
+
+
+def start_of_xref(content: Column) -> Column:
+    """Place of the newest cross-reference section: the last ``startxref`` within the final 1,024 bytes."""
+    tail = F.decode(F.substring(content, F.greatest(F.length(content) - 1023, F.lit(1)), F.lit(1024)), "ISO-8859-1")
+    return F.element_at(F.regexp_extract_all(tail, F.lit(r"startxref\s+(\d+)"), F.lit(1)), -1).cast("long")

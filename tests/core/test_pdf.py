@@ -167,3 +167,28 @@ def test_decoded_column(spark):
     df = spark.createDataFrame([(bytearray(zlib.compress(b"x" * 9)), ["FlateDecode"]), (None, None)], "raw binary, f array<string>")
     out = [r.d for r in df.select(filters.decoded(F.col("raw"), F.col("f"), F.lit(None).cast("array<map<string,bigint>>")).alias("d")).collect()]
     assert out == [bytearray(b"x" * 9), None]
+
+
+def test_images_fonts_and_search(spark):
+    from quire.functions import sniff
+    from quire.operators import images
+    from quire.operators import text as search
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"x" * 13) + chunk(b"IDAT", b"data") + chunk(b"IEND", b"")[:-1] + b"\0"
+    df = spark.createDataFrame([(1, bytearray(png)), (2, bytearray(b"no"))], "img_id long, data binary")
+    rows = images.png_chunks(df).orderBy("k").collect()
+    assert [(r.type, r.length, r.crc_ok) for r in rows] == [("IHDR", 13, True), ("IDAT", 4, True), ("IEND", 0, False)]
+    bits = df.where("img_id = 2").select("img_id", F.lit(bytes([0b10110000, 0b01000000])).alias("data"), F.lit(4).alias("width"), F.lit(2).alias("height"), F.lit(1).alias("components"), F.lit(1).alias("bits"))
+    assert [r.v for r in images.samples(bits).orderBy("y", "x").collect()] == [1, 0, 1, 1, 0, 1, 0, 0]
+    table = b"\0\1\0\0" + (2).to_bytes(2, "big") + b"\0" * 6 + b"head\0\0\0\0" + (44).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"glyf\0\0\0\0" + (44).to_bytes(4, "big") + (999).to_bytes(4, "big") + b"abc"
+    fonts = spark.createDataFrame([(1, bytearray(table))], "font_id long, data binary")
+    assert [(r.tag, bytes(r.table)) for r in images.sfnt_tables(fonts).collect()] == [("head", b"abc")]
+    assert fonts.select(sniff.font_kind(F.col("data")).alias("k")).first().k == "truetype"
+    d = documents(spark, build(BASE))
+    chars = search.indexed(content.characters(d.objects), ["doc_id", "page_index"], ["seq", "k"])
+    texts = d.text.withColumn("what", F.lit("lo"))
+    boxes = search.hit_boxes(search.hits(texts, "text", "what"), chars, ["doc_id", "page_index"], "what").collect()
+    assert [(r.at, tuple(r.box)) for r in boxes] == [(3, (65.0, 60.0, 75.0, 70.0))]
