@@ -8,7 +8,7 @@ candidates become links if their exact probability Jaccard similarity is at leas
 
 Large groups: equal texts are one node. In each bucket all nodes are first compared with one hub (a pair a row, at most).
 Only nodes of one bucket that are then still in different components are compared with each
-other, block by block inside tasks, and only pairs whose registers agree often enough leave a task. No bucket or
+other, block by block inside tasks, and only links that connect classes leave a task. No bucket or
 partner is capped, and no pair that could join two classes is left out.
 
 Defined results: a null text is a class of its own; texts without words are alike only if equal; texts of one to four words
@@ -128,20 +128,47 @@ def _agreeing(m1: pd.Series, m2: pd.Series) -> pd.Series:
     return pd.Series((a == b).sum(axis=1, dtype=np.int32))
 
 
-def _across(least: int):
+def _across(least: int, similarity: float):
+    """Links between the nodes of two blocks that are still in different classes; no more than connect them."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
-                m1, m2 = (np.frombuffer(b"".join(m), "<u2").reshape(len(m), -1) for m in (row.marks1, row.marks2))
-                l1, l2 = np.array(row.labels1, object), np.array(row.labels2, object)
-                i, j = np.nonzero(((m1[:, None, :] == m2[None, :, :]).sum(axis=2, dtype=np.int32) >= least) & (l1[:, None] != l2[None, :]))
-                pairs = {(min(a, b), max(a, b)) for a, b in zip((row.nodes1[k] for k in i), (row.nodes2[k] for k in j), strict=True) if a != b}
-                yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
+                if found := _links(row, least, similarity):
+                    yield pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, block: int = 192) -> DataFrame:
+def _links(row, least: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    m1, m2 = (np.frombuffer(b"".join(m), "<u2").reshape(len(m), -1) for m in (row.marks1, row.marks2))
+    names = {x: k for k, x in enumerate({*row.labels1, *row.labels2})}
+    l1, l2 = (np.array([names[x] for x in labels]) for labels in (row.labels1, row.labels2))
+    head, out, vectors = list(range(len(names))), [], {}
+
+    def root(k: int) -> int:
+        while head[k] != k:
+            head[k] = k = head[head[k]]
+        return k
+
+    def vector(side: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if (side, k) not in vectors:
+            h, w = (row.h1[k], row.w1[k]) if side == 1 else (row.h2[k], row.w2[k])
+            vectors[side, k] = np.frombuffer(h, np.uint64), np.frombuffer(w, "<u4").astype(np.int64)
+        return vectors[side, k]
+
+    alike = (m1[:, None, :] == m2[None, :, :]).sum(axis=2, dtype=np.int16)
+    i, j = np.nonzero((alike >= least) & (l1[:, None] != l2[None, :]))
+    order = np.argsort(-alike[i, j], kind="stable")  # likely links first: what they join needn't be compared again
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = root(int(l1[x])), root(int(l2[y]))
+        if p != q and prob_jaccard(*vector(1, x), *vector(2, y)) >= similarity:
+            head[p] = q
+            out.append((row.nodes1[x], row.nodes2[y]))
+    return out
+
+
+def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, block: int = 128) -> DataFrame:
     """(doc_id, class_id, class_size long, representative boolean) of every row; one representative a class.
 
     The registers' agreement is binomial; pairs of which fewer agree than five standard deviations below
@@ -155,9 +182,12 @@ def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, bl
     signed = texts.mapInPandas(_signed(bands), "digest binary, marks binary, keys array<long>").dropDuplicates(["digest"])
     signed = materialize(signed, "signed")
     banded = signed.select("digest", F.explode("keys").alias("key"))
-    order = F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest"))
-    hubs = banded.groupBy("key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("hub.digest").alias("hub"), "n")
-    shared = materialize(banded.join(hubs, "key"), "shared")  # rows of buckets that have company
+    company = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(banded.join(company, "key"), "company")  # rows of buckets with more than one text
+    # The hub of a bucket is the text that has most company in all its buckets: in a group of copies, one near the original.
+    popular = shared.groupBy("digest").agg(F.sum("n").alias("popularity"))
+    hubs = shared.join(popular, "digest").groupBy("key").agg(F.max_by("digest", F.struct("popularity", "digest")).alias("hub"))
+    shared = materialize(shared.join(hubs, "key"), "shared")
 
     sharing = shared.select("digest").distinct()
     vectors = texts.join(sharing, "digest", "left_semi").dropDuplicates(["digest"]).mapInPandas(_vectors, "digest binary, h binary, w binary")
@@ -172,21 +202,26 @@ def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, bl
     to_hub = shared.where("digest <> hub").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
     near = to_hub.join(marks.select(F.col("digest").alias("a"), F.col("marks").alias("m1")), "a").join(marks.select(F.col("digest").alias("b"), F.col("marks").alias("m2")), "b")
     tested = materialize(near.where(_agreeing("m1", "m2") >= least).select("a", "b"), "tested")
-    links = materialize(linked(tested), "links")
-    labels = connected_components(links)
-
-    # What one hub couldn't settle: buckets whose members are in several components.
-    named = shared.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("n")).where("l1 <> l2 and n > 2").select("key")
+    labels = connected_components(linked(tested))
+
+    # What the hubs couldn't settle: buckets whose members are in several components. Buckets that share texts are joined
+    # to neighbourhoods, so that each pair is looked at once; neighbourhoods are cut into blocks of bounded size.
+    named = shared.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    open_keys = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("n")).where("l1 <> l2 and n > 2").select("key", "first")
+    unsettled = materialize(named.join(open_keys, "key").select("digest", "label", "first").distinct(), "unsettled")
+    near = connected_components(unsettled.select(F.col("digest").alias("a"), F.col("first").alias("b")))
+    members = unsettled.select("digest", "label").distinct().join(near.select(F.col("node").alias("digest"), F.col("label").alias("near")), "digest")
+    sizes = members.groupBy("near").agg(F.count(F.lit(1)).alias("n"))
     cut = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / block)).cast("int")
-    unsettled = named.join(open_keys, "key").join(marks, "digest").withColumn("cut", cut)
-    grouped = unsettled.groupBy("key", "cut").agg(F.collect_list(F.struct("digest", "label", "marks")).alias("m"))
-    grouped = materialize(grouped.select("key", "cut", F.col("m.digest").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.marks").alias("marks")), "blocks")
-    left = grouped.select("key", *[F.col(c).alias(f"{c}1") for c in ("cut", "nodes", "labels", "marks")])
-    right = grouped.select("key", *[F.col(c).alias(f"{c}2") for c in ("cut", "nodes", "labels", "marks")])
-    rest = left.join(right, "key").where("cut1 <= cut2").drop("key", "cut1", "cut2").mapInPandas(_across(least), "a binary, b binary")
-    rest = rest.distinct().join(tested, ["a", "b"], "left_anti")
-    labels = connected_components(linked(rest), labels)
+    blocks = members.join(sizes, "near").withColumn("cut", cut).join(marks, "digest").join(vectors, "digest")
+    parts = ("nodes", "labels", "marks", "h", "w")
+    listed = [F.col("m")[c].alias(p) for c, p in zip(("digest", "label", "marks", "h", "w"), parts, strict=True)]
+    grouped = blocks.groupBy("near", "cut").agg(F.collect_list(F.struct("digest", "label", "marks", "h", "w")).alias("m"))
+    grouped = materialize(grouped.select("near", "cut", *listed), "blocks")
+    left = grouped.select("near", *[F.col(c).alias(f"{c}1") for c in ("cut", *parts)])
+    right = grouped.select("near", *[F.col(c).alias(f"{c}2") for c in ("cut", *parts)])
+    rest = left.join(right, "near").where("cut1 <= cut2").drop("near", "cut1", "cut2").mapInPandas(_across(least, similarity), "a binary, b binary")
+    labels = connected_components(rest.distinct(), labels)
 
     named = rows.select("id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     return _with_classes(named, doc_id)
