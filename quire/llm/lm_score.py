@@ -75,19 +75,28 @@ def _counted(share: int):
     """Rows (kind, h, n): 0 the tokens (h 0) and the documents with words (h 1), 1 words, 2 bigrams that are at least one in ``share`` of a task's."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, words, pairs, total, docs = _hashes(), _Tally(), _Tally(), 0, 0
+        hashes, words, pairs, total, docs, seen, kept = _hashes(), _Tally(), _Tally(), 0, 0, 0, []
+
+        def often() -> None:
+            """Keeps the frequent bigrams of what was tallied so far."""
+            nonlocal pairs, seen
+            pairs.settle()
+            frequent = pairs.counts * share >= max(seen, 200 * share)
+            kept.append((pairs.keys[frequent], pairs.counts[frequent]))
+            pairs, seen = _Tally(), 0
 
         def flush() -> pd.DataFrame:
-            nonlocal words, pairs, total, docs
+            nonlocal words, total, docs
             words.settle()
-            pairs.settle()
-            often = pairs.counts * share >= max(total, 200 * share)
+            often()
+            pair_keys, pair_counts = (np.concatenate([k[n] for k in kept]) for n in (0, 1))
             out = pd.DataFrame({
-                "kind": np.concatenate(([0, 0], np.full(len(words.keys), 1), np.full(int(often.sum()), 2))).astype(np.int32),
-                "h": np.concatenate((np.array([0, 1], np.uint64), words.keys, pairs.keys[often])).view(np.int64),
-                "n": np.concatenate(([total, docs], words.counts, pairs.counts[often])).astype(np.int64),
+                "kind": np.concatenate(([0, 0], np.full(len(words.keys), 1), np.full(len(pair_keys), 2))).astype(np.int32),
+                "h": np.concatenate((np.array([0, 1], np.uint64), words.keys, pair_keys)).view(np.int64),
+                "n": np.concatenate(([total, docs], words.counts, pair_counts)).astype(np.int64),
             })
-            words, pairs, total, docs = _Tally(), _Tally(), 0, 0
+            words, total, docs = _Tally(), 0, 0
+            kept.clear()
             return out
 
         for part in parts:
@@ -98,8 +107,11 @@ def _counted(share: int):
                     words.add(h)
                     pairs.add(_bigrams(h, (np.cumsum(sizes) - sizes)[sizes > 0]))
                     total += len(h)
+                    seen += len(h)
                     docs += int((sizes > 0).sum())
-                if len(words.keys) > 2_000_000 or len(pairs.keys) > 6_000_000:
+                if len(pairs.keys) > 1_500_000:
+                    often()
+                if len(words.keys) > 1_500_000:
                     yield flush()
         yield flush()
 
@@ -234,8 +246,8 @@ def _sums(h, n, sizes, keys, heavy_h, heavy_n, tokens, docs, buckets) -> Iterato
 PACKED = "bucket int, keys binary, sizes binary, hashes binary, gains binary, words binary"
 
 
-def _joined(part: pd.DataFrame) -> pd.DataFrame:
-    """The bigrams of one bucket: counted, joined with their counts, summed per document."""
+def _joined(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of one bucket: counted, joined with their counts, summed per document row. (keys, sums)."""
     keys = np.frombuffer(b"".join(part["keys"]), "<i8")
     doc = np.repeat(np.arange(len(keys)), np.frombuffer(b"".join(part["sizes"]), "<u4"))  # rows, so that repeated ones stay apart
     raw = np.frombuffer(b"".join(part["hashes"]), np.uint8).reshape(-1, 6)
@@ -245,16 +257,28 @@ def _joined(part: pd.DataFrame) -> pd.DataFrame:
     left = times[pair] - _own(doc, pair.astype(np.uint64))
     seen = left > 0
     value = np.log(left[seen]) + np.frombuffer(b"".join(part["gains"]), "<f4")[seen]
-    sums = np.bincount(doc[seen], weights=value, minlength=len(keys))
-    some = np.flatnonzero(sums)
-    return pd.DataFrame({"key": keys[some], "value": sums[some], "words": np.int64(0), "copies": np.int64(0)})
+    return keys, np.bincount(doc[seen], weights=value, minlength=len(keys))
+
+
+class _Sums:
+    """Sums, words and rows per key, compacted now and then."""
+
+    def __init__(self):
+        self.keys, self.values, self.parts, self.size = np.zeros(0, np.int64), np.zeros((0, 3)), [], 0
 
+    def add(self, keys: np.ndarray, sums: np.ndarray, words: np.ndarray | None = None, copies: np.ndarray | None = None) -> None:
+        none = np.zeros(len(keys))
+        self.parts.append((keys, np.column_stack([sums, none if words is None else words, none if copies is None else copies])))
+        self.size += len(keys)
+        if self.size > len(self.keys) + 200_000:
+            self.settle()
 
-def _unpacked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        for row in part.itertuples(index=False):
-            keys = np.frombuffer(row.keys, "<i8")
-            yield pd.DataFrame({"key": keys, "value": np.frombuffer(row.gains, "<f8"), "words": np.frombuffer(row.words, "<i8"), "copies": np.int64(1)})
+    def settle(self) -> None:
+        keys = np.concatenate([self.keys, *[k for k, _ in self.parts]])
+        values = np.concatenate([self.values, *[v for _, v in self.parts]])
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.values = np.column_stack([np.bincount(place, weights=values[:, c], minlength=len(self.keys)) for c in range(3)])
+        self.parts, self.size = [], 0
 
 
 def score(docs: DataFrame, doc_id: str, text: str, most_words: int = 4_000_000, share: int = 20_000, bucket_bytes: int = 24 << 20) -> DataFrame:
@@ -286,28 +310,55 @@ def score(docs: DataFrame, doc_id: str, text: str, most_words: int = 4_000_000,
         source = slim.join(_rare(slim, path, words.where(F.col("n") < least)), "key", "left")
     packed = source.mapInPandas(_exploded(path, heavy, int(tokens), int(n_docs), int(buckets), tail), PACKED)
     apart = packed.repartition(int(buckets), F.when(F.col("bucket") < 0, F.xxhash64("keys")).otherwise(F.col("bucket")))
-    return _finish(rows, apart, doc_id)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // 200_000)
+    return _finish(rows, apart, doc_id, groups)
 
 
-def _finish(rows: DataFrame, apart: DataFrame, doc_id: str) -> DataFrame:
-    schema = "key long, value double, words long, copies long"
+def _finish(rows: DataFrame, apart: DataFrame, doc_id: str, groups: int) -> DataFrame:
+    """Sums of buckets travel to groups of documents in packed rows, and become one row a document there."""
 
     def by_bucket(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held, sums = [], _Sums()
+
+        def spread() -> pd.DataFrame:
+            sums.settle()
+            group = (mix(sums.keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            edges = np.flatnonzero(np.diff(group[order], prepend=-1))
+            cuts = list(zip(edges, [*edges[1:], len(order)], strict=True))
+            out = [(int(group[order[a]]), sums.keys[order[a:b]].astype("<i8").tobytes(), sums.values[order[a:b]].astype("<f8").tobytes()) for a, b in cuts]
+            sums.__init__()
+            return pd.DataFrame(out, columns=["grp", "keys", "vals"])
+
         for part in parts:
             for bucket, some in part.groupby("bucket", sort=True):
                 if bucket < 0:
-                    yield from _unpacked([some])
+                    for row in some.itertuples(index=False):
+                        keys = np.frombuffer(row.keys, "<i8")
+                        sums.add(keys, np.frombuffer(row.gains, "<f8"), np.frombuffer(row.words, "<i8"), np.ones(len(keys)))
                 else:
                     if held and held[0]["bucket"].iloc[0] != bucket:
-                        yield _joined(pd.concat(held))
+                        sums.add(*_joined(pd.concat(held)))
                         held = []
                     held.append(some)
+                if len(sums.keys) > 1_000_000:
+                    yield spread()
         if held:
-            yield _joined(pd.concat(held))
+            sums.add(*_joined(pd.concat(held)))
+        if sums.size or len(sums.keys):
+            yield spread()
 
-    summed = apart.sortWithinPartitions("bucket").mapInPandas(by_bucket, schema)
-    per_key = summed.groupBy("key").agg(F.sum("value").alias("value"), F.sum("words").alias("words"), F.sum("copies").alias("copies"))
+    def by_group(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = _Sums()
+        for part in parts:
+            for row in part.itertuples(index=False):
+                values = np.frombuffer(row.vals, "<f8").reshape(-1, 3)
+                sums.add(np.frombuffer(row.keys, "<i8"), values[:, 0], values[:, 1], values[:, 2])
+        sums.settle()
+        yield pd.DataFrame({"key": sums.keys, "value": sums.values[:, 0], "words": sums.values[:, 1].astype(np.int64), "copies": sums.values[:, 2].astype(np.int64)})
+
+    summed = apart.sortWithinPartitions("bucket").mapInPandas(by_bucket, "grp int, keys binary, vals binary")
+    per_key = summed.repartition(groups, "grp").mapInPandas(by_group, "key long, value double, words long, copies long")
     made = rows.select("id", "key").join(per_key, "key", "left")
     n, value = (F.col("words") / F.col("copies")).cast("long"), F.col("value") / F.col("copies")
     return made.select(F.col("id").alias(doc_id), n.alias("n_words"), F.when(n > 0, value).alias("log_score"), F.when(n > 0, value / n).alias("mean_log_score"))
