@@ -21,22 +21,27 @@ PAINTS = frozenset("S s f F f* B B* b b*".split())
 UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
+def arguments(operands: list) -> list[dict]:
+    args = []
+    for x in operands:
+        for y in x if isinstance(x, list) else [x]:
+            number = isinstance(y, (int, float)) and not isinstance(y, bool)
+            args.append({"num": float(y) if number else None, "str": y if isinstance(y, bytes) else None, "name": str(y) if isinstance(y, syntax.Name) else None})
+    return args
+
+
 def operations(contents: DataFrame) -> DataFrame:
     """A row for each operation of (doc_id, page_index, data). An array operand gives its elements."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for doc, page, data in zip(part["doc_id"], part["page_index"], part["data"], strict=True):
-                rows = []
-                for k, (op, operands) in enumerate(syntax.operations(data or b"")):
-                    args = []
-                    for x in operands:
-                        for y in x if isinstance(x, list) else [x]:
-                            number = isinstance(y, (int, float)) and not isinstance(y, bool)
-                            args.append({"num": float(y) if number else None, "str": y if isinstance(y, bytes) else None, "name": str(y) if isinstance(y, syntax.Name) else None})
-                    rows.append((doc, page, k, op, args))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "page_index", "op_seq", "op", "args"])
+            rows = [
+                (doc, page, k, op, arguments(operands))
+                for doc, page, data in zip(part["doc_id"], part["page_index"], part["data"], strict=True)
+                for k, (op, operands) in enumerate(syntax.operations(data or b""))
+            ]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "page_index", "op_seq", "op", "args"])
 
     return contents.select("doc_id", "page_index", "data").mapInPandas(run, OPERATIONS)
 
@@ -48,100 +53,107 @@ def _times(m: tuple, n: tuple) -> tuple:
     return (a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + l)
 
 
-def _page(compat: bool):
-    """The fold over one page's operations. compat: the order of ``cm`` is reversed, BT forgets the font, and modes are one too high."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        state = {"ctm": UNIT, "fill": [0.0], "stroke": [0.0], "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0, "Tr": 0}
-        saved, out, path, tm, tlm = [], [], [], UNIT, UNIT
-        doc, page = part["doc_id"].iloc[0], part["page_index"].iloc[0]
-
-        def emit(kind: str, matrix: tuple, **more) -> None:
-            row = dict(
-                doc_id=doc, page_index=page, seq=len(out), type=kind, matrix=dict(zip("abcdef", matrix, strict=True)), text=None, font=state["font"], size=state["size"], char_space=state["Tc"],
-                word_space=state["Tw"], scale=state["Tz"] / 100, render_mode=(state["Tr"] + compat) % 8, fill=state["fill"], stroke=state["stroke"], paint=None, segments=None,
-            )
-            out.append(row | more)
-
-        def show(data: bytes) -> None:
-            nonlocal tm
-            emit("text", _times(tm, state["ctm"]), text=data)
-            advance = sum((0.5 * state["size"] + state["Tc"] + (state["Tw"] if c == 32 else 0.0)) * state["Tz"] / 100 for c in data)
-            tm = _times((1.0, 0.0, 0.0, 1.0, advance, 0.0), tm)
-
-        def line(x: float, y: float) -> None:
-            nonlocal tm, tlm
-            tlm = tm = _times((1.0, 0.0, 0.0, 1.0, x, y), tlm)
-
-        for op, args in zip(part.sort_values("op_seq")["op"], part.sort_values("op_seq")["args"], strict=True):
-            nums = [a["num"] for a in args if a["num"] is not None]
-            strs = [a["str"] for a in args if a["str"] is not None]
-            if op == "q":
-                saved.append(dict(state))
-            elif op == "Q":
-                state = saved.pop() if saved else state
-            elif op == "cm" and len(nums) == 6:
-                state["ctm"] = _times(state["ctm"], tuple(nums)) if compat else _times(tuple(nums), state["ctm"])
-            elif op in ("g", "rg", "k"):
-                state["fill"] = [min(1.0, max(0.0, x)) for x in nums]
-            elif op in ("G", "RG", "K"):
-                state["stroke"] = [min(1.0, max(0.0, x)) for x in nums]
-            elif op in ("m", "l", "c", "v", "y") and nums:
-                path.append({"op": op, "pts": nums})
-            elif op == "re" and len(nums) == 4:
-                x, y, w, h = nums
-                path += [{"op": o, "pts": p} for o, p in (("m", [x, y]), ("l", [x + w, y]), ("l", [x + w, y + h]), ("l", [x, y + h]), ("h", []))]
-            elif op == "h":
-                path.append({"op": "h", "pts": []})
-            elif op in PAINTS:
-                if path:
-                    if op in ("s", "b", "b*") and not compat:
-                        path.append({"op": "h", "pts": []})
-                    emit("path", state["ctm"], paint=op, segments=path)
-                path = []
-            elif op == "n":
-                path = []
-            elif op == "BT":
-                tm = tlm = UNIT
-                if compat:
-                    state |= {"font": None, "size": 0.0}
-            elif op == "Tf" and nums:
-                state |= {"font": next((a["name"] for a in args if a["name"]), None), "size": nums[0]}
-            elif op in ("Tc", "Tw", "Tz", "TL", "Ts") and nums:
-                state[op] = nums[0]
-            elif op == "Tr" and nums:
-                state["Tr"] = int(nums[0])
-            elif op in ("Td", "TD") and len(nums) == 2:
-                if op == "TD":
-                    state["TL"] = -nums[1]
-                line(*nums)
-            elif op == "Tm" and len(nums) == 6:
-                tm = tlm = tuple(nums)
-            elif op == "T*":
+def fold(doc, page, ops: list[tuple[str, list[dict]]], compat: bool) -> list[dict]:
+    """The page objects that one page's operations draw. compat: the order of ``cm`` is reversed, BT forgets the font, and modes are one too high."""
+    state = {"ctm": UNIT, "fill": [0.0], "stroke": [0.0], "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0, "Tr": 0}
+    saved, out, path, tm, tlm = [], [], [], UNIT, UNIT
+
+    def emit(kind: str, matrix: tuple, **more) -> None:
+        row = dict(
+            doc_id=doc, page_index=page, seq=len(out), type=kind, matrix=dict(zip("abcdef", matrix, strict=True)), text=None, font=state["font"], size=state["size"], char_space=state["Tc"],
+            word_space=state["Tw"], scale=state["Tz"] / 100, render_mode=(state["Tr"] + compat) % 8, fill=state["fill"], stroke=state["stroke"], paint=None, segments=None,
+        )
+        out.append(row | more)
+
+    def show(data: bytes) -> None:
+        nonlocal tm
+        emit("text", _times(tm, state["ctm"]), text=data)
+        advance = ((0.5 * state["size"] + state["Tc"]) * len(data) + state["Tw"] * data.count(b" ")) * state["Tz"] / 100
+        tm = _times((1.0, 0.0, 0.0, 1.0, advance, 0.0), tm)
+
+    def line(x: float, y: float) -> None:
+        nonlocal tm, tlm
+        tlm = tm = _times((1.0, 0.0, 0.0, 1.0, x, y), tlm)
+
+    for op, args in ops:
+        nums = [a["num"] for a in args if a["num"] is not None]
+        strs = [a["str"] for a in args if a["str"] is not None]
+        if op == "q":
+            saved.append(dict(state))
+        elif op == "Q":
+            state = saved.pop() if saved else state
+        elif op == "cm" and len(nums) == 6:
+            state["ctm"] = _times(state["ctm"], tuple(nums)) if compat else _times(tuple(nums), state["ctm"])
+        elif op in ("g", "rg", "k"):
+            state["fill"] = [min(1.0, max(0.0, x)) for x in nums]
+        elif op in ("G", "RG", "K"):
+            state["stroke"] = [min(1.0, max(0.0, x)) for x in nums]
+        elif op in ("m", "l", "c", "v", "y") and nums:
+            path.append({"op": op, "pts": nums})
+        elif op == "re" and len(nums) == 4:
+            x, y, w, h = nums
+            path += [{"op": o, "pts": p} for o, p in (("m", [x, y]), ("l", [x + w, y]), ("l", [x + w, y + h]), ("l", [x, y + h]), ("h", []))]
+        elif op == "h":
+            path.append({"op": "h", "pts": []})
+        elif op in PAINTS:
+            if path:
+                if op in ("s", "b", "b*") and not compat:
+                    path.append({"op": "h", "pts": []})
+                emit("path", state["ctm"], paint=op, segments=path)
+            path = []
+        elif op == "n":
+            path = []
+        elif op == "BT":
+            tm = tlm = UNIT
+            if compat:
+                state |= {"font": None, "size": 0.0}
+        elif op == "Tf" and nums:
+            state |= {"font": next((a["name"] for a in args if a["name"]), None), "size": nums[0]}
+        elif op in ("Tc", "Tw", "Tz", "TL", "Ts") and nums:
+            state[op] = nums[0]
+        elif op == "Tr" and nums:
+            state["Tr"] = int(nums[0])
+        elif op in ("Td", "TD") and len(nums) == 2:
+            if op == "TD":
+                state["TL"] = -nums[1]
+            line(*nums)
+        elif op == "Tm" and len(nums) == 6:
+            tm = tlm = tuple(nums)
+        elif op == "T*":
+            line(0.0, -state["TL"])
+        elif op in ("Tj", "'", '"'):
+            if op == '"' and len(nums) >= 2:
+                state |= {"Tw": nums[0], "Tc": nums[1]}
+            if op != "Tj":
                 line(0.0, -state["TL"])
-            elif op in ("Tj", "'", '"'):
-                if op == '"' and len(nums) >= 2:
-                    state |= {"Tw": nums[0], "Tc": nums[1]}
-                if op != "Tj":
-                    line(0.0, -state["TL"])
-                for s in strs:
-                    show(s)
-            elif op == "TJ":
-                for a in args:
-                    if a["str"] is not None:
-                        show(a["str"])
-                    elif a["num"] is not None:
-                        tm = _times((1.0, 0.0, 0.0, 1.0, -a["num"] / 1000 * state["size"] * state["Tz"] / 100, 0.0), tm)
-            elif op == "Do":
-                emit("xobject", state["ctm"], font=next((a["name"] for a in args if a["name"]), None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OBJECTS.split(", ")])
-
-    return run
-
-
-def page_objects(ops: DataFrame, compat: bool = False) -> DataFrame:
-    """Text, path and XObject rows in drawing order; an ordered fold, one page a group."""
-    return ops.groupBy("doc_id", "page_index").applyInPandas(_page(compat), OBJECTS)
+            for s in strs:
+                show(s)
+        elif op == "TJ":
+            for a in args:
+                if a["str"] is not None:
+                    show(a["str"])
+                elif a["num"] is not None:
+                    tm = _times((1.0, 0.0, 0.0, 1.0, -a["num"] / 1000 * state["size"] * state["Tz"] / 100, 0.0), tm)
+        elif op == "Do":
+            emit("xobject", state["ctm"], font=next((a["name"] for a in args if a["name"]), None))
+    return out
+
+
+def page_objects(contents: DataFrame, compat: bool = False) -> DataFrame:
+    """Text, path and XObject rows in drawing order of (doc_id, page_index, data): an ordered fold over each page, without a shuffle."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "page_index", "seq", "type", "matrix", "text", "font", "size", "char_space", "word_space", "scale", "render_mode", "fill", "stroke", "paint", "segments"]
+        for part in parts:
+            rows = [
+                row
+                for doc, page, data in zip(part["doc_id"], part["page_index"], part["data"], strict=True)
+                for row in fold(doc, page, [(op, arguments(x)) for op, x in syntax.operations(data or b"")], compat)
+            ]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return contents.select("doc_id", "page_index", "data").mapInPandas(run, OBJECTS)
 
 
 def page_text(objects: DataFrame) -> DataFrame:

@@ -34,13 +34,17 @@ class Documents:
     def pages(self) -> DataFrame:
         return self._table("pages", lambda: pdf.pages(self.nodes))
 
+    @property
+    def contents(self) -> DataFrame:
+        return self._table("contents", lambda: pdf.contents(self.nodes, pdf.page_tree(self.nodes)))
+
     @property
     def operations(self) -> DataFrame:
-        return self._table("operations", lambda: content.operations(pdf.contents(self.nodes, pdf.page_tree(self.nodes))))
+        return self._table("operations", lambda: content.operations(self.contents))
 
     @property
     def objects(self) -> DataFrame:
-        return self._table("objects", lambda: content.page_objects(self.operations))
+        return self._table("objects", lambda: content.page_objects(self.contents))
 
     @property
     def text(self) -> DataFrame:

@@ -133,9 +133,11 @@ def nodes(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for doc, content in zip(part["doc_id"], part["content"], strict=True):
+            for start in range(0, len(part), 200):  # many documents a batch, but not all: their nodes are larger than they are
+                some = part.iloc[start : start + 200]
                 rows = [
                     (doc, number, gen, path, kind, i, d, s, r.obj if r else None, r.gen if r else None, raw if not path else None)
+                    for doc, content in zip(some["doc_id"], some["content"], strict=True)
                     for number, gen, value, raw in _objects(content)
                     for path, kind, i, d, s, r in syntax.flattened(value)
                 ]
