@@ -86,7 +86,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             continue
         closing, attributes = bool(token[1] or token[4]), token[3] or token[6] or ""
         if name in VOID:
-            if not out:
+            if not out and name != "wbr":
                 held.append(" ")
             continue
         if name in RAW:

@@ -31,7 +31,7 @@ def host_path(url):
 def test_host_path_and_rules(spark):
     urls = [
         None, "", "no scheme/x", "http://A.Example.NET/en/1?x#y", "http://example.net", "http://net/", "https://x.example.com/de/", "http://x.org/fr/a", "http://myexample.net/en/q",
-        "http://a.b/c://d/e", "ftp://ÄB.net/x", "http://h?q=/en/", "http://user@h.net:80/p#f", "x\ny://z.net/\nq", "http://example.com/de",
+        "http://a.b/c://d/e", "ftp://ÄB.net/x", "http://h?q=/en/", "http://user@h.net:80/p#f", "x\ny://z.net/\nq", "http://example.com/de", "http://h?q=http://x/y", "://", "http://" + "a" * 50_000 + "/" + "b/" * 50_000,
     ]
     df = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
     out = {r.page_id: r for r in url_filter.filter_urls(df, "url", queries.URL_RULES, None).collect()}
