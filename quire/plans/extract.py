@@ -30,13 +30,18 @@ class Documents:
         """Parsed once: what is asked of the nodes several times is kept, on disk if memory is short."""
         return self._table("nodes", lambda: pdf.nodes(self.docs).persist())
 
+    @property
+    def tree(self) -> DataFrame:
+        """The recursive walk is done once; a row a page is kept."""
+        return self._table("tree", lambda: pdf.page_tree(self.nodes).persist())
+
     @property
     def pages(self) -> DataFrame:
-        return self._table("pages", lambda: pdf.pages(self.nodes))
+        return self._table("pages", lambda: pdf.pages(self.nodes, tree=self.tree))
 
     @property
     def contents(self) -> DataFrame:
-        return self._table("contents", lambda: pdf.contents(self.nodes, pdf.page_tree(self.nodes)))
+        return self._table("contents", lambda: pdf.contents(self.nodes, self.tree))
 
     @property
     def operations(self) -> DataFrame:

@@ -214,9 +214,12 @@ def boxes(table: DataFrame, key: str) -> DataFrame:
     return four.where(F.size("v") >= 4).select("doc_id", "owner", box.alias("box"))
 
 
-def pages(table: DataFrame, inherit_rotation: bool = True) -> DataFrame:
-    """doc_id, page_index, obj_num, media_box, crop_box, rotation (0, 90, 180, 270), width, height."""
-    tree = page_tree(table)
+def pages(table: DataFrame, inherit_rotation: bool = True, tree: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_index, obj_num, media_box, crop_box, rotation (0, 90, 180, 270), width, height.
+
+    tree: the page tree, if it is kept; it is read once for each inherited attribute.
+    """
+    tree = page_tree(table) if tree is None else tree
     out = tree
     for key, name in (("MediaBox", "media_box"), ("CropBox", "crop_box")):
         found = inherited(tree, table, key).join(boxes(table, key), ["doc_id", "owner"]).select("doc_id", "obj_num", F.col("box").alias(name))
