@@ -8,28 +8,45 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Tables of moved nodes up to this many rows (about 50 bytes each) are broadcast in a round; larger ones are shuffled.
+SMALL = 300_000
+
+
 def connected_components(edges: DataFrame, start: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, label): the least node of each component.
 
-    Each round takes the least label of the neighbours, then the label of that label, so that long chains
-    shorten by halves. Rounds are written to the shared folder; nothing but a count reaches the driver. ``start``: labels
-    (node, label) known from a part of the same edges, which need not be in ``edges`` any more.
+    In each round every node moves to its least neighbour, if that is less; then edges within a node vanish and
+    parallel ones become one. A component's nodes at least halve, so there are few rounds, each over far fewer edges than the
+    one before. Rounds are written to the shared folder; nothing but counts reaches the driver. ``start``: labels (node,
+    label) known from a part of the edges, which need not be in ``edges`` any more.
     """
     own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     if start is None:
-        labels, links = own.withColumn("label", F.col("node")), edges
+        labels, left = own.withColumn("label", F.col("node")), _plain(edges.select("a", "b"))
     else:
         labels = start.unionByName(own.join(start, "node", "left_anti").withColumn("label", F.col("node")))
-        links = edges.unionByName(start.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-    links = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(labels, "labels")
+        left = _moved(edges.select("a", "b"), start.withColumnRenamed("label", "parent"))
+    left, labels = materialize(left, "edges"), materialize(labels, "labels")
     for _ in range(most_rounds):
-        heard = links.join(labels, links.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node", "left").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
-        of = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels_next = materialize(lower.join(of, "label", "left").select("node", F.coalesce("next", "label").alias("label"), "was"), "labels")
-        changed = labels_next.where("label <> was").limit(1).count()
-        labels = labels_next.select("node", "label")
-        if not changed:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moves = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).where("parent < node"), "moves")
+        n = moves.count()
+        if not n:
             return labels
+        moves = F.broadcast(moves) if n <= SMALL else moves
+        to = labels.join(moves.withColumnRenamed("node", "label"), "label", "left")
+        labels = materialize(to.select("node", F.coalesce("parent", "label").alias("label")), "labels")
+        left = materialize(_moved(left, moves), "edges")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _moved(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges between the nodes that their ends have moved to."""
+    for end in ("a", "b"):
+        at = moves.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_to"))
+        edges = edges.join(at, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
+    return _plain(edges)
