@@ -50,6 +50,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def long_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: from now on this session sends at most so many rows to Python at once, which bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def col(name: str):
     """A column by its exact name, dots and all."""
     return F.col(f"`{name.replace('`', '``')}`")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, long_texts
 
 WINDOW = 3
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -173,6 +173,7 @@ def main_text(page: str | None, surge: int = 60) -> str:
 
 def extract(pages: DataFrame, page: str) -> DataFrame:
     """Adds ``main_text`` (a clashing name gets a leading underscore). No shuffle."""
+    long_texts(pages.sparkSession)
     (name,) = fresh(pages, "main_text")
 
     @F.pandas_udf("string")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, col, fresh
+from .common import batches, col, fresh, long_texts
 
 FEATURES = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
@@ -115,6 +115,7 @@ def _counted(languages: list[str]):
 
 def fit(docs: DataFrame, text: str, lang: str, max_languages: int = 64) -> EcocModel:
     """Learns from all rows with a text and a language, of the ``max_languages`` most frequent languages."""
+    long_texts(docs.sparkSession)
     labelled = docs.select(col(text).alias("text"), col(lang).alias("lang")).where("text is not null and lang is not null")
     frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     languages = sorted(r.lang for r in frequent)
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, text: str, lang: str, max_languages: int = 64) -> EcocM
 
 def identify(docs: DataFrame, text: str, model: EcocModel, margin: float = 1.0) -> DataFrame:
     """Adds lang_pred, lang_score (0 to 1) and lang_ambiguous (clashing names get a leading underscore). No shuffle."""
+    long_texts(docs.sparkSession)
     names = fresh(docs, "lang_pred", "lang_score", "lang_ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

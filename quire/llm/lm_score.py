@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, col, materialize, mix, scratch_path, word_bytes
+from .common import Memo, batches, col, long_texts, materialize, mix, scratch_path, word_bytes
 
 BACKOFF = 0.4
 START = np.uint64(0x5354415254)
@@ -284,6 +284,7 @@ class _Sums:
 def score(docs: DataFrame, doc_id: str, text: str, most_words: int = 4_000_000, share: int = 20_000, bucket_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row."""
     spark = docs.sparkSession
+    long_texts(spark)
     rows = docs.select(col(doc_id).alias("id"), col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     slim = rows.select("key", "text")
     counted = materialize(slim.select("text").mapInPandas(_counted(share), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where("kind <> 1 or n > 1"), "counts")

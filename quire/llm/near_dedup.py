@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from .common import MASK, batches, col, fresh, materialize, mix, ngram_hashes, uniform, word_bytes, word_hashes
+from .common import MASK, batches, col, fresh, long_texts, materialize, mix, ngram_hashes, uniform, word_bytes, word_hashes
 from .components import connected_components
 
 REGISTERS, ROWS = 192, 6  # 32 bands: a pair at 0.8 shares one with probability 0.99994
@@ -174,6 +174,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, bl
     The registers' agreement is binomial; pairs of which fewer agree than five standard deviations below
     ``similarity`` aren't compared exactly.
     """
+    long_texts(docs.sparkSession)
     bands = REGISTERS // ROWS
     least = int(REGISTERS * (similarity - 5 * (similarity * (1 - similarity) / REGISTERS) ** 0.5))
     rows = docs.select(col(doc_id).alias("id"), F.unhex(F.md5(col(text))).alias("digest"), col(text).alias("text"))
