@@ -18,9 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .common import Memo, col, fresh, materialize
+from .common import Memo, col, fresh, long_texts, materialize
 
 #: Words of normalised text; in raw text the upper-case letters belong to them too.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -163,10 +162,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return joined if text[:1].isspace() else joined.lstrip()
 
 
-SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<first:int,last:int>>"
+SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<first:int,last:int>>, cleaned string"
 
 
-def _matcher(spark, rows: list, window: int):
+def _matcher(spark, rows: list, window: int, coverage: int | None):
     automaton = SuffixAutomaton(window)
     for item, text in rows:
         automaton.add(item, text)
@@ -185,14 +184,17 @@ def _matcher(spark, rows: list, window: int):
                     items.update(known)
                     hits.extend((s["first"], s["last"]) for s in places)
                 spans = merged(hits)
-                out.append((len(words), sum(b - a + 1 for a, b in spans), sorted(items), [{"first": x, "last": y} for x, y in spans]))
-            yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
+                n = sum(b - a + 1 for a, b in spans)
+                cleaned = cut(text, spans) if spans and coverage and coverage * n < len(words) else None
+                out.append((len(words), n, sorted(items), [{"first": x, "last": y} for x, y in spans], cleaned))
+            yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans", "cleaned"])
 
-    return matched
+    return matched.asNondeterministic()  # so that a filter on the result doesn't make Spark match twice
 
 
-def find(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str, window: int = 13, most_chars: int = 20_000_000) -> tuple[DataFrame, str]:
-    """(docs with a struct column of SCHEMA, its name). ``most_chars`` bounds the items of one automaton. No shuffle of the documents."""
+def find(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str, window: int = 13, most_chars: int = 20_000_000, coverage: int | None = None) -> tuple[DataFrame, str]:
+    """(docs with a struct column of SCHEMA, its name). ``cleaned`` is the text without its spans where they cover less than one word in ``coverage``, else null. ``most_chars`` bounds the items of one automaton. No shuffle of the documents."""
+    long_texts(docs.sparkSession)
     (name,) = fresh(docs, "hits")
     listed = items.where(col(item_text).isNotNull()).select(F.coalesce(col(item).cast("string"), F.lit("")).alias("i"), col(item_text).alias("t"))
     chars = listed.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -202,7 +204,7 @@ def find(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str
         if k:
             out = materialize(out, f"hits{k}")
         rows = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        out = out.withColumn(name, _matcher(docs.sparkSession, sorted((r.i, r.t) for r in rows.collect()), window)(col(text), col(name)["items"], col(name)["spans"]))
+        out = out.withColumn(name, _matcher(docs.sparkSession, sorted((r.i, r.t) for r in rows.collect()), window, coverage)(col(text), col(name)["items"], col(name)["spans"]))
     return out, name
 
 
@@ -211,17 +213,11 @@ def over(hits: Column, coverage: int = 20) -> Column:
     return (hits["n_hit"] > 0) & (F.lit(coverage) * hits["n_hit"] >= hits["n_words"])
 
 
-@F.pandas_udf(StringType())
-def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None else cut(t, [(s["first"], s["last"]) for s in x]) for t, x in zip(texts, spans, strict=True)], dtype="object")
-
-
 def remove(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str, window: int = 13, coverage: int = 20) -> DataFrame:
     """The documents without those over the coverage limit, and without the spans over the length limit; same columns.
 
     Documents without a hit are returned as they are.
     """
-    found, name = find(docs, text, items, item, item_text, window)
-    hit = col(name)["n_hit"] > 0
-    cleaned = F.when(hit, _without(F.when(hit, col(text)), col(name)["spans"])).otherwise(col(text))  # other texts don't go to Python again
-    return found.where(~over(col(name), coverage)).withColumn(text, cleaned).select(*[col(c) for c in docs.columns])
+    found, name = find(docs, text, items, item, item_text, window, coverage=coverage)
+    kept = found.where(~over(col(name), coverage))
+    return kept.withColumn(text, F.coalesce(col(name)["cleaned"], col(text))).select(*[col(c) for c in docs.columns])

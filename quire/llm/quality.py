@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, long_texts
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")  # what str.split takes for space too
@@ -73,7 +73,7 @@ def measures(df: DataFrame, text: str, name: str) -> DataFrame:
         for texts in parts:
             yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
 
-    return df.withColumn(name, measured(col(text)))
+    return df.withColumn(name, measured.asNondeterministic()(col(text)))  # so that a filter on the result doesn't make Spark measure twice
 
 
 @dataclass(frozen=True)
@@ -151,6 +151,7 @@ def judge(docs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> tuple[
 
     The texts are measured once for the counts and once for the result; nothing is shuffled but vote patterns.
     """
+    long_texts(docs.sparkSession)
     made, votes, quality = fresh(docs, "measures", "votes", "quality")
     measured = measures(docs, text, made)
     voted = measured.withColumn(votes, F.concat_ws(",", *[r.vote(col(made)).cast("string") for r in rules]))
