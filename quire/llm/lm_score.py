@@ -1,14 +1,14 @@
-"""Stupid-backoff scores of documents under the bigram counts of all the others.
+"""Stupid-backoff scores of documents under the n-gram counts of all the others.
 
-S(w | v) = c(v w) / c(v) if the corpus has v w, else ``BACKOFF`` * c(w) / N. Counts leave the document's own words out, so a text isn't
-explained by itself; a word that no other document has counts as one. A document's score is the sum of log S over
-its words (the first follows a start mark), and per word.
+S(w | c) = c(c w) / c(c) for the longest context c, of ``order`` - 1 words at most, after which another document has w;
+each word that the context is shortened by costs ``BACKOFF``, and without a context S(w) = c(w) / N. Counts leave the document's own
+words out, so a text isn't explained by itself; a word that no other document has counts as one. A document's score is the sum
+of log S over its words, and per word. One start mark precedes the first word; contexts don't reach beyond it, and what a
+document's beginning lacks of a context costs nothing.
 
-The counts are tables: of words, and of bigrams partitioned by hash. Documents are exploded to bigrams, which travel to the
-partition of their hash, are joined with the counts there, and are summed per document. Rows of
-the exploded table hold many bigrams each, as packed arrays, since a row for each wouldn't fit the disk budget. Bigrams so
-frequent that they would make a hot partition are counted first; their counts, a bounded table, go to the
-documents instead. Words beyond ``most_words`` of the most frequent get their counts by a join.
+Documents are exploded to rows (document, n-gram, count), one a document and n-gram, and shuffled by the n-gram's hash. The
+counts are a table, summed by that hash, and joined to the same rows without another shuffle; what other documents have
+is gathered by document and goes through the backoff of its words.
 
 Defined results: a null text, or one without words, has n_words 0 and null scores. Repeated rows are scored alike.
 """
@@ -19,121 +19,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.parquet as pq
 import xxhash
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, col, long_texts, materialize, mix, scratch_path, word_bytes
+from .common import Memo, batches, col, long_texts, materialize, mix, word_bytes
 
 BACKOFF = 0.4
 START = np.uint64(0x5354415254)
-KEPT_BITS = np.uint64((1 << 48) - 1)
 
 
 def _hashes() -> Memo:
     return Memo(xxhash.xxh64_intdigest, 400_000)
 
 
-def _bigrams(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of each word with the one before it. first: places where documents begin."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[first] = START
-    return mix(mix(before) + h)
-
-
 def _tokens(texts: list, hashes: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts, number of words of each)."""
+    """(word hashes of all texts, each with the start mark before it, number of words of each); texts without words have no mark."""
     found = [list(map(hashes.__getitem__, word_bytes(t))) for t in texts]
     sizes = np.array([len(x) for x in found], np.int64)
-    return np.fromiter((x for part in found for x in part), np.uint64, int(sizes.sum())), sizes
-
-
-class _Tally:
-    """Counts of hashes, added batch by batch."""
-
-    def __init__(self):
-        self.keys, self.counts, self.parts, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    flat = (x for part in found if part for x in (int(START), *part))
+    return np.fromiter(flat, np.uint64, int(sizes.sum() + (sizes > 0).sum())), sizes
 
-    def add(self, hashes: np.ndarray) -> None:
-        self.parts.append(np.unique(hashes, return_counts=True))
-        self.size += len(self.parts[-1][0])
-        if self.size > len(self.keys) + 500_000:
-            self.settle()
 
-    def settle(self) -> None:
-        keys = np.concatenate([self.keys, *[k for k, _ in self.parts]])
-        counts = np.concatenate([self.counts, *[c for _, c in self.parts]])
-        self.keys, place = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(place, weights=counts, minlength=len(self.keys)).astype(np.int64)
-        self.parts, self.size = [], 0
-
-
-def _counted(share: int):
-    """Rows (kind, h, n): 0 the tokens (h 0) and the documents with words (h 1), 1 words, 2 bigrams that are at least one in ``share`` of a task's."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, words, pairs, total, docs, seen, kept = _hashes(), _Tally(), _Tally(), 0, 0, 0, []
-
-        def often() -> None:
-            """Keeps the frequent bigrams of what was tallied so far."""
-            nonlocal pairs, seen
-            pairs.settle()
-            frequent = pairs.counts * share >= max(seen, 200 * share)
-            kept.append((pairs.keys[frequent], pairs.counts[frequent]))
-            pairs, seen = _Tally(), 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal words, total, docs
-            words.settle()
-            often()
-            pair_keys, pair_counts = (np.concatenate([k[n] for k in kept]) for n in (0, 1))
-            out = pd.DataFrame({
-                "kind": np.concatenate(([0, 0], np.full(len(words.keys), 1), np.full(len(pair_keys), 2))).astype(np.int32),
-                "h": np.concatenate((np.array([0, 1], np.uint64), words.keys, pair_keys)).view(np.int64),
-                "n": np.concatenate(([total, docs], words.counts, pair_counts)).astype(np.int64),
-            })
-            words, total, docs = _Tally(), 0, 0
-            kept.clear()
-            return out
-
-        for part in parts:
-            texts = part["text"].tolist()
-            for start, end in batches(texts, 4_000_000):
-                h, sizes = _tokens(texts[start:end], hashes)
-                if len(h):
-                    words.add(h)
-                    pairs.add(_bigrams(h, (np.cumsum(sizes) - sizes)[sizes > 0]))
-                    total += len(h)
-                    seen += len(h)
-                    docs += int((sizes > 0).sum())
-                if len(pairs.keys) > 1_500_000:
-                    often()
-                if len(words.keys) > 1_500_000:
-                    yield flush()
-        yield flush()
-
-    return run
-
-
-def _counted_some(shared):
-    """Rows (h, n) of the bigrams listed, exactly."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed, hashes = shared.value, _hashes()
-        total = np.zeros(len(listed), np.int64)
-        for part in parts:
-            texts = part["text"].tolist()
-            for start, end in batches(texts, 4_000_000):
-                h, sizes = _tokens(texts[start:end], hashes)
-                if len(h):
-                    at, found = _place(listed, _bigrams(h, (np.cumsum(sizes) - sizes)[sizes > 0]))
-                    total += np.bincount(at[found], minlength=len(listed))
-        yield pd.DataFrame({"h": listed.view(np.int64), "n": total})
-
-    return run
+def _ngrams(seq: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the runs of 1, 2, ... order elements that end at each place; the first n - 1 places of those of n mean nothing."""
+    out = [seq]
+    for _ in range(1, order):
+        longer = np.zeros_like(seq)
+        longer[1:] = mix(mix(out[-1][:-1]) + seq[1:])
+        out.append(longer)
+    return out
 
 
 def _place(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,251 +59,91 @@ def _place(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def _exploded(order: int):
+    """Rows (key, h, n): how often a document has an n-gram of 1 to ``order`` words."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _hashes()
+        for part in parts:
+            texts, keys = part["text"].tolist(), part["key"].to_numpy(np.int64)
+            for start, end in batches(texts, 1_000_000):
+                seq, sizes = _tokens(texts[start:end], hashes)
+                if not len(seq):
+                    continue
+                held = sizes + (sizes > 0)
+                doc = np.repeat(np.arange(len(sizes)), held)
+                at = np.arange(len(seq)) - np.repeat(np.cumsum(held) - held, held)
+                for k, h in enumerate(_ngrams(seq, order)):
+                    whole = at >= k
+                    d, h = doc[whole], h[whole]
+                    _, first, n = np.unique(mix(mix(d.astype(np.uint64) + np.uint64(1)) ^ h), return_index=True, return_counts=True)
+                    yield pd.DataFrame({"key": keys[start:end][d[first]], "h": h[first].view(np.int64), "n": n.astype(np.int32)})
+
+    return run
 
-def _word_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts), read once a process from the shared folder; at most ``most_words`` entries."""
-    if path not in _TABLES:
-        _TABLES.clear()
-        store, root = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-        h, n = [], []
-        for info in store.get_file_info(pafs.FileSelector(root)):
-            if info.base_name.endswith(".parquet"):
-                with store.open_input_file(info.path) as f:
-                    part = pq.read_table(f, columns=["h", "n"])
-                h.append(part["h"].to_numpy().view(np.uint64))
-                n.append(part["n"].to_numpy())
-        h, n = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((h, np.uint64), (n, np.int64)))
-        order = np.argsort(h)
-        _TABLES[path] = h[order], n[order]
-    return _TABLES[path]
 
+def _backoff(seq: np.ndarray, table: np.ndarray, others: np.ndarray, order: int) -> tuple[float, int]:
+    """(sum of log S without the share of N, words scored without a context). table, others: n-grams that other documents have, sorted, and their counts."""
+    counts = []
+    for k, h in enumerate(_ngrams(seq, order)):
+        at, found = _place(table, h)
+        found[:k] = False
+        counts.append(np.where(found, others[at] if len(others) else 0, 0))
+    longest = np.minimum(np.arange(len(seq)) + 1, order)
+    value = np.log(BACKOFF) * (longest - 1) + np.log(np.maximum(counts[0], 1))
+    single = np.ones(len(seq), bool)
+    for k in range(1, order):
+        seen = np.flatnonzero(counts[k] > 0)
+        value[seen] = np.log(BACKOFF) * (longest[seen] - k - 1) + np.log(counts[k][seen]) - np.log(counts[k - 1][seen - 1])
+        single[seen] = False
+    return float(value[1:].sum()), int(single[1:].sum())
 
-def _exploded(path: str, heavy, tokens: int, docs: int, buckets: int, own_counts: bool):
-    """Packed rows (bucket, keys, sizes, hashes, gains) of bigrams that others may have, and rows of bucket -1 with the sums that need no join."""
+
+def _scored(order: int):
+    """Rows (id, n_words, value, single) of each document."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, counts = _word_table(path)
-        heavy_h, heavy_n = heavy.value
-        place = Memo(lambda w: _one(table, xxhash.xxh64_intdigest(w)), 400_000)
         hashes = _hashes()
         for part in parts:
-            texts, keys = part["text"].tolist(), part["key"].to_numpy(np.int64)
-            for start, end in batches(texts, 2_000_000):
-                found = [word_bytes(t) for t in texts[start:end]]
-                sizes = np.array([len(x) for x in found], np.int64)
-                at = np.fromiter((place[w] for x in found for w in x), np.int64, int(sizes.sum()))
-                h = table[np.maximum(at, 0)] if len(table) else np.zeros(len(at), np.uint64)
-                n = np.where(at >= 0, counts[np.maximum(at, 0)], 0) if len(table) else np.zeros(len(at), np.int64)
-                if own_counts and (missing := np.flatnonzero(at < 0)).size:  # words past the table: hashes now, counts from the join
-                    flat = [w for x in found for w in x]
-                    h = h.copy()
-                    h[missing] = np.fromiter((hashes[flat[k]] for k in missing), np.uint64, len(missing))
-                    for d, (words, ns) in enumerate(zip(part["rare"].iloc[start:end], part["rare_n"].iloc[start:end], strict=True)):
-                        if words is not None and len(words):
-                            lo = int(sizes[:d].sum())
-                            order = np.argsort(words := np.asarray(words, np.int64).view(np.uint64))
-                            k, there = _place(words[order], h[lo : lo + sizes[d]])
-                            use = there & (at[lo : lo + sizes[d]] < 0)
-                            n[lo : lo + sizes[d]][use] = np.asarray(ns, np.int64)[order][k[use]]
-                elif not own_counts:
-                    h = np.where(at >= 0, h, np.uint64(0))
-                yield from _sums(h, n, sizes, keys[start:end], heavy_h, heavy_n, tokens, docs, buckets)
+            values, sizes = [], []
+            for text, h, n in zip(part["text"], part["hs"], part["ns"], strict=True):
+                seq, (size,) = _tokens([text], hashes)
+                table, first = np.unique(np.asarray(() if h is None else h, np.int64).view(np.uint64), return_index=True)  # repeated rows give the same twice
+                values.append(_backoff(seq, table, np.asarray(() if n is None else n, np.int64)[first], order) if size else (0.0, 0))
+                sizes.append(int(size))
+            yield pd.DataFrame({"id": part["id"], "n_words": sizes, "value": [v for v, _ in values], "single": [s for _, s in values]})
 
     return run
 
 
-def _one(table: np.ndarray, h: int) -> int:
-    k = int(np.searchsorted(table, np.uint64(h)))
-    return k if k < len(table) and int(table[k]) == h else -1
-
-
-def _own(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How often each element's document has it."""
-    code = mix(mix(doc.astype(np.uint64) + np.uint64(1)) ^ h)
-    _, place, times = np.unique(code, return_inverse=True, return_counts=True)
-    return times[place]
-
-
-def _sums(h, n, sizes, keys, heavy_h, heavy_n, tokens, docs, buckets) -> Iterator[pd.DataFrame]:
-    ends = np.cumsum(sizes)
-    first = (ends - sizes)[sizes > 0]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    others = n - _own(doc, h)  # a word only this document has: 0 or less
-    others = np.maximum(np.where(n > 0, others, 0), 0)
-    before = np.empty_like(others)
-    before[1:], before[first] = others[:-1], docs - 1
-    lower = np.log(BACKOFF) + np.log(np.maximum(others, 1)) - np.log(np.maximum(tokens - sizes[doc], 1))
-    total = np.bincount(doc, weights=lower, minlength=len(sizes))
-    may = (others > 0) & (before > 0)
-    pair = _bigrams(h, first)[may]
-    gain = -np.log(before[may]) - lower[may]
-    whose = doc[may]
-    at, often = _place(heavy_h, pair)
-    if often.any():
-        left = heavy_n[at[often]] - _own(whose[often], pair[often])
-        seen = left > 0
-        total += np.bincount(whose[often][seen], weights=np.log(left[seen]) + gain[often][seen], minlength=len(sizes))
-        pair, gain, whose = pair[~often], gain[~often], whose[~often]
-    bucket = (pair >> np.uint64(16)) % np.uint64(buckets) if buckets > 1 else np.zeros(len(pair), np.uint64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, pair, gain, whose = bucket[order].astype(np.int64), pair[order], gain[order].astype("<f4"), whose[order]
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rows = [(-1, keys.astype("<i8").tobytes(), b"", b"", total.astype("<f8").tobytes(), sizes.astype("<i8").tobytes())]
-    for lo, hi in zip(edges, [*edges[1:], len(bucket)], strict=True):
-        some, times = np.unique(whose[lo:hi], return_counts=True)
-        packed = (pair[lo:hi] & KEPT_BITS).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        rows.append((int(bucket[lo]), keys[some].astype("<i8").tobytes(), times.astype("<u4").tobytes(), packed.tobytes(), gain[lo:hi].tobytes(), b""))
-    yield pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "hashes", "gains", "words"])
-
-
-PACKED = "bucket int, keys binary, sizes binary, hashes binary, gains binary, words binary"
-
-
-def _joined(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of one bucket: counted, joined with their counts, summed per document row. (keys, sums)."""
-    keys = np.frombuffer(b"".join(part["keys"]), "<i8")
-    doc = np.repeat(np.arange(len(keys)), np.frombuffer(b"".join(part["sizes"]), "<u4"))  # rows, so that repeated ones stay apart
-    raw = np.frombuffer(b"".join(part["hashes"]), np.uint8).reshape(-1, 6)
-    h = np.zeros((len(raw), 8), np.uint8)
-    h[:, :6] = raw
-    _, pair, times = np.unique(h.view("<u8").ravel(), return_inverse=True, return_counts=True)
-    left = times[pair] - _own(doc, pair.astype(np.uint64))
-    seen = left > 0
-    value = np.log(left[seen]) + np.frombuffer(b"".join(part["gains"]), "<f4")[seen]
-    return keys, np.bincount(doc[seen], weights=value, minlength=len(keys))
-
-
-class _Sums:
-    """Sums, words and rows per key, compacted now and then."""
-
-    def __init__(self):
-        self.keys, self.values, self.parts, self.size = np.zeros(0, np.int64), np.zeros((0, 3)), [], 0
-
-    def add(self, keys: np.ndarray, sums: np.ndarray, words: np.ndarray | None = None, copies: np.ndarray | None = None) -> None:
-        none = np.zeros(len(keys))
-        self.parts.append((keys, np.column_stack([sums, none if words is None else words, none if copies is None else copies])))
-        self.size += len(keys)
-        if self.size > len(self.keys) + 200_000:
-            self.settle()
-
-    def settle(self) -> None:
-        keys = np.concatenate([self.keys, *[k for k, _ in self.parts]])
-        values = np.concatenate([self.values, *[v for _, v in self.parts]])
-        self.keys, place = np.unique(keys, return_inverse=True)
-        self.values = np.column_stack([np.bincount(place, weights=values[:, c], minlength=len(self.keys)) for c in range(3)])
-        self.parts, self.size = [], 0
-
-
-def score(docs: DataFrame, doc_id: str, text: str, most_words: int = 4_000_000, share: int = 20_000, bucket_bytes: int = 24 << 20) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of every row."""
+def ngram_counts(rows: DataFrame) -> DataFrame:
+    """(h, total) of the n-grams that more than one document has. rows: key, h, n, partitioned by h."""
+    # key is counted so that this reads the columns of the join's other side, and both read one shuffle
+    return rows.groupBy("h").agg(F.sum("n").alias("total"), F.count("key").alias("docs")).where("docs > 1").select("h", "total")
+
+
+def score(docs: DataFrame, doc_id: str, text: str, most_words: int | None = None, share: int | None = None, bucket_bytes: int = 24 << 20, order: int = 2) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of every row.
+
+    bucket_bytes: of exploded rows, about as many in a task. most_words and share have no effect: no word table is held in memory any more.
+    """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     spark = docs.sparkSession
     long_texts(spark)
     rows = docs.select(col(doc_id).alias("id"), col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    slim = rows.select("key", "text")
-    counted = materialize(slim.select("text").mapInPandas(_counted(share), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where("kind <> 1 or n > 1"), "counts")
-    totals = {r.h: r.n for r in counted.where("kind = 0").select("h", "n").collect()}
-    tokens, n_docs = totals.get(0, 0), totals.get(1, 0)
-
-    words = counted.where("kind = 1").select("h", "n")
-    least, tail = _threshold(words, most_words)
-    path = scratch_path(spark, "words")
-    words.where(F.col("n") >= least).write.parquet(path)
-
-    often = np.sort(np.array([r.h for r in counted.where((F.col("kind") == 2) & (F.col("n") * share >= tokens)).select("h").limit(4 * share).collect()], np.int64).view(np.uint64))
-    heavy_n = np.zeros(len(often), np.int64)
-    if len(often):
-        listed = spark.sparkContext.broadcast(often)
-        exact = slim.select("text").mapInPandas(_counted_some(listed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-        at = {r.h: r.n for r in exact}
-        heavy_n = np.array([at[h] for h in often.view(np.int64).tolist()], np.int64)
-    heavy = spark.sparkContext.broadcast((often, heavy_n))
-
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * 11 // bucket_bytes))
-    source = slim
-    if tail:
-        source = slim.join(_rare(slim, path, words.where(F.col("n") < least)), "key", "left")
-    packed = source.mapInPandas(_exploded(path, heavy, int(tokens), int(n_docs), int(buckets), tail), PACKED)
-    apart = packed.repartition(int(buckets), F.when(F.col("bucket") < 0, F.xxhash64("keys")).otherwise(F.col("bucket")))
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // 200_000)
-    return _finish(rows, apart, doc_id, groups)
-
-
-def _finish(rows: DataFrame, apart: DataFrame, doc_id: str, groups: int) -> DataFrame:
-    """Sums of buckets travel to groups of documents in packed rows, and become one row a document there."""
-
-    def by_bucket(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, sums = [], _Sums()
-
-        def spread() -> pd.DataFrame:
-            sums.settle()
-            group = (mix(sums.keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            edges = np.flatnonzero(np.diff(group[order], prepend=-1))
-            cuts = list(zip(edges, [*edges[1:], len(order)], strict=True))
-            out = [(int(group[order[a]]), sums.keys[order[a:b]].astype("<i8").tobytes(), sums.values[order[a:b]].astype("<f8").tobytes()) for a, b in cuts]
-            sums.__init__()
-            return pd.DataFrame(out, columns=["grp", "keys", "vals"])
-
-        for part in parts:
-            for bucket, some in part.groupby("bucket", sort=True):
-                if bucket < 0:
-                    for row in some.itertuples(index=False):
-                        keys = np.frombuffer(row.keys, "<i8")
-                        sums.add(keys, np.frombuffer(row.gains, "<f8"), np.frombuffer(row.words, "<i8"), np.ones(len(keys)))
-                else:
-                    if held and held[0]["bucket"].iloc[0] != bucket:
-                        sums.add(*_joined(pd.concat(held)))
-                        held = []
-                    held.append(some)
-                if len(sums.keys) > 1_000_000:
-                    yield spread()
-        if held:
-            sums.add(*_joined(pd.concat(held)))
-        if sums.size or len(sums.keys):
-            yield spread()
-
-    def by_group(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = _Sums()
-        for part in parts:
-            for row in part.itertuples(index=False):
-                values = np.frombuffer(row.vals, "<f8").reshape(-1, 3)
-                sums.add(np.frombuffer(row.keys, "<i8"), values[:, 0], values[:, 1], values[:, 2])
-        sums.settle()
-        yield pd.DataFrame({"key": sums.keys, "value": sums.values[:, 0], "words": sums.values[:, 1].astype(np.int64), "copies": sums.values[:, 2].astype(np.int64)})
-
-    summed = apart.sortWithinPartitions("bucket").mapInPandas(by_bucket, "grp int, keys binary, vals binary")
-    per_key = summed.repartition(groups, "grp").mapInPandas(by_group, "key long, value double, words long, copies long")
-    made = rows.select("id", "key").join(per_key, "key", "left")
-    n, value = (F.col("words") / F.col("copies")).cast("long"), F.col("value") / F.col("copies")
-    return made.select(F.col("id").alias(doc_id), n.alias("n_words"), F.when(n > 0, value).alias("log_score"), F.when(n > 0, value / n).alias("mean_log_score"))
-
-
-def _threshold(words: DataFrame, most: int) -> tuple[int, bool]:
-    """(least count of a word in the table, whether words with more than one occurrence are left out of it)."""
-    if words.count() <= most:
-        return 2, False
-    cut = words.groupBy("n").count().orderBy(F.desc("n"))
-    total, least = 0, None
-    for n, c in cut.toLocalIterator():  # stops after most rows at the latest
-        if total + c > most:
-            return n + 1, True
-        total, least = total + c, n
-    return least or 2, False
-
-
-def _rare(slim: DataFrame, path: str, tail: DataFrame) -> DataFrame:
-    """(key, rare, rare_n): of each document, its words past the table that occur more than once, and their counts."""
-
-    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, _ = _word_table(path)
-        hashes = _hashes()
-        for part in parts:
-            for key, t in zip(part["key"], part["text"], strict=True):
-                h = np.unique(np.fromiter(map(hashes.__getitem__, word_bytes(t)), np.uint64))
-                h = h[~_place(table, h)[1]]
-                yield pd.DataFrame({"key": np.full(len(h), key, np.int64), "h": h.view(np.int64)})
-
-    found = slim.mapInPandas(listed, "key long, h long").distinct().join(tail, "h")
-    return found.groupBy("key").agg(F.collect_list("h").alias("rare"), F.collect_list("n").alias("rare_n"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars * 6 * order // bucket_bytes))  # a row of 36 bytes and order for each word of six characters
+
+    grams = rows.select("key", "text").mapInPandas(_exploded(order), "key long, h long, n int")
+    grams = grams.where("key is not null and h is not null").repartition(int(buckets), "h")  # none is; said here so that both readers filter alike and share the shuffle
+    joined = grams.join(ngram_counts(grams).hint("shuffle_hash"), "h").select("key", "h", (F.col("total") - F.col("n")).alias("others"))
+    found = joined.groupBy("key").agg(F.collect_list(F.struct("h", "others")).alias("found"))
+    with_counts = rows.join(found, "key", "left").select("id", "text", F.col("found.h").alias("hs"), F.col("found.others").alias("ns"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    made = materialize(with_counts.mapInPandas(_scored(order), f"id {kind}, n_words long, value double, single long"), "scored")
+
+    tokens = made.agg(F.sum("n_words")).first()[0] or 0
+    n = F.col("n_words")
+    value = F.col("value") - F.col("single") * F.log(F.greatest(F.lit(tokens) - n, F.lit(1)).cast("double"))
+    return made.select(F.col("id").alias(doc_id), n, F.when(n > 0, value).alias("log_score"), F.when(n > 0, value / n).alias("mean_log_score"))

@@ -18,6 +18,8 @@ URL_RULES = [
 ]
 #: Parts of host names that mark a URL as rejected when the model is fitted, besides the rules.
 URL_SEEDS = ("spam", "pills", "casino", "porn", "xxx", "viagra", "warez", "torrent")
+#: Words of the longest n-grams of the language model.
+LM_ORDER = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +91,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", order=LM_ORDER)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from quire.llm import lm_score
+from quire.llm import lm_score, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,3 +58,40 @@ def test_against_brute_force(spark, rows, options):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, key string, id int")
     assert lm_score.score(docs, "doc_id", "text").count() == 0
+
+
+def brute_order(rows, order):
+    """By the definition, with tuples: the longest context that others have, a backoff for each word it is shortened by."""
+    per = [Counter(tuple(s[i : i + k]) for k in range(1, order + 1) for i in range(len(s) - k + 1)) for s in ([None, *words(t)] if words(t) else [] for _, t in rows)]
+    every, tokens, out = sum(per, Counter()), sum(len(words(t)) for _, t in rows), []
+    for (i, t), own in zip(rows, per):
+        s, total = [None, *words(t)], 0.0
+        for p in range(1, len(s)):
+            longest = min(order, p + 1)
+            for k in range(longest, 0, -1):
+                gram = tuple(s[p - k + 1 : p + 1])
+                left = every[gram] - own[gram]
+                if k == 1 or left > 0:
+                    below = every[gram[:-1]] - own[gram[:-1]] if k > 1 else max(1, tokens - len(s) + 1)
+                    total += math.log(0.4) * (longest - k) + math.log(max(1, left) / below)
+                    break
+        out.append((i, len(s) - 1, total if len(s) > 1 else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_longer_contexts_against_brute_force(spark, rows, order):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm_score.score(docs, "doc_id", "text", order=order).collect()), key=str)
+    expected = brute_order(rows, order)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    for g, e in zip(got, expected):
+        assert e[2] is None and g[2] is None or g[2] == pytest.approx(e[2], rel=1e-9)
+
+
+def test_texts_that_differ_in_trigrams_only_score_apart(spark):
+    assert queries.LM_ORDER >= 3
+    corpus = ["a b c", "x b d", "p a b", "q x b"]
+    rows = [*enumerate(corpus), (10, "z a b c"), (11, "z a b d")]
+    out = {r.doc_id: r.log_score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", order=queries.LM_ORDER).collect()}
+    assert out[10] > out[11]
