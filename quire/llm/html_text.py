@@ -2,8 +2,10 @@
 
 Markup is stripped to lines, one a block; elements that cannot hold the article (menus, forms, notices and the like) leave
 empty lines. Text lengths are summed over windows of consecutive lines: where the sum rises above a threshold
-is a surge, where it falls to zero a dive, and the text between them is a stretch. An article or main element
-bounds the search if the page has one; else the stretches that reach half of the greatest one's text are kept.
+is a surge, where it falls to zero a dive, and the text between them is a stretch. The lines of every page are searched
+alike. Text in an article or main element counts as a surge however short it is, and the element's edges are
+dives, so that short lines beside it aren't taken along; what lies outside is kept where it surges by itself. Of
+the stretches without such an element those that reach half of the greatest one's text are kept.
 
 Defined results: null HTML is empty and gives an empty text; unclosed elements end with their parents; an unclosed script,
 style or comment runs to the end. Line breaks within a block are white space.
@@ -54,7 +56,7 @@ def _marked(attributes: str) -> bool:
 
 
 def lines_of(page: str) -> tuple[list[str], list[bool]]:
-    """(lines, whether each is in an article or main element). Excluded elements become WINDOW empty lines."""
+    """(lines, whether each is in an article or main element). Excluded elements, and edges of an article, become WINDOW empty lines."""
     lines: list[str] = []
     inside: list[bool] = []
     held: list[str] = []
@@ -65,6 +67,8 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
+            if inside and inside[-1] != main:
+                gap()
             lines.append(text)
             inside.append(main)
 
@@ -138,14 +142,14 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     return lines, inside
 
 
-def stretches(lengths: np.ndarray, surge: int) -> list[tuple[int, int]]:
-    """Ranges of lines between surge and dive points of the window sums."""
+def stretches(lengths: np.ndarray, surge: int, sure: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Ranges of lines between surge and dive points of the window sums. sure: lines that are surges if they have any text."""
     if not len(lengths):
         return []
     sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of a line and the next ones
     out, start, k = [], None, 0
     while k < len(lengths):
-        if start is None and lengths[k] and sums[k] >= surge:
+        if start is None and lengths[k] and (sums[k] >= surge or sure is not None and sure[k]):
             start = k
         elif start is not None and not lengths[k : k + WINDOW].any():
             out.append((start, k))
@@ -160,14 +164,10 @@ def main_text(page: str | None, surge: int = 60) -> str:
         return ""
     lines, inside = lines_of(page)
     lengths = np.array([len(x) for x in lines], np.int64)
-    if any(inside) and lengths[inside].any():
-        lengths = np.where(inside, lengths, 0)
-        surge = 1  # an article's own bounds are its surge and dive
-        found = stretches(lengths, surge)
-    else:
-        found = stretches(lengths, surge) or stretches(lengths, 1)
-        most = max((lengths[a:b].sum() for a, b in found), default=0)
-        found = [(a, b) for a, b in found if 2 * lengths[a:b].sum() >= most]
+    sure = np.array(inside, bool)
+    found = stretches(lengths, surge, sure) or stretches(lengths, 1)
+    most = max((lengths[a:b].sum() for a, b in found), default=0)
+    found = [(a, b) for a, b in found if 2 * lengths[a:b].sum() >= most or sure[a:b].any()]
     return "\n\n".join(lines[k] for a, b in found for k in range(a, b) if lengths[k])
 
 

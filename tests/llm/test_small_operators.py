@@ -241,6 +241,15 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_an_article_does_not_hide_longer_text_outside():
+    card, body = "<div><article><h2>Card</h2></article></div>", "long text " * 30
+    for page in (card * 3 + f"<div><p>{body}</p><p>end</p></div>", f"<article><p>short</p></article><div><p>{body}</p><p>end</p></div>", f"<div><p>{body}</p><p>end</p></div><article>short</article>"):
+        blocks = html_text.main_text(page).split("\n\n")
+        assert body.strip() in blocks and "end" in blocks
+        assert "Card" in blocks or "short" in blocks
+    assert html_text.main_text(f"<div>Home</div><article><p>{body}</p><p>x</p></article><div>Terms</div>") == body.strip() + "\n\nx"
+
+
 def test_surge_and_dive():
     lengths = np.array([5, 0, 0, 0, 80, 3, 0, 90, 0, 0, 0, 7])
     assert html_text.stretches(lengths, 60) == [(4, 8)]
