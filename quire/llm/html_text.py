@@ -4,8 +4,9 @@ Markup is stripped to lines, one a block; elements that cannot hold the article
 empty lines. Text lengths are summed over windows of consecutive lines: where the sum rises above a threshold
 is a surge, where it falls to zero a dive, and the text between them is a stretch. The lines of every page are searched
 alike. Text in an article or main element counts as a surge however short it is, and the element's edges are
-dives, so that short lines beside it aren't taken along; what lies outside is kept where it surges by itself. Of
-the stretches without such an element those that reach half of the greatest one's text are kept.
+dives, so that short lines beside it aren't taken along; what lies outside is kept where it surges by itself. An
+excluded element is no dive where the text on both sides of it has a container in common (an element below body that holds
+both sides and the excluded one, or the nearest block of both other than a paragraph or list). All stretches are kept.
 
 Defined results: null HTML is empty and gives an empty text; unclosed elements end with their parents; an unclosed script,
 style or comment runs to the end. Line breaks within a block are white space.
@@ -43,6 +44,8 @@ MARKS = frozenset(
     "disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "widget toolbar masthead topbar search form pagination pager complementary contentinfo hidden".split()
 )
+#: Blocks that hold one paragraph, item or cell of a container's text.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd figure figcaption table tbody thead tfoot tr td th address details summary center".split())
 _CLOSES_P = frozenset("p div ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 section article aside nav footer header form pre blockquote hr figure main address details fieldset".split())
 _SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -55,22 +58,45 @@ def _marked(attributes: str) -> bool:
     return any(MARKS.intersection(_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1]).lower())) for m in _NAMES.finditer(attributes))
 
 
+def container(blocks: list[tuple[str, int]]) -> int:
+    """Number of the innermost block that isn't a paragraph, 0 if that is the body."""
+    name, number = next((x for x in reversed(blocks) if x[0] not in PARAGRAPHS), ("body", 0))
+    return 0 if name in ("html", "body") else number
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool]]:
-    """(lines, whether each is in an article or main element). Excluded elements, and edges of an article, become WINDOW empty lines."""
+    """(lines, whether each is in an article or main element). Edges of an article, and excluded elements whose sides share no container, become WINDOW empty lines."""
     lines: list[str] = []
     inside: list[bool] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, excluded, in an article
+    stack: list[tuple[str, bool, bool, int]] = []  # name, excluded, in an article, number
+    count = 0
+    apart: list[int] = []  # for each excluded element since the last line the number of the block around it, 0 if that is the body
+    around: list[tuple[str, int]] = []  # blocks around the last line
     out, main, at, end = False, False, 0, len(page)
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            if inside and inside[-1] != main:
+            blocks = [(x[0], x[3]) for x in stack if x[0] not in INLINE]
+            if inside and (inside[-1] != main or apart and not together(around, blocks)):
                 gap()
             lines.append(text)
             inside.append(main)
+            apart.clear()
+            around[:] = blocks
+
+    def together(before: list[tuple[str, int]], after: list[tuple[str, int]]) -> bool:
+        if container(before) == container(after):
+            return True
+        both = {n for _, n in before} & {n for _, n in after}
+        return all(n in both for n in apart)
+
+    def leave_out() -> None:
+        held.append(" ")
+        block = next((x for x in reversed(stack) if x[0] not in INLINE), None)
+        apart.append(0 if block is None or block[0] in ("html", "body") else block[3])
 
     def gap() -> None:
         lines.extend([""] * WINDOW)
@@ -106,20 +132,18 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
                 continue
             if name not in INLINE and not out:
                 flush()
-            was = out
             if name in INLINE and any(x[0] not in INLINE for x in stack[depth:]):
                 continue  # it was closed with its block
             del stack[depth:]
             out, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if was and not out:
-                gap()
             continue
+        count += 1
         if name in INLINE:
             if attributes and not out and _marked(attributes):
-                stack.append((name, True, main))
+                stack.append((name, True, main, count))
                 out = True
             elif out or attributes.endswith("/") is False:
-                stack.append((name, out, main))
+                stack.append((name, out, main, count))
             continue
         if not out:
             flush()
@@ -133,10 +157,10 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
                     break
         excluded = out or name in ASIDE or name == "header" and not main or name not in ("body", "html", "article", "main") and _marked(attributes) or name == "article" and _marked(attributes)
         if excluded and not out:
-            gap()
+            leave_out()
         out = excluded
         main = main or name in ("article", "main") and not excluded
-        stack.append((name, out, main))
+        stack.append((name, out, main, count))
     if not out:
         flush()
     return lines, inside
@@ -166,8 +190,6 @@ def main_text(page: str | None, surge: int = 60) -> str:
     lengths = np.array([len(x) for x in lines], np.int64)
     sure = np.array(inside, bool)
     found = stretches(lengths, surge, sure) or stretches(lengths, 1)
-    most = max((lengths[a:b].sum() for a, b in found), default=0)
-    found = [(a, b) for a, b in found if 2 * lengths[a:b].sum() >= most or sure[a:b].any()]
     return "\n\n".join(lines[k] for a, b in found for k in range(a, b) if lengths[k])
 
 

@@ -250,6 +250,23 @@ def test_an_article_does_not_hide_longer_text_outside():
     assert html_text.main_text(f"<div>Home</div><article><p>{body}</p><p>x</p></article><div>Terms</div>") == body.strip() + "\n\nx"
 
 
+@pytest.mark.parametrize("left_out", ["<div class='ad'>buy now</div>", "<form>mail <input></form>", "<div class='notice'><p>we use</p></div>", "<aside>x</aside><nav>y</nav>"])
+def test_what_is_left_out_does_not_split_a_container(left_out):
+    body = ("long text " * 30).strip()
+    for page in (
+        f"<body><div id=story><div><p>{body}</p></div>{left_out}<div><p>short end</p></div></div></body>",
+        f"<body><div><p>{body}</p>{left_out}<p>short end</p></div></body>",
+        f"<body><p>{body}</p>{left_out}<p>short end</p></body>",
+    ):
+        assert html_text.main_text(page) == f"{body}\n\nshort end"
+    assert html_text.main_text(f"<body><div><p>{body}</p></div>{left_out}<div>Terms</div></body>") == body
+
+
+def test_no_stretch_is_dropped_for_a_greater_one():
+    body, closing = ("long text " * 60).strip(), ("closing part " * 10).strip()
+    assert html_text.main_text(f"<body><div>{body}</div><nav>n</nav><div>{closing}</div></body>") == f"{body}\n\n{closing}"
+
+
 def test_surge_and_dive():
     lengths = np.array([5, 0, 0, 0, 80, 3, 0, 90, 0, 0, 0, 7])
     assert html_text.stretches(lengths, 60) == [(4, 8)]
