@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, url_filter, warc
-from .common import scratch_path
+from .common import materialize, scratch_path
 
 URL_RULES = [
     url_filter.Rule("block", "net/"),
@@ -18,6 +18,10 @@ URL_RULES = [
 ]
 #: Parts of host names that mark a URL as rejected when the model is fitted, besides the rules.
 URL_SEEDS = ("spam", "pills", "casino", "porn", "xxx", "viagra", "warez", "torrent")
+#: The same, but only as a whole word of the host's name: shorter ones, which other words hold too.
+URL_SEED_WORDS = frozenset(
+    "ad ads adult adserver bet bets betting bingo click clicks crack cracks dating escort escorts gambling jackpot keygen loan loans lottery malware nude payday phishing poker sex slots tracker tracking".split()
+)
 #: Words of the longest n-grams of the language model.
 LM_ORDER = 3
 
@@ -32,16 +36,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def url_labels(pages: DataFrame, url: str) -> DataFrame:
-    """Training rows of the URL model: a seed in the host rejects; else the rule, if there is one, decides; else the
-    page's host is taken as accepted."""
+def _seeded(host: Column) -> Column:
+    found = F.arrays_overlap(F.split(host, "[^a-z0-9]+"), F.array(*[F.lit(w) for w in sorted(URL_SEED_WORDS)])) if URL_SEED_WORDS else F.lit(False)
+    for s in URL_SEEDS:
+        found = found | F.contains(host, F.lit(s))
+    return found
+
+
+def url_labels(pages: DataFrame, url: str, most: int = 20_000, folds: int = 3) -> DataFrame:
+    """Training rows of the URL model: a seed in the host rejects; else the rule, if there is one, decides.
+
+    A URL that neither decides is a training row only if its host is found acceptable, by the mean over its URLs, by a model
+    of the seeds and of hosts other than this one (``folds`` groups of hosts); it is then accepted, else left out. Where no
+    host has a seed nothing speaks against any of them. Of each kind the ``most`` URLs with the smallest hashes are used.
+    """
     host, path = url_filter.host_of(F.col(url)), url_filter.path_of(F.col(url))
     _, ruled = url_filter.rule_of(host, path, URL_RULES)
-    seeded = F.lit(False)
-    for s in URL_SEEDS:
-        seeded = seeded | F.contains(host, F.lit(s))
-    label = F.when(seeded, F.lit(False)).when(ruled == "block", F.lit(False)).otherwise(F.lit(True))
-    return pages.where(F.col(url).isNotNull()).select(F.concat(host, path).alias("s"), label.alias("a"))
+    kind = F.when(_seeded(host), "seed").otherwise(F.coalesce(ruled, F.lit("open")))
+    rows = pages.where(F.col(url).isNotNull()).select(F.concat(host, path).alias("s"), host.alias("host"), kind.alias("kind")).distinct()
+    first = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("s"), "s"))
+    sample = materialize(rows.withColumn("first", first).where(F.col("first") <= most).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int")), "urls")
+    chances: dict[str, list[float]] = {}
+    for k in range(folds):
+        known = sample.where((F.col("kind") == "seed") | (F.col("kind").isin("allow", "open") & (F.col("fold") != k)))
+        model = url_filter.fit(known.select("s", (F.col("kind") != "seed").alias("a")), "s", "a", max_train=most)
+        for r in sample.where((F.col("kind") == "open") & (F.col("fold") == k)).select("s", "host").collect():
+            chances.setdefault(r.host, []).append(1.0 if model is None else model.probability(model.score(r.s)))
+    good = [(h,) for h, found in chances.items() if sum(found) >= 0.5 * len(found)]
+    fine = F.broadcast(pages.sparkSession.createDataFrame(good, "host string"))  # at most ``most`` hosts
+    decided = sample.where("kind <> 'open'").select("s", (F.col("kind") == "allow").alias("a"))
+    return decided.unionByName(sample.where("kind = 'open'").join(fine, "host", "left_semi").select("s", F.lit(True).alias("a")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

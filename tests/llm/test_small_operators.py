@@ -217,6 +217,28 @@ def test_quality_of_empty_tables_and_nulls(spark):
     assert quality.keep(docs.where(F.lit(False)), "text").count() == 0
 
 
+def test_junk_hosts_that_no_seed_names(spark, monkeypatch):
+    monkeypatch.setattr(queries, "URL_SEED_WORDS", frozenset())
+    rng = np.random.default_rng(2)
+    plain = [f"{a}.th{b}{c}.example.com" for a in ("www", "m", "blog") for b in ("the", "ere", "ing", "tion") for c in ("or", "an", "in", "re", "st")]
+    seeded = ["m.casino-win.example.com", "spam-farm.example.com", "www.cheap-pills.example.com"]
+    junk = ["free-bets.example.com", "m.ads-track.example.com"]
+    rows = [(f"http://{h}/{rng.choice(['en', 'es'])}/{rng.integers(1000, 9999)}", h) for h in plain + seeded + junk for _ in range(12)]
+    pages = spark.createDataFrame(rows, "url string, host string")
+    labels = [(r.s.partition("/")[0], r.a) for r in queries.url_labels(pages, "url").collect()]
+    assert not any(h in junk for h, _ in labels)
+    assert {h for h, a in labels if a} >= set(plain[:1]) and len({h for h, a in labels if a}) >= 0.9 * len(plain)
+    model = url_filter.fit(queries.url_labels(pages, "url"), "s", "a")
+    verdicts = url_filter.filter_urls(pages.withColumnRenamed("host", "h"), "url", queries.URL_RULES, model).collect()
+    assert all(r.verdict == "block" for r in verdicts if r.h in junk + seeded)
+    assert sum(r.verdict == "allow" for r in verdicts if r.h in plain) >= 0.95 * 12 * len(plain)
+
+
+def test_short_seeds_are_whole_words(spark):
+    df = spark.createDataFrame([(h,) for h in ("free-bets.example.com", "alphabet.example.com", "m.ads.example.com", "heads.example.com", "mycasino.example.com")], "h string")
+    assert [r.x for r in df.select(queries._seeded(F.col("h")).alias("x")).collect()] == [True, False, True, False, True]
+
+
 # --- HTML
 
 
