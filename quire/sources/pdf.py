@@ -11,12 +11,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import syntax
 from .filters import decode, decoded
+from .walk import levels, scratch, written
 
 XREF = "doc_id long, revision int, obj_num int, type int, field long, gen int"
 NODES = "doc_id long, obj_num int, gen int, path array<string>, kind string, i long, d double, s binary, ref_obj int, ref_gen int, raw binary"
@@ -168,34 +169,27 @@ def resolved(table: DataFrame, entries: DataFrame, links: int = 2) -> DataFrame:
     return out
 
 
-def page_tree(table: DataFrame, deepest: int = 64) -> DataFrame:
-    """(doc_id, obj_num, page_index, ancestors) of the pages in order: a recursive walk over /Kids from the catalog, cycles cut.
+def page_tree(table: DataFrame) -> DataFrame:
+    """(doc_id, obj_num, page_index, ancestors) of the pages in order: a walk over /Kids from the catalog, level by level, cycles cut.
 
     ancestors: object numbers from the page up to the root.
     """
-    spark = table.sparkSession
-    refs = table.where("kind = 'ref'")
-    top = refs.where((F.col("obj_num") == TRAILER) & (F.col("path") == F.array(F.lit("Root")))).select("doc_id", F.col("ref_obj").alias("catalog"))
-    pages = refs.where(F.col("path") == F.array(F.lit("Pages"))).select("doc_id", F.col("obj_num").alias("catalog"), F.col("ref_obj").alias("root"))
-    kids = refs.where((F.size("path") == 2) & (F.get("path", F.lit(0)) == "Kids")).select("doc_id", F.col("obj_num").alias("parent"), F.get("path", F.lit(1)).cast("int").alias("n"), F.col("ref_obj").alias("kid"))
+    first, second = F.get("path", F.lit(0)), F.get("path", F.lit(1))
+    listed = ((F.size("path") == 1) & first.isin("Root", "Pages")) | ((F.size("path") == 2) & (first == "Kids"))
+    refs = written(table.where((F.col("kind") == "ref") & listed).select("doc_id", "obj_num", first.alias("key"), second.cast("int").alias("n"), "ref_obj"), scratch(table.sparkSession))
+    top = refs.where((F.col("obj_num") == TRAILER) & (F.col("key") == "Root")).select("doc_id", F.col("ref_obj").alias("catalog"))
+    pages = refs.where("key = 'Pages'").select("doc_id", F.col("obj_num").alias("catalog"), F.col("ref_obj").alias("root"))
+    kids = refs.where("key = 'Kids'").select("doc_id", F.col("obj_num").alias("parent"), "n", F.col("ref_obj").alias("kid"))
     types = table.where((F.col("path") == F.array(F.lit("Type"))) & (F.col("kind") == "name")).select("doc_id", "obj_num", F.decode("s", "ISO-8859-1").alias("type"))
-    views = {"quire_roots": top.join(pages, ["doc_id", "catalog"]).select("doc_id", "root"), "quire_kids": kids, "quire_types": types}
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    walked = spark.sql(
-        f"""
-        WITH RECURSIVE walk(doc_id, obj_num, place, ancestors) MAX RECURSION LEVEL {deepest} AS (
-            SELECT doc_id, root, CAST(array() AS ARRAY<INT>), array(root) FROM quire_roots
-            UNION ALL
-            SELECT w.doc_id, k.kid, array_append(w.place, k.n), array_prepend(w.ancestors, k.kid)
-            FROM walk w JOIN quire_kids k ON w.doc_id = k.doc_id AND w.obj_num = k.parent
-            WHERE NOT array_contains(w.ancestors, k.kid)
-        )
-        SELECT w.doc_id, w.obj_num, w.ancestors, row_number() OVER (PARTITION BY w.doc_id ORDER BY w.place) - 1 AS page_index
-        FROM walk w JOIN quire_types t ON w.doc_id = t.doc_id AND w.obj_num = t.obj_num WHERE t.type = 'Page'
-        """
-    )
-    return walked.select("doc_id", "obj_num", F.col("page_index").cast("int"), "ancestors")
+
+    def below(level: DataFrame) -> DataFrame:
+        down = level.withColumnRenamed("obj_num", "parent").join(kids, ["doc_id", "parent"]).where("NOT array_contains(ancestors, kid)")
+        return down.select("doc_id", F.col("kid").alias("obj_num"), F.array_append("place", F.col("n")).alias("place"), F.array_prepend("ancestors", F.col("kid")).alias("ancestors"))
+
+    roots = top.join(pages, ["doc_id", "catalog"]).select("doc_id", F.col("root").alias("obj_num"), F.array().cast("array<int>").alias("place"), F.array("root").alias("ancestors"))
+    walked = levels(roots, below).join(types.where("type = 'Page'"), ["doc_id", "obj_num"])
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1
+    return walked.select("doc_id", "obj_num", index.cast("int").alias("page_index"), "ancestors")
 
 
 def inherited(tree: DataFrame, table: DataFrame, key: str) -> DataFrame:
