@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,25 +45,24 @@ def sfnt_tables(fonts: DataFrame) -> DataFrame:
     return inside.select("font_id", "tag", "offset", "length", F.substring("data", (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("table"))
 
 
-def png_chunks(images: DataFrame, most: int = 60) -> DataFrame:
-    """images: img_id, data -> img_id, k, type, length, offset, crc_ok: a recursive walk from chunk to chunk, up to ``most`` of them."""
-    images.select("img_id", "data").createOrReplaceTempView("quire_png")
-    walked = images.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(img_id, k, offset, length) MAX RECURSION LEVEL {most} AS (
-            SELECT img_id, 0, 8, CAST(conv(hex(substring(data, 9, 4)), 16, 10) AS INT) FROM quire_png WHERE startswith(hex(substring(data, 1, 8)), '89504E470D0A1A0A')
-            UNION ALL
-            SELECT w.img_id, w.k + 1, w.offset + w.length + 12, CAST(conv(hex(substring(p.data, w.offset + w.length + 13, 4)), 16, 10) AS INT)
-            FROM walk w JOIN quire_png p ON w.img_id = p.img_id
-            WHERE w.offset + w.length + 20 <= length(p.data) AND w.k < {most - 2}
-        )
-        SELECT w.*, p.data FROM walk w JOIN quire_png p ON w.img_id = p.img_id
-        """
-    )
-    body = F.substring("data", F.col("offset") + 5, F.col("length") + 4)
-    return walked.select(
-        "img_id", "k", F.decode(F.substring("data", F.col("offset") + 5, F.lit(4)), "ISO-8859-1").alias("type"), "length", "offset", (F.crc32(body) == big_endian(F.col("data"), F.col("offset") + F.col("length") + 8, 4)).alias("crc_ok")
-    )
+def png_chunks(images: DataFrame) -> DataFrame:
+    """images: img_id, data -> img_id, k, type, length, offset, crc_ok: all chunks of each image, one after the other; one that the data cuts short has no true crc_ok."""
+    kind = images.schema["img_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for img, data in zip(part["img_id"], part["data"], strict=True):
+                rows, at = [], 8
+                while at + 8 <= len(data):
+                    length = int.from_bytes(data[at : at + 4], "big")
+                    crc = data[at + 8 + length : at + 12 + length]
+                    rows.append((img, len(rows), data[at + 4 : at + 8].decode("latin-1"), length, at, len(crc) == 4 and zlib.crc32(data[at + 4 : at + 8 + length]) == int.from_bytes(crc, "big")))
+                    at += length + 12
+                if rows:
+                    yield pd.DataFrame(rows, columns=["img_id", "k", "type", "length", "offset", "crc_ok"])
+
+    signed = images.where(F.startswith(F.col("data"), F.lit(b"\x89PNG\r\n\x1a\n"))).select("img_id", "data")
+    return signed.mapInPandas(run, f"img_id {kind}, k int, type string, length long, offset long, crc_ok boolean")
 
 
 def lifted(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
