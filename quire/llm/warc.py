@@ -2,7 +2,9 @@
 
 Records are range-sorted; each task rolls its gzip files by compressed size and writes them under temporary
 names. The driver renames those of the attempts that succeeded and writes a manifest, last; a reader sees what the manifest
-lists and nothing else. Headers and digests are made anew from the payload. The same rows give the same bytes.
+lists and nothing else. Headers and digests are made anew from the payload. The same rows give the same files, byte for
+byte: the ranges' bounds come from a sample by hash and from sums over all rows, so neither the session nor how the rows
+happen to be partitioned has a part in them. A folder that holds an archive already is refused.
 
 Of equal payloads of at least ``least`` bytes the one with the greatest key is written as a response, the others
 as revisits of it. Defined results: a null payload is empty; a null key sorts first; of rows alike in key and payload the
@@ -12,6 +14,7 @@ first is the response and the others revisit it.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import uuid
@@ -19,9 +22,9 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -31,6 +34,8 @@ from .common import col
 FORMAT = "quire_warc"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
+LEAST_RANGE, MOST_RANGE, MOST_RANGES = 16 << 20, 1 << 30, 1 << 16  # payload bytes of a range of records, and how many ranges
+PER_RANGE = 20  # sampled rows for each bound
 SCHEMA = "key long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, block_ok boolean"
 
 
@@ -76,8 +81,8 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Committed(WriterCommitMessage):
-    def __init__(self, part: int, files: list[dict]):
-        self.part, self.files = part, files
+    def __init__(self, files: list[dict]):
+        self.files = files
 
 
 class _Writer(DataSourceArrowWriter):
@@ -90,7 +95,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.path)
         store.create_dir(f"{root}/_temporary", recursive=True)
-        part, attempt, files, sink = TaskContext.get().partitionId(), uuid.uuid4().hex, [], None
+        attempt, files, sink, part = uuid.uuid4().hex, [], None, None
         marker, answered = None, None
 
         def close() -> None:
@@ -102,6 +107,9 @@ class _Writer(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 identity = (row["key"], row["digest"])
+                if row["part"] != part:
+                    close()
+                    part, number = row["part"], 0
                 if row["marker"]:
                     marker = (identity, row["refers_to"])
                     continue
@@ -112,7 +120,8 @@ class _Writer(DataSourceArrowWriter):
                     answered = identity
                 data = packed(record(row["key"], row["url"], row["payload"], refers_to, revisit, self.date), self.level)
                 if sink is None:
-                    files.append({"name": f"part-{part:05d}-{len(files):04d}.warc.gz", "temporary": f"_temporary/{attempt}-{len(files):04d}", "records": 0, "bytes": 0})
+                    files.append({"name": f"part-{part:05d}-{number:04d}.warc.gz", "temporary": f"_temporary/{attempt}-{len(files):06d}", "records": 0, "bytes": 0})
+                    number += 1
                     sink = store.open_output_stream(f"{root}/{files[-1]['temporary']}", compression=None)
                 sink.write(data)
                 files[-1]["records"] += 1
@@ -120,11 +129,11 @@ class _Writer(DataSourceArrowWriter):
                 if files[-1]["bytes"] >= self.roll:
                     close()
         close()
-        return _Committed(part, files)
+        return _Committed(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = _store(self.path)
-        files = [f for m in sorted((m for m in messages if m), key=lambda m: m.part) for f in m.files]
+        files = sorted((f for m in messages if m for f in m.files), key=lambda f: f["name"])
         for f in files:
             store.move(f"{root}/{f['temporary']}", f"{root}/{f['name']}")
         listed = [{k: f[k] for k in ("name", "records", "bytes")} for f in files]
@@ -236,14 +245,46 @@ class WarcSource(DataSource):
         return _Writer(dict(self.options))
 
 
+def _sortable(key, digest):
+    """Bytes that sort as (key, digest) does, null keys first."""
+    flipped = F.lpad(F.hex(key.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(key.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), F.unhex(flipped))), digest)
+
+
+def ranges(total: int) -> int:
+    """How many ranges so many bytes are cut into: 64, unless they would be below or above the limits of a range."""
+    size = max(LEAST_RANGE, min(MOST_RANGE, total // 64), -(-total // MOST_RANGES))
+    return max(1, -(-total // size))
+
+
+def _bounds(rows: DataFrame) -> list[bytes]:
+    """Where ranges of about equal payloads begin, but for the first. At most ``PER_RANGE`` sampled rows a range reach the driver, give or take chance."""
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("payload") + 200), F.lit(0))).first()
+    n = ranges(total)
+    if n == 1:
+        return []
+    every = max(1, count // (PER_RANGE * n))
+    chosen = rows.where(F.pmod(F.xxhash64("key", "url", F.length("payload")), F.lit(every)) == 0)
+    sample = sorted((bytes(r.at), r.size) for r in chosen.select(_sortable(F.col("key"), F.col("digest")).alias("at"), (F.length("payload") + 200).alias("size")).collect())
+    whole, seen, out = sum(size for _, size in sample), 0, []
+    for at, size in sample:
+        if seen * n >= (len(out) + 1) * whole and (not out or at > out[-1]):
+            out.append(at)
+        seen += size
+    return out
+
+
 def write(pages: DataFrame, key: str, url: str, payload: str, path: str, least: int = 1000, **options) -> None:
-    """Writes all rows to ``path``, a folder that all executors and the driver share.
+    """Writes all rows to ``path``, a folder that all executors and the driver share and that holds no archive yet.
 
     The payload is shuffled once, by the range sort. Which rows revisit another is found on keys and digests alone; those
     markers are sorted along and meet their rows in the writer.
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
+    store, root = _store(path.rstrip("/"))
+    if store.get_file_info(f"{root}/_manifest.json").type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{path} holds an archive already")
     body = F.coalesce(F.encode(col(payload).cast("string"), "utf-8"), F.lit(b""))
     rows = pages.select(col(key).cast("long").alias("key"), F.unhex(F.sha1(body)).alias("digest"), col(url).cast("string").alias("url"), body.alias("payload"))
     slim = rows.where(F.length("payload") >= least).select("key", "digest")
@@ -251,7 +292,16 @@ def write(pages: DataFrame, key: str, url: str, payload: str, path: str, least:
     markers = slim.distinct().join(heads, "digest").select("key", "digest", "refers_to")
     one = rows.select("key", "digest", F.lit(False).alias("marker"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     other = markers.select("key", "digest", F.lit(True).alias("marker"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    ordered = one.unionByName(other).repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", F.desc("marker"), "url")
+    bounds = _bounds(rows)
+    shared = spark.sparkContext.broadcast(bounds)  # MOST_RANGES at most, of 29 bytes
+
+    @F.pandas_udf("int")
+    def placed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for at in parts:
+            yield pd.Series([bisect.bisect_right(shared.value, x) for x in at], dtype="int32")
+
+    part = placed(_sortable(F.col("key"), F.col("digest"))) if bounds else F.lit(0)
+    ordered = one.unionByName(other).withColumn("part", part).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "digest", F.desc("marker"), "url")
     writer = ordered.write.format(FORMAT).mode("append").option("path", path)
     for name, value in options.items():
         writer = writer.option(name, str(value))

@@ -131,6 +131,40 @@ def test_warc_round_trip(spark):
     assert all(urllib.parse.unquote(r.url) in {u or "" for _, u, _ in rows} for r in back)
 
 
+def test_warc_bytes_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_RANGE", 1 << 20)
+    k = F.col("id")
+    pages = spark.range(60_000).select(k.alias("page_id"), F.concat(F.lit("http://h/"), k % 7).alias("url"), F.repeat(F.md5((k % 20_000).cast("string")), (k % 40).cast("int")).alias("html"))
+    kept = scratch_path(spark, "pages")
+    pages.write.parquet(kept)
+    found = []
+    for n in (3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        path = scratch_path(spark, "warc")
+        warc.write(spark.read.parquet(kept).repartition(n), "page_id", "url", "html", path, roll_bytes=1 << 19)
+        folder = path.removeprefix("file://")
+        listed = json.load(open(f"{folder}/_manifest.json"))["files"]
+        found.append([(f, hashlib.sha1(open(f"{folder}/{f['name']}", "rb").read()).hexdigest()) for f in listed])
+        assert sum(f["records"] for f in listed) == 60_000
+        with pytest.raises(FileExistsError):
+            warc.write(pages, "page_id", "url", "html", path)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len({f["name"].split("-")[1] for f, _ in found[0]}) > 10
+    sizes = {}
+    for f, _ in found[0]:
+        sizes[f["name"].split("-")[1]] = sizes.get(f["name"].split("-")[1], 0) + f["records"]
+    assert max(sizes.values()) < 3 * 60_000 / len(sizes)
+    back = [r.key for r in warc.read(spark, path, with_payload=False).select("key").collect()]
+    assert sorted(back) == list(range(60_000))
+
+
+def test_warc_bounds_sort_as_keys_do(spark):
+    rows = [(k, bytes([d] * 20)) for k in (None, -(1 << 63), -5, -1, 0, 7, (1 << 63) - 1) for d in (0, 200)]
+    df = spark.createDataFrame(rows, "key long, digest binary").select("*", warc._sortable(F.col("key"), F.col("digest")).alias("at"))
+    assert [(r.key, bytes(r.digest)) for r in sorted(df.collect(), key=lambda r: bytes(r.at))] == rows
+    assert warc.ranges(0) == 1 and warc.ranges(10**9) == 60 and warc.ranges(10**14) == 65536
+
+
 def test_warc_of_nothing(spark):
     path = scratch_path(spark, "warc")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string, key int"), "page_id", "url", "html", path)
