@@ -3,16 +3,23 @@
 Documents are put in order of their ids; within a range of that order their tokens form one stream. Window cuts
 are chosen among document and sentence ends so that padding plus cut penalties is least: the best start of a window that
 ends at a boundary is the least of a sliding range of earlier boundaries, kept in a monotone queue. One
-cut inside a sentence is allowed for a penalty, so that a window can always be filled. A window is padded to its
-full length unless its length is a power of two.
+cut inside a sentence is allowed for a penalty between two boundaries, so that a window can always be filled. A window is
+padded to its full length unless its length is a power of two; the stream's last window may be cut into such lengths.
 
-Defined results: a null text is empty and has only the end token. Each id lies in exactly one piece. Streams are cut into
-segments of bounded size, so memory doesn't follow the length of a document or partition.
+A stream is worked off in segments, so memory doesn't follow the length of a document or partition. A segment's end is no
+cut: only windows that every best continuation shares are given out, the rest is carried on, so the cuts are those of the
+whole stream.
+
+Defined results: a null text is empty and has only the end token. Each id lies in exactly one piece. Strings that the
+vocabulary lists as added tokens get those tokens' ids, as in the tokenizers library. Where ranges begin is sampled by
+Spark's range sort, so sequence ids can differ between two runs over more than one partition.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import json
 import re
 import sys
 from array import array
@@ -30,7 +37,6 @@ from .common import Memo, col, long_texts
 
 _LONE = re.compile(r"\s(?:\s|\Z)")
 SENTENCE, INSIDE, WINDOW = 1, 8, 4  # penalties of a cut at a sentence end and inside a sentence, and the fee of a window; in tokens of padding
-APART = 48  # of each stretch of so many tokens, the first sentence end may be a cut
 
 
 class ByteBpe:
@@ -44,24 +50,28 @@ class ByteBpe:
         import tiktoken
         from public_tokenizers import PATTERN
 
-        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=self._ranks(json_path), special_tokens={})
+        ranks, self._added = self._vocabulary(json_path)
+        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        longest = sorted(self._added, key=len, reverse=True)
+        self._special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self._bare = Memo(self._word, most)
         self._spaced = Memo(lambda w: self._word(w, " "), most)
         self._feed = self._ids("\n")
 
     @staticmethod
-    def _ranks(json_path: str) -> dict[bytes, int]:
+    def _vocabulary(json_path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+        """(ids of byte strings, ids of added tokens)."""
         if json_path.endswith(".tiktoken"):
             with open(json_path, "rb") as f:
-                return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        import json
-
+                return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
         with open(json_path, encoding="utf-8") as f:
             data = json.load(f)
-        special = {x["content"] for x in data["added_tokens"]}
-        return {bytes(back[c] for c in token): n for token, n in data["model"]["vocab"].items() if token not in special}
+        if any(x[flag] for x in data["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what stands beside them aren't supported")
+        added = {x["content"]: x["id"] for x in data["added_tokens"]}
+        return {bytes(back[c] for c in token): n for token, n in data["model"]["vocab"].items() if token not in added}, added
 
     def _ids(self, text: str) -> bytes:
         return self._bytes(self.encoding.encode_ordinary(text))
@@ -79,6 +89,12 @@ class ByteBpe:
         return self._ids(space + word)
 
     def encode(self, text: str) -> bytes:
+        if self._special and self._special.search(text):
+            parts = self._special.split(text)
+            return b"".join(self._bytes([self._added[x]]) if k % 2 else self._plain(x) for k, x in enumerate(parts) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _LONE.search(text) or len(text) > 64 and max(map(len, text.split(" "))) > 4000:
             return self._ids(text)
         bare, spaced, lines = self._bare, self._spaced, []
@@ -99,10 +115,11 @@ def byte_bpe(json_path: str) -> ByteBpe:
     return ByteBpe(json_path)
 
 
-def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int) -> list[int]:
-    """Cuts of a stream of ``total`` tokens: ascending ends of windows, the last is ``total``.
+def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int, last: bool = True) -> list[int]:
+    """Cuts of a stream, ascending ends of windows.
 
-    ends: ascending boundaries below ``total``; penalties: of a cut there.
+    ends: ascending boundaries below ``total``; penalties: of a cut there. If the stream ends at ``total``, so does the last
+    window. If it goes on, the cuts are only those that the best cuts have however it does; there may be none yet.
     """
     known = np.concatenate(([0], ends, [total]))
     if (np.diff(known) > size).any():  # no boundary for a whole window: cut anyway
@@ -111,17 +128,11 @@ def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int) -> l
         ends = np.concatenate((ends, extra))
         order = np.argsort(ends, kind="stable")
         ends, penalties = ends[order], np.concatenate((penalties, np.full(len(extra), INSIDE)))[order]
-    place = [0, *ends.tolist(), total]
-    fee = [0, *penalties.tolist(), 0]
-    powers = [1 << k for k in range(size.bit_length() - 3, size.bit_length() - 1)]  # shorter ones serve the tail only
-    at = np.array(place)
-    exact: dict[int, list[tuple[int, bool]]] = {}
-    for p, cut in [(p, False) for p in powers] + [(size + p, True) for p in powers]:
-        k = np.searchsorted(at, at - p)
-        for j in np.flatnonzero((k < len(at)) & (at[np.minimum(k, len(at) - 1)] == at - p)).tolist():
-            exact.setdefault(j, []).append((int(k[j]), cut))
+    at = np.concatenate(([0], ends)).astype(np.int64)
+    to, start, cut = _unpadded(at, total, size)
+    place, fee = at.tolist(), [0, *penalties.tolist()]
     cost, come, inside = [0.0] * len(place), [0] * len(place), [False] * len(place)
-    near, far, waiting = deque(), deque(), deque()
+    near, far, waiting, seen = deque(), deque(), deque(), 0
     for j in range(1, len(place)):
         i = j - 1
         value, here = cost[i] + place[i], place[j]
@@ -136,68 +147,128 @@ def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int) -> l
             while far and far[-1][0] >= entry[0]:
                 far.pop()
             far.append(entry)
-        best, start, cut = near[0][0] + size - here, near[0][1], False
+        best, first, halved = near[0][0] + size - here, near[0][1], False
         while far and place[far[0][1]] < here - 2 * size:
             far.popleft()
         if far and far[0][0] + 2 * size - here + INSIDE + WINDOW < best:
-            best, start, cut = far[0][0] + 2 * size - here + INSIDE + WINDOW, far[0][1], True
-        for i, filled in exact.get(j, ()):
-            if (value := cost[i] + (INSIDE + WINDOW if filled else 0)) < best:
-                best, start, cut = value, i, filled
-        cost[j], come[j], inside[j] = best + fee[j] + WINDOW, start, cut
-    cuts, j = [], len(place) - 1
+            best, first, halved = far[0][0] + 2 * size - here + INSIDE + WINDOW, far[0][1], True
+        while to[seen] == j:
+            if (value := cost[start[seen]] + (INSIDE + WINDOW if cut[seen] else 0)) < best:
+                best, first, halved = value, start[seen], cut[seen]
+            seen += 1
+        cost[j], come[j], inside[j] = best + fee[j] + WINDOW, first, halved
+    if last:
+        j, cuts = _tail(place, cost, total, size)
+    else:
+        j, cuts = _common(place, come, total - 2 * size), []
+    found = []
     while j:
         i = come[j]
-        cuts.append(place[j])
+        found.append(place[j])
         if inside[j]:
-            cuts.append(place[i] + size)
+            found.append(place[i] + size)
         j = i
-    return _tail(cuts[::-1], size)
-
-
-def _tail(cuts: list[int], size: int) -> list[int]:
-    """The last window, if padding it costs more than cutting it, becomes windows whose lengths are powers of two."""
-    start = cuts[-2] if len(cuts) > 1 else 0
-    length = cuts[-1] - start
-    if size - length > INSIDE * (length.bit_count() - 1):
-        at = start
-        out = cuts[:-1]
-        for k in reversed(range(length.bit_length())):
-            if length >> k & 1:
+    return found[::-1] + cuts
+
+
+def _unpadded(at: np.ndarray, total: int, size: int) -> tuple[list[int], list[int], list[bool]]:
+    """(end, start, whether a whole window comes before) of windows between boundaries whose length is a power of two below ``size``, by end; one more end closes the list."""
+    index = np.full(total + 1, -1)
+    index[at] = np.arange(len(at))
+    ends, starts, cuts = [], [], []
+    for p in (1 << k for k in range(size.bit_length() - 1)):
+        for n, cut in ((p, False), (size + p, True)):
+            j = np.searchsorted(at, n) + np.arange(max(0, len(at) - np.searchsorted(at, n)))
+            i = index[at[j] - n]
+            ends.append(j[i >= 0])
+            starts.append(i[i >= 0])
+            cuts.append(np.full(len(ends[-1]), cut))
+    to = np.concatenate(ends)
+    order = np.argsort(to, kind="stable")
+    return [*to[order].tolist(), -1], np.concatenate(starts)[order].tolist(), np.concatenate(cuts)[order].tolist()
+
+
+def _tail(place: list[int], cost: list[float], total: int, size: int) -> tuple[int, list[int]]:
+    """The boundary after which the stream's end is packed best, and the cuts from there: perhaps a whole window, then one padded window or several whose lengths are powers of two."""
+
+    def padded(n: int) -> tuple[float, bool]:
+        split = (INSIDE + WINDOW) * (n.bit_count() - 1)
+        return (split, True) if split <= size - n else (size - n, False)
+
+    best = None
+    for i in range(len(place) - 1, -1, -1):
+        n = total - place[i]
+        if n > 2 * size:
+            break
+        whole = n > size
+        left = n - size if whole else n
+        amount, split = padded(left)
+        value = cost[i] + amount + (INSIDE + WINDOW if whole else 0)
+        if best is None or value < best[0]:
+            best = (value, i, whole, split)
+    _, i, whole, split = best
+    at, cuts = place[i], []
+    if whole:
+        at += size
+        cuts.append(at)
+    if split:
+        n = total - at
+        for k in reversed(range(n.bit_length())):
+            if n >> k & 1:
                 at += 1 << k
-                out.append(at)
-        return out
-    return cuts
+                cuts.append(at)
+    else:
+        cuts.append(total)
+    return i, cuts
+
+
+def _common(place: list[int], come: list[int], least: int) -> int:
+    """The last boundary that the best cuts up to each boundary from ``least`` on have in common."""
+    open_ends = [-j for j in range(len(place)) if place[j] >= least]
+    heapq.heapify(open_ends)
+    while True:
+        j = -heapq.heappop(open_ends)
+        while open_ends and open_ends[0] == -j:
+            heapq.heappop(open_ends)
+        if not open_ends:
+            return j
+        heapq.heappush(open_ends, -come[j])
 
 
 def _packed(json_path: str, end_id: int, size: int, segment: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(json_path)
         may_end = np.append(bpe.sentence_ends(), [False] * 8)
-        may_end[end_id] = True
         closing, sequence = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId() << 33
-        keys, starts, wholes, held, amount = [], [], [], [], 0
+        # Of each document in hand: key, tokens before what is held, tokens in all, tokens held, whether its end is held
+        keys, starts, wholes, sizes, closed, held = [], [], [], [], [], []
+        amount, limit = 0, segment
 
-        def flush() -> pd.DataFrame:
-            nonlocal sequence, keys, starts, wholes, held, amount
+        def flush(last: bool) -> pd.DataFrame | None:
+            nonlocal sequence, keys, starts, wholes, sizes, closed, held, amount, limit
             stream = b"".join(held)
+            held = [stream]
             ids = np.frombuffer(stream, "<u4")
-            bounds = np.cumsum([len(h) // 4 for h in held])
+            bounds = np.cumsum(sizes)
+            whole = bounds[np.array(closed)]
             flag = may_end[np.minimum(ids, len(may_end) - 1)]
-            flag[bounds - 1] = True
+            flag[whole - 1] = True
             ends = np.flatnonzero(flag[:-1]) + 1
-            closes = np.isin(ends, bounds)
-            thin = closes | (ends // APART != np.concatenate(([-1], ends[:-1] // APART)))
-            ends, penalties = ends[thin], np.where(closes[thin], 0, SENTENCE)
-            cuts = np.array(windows(ends, penalties, len(ids), size))
-            edges = np.union1d(cuts, bounds)  # ends of pieces
+            closes = np.zeros(len(ids) + 1, bool)
+            closes[whole] = True
+            cuts = np.array(windows(ends, np.where(closes[ends], 0, SENTENCE), len(ids), size, last), np.int64)
+            if not len(cuts):
+                limit = 2 * amount
+                return None
+            upto = int(cuts[-1])
+            edges = np.union1d(cuts, bounds[bounds < upto])  # ends of pieces
             begins = np.concatenate(([0], edges[:-1]))
             doc = np.searchsorted(bounds, begins, side="right")
             window = np.searchsorted(cuts, begins, side="right")
-            first = np.concatenate(([0], bounds[:-1]))[doc]
+            first = np.concatenate(([0], bounds[:-1]))
             frame = pd.DataFrame({
                 "key": pd.Series([keys[d] for d in doc], dtype=object),
-                "start": begins - first + np.array(starts, np.int64)[doc],
+                "start": begins - first[doc] + np.array(starts, np.int64)[doc],
                 "length": edges - begins,
                 "ids": [stream[4 * a : 4 * b] for a, b in zip(begins.tolist(), edges.tolist(), strict=True)],
                 "doc_tokens": np.array(wholes, np.int64)[doc],
@@ -205,24 +276,34 @@ def _packed(json_path: str, end_id: int, size: int, segment: int):
                 "offset": begins - np.concatenate(([0], cuts[:-1]))[window],
             })
             sequence += len(cuts)
-            keys, starts, wholes, held, amount = [], [], [], [], 0
+            d = int(np.searchsorted(bounds, upto, side="right"))  # the first document that isn't given out whole
+            gone = max(0, upto - int(first[d])) if d < len(bounds) else 0
+            keys, starts, wholes, sizes, closed = (x[d:] for x in (keys, starts, wholes, sizes, closed))
+            if gone:
+                starts[0] += gone
+                sizes[0] -= gone
+            held, amount = [stream[4 * upto :]], len(ids) - upto
+            limit = amount + max(segment, amount)
             return frame
 
         for part in parts:
             for key, text in zip(part["key"].tolist(), part["text"].tolist(), strict=True):
                 coded = (bpe.encode(text) if text else b"") + closing
                 whole = len(coded) // 4
-                for at in range(0, whole, segment):  # a very long document fills segments of its own
-                    piece = coded[4 * at : 4 * (at + segment)]
-                    keys.append(key)
-                    starts.append(at)
-                    wholes.append(whole)
-                    held.append(piece)
-                    amount += len(piece) // 4
-                    if amount >= segment:
-                        yield flush()
-        if held:
-            yield flush()
+                for at in range(0, whole, segment):
+                    n = min(segment, whole - at)
+                    if at and sizes:  # goes on with a very long document
+                        sizes[-1] += n
+                        closed[-1] = at + n == whole
+                    else:
+                        for x, value in ((keys, key), (starts, at), (wholes, whole), (sizes, n), (closed, at + n == whole)):
+                            x.append(value)
+                    held.append(coded[4 * at : 4 * (at + n)])
+                    amount += n
+                    if amount >= limit and (frame := flush(False)) is not None:
+                        yield frame
+        if amount:
+            yield flush(True)
 
     return run
 
