@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import random
+import time
 import urllib.parse
 import zlib
 
@@ -329,6 +330,113 @@ def test_surge_and_dive():
     assert html_text.stretches(np.zeros(0, np.int64), 60) == []
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "article-body no-comments", "post with-share", "job-search-guide", "overflow-hidden main-col", "navigable", "header-open-nav", "col-12"])
+def test_class_words_that_only_hold_a_mark_leave_the_article(name):
+    body = ("long text " * 30).strip()
+    assert html_text.main_text(f'<div>Home</div><div class="{name}"><p>{body}</p></div>').endswith(body)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "x cookie-notice", "ad_slot", "ad-slot-3", "siteNav", "post-comments", "hidden", "comment-list"])
+def test_class_words_that_name_what_stands_beside_the_article(name):
+    body = ("long text " * 30).strip()
+    assert html_text.main_text(f"<div><p>{body}</p></div><div class='{name}'>{body}</div>") == body
+
+
+def test_marks_alone_empty_no_page():
+    assert html_text.main_text("<div class=sidebar><p>all there is</p></div>") == "all there is"
+    assert html_text.main_text('<p title="a hidden b">seen</p><p hidden>not</p><p style="display: none">nor</p>') == "seen"
+
+
+@pytest.mark.parametrize("part, n", [("<a ", 350_000), ("<a '>", 200_001), ("<div>a", 160_000), ("<b>", 300_000), ("<b><div>", 60_000), ("<a \"'>", 150_000), ("<p class=\"", 80_000), ("<!-", 300_000)])
+def test_a_megabyte_of_broken_markup_takes_seconds(part, n):
+    began = time.perf_counter()
+    html_text.main_text(part * n + "</b></div>" * 60_000)
+    assert time.perf_counter() - began < 20
+
+
+def random_tree(rng, depth):
+    if depth == 0 or rng.random() < 0.3:
+        return "word " * rng.choice([1, 2, 5, 30])
+    name = rng.choice(["div", "div", "div", "section", "p", "ul", "article", "main", "nav", "aside", "footer", "form", "div class=ad", "div class='sidebar x'"])
+    inner = rng.choice([1, 2, 3]) if name != "p" else 1
+    return name, [random_tree(rng, depth - 1 if name != "p" else 0) for _ in range(inner)]
+
+
+def written(node):
+    return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(written, node[1])) + f"</{node[0].split()[0]}>"
+
+
+def slow_main_text(trees, surge=60):
+    """Lines, gaps, surges and dives by their definitions, over whole lists of ancestors."""
+    places, numbers = [], iter(range(1, 10**6))  # (text, ancestors) or (None, ancestors) of what is left out
+    bare = {"p", "ul"}
+
+    def cut():
+        if places:
+            places[-1] = (*places[-1][:2], False)
+
+    def go(node, above):
+        if isinstance(node, str):
+            if places and places[-1][0] and places[-1][2]:
+                places[-1] = (places[-1][0] + node, above, True)
+            else:
+                places.append((node, above, True))
+            return
+        name, _, mark = node[0].partition(" ")
+        cut()
+        if name in ("nav", "aside", "footer", "form") or mark:
+            places.append((None, above, False))
+            return
+        own = (*above, (name, next(numbers)))
+        for x in node[1]:
+            go(x, own)
+        cut()
+
+    for tree in trees:
+        go(tree, ())
+    lines, sure, before, left_out = [], [], None, []
+    for text, above, _ in places:
+        if text is None:
+            left_out.append(above[-1] if above else None)
+            continue
+        main = any(n in ("article", "main") for n, _ in above)
+        box = next((x for x in reversed(above) if x[0] not in bare), None)
+        if before:
+            same = before[2] == box or all(x is not None and x in above and x in before[1] for x in left_out)
+            if before[0] != main or left_out and not same:
+                lines += [""] * 3
+                sure += [main] * 3
+        lines.append(" ".join(text.split()))
+        sure.append(main)
+        before, left_out = (main, above, box), []
+    n = [len(x) for x in lines]
+    dives = [not any(n[k : k + 3]) for k in range(len(n))]
+
+    def kept(i, surges):
+        return n[i] and any(surges(s) and n[s] and not any(dives[s : i + 1]) for s in range(i + 1))
+
+    for surges in (lambda s: sure[s] or sum(n[s : s + 3]) >= surge, lambda s: sum(n[s : s + 3]) >= 1):
+        if out := [lines[i] for i in range(len(n)) if kept(i, surges)]:
+            return "\n\n".join(out)
+    return ""
+
+
+def test_main_text_against_brute_force():
+    rng, seen = random.Random(12), set()
+    for _ in range(1500):
+        trees = [random_tree(rng, 4) for _ in range(rng.randrange(1, 4))]
+        expected = slow_main_text(trees)
+        if not expected:
+            continue  # searched again without marks
+        assert html_text.main_text("".join(map(written, trees))) == expected, "".join(map(written, trees))
+        seen.add(expected)
+    assert len(seen) > 300
+
+
+def test_html_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "html string, main_text int"), "html").count() == 0
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, None, "own"), (2, "<p>a</p>" * 5000, None)], "page_id long, html string, main_text string")
     out = {r.page_id: r for r in html_text.extract(pages, "html").collect()}
