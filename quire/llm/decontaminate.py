@@ -192,8 +192,8 @@ def _matcher(spark, rows: list, window: int, coverage: int | None):
     return matched.asNondeterministic()  # so that a filter on the result doesn't make Spark match twice
 
 
-def find(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str, window: int = 13, most_chars: int = 20_000_000, coverage: int | None = None) -> tuple[DataFrame, str]:
-    """(docs with a struct column of SCHEMA, its name). ``cleaned`` is the text without its spans where they cover less than one word in ``coverage``, else null. ``most_chars`` bounds the items of one automaton. No shuffle of the documents."""
+def find(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str, window: int = 13, most_chars: int = 5_000_000, coverage: int | None = None) -> tuple[DataFrame, str]:
+    """(docs with a struct column of SCHEMA, its name). ``cleaned`` is the text without its spans where they cover less than one word in ``coverage``, else null. ``most_chars`` bounds the items of one automaton, which takes about 70 bytes a character in each worker (measured). No shuffle of the documents."""
     long_texts(docs.sparkSession)
     (name,) = fresh(docs, "hits")
     listed = items.where(col(item_text).isNotNull()).select(F.coalesce(col(item).cast("string"), F.lit("")).alias("i"), col(item_text).alias("t"))

@@ -2,12 +2,14 @@
 
 Each language has a codeword of bits. For every bit a binary classifier (multinomial naive Bayes over hashed byte
 trigrams of the lower-cased text, runs of other characters than letters as one space) says whether the text is in one of the languages
-whose bit is set. The bits' margins are decoded by logistic loss: the codeword with the least total loss wins, and a
-text whose two best losses are near is flagged as ambiguous.
-
-Trigram counts are taken over all labelled texts by Spark; the model on the driver has at most ``max_languages`` x
-``FEATURES`` counts. Defined results: a null text, or one without a letter, is ``und`` with score 0. With one
-language learned every text gets it; with none every text is ``und``.
+whose bit is set. The bits' margins are decoded by logistic loss, each bit weighted by the log odds of its accuracy on the labelled
+texts (languages weigh the same; the weights' mean is one): the codeword with the least total loss wins, and a text whose two best losses are
+near is flagged as ambiguous.
+
+Trigram counts and the bits' accuracies are taken over all labelled texts by Spark; the model on the driver has languages x
+``FEATURES`` counts. All languages are learned; more than ``MOST`` are refused, never cut off. Defined results: a null text, or one
+without a letter, is ``und`` with score 0. With one language learned every text gets it; with none every text is ``und``.
+Of equal losses the language first in order wins.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import batches, col, fresh, long_texts
 
 FEATURES = 1 << 15
+MOST = 512  # languages that a model on the driver has room for: 64 MB of counts
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = re.compile(rb"  +")
@@ -66,11 +69,20 @@ class EcocModel:
         share = counts + smooth
         share = share / share.sum(axis=1, keepdims=True)
         bits = self.code.shape[1]
+        self.trust = np.ones(bits)
         self.weights = np.zeros((FEATURES, max(bits, 1)), np.float32)
         for b in range(bits):
             one, zero = (share[self.code[:, b] == v].mean(axis=0) for v in (1, 0))
             self.weights[:, b] = np.log(one) - np.log(zero)
 
+    def weigh(self, right: np.ndarray, texts: np.ndarray) -> None:
+        """right: languages x bits, of how many labelled texts a bit was told right; texts: of each language. Unseen languages have no say."""
+        seen = texts > 0
+        if seen.any() and self.code.shape[1]:
+            share = ((right[seen] + 1) / (texts[seen, None] + 2)).mean(axis=0)
+            odds = np.log(np.clip(share, 0.51, 0.999) / (1 - np.clip(share, 0.51, 0.999)))
+            self.trust = odds / odds.mean()
+
     def margins(self, streams: list[bytes]) -> np.ndarray:
         """texts x bits: mean log odds a trigram, times the number of trigrams up to 30."""
         out = np.zeros((len(streams), self.weights.shape[1]))
@@ -88,7 +100,7 @@ class EcocModel:
         """(best language, its probability, distance to the second best loss) of each text."""
         sign = self.code.astype(np.float64) * 2 - 1
         bits = self.code.shape[1]
-        loss = np.logaddexp(0, -margins[:, None, :bits] * sign[None]).sum(axis=2)
+        loss = (self.trust * np.logaddexp(0, -margins[:, None, :bits] * sign[None])).sum(axis=2)
         chance = np.exp(loss.min(axis=1, keepdims=True) - loss)
         chance /= chance.sum(axis=1, keepdims=True)
         ordered = np.sort(loss, axis=1)
@@ -113,19 +125,51 @@ def _counted(languages: list[str]):
     return run
 
 
-def fit(docs: DataFrame, text: str, lang: str, max_languages: int = 64) -> EcocModel:
-    """Learns from all rows with a text and a language, of the ``max_languages`` most frequent languages."""
-    long_texts(docs.sparkSession)
+def _judged(shared):
+    """Rows (lang, bit, right, texts): how many of a task's texts have a bit told right."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        at = {x: k for k, x in enumerate(m.languages)}
+        bits = m.code.shape[1]
+        right, texts = np.zeros((len(at), bits), np.int64), np.zeros(len(at), np.int64)
+        for part in parts:
+            some, labels = part["text"].tolist(), np.array([at[x] for x in part["lang"]], np.int64)
+            for start, end in batches(some, 2_000_000):
+                if start < end:
+                    own = labels[start:end]
+                    told = m.margins([prepared(t) for t in some[start:end]])[:, :bits] > 0
+                    np.add.at(right, own, told == m.code[own].astype(bool))
+                    np.add.at(texts, own, 1)
+        lang, bit = np.nonzero(np.repeat(texts[:, None] > 0, bits, axis=1))
+        if len(lang):
+            yield pd.DataFrame({"lang": lang, "bit": bit, "right": right[lang, bit], "texts": texts[lang]})
+
+    return run
+
+
+def fit(docs: DataFrame, text: str, lang: str) -> EcocModel:
+    """Learns from all rows with a text and a language. Two passes over them: trigram counts, then the bits' accuracies."""
+    spark = docs.sparkSession
+    long_texts(spark)
     labelled = docs.select(col(text).alias("text"), col(lang).alias("lang")).where("text is not null and lang is not null")
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r.lang for r in frequent)
-    counts = np.zeros((len(languages), FEATURES))
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(MOST + 1).collect())
+    if len(languages) > MOST:
+        raise ValueError(f"more than {MOST} languages")
+    counts = np.zeros((len(languages), FEATURES), np.float32 if len(languages) > 64 else np.float64)
     if languages:
-        rows = labelled.where(F.col("lang").isin(languages)).mapInPandas(_counted(languages), "lang string, feature int, n long")
+        rows = labelled.mapInPandas(_counted(languages), "lang string, feature int, n long")
         at = {x: k for k, x in enumerate(languages)}
         for language, feature, n in rows.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[at[language], feature] = n
-    return EcocModel(languages, counts)
+    model = EcocModel(languages, counts)
+    if len(languages) > 1:
+        right, texts = np.zeros(model.code.shape), np.zeros(len(languages))
+        rows = labelled.mapInPandas(_judged(spark.sparkContext.broadcast(model)), "lang int, bit int, right long, texts long")
+        for r in rows.groupBy("lang", "bit").agg(F.sum("right").alias("right"), F.sum("texts").alias("texts")).collect():
+            right[r.lang, r.bit], texts[r.lang] = r.right, r.texts
+        model.weigh(right, texts)
+    return model
 
 
 def identify(docs: DataFrame, text: str, model: EcocModel, margin: float = 1.0) -> DataFrame:

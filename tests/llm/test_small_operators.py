@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import time
 import urllib.parse
@@ -62,7 +63,7 @@ def test_markov_model_is_a_distribution():
                 p += m.backoff.get(x, 0.0)
                 x = x[1:]
             total += np.exp(p + m.logp.get(c if not x else x + c, m.floor))
-        assert total == pytest.approx(1.0, abs=0.35)
+        assert total == pytest.approx(1.0, abs=1e-9)
     assert m.log_likelihood("abab") > m.log_likelihood("cccc")
 
 
@@ -194,6 +195,63 @@ def test_language_of_odd_rows(spark):
     assert {r["_lang_pred"] for r in language_id.identify(docs, "text", none).collect()} == {"und"}
 
 
+def test_language_model_against_brute_force(spark):
+    """Counts, bits, accuracies and decoding anew, with dictionaries and loops."""
+    rng = random.Random(9)
+    words = {"de": "der und das ist nicht ein", "en": "the and that is not a", "fr": "le et la est pas un", "es": "el y la es no un", "it": "il e la non un che", "pt": "o e a não um que"}
+    rows = [(k, " ".join(rng.choice((words[x] if rng.random() < 0.6 else words["en"]).split()) for _ in range(rng.randrange(1, 9))), x) for k, x in enumerate(rng.choices(list(words), k=240))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs, "text", "lang")
+    languages, code = sorted(words), language_id.codewords(6)
+    assert model.languages == languages
+
+    def grams(text):
+        b = language_id.prepared(text)
+        return [((b[k] | b[k + 1] << 8 | b[k + 2] << 16) * 2654435761 % (1 << 32)) >> 17 for k in range(len(b) - 2)]
+
+    counts = {x: {} for x in languages}
+    for _, text, lang in rows:
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    # texts of one batch are counted as one stream, two zero bytes apart: no trigram of two texts counts as theirs
+    share = {x: lambda g, x=x: (counts[x].get(g, 0) + 0.5) for x in languages}
+
+    def margin(text, bit):
+        found, total = grams(text), 0.0
+        for g in found:
+            p = [share[x](g) / norm[x] for x in languages]
+            one, zero = ([q for q, c in zip(p, code[:, bit]) if c == v] for v in (1, 0))
+            total += math.log(sum(one) / len(one)) - math.log(sum(zero) / len(zero))
+        return total / max(1, len(found)) * min(30, len(found))
+
+    norm = {x: sum(counts[x].values()) + 0.5 * language_id.FEATURES for x in languages}
+    margins = {k: [margin(text, b) for b in range(code.shape[1])] for k, text, _ in rows}
+    trust = []
+    for b in range(code.shape[1]):
+        shares = []
+        for n, x in enumerate(languages):
+            own = [margins[k][b] > 0 for k, _, lang in rows if lang == x]
+            shares.append((sum(t == bool(code[n, b]) for t in own) + 1) / (len(own) + 2))
+        p = min(0.999, max(0.51, sum(shares) / len(shares)))
+        trust.append(math.log(p / (1 - p)))
+    trust = [t * len(trust) / sum(trust) for t in trust]
+    assert model.trust == pytest.approx(trust, rel=0.05) and max(trust) > min(trust)
+    agree = 0
+    for r in language_id.identify(docs.select("doc_id", "text"), "text", model).collect():
+        loss = [sum(t * math.log1p(math.exp(-m * (2 * int(c) - 1))) for t, m, c in zip(model.trust, margins[r.doc_id], code[n])) for n in range(6)]
+        agree += r.lang_pred == languages[min(range(6), key=lambda n: loss[n])]
+        assert r.lang_score == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss), abs=0.08)
+    assert agree >= 0.98 * len(rows)
+
+
+def test_language_of_an_empty_table_and_too_many_languages(spark, monkeypatch):
+    empty = spark.createDataFrame([], "text string, lang string, lang_score int")
+    assert language_id.identify(empty, "text", language_id.fit(empty, "text", "lang")).count() == 0
+    monkeypatch.setattr(language_id, "MOST", 1)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame([("a", "en"), ("b", "de")], "text string, lang string"), "text", "lang")
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 12])
 def test_codewords(n):
     code = language_id.codewords(n)
