@@ -12,12 +12,13 @@ from .common import materialize
 SMALL = 300_000
 
 
-def connected_components(edges: DataFrame, start: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """edges (a, b) -> (node, label): the least node of each component.
 
-    In each round every node moves to its least neighbour, if that is less; then edges within a node vanish and
-    parallel ones become one. A component's nodes at least halve, so there are few rounds, each over far fewer edges than the
-    one before. Rounds are written to the shared folder; nothing but counts reaches the driver. ``start``: labels (node,
+    In each round every node moves to its least neighbour, if that is less, and on to where that one moves, by pointer jumping;
+    then edges within a node vanish and parallel ones become one. Of a component only nodes without a lesser neighbour are left;
+    one of them that nothing moved to has a lesser neighbour in the next round. So every two rounds halve a component's nodes at least,
+    each round is over fewer edges than the one before, and it ends for every graph. Rounds are written to the shared folder; nothing but counts reaches the driver. ``start``: labels (node,
     label) known from a part of the edges, which need not be in ``edges`` any more.
     """
     own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
@@ -27,17 +28,28 @@ def connected_components(edges: DataFrame, start: DataFrame | None = None, most_
         labels = start.unionByName(own.join(start, "node", "left_anti").withColumn("label", F.col("node")))
         left = _moved(edges.select("a", "b"), start.withColumnRenamed("label", "parent"))
     left, labels = materialize(left, "edges"), materialize(labels, "labels")
-    for _ in range(most_rounds):
+    while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moves = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).where("parent < node"), "moves")
         n = moves.count()
         if not n:
             return labels
+        moves = _jumped(moves, n)
         moves = F.broadcast(moves) if n <= SMALL else moves
         to = labels.join(moves.withColumnRenamed("node", "label"), "label", "left")
         labels = materialize(to.select("node", F.coalesce("parent", "label").alias("label")), "labels")
         left = materialize(_moved(left, moves), "edges")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _jumped(moves: DataFrame, n: int) -> DataFrame:
+    """Moves to where the parents end up; each turn halves the way."""
+    while True:
+        further = moves.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        longer = moves.join(F.broadcast(further) if n <= SMALL else further, "parent", "left")
+        # a turn that changes nothing is the last; counted before it is written
+        if not longer.where("next is not null").limit(1).count():
+            return moves
+        moves = materialize(longer.select("node", F.coalesce("next", "parent").alias("parent")), "moves")
 
 
 def _plain(edges: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ once its next arrival comes after all registers have an earlier one. Two texts a
 the probability of their probability Jaccard similarity. Registers are banded; texts that share a band are candidates, and
 candidates become links if their exact probability Jaccard similarity is at least 0.8. Classes are the components of links.
 
-Large groups: equal texts are one node. In each bucket all nodes are first compared with one hub (a pair a row, at most).
+Large groups: equal texts are one node. In each bucket all nodes are first compared with one hub (a pair a row, at most);
+a hub with many partners is joined to them in cells, of which each has its own copy of the hub's row.
 Only nodes of one bucket that are then still in different components are compared with each
-other, block by block inside tasks, and only links that connect classes leave a task. No bucket or
-partner is capped, and no pair that could join two classes is left out.
+other, block by block inside tasks, and only links that connect classes leave a task. Two texts that share several open buckets are
+compared in one of them. No bucket or partner is capped, and no pair that could join two classes is left out.
 
 Defined results: a null text is a class of its own; texts without words are alike only if equal; texts of one to four words
 have one shingle, all their words. class_id is the least doc_id of a class; rows with equal doc_id keep their own rows.
@@ -28,6 +29,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 from .common import MASK, batches, col, fresh, long_texts, materialize, mix, ngram_hashes, uniform, word_bytes, word_hashes
 from .components import connected_components
 
+SPLIT = 4096  # partners of a hub in one cell
 REGISTERS, ROWS = 192, 6  # 32 bands: a pair at 0.8 shares one with probability 0.99994
 
 
@@ -144,6 +146,7 @@ def _links(row, least: int, similarity: float) -> list[tuple[bytes, bytes]]:
     m1, m2 = (np.frombuffer(b"".join(m), "<u2").reshape(len(m), -1) for m in (row.marks1, row.marks2))
     names = {x: k for k, x in enumerate({*row.labels1, *row.labels2})}
     l1, l2 = (np.array([names[x] for x in labels]) for labels in (row.labels1, row.labels2))
+    k1, k2 = ([frozenset(x.tolist()) for x in keys] for keys in (row.keys1, row.keys2))
     head, out, vectors = list(range(len(names))), [], {}
 
     def root(k: int) -> int:
@@ -162,7 +165,7 @@ def _links(row, least: int, similarity: float) -> list[tuple[bytes, bytes]]:
     order = np.argsort(-alike[i, j], kind="stable")  # likely links first: what they join needn't be compared again
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         p, q = root(int(l1[x])), root(int(l2[y]))
-        if p != q and prob_jaccard(*vector(1, x), *vector(2, y)) >= similarity:
+        if p != q and min(k1[x] & k2[y]) == row.key and prob_jaccard(*vector(1, x), *vector(2, y)) >= similarity:
             head[p] = q
             out.append((row.nodes1[x], row.nodes2[y]))
     return out
@@ -190,39 +193,42 @@ def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, bl
     hubs = shared.join(popular, "digest").groupBy("key").agg(F.max_by("digest", F.struct("popularity", "digest")).alias("hub"))
     shared = materialize(shared.join(hubs, "key"), "shared")
 
-    sharing = shared.select("digest").distinct()
-    vectors = texts.join(sharing, "digest", "left_semi").dropDuplicates(["digest"]).mapInPandas(_vectors, "digest binary, h binary, w binary")
-    vectors = materialize(vectors, "vectors")
-    marks = signed.join(sharing, "digest", "left_semi").select("digest", "marks")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        first = vectors.select(F.col("digest").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1"))
-        second = vectors.select(F.col("digest").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
-        return pairs.join(first, "a").join(second, "b").where(_similarity("h1", "w1", "h2", "w2") >= similarity).select("a", "b")
-
-    to_hub = shared.where("digest <> hub").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-    near = to_hub.join(marks.select(F.col("digest").alias("a"), F.col("marks").alias("m1")), "a").join(marks.select(F.col("digest").alias("b"), F.col("marks").alias("m2")), "b")
-    tested = materialize(near.where(_agreeing("m1", "m2") >= least).select("a", "b"), "tested")
-    labels = connected_components(linked(tested))
-
-    # What the hubs couldn't settle: buckets whose members are in several components. Buckets that share texts are joined
-    # to neighbourhoods, so that each pair is looked at once; neighbourhoods are cut into blocks of bounded size.
-    named = shared.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("n")).where("l1 <> l2 and n > 2").select("key", "first")
-    unsettled = materialize(named.join(open_keys, "key").select("digest", "label", "first").distinct(), "unsettled")
-    near = connected_components(unsettled.select(F.col("digest").alias("a"), F.col("first").alias("b")))
-    members = unsettled.select("digest", "label").distinct().join(near.select(F.col("node").alias("digest"), F.col("label").alias("near")), "digest")
-    sizes = members.groupBy("near").agg(F.count(F.lit(1)).alias("n"))
-    cut = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / block)).cast("int")
-    blocks = members.join(sizes, "near").withColumn("cut", cut).join(marks, "digest").join(vectors, "digest")
-    parts = ("nodes", "labels", "marks", "h", "w")
-    listed = [F.col("m")[c].alias(p) for c, p in zip(("digest", "label", "marks", "h", "w"), parts, strict=True)]
-    grouped = blocks.groupBy("near", "cut").agg(F.collect_list(F.struct("digest", "label", "marks", "h", "w")).alias("m"))
-    grouped = materialize(grouped.select("near", "cut", *listed), "blocks")
-    left = grouped.select("near", *[F.col(c).alias(f"{c}1") for c in ("cut", *parts)])
-    right = grouped.select("near", *[F.col(c).alias(f"{c}2") for c in ("cut", *parts)])
-    rest = left.join(right, "near").where("cut1 <= cut2").drop("near", "cut1", "cut2").mapInPandas(_across(least, similarity), "a binary, b binary")
-    labels = connected_components(rest.distinct(), labels)
+    # Copies of a text are put together in the tasks that read them, before any shuffle.
+    vectors = texts.groupBy("digest").agg(F.first("text").alias("text")).join(shared.select("digest").distinct(), "digest", "left_semi")
+    vectors = materialize(vectors.mapInPandas(_vectors, "digest binary, h binary, w binary"), "vectors")
+    marks = signed.select("digest", "marks")
+    cells = F.ceil(F.col("n") / SPLIT).cast("int")
+    cell = F.pmod(F.xxhash64("digest"), cells).cast("int").alias("cell")
+    to_hub = shared.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b"), cell).groupBy("a", "b").agg(F.max("cell").alias("cell"))
+    hub_cells = shared.where("digest = hub").groupBy(F.col("hub").alias("b")).agg(F.max(cells).alias("cells"))
+
+    def of_hubs(table: DataFrame, *columns: str) -> DataFrame:
+        found = hub_cells.join(table.withColumnRenamed("digest", "b"), "b")
+        return found.select("b", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *columns)
+
+    near = to_hub.join(marks.select(F.col("digest").alias("a"), F.col("marks").alias("m1")), "a").join(of_hubs(marks, F.col("marks").alias("m2")), ["b", "cell"])
+    tested = materialize(near.where(_agreeing("m1", "m2") >= least).select("a", "b", "cell"), "tested")
+    pairs = tested.join(vectors.select(F.col("digest").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a")
+    pairs = pairs.join(of_hubs(vectors, F.col("h").alias("h2"), F.col("w").alias("w2")), ["b", "cell"])
+    links = materialize(pairs.where(_similarity("h1", "w1", "h2", "w2") >= similarity).select("a", "b"), "links")
+    labels = connected_components(links)
+
+    # What the hubs couldn't settle: buckets whose members are in several components, cut into blocks of bounded size.
+    named = shared.select("key", "digest", "n").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    open_keys = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("n").alias("n")).where("l1 <> l2 and n > 2").select("key")
+    members = materialize(named.join(open_keys, "key"), "unsettled")
+    keys = members.groupBy("digest").agg(F.collect_list("key").alias("keys"))  # one for each band at most
+    cut = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / block)).cast("int").alias("cut")
+    payload = keys.join(marks, "digest").join(vectors, "digest")
+    blocks = members.select("key", "digest", "label", cut).join(payload, "digest")
+    parts = ("nodes", "labels", "keys", "marks", "h", "w")
+    listed = [F.col("m")[c].alias(p) for c, p in zip(("digest", "label", "keys", "marks", "h", "w"), parts, strict=True)]
+    grouped = blocks.groupBy("key", "cut").agg(F.collect_list(F.struct("digest", "label", "keys", "marks", "h", "w")).alias("m"))
+    grouped = materialize(grouped.select("key", "cut", *listed), "blocks")
+    left = grouped.select("key", *[F.col(c).alias(f"{c}1") for c in ("cut", *parts)])
+    right = grouped.select("key", *[F.col(c).alias(f"{c}2") for c in ("cut", *parts)])
+    rest = left.join(right, "key").where("cut1 <= cut2").drop("cut1", "cut2").mapInPandas(_across(least, similarity), "a binary, b binary")
+    labels = connected_components(materialize(rest, "rest"), labels)
 
     named = rows.select("id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     return _with_classes(named, doc_id)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quire.llm import components
 from quire.llm.components import connected_components
 
 
@@ -38,5 +39,13 @@ def test_against_union_find(spark, kind):
     assert {r.node: r.label for r in connected_components(rest, connected_components(half)).collect()} == brute(edges)
 
 
+def test_a_long_ascending_chain(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "_jumped", lambda moves, n, jump=components._jumped: rounds.append(n) or jump(moves, n))
+    chain = spark.range(9_999).selectExpr("id as a", "id + 1 as b")
+    found = connected_components(chain)
+    assert found.count() == 10_000 and found.where("label <> 0").count() == 0 and len(rounds) <= 2
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
