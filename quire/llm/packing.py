@@ -37,6 +37,7 @@ from .common import Memo, col, long_texts
 
 _LONE = re.compile(r"\s(?:\s|\Z)")
 SENTENCE, INSIDE, WINDOW = 1, 8, 4  # penalties of a cut at a sentence end and inside a sentence, and the fee of a window; in tokens of padding
+PAIR = INSIDE + WINDOW  # what a whole window before the last one costs, its cut being inside a sentence
 
 
 class ByteBpe:
@@ -129,34 +130,44 @@ def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int, last
         order = np.argsort(ends, kind="stable")
         ends, penalties = ends[order], np.concatenate((penalties, np.full(len(extra), INSIDE)))[order]
     at = np.concatenate(([0], ends)).astype(np.int64)
-    to, start, cut = _unpadded(at, total, size)
-    place, fee = at.tolist(), [0, *penalties.tolist()]
-    cost, come, inside = [0.0] * len(place), [0] * len(place), [False] * len(place)
-    near, far, waiting, seen = deque(), deque(), deque(), 0
+    to, start = _unpadded(at, total, size)
+    place, fee = at.tolist(), [0, *(penalties + WINDOW).tolist()]
+    # Per boundary: the least cost of windows up to it, that plus its place, and where the last window (or pair, then ~start) begins.
+    cost, values, come = [0.0] * len(place), [0.0] * len(place), [0] * len(place)
+    near, far, gone, seen, value = deque(), deque(), 0, 0, 0.0
     for j in range(1, len(place)):
-        i = j - 1
-        value, here = cost[i] + place[i], place[j]
-        while near and near[-1][0] >= value:
+        i, here = j - 1, place[j]
+        while near and values[near[-1]] >= value:
             near.pop()
-        near.append((value, i))
-        waiting.append((value, i))
-        while place[near[0][1]] < here - size:
+        near.append(i)
+        least = here - size
+        while place[near[0]] < least:
             near.popleft()
-        while waiting and place[waiting[0][1]] < here - size:  # now more than one window away
-            entry = waiting.popleft()
-            while far and far[-1][0] >= entry[0]:
+        while place[gone] < least:  # now more than one window away
+            passed = values[gone]
+            while far and values[far[-1]] >= passed:
                 far.pop()
-            far.append(entry)
-        best, first, halved = near[0][0] + size - here, near[0][1], False
-        while far and place[far[0][1]] < here - 2 * size:
-            far.popleft()
-        if far and far[0][0] + 2 * size - here + INSIDE + WINDOW < best:
-            best, first, halved = far[0][0] + 2 * size - here + INSIDE + WINDOW, far[0][1], True
+            far.append(gone)
+            gone += 1
+        first = near[0]
+        best = values[first] - least
+        if far:
+            least -= size
+            while far and place[far[0]] < least:
+                far.popleft()
+            if far and (passed := values[far[0]] - least + PAIR) < best:
+                best, first = passed, ~far[0]
         while to[seen] == j:
-            if (value := cost[start[seen]] + (INSIDE + WINDOW if cut[seen] else 0)) < best:
-                best, first, halved = value, start[seen], cut[seen]
+            i = start[seen]
+            if i < 0:
+                if (passed := cost[~i] + PAIR) < best:
+                    best, first = passed, i
+            elif cost[i] < best:
+                best, first = cost[i], i
             seen += 1
-        cost[j], come[j], inside[j] = best + fee[j] + WINDOW, first, halved
+        cost[j] = best = best + fee[j]
+        values[j] = value = best + here
+        come[j] = first
     if last:
         j, cuts = _tail(place, cost, total, size)
     else:
@@ -165,34 +176,35 @@ def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int, last
     while j:
         i = come[j]
         found.append(place[j])
-        if inside[j]:
+        if i < 0:
+            i = ~i
             found.append(place[i] + size)
         j = i
     return found[::-1] + cuts
 
 
-def _unpadded(at: np.ndarray, total: int, size: int) -> tuple[list[int], list[int], list[bool]]:
-    """(end, start, whether a whole window comes before) of windows between boundaries whose length is a power of two below ``size``, by end; one more end closes the list."""
-    index = np.full(total + 1, -1)
+def _unpadded(at: np.ndarray, total: int, size: int) -> tuple[list[int], list[int]]:
+    """(end, start; ~start if a whole window comes before) of windows between boundaries whose length is a power of two below ``size``, by end; one more end closes the list."""
+    index = np.full(total + 1, -1, np.int32)
     index[at] = np.arange(len(at))
-    ends, starts, cuts = [], [], []
+    ends, starts = [], []
     for p in (1 << k for k in range(size.bit_length() - 1)):
-        for n, cut in ((p, False), (size + p, True)):
-            j = np.searchsorted(at, n) + np.arange(max(0, len(at) - np.searchsorted(at, n)))
-            i = index[at[j] - n]
-            ends.append(j[i >= 0])
-            starts.append(i[i >= 0])
-            cuts.append(np.full(len(ends[-1]), cut))
+        for n in (p, size + p):
+            first = np.searchsorted(at, n)
+            i = index[at[first:] - n]
+            hit = np.flatnonzero(i >= 0)
+            ends.append(hit + first)
+            starts.append(i[hit] if n == p else ~i[hit])
     to = np.concatenate(ends)
     order = np.argsort(to, kind="stable")
-    return [*to[order].tolist(), -1], np.concatenate(starts)[order].tolist(), np.concatenate(cuts)[order].tolist()
+    return [*to[order].tolist(), -1], np.concatenate(starts)[order].tolist()
 
 
 def _tail(place: list[int], cost: list[float], total: int, size: int) -> tuple[int, list[int]]:
     """The boundary after which the stream's end is packed best, and the cuts from there: perhaps a whole window, then one padded window or several whose lengths are powers of two."""
 
     def padded(n: int) -> tuple[float, bool]:
-        split = (INSIDE + WINDOW) * (n.bit_count() - 1)
+        split = PAIR * (n.bit_count() - 1)
         return (split, True) if split <= size - n else (size - n, False)
 
     best = None
@@ -203,7 +215,7 @@ def _tail(place: list[int], cost: list[float], total: int, size: int) -> tuple[i
         whole = n > size
         left = n - size if whole else n
         amount, split = padded(left)
-        value = cost[i] + amount + (INSIDE + WINDOW if whole else 0)
+        value = cost[i] + amount + (PAIR if whole else 0)
         if best is None or value < best[0]:
             best = (value, i, whole, split)
     _, i, whole, split = best
@@ -232,7 +244,7 @@ def _common(place: list[int], come: list[int], least: int) -> int:
             heapq.heappop(open_ends)
         if not open_ends:
             return j
-        heapq.heappush(open_ends, -come[j])
+        heapq.heappush(open_ends, -max(come[j], ~come[j]))
 
 
 def _packed(json_path: str, end_id: int, size: int, segment: int):
