@@ -58,10 +58,10 @@ def cmap_ranges(cmaps: DataFrame) -> DataFrame:
 
 
 def cids(codes: DataFrame, ranges: DataFrame, step: int = 256) -> DataFrame:
-    """codes: font_id, code -> with cid, 0 if no range has the code. An equi-join on font and bucket of codes."""
+    """codes: font_id, code -> with cid, 0 if no range has the code. An equi-join on font and bucket of codes, each code once; rows that repeat stay."""
     cut = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor(F.col("high") / step))))
-    placed = codes.withColumn("bucket", F.floor(F.col("code") / step))
+    placed = codes.select("font_id", "code").distinct().withColumn("bucket", F.floor(F.col("code") / step))
     hit = F.col("code").between(F.col("low"), F.col("high"))
     joined = placed.join(cut, ["font_id", "bucket"], "left")
-    best = joined.groupBy(*codes.columns).agg(F.max(F.when(hit, F.col("cid") + F.col("code") - F.col("low"))).alias("cid"))
-    return best.withColumn("cid", F.coalesce("cid", F.lit(0)))
+    best = joined.groupBy("font_id", "code").agg(F.max(F.when(hit, F.col("cid") + F.col("code") - F.col("low"))).alias("cid"))
+    return codes.join(best, ["font_id", "code"], "left").select(*codes.columns, F.coalesce("cid", F.lit(0)).alias("cid"))

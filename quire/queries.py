@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +15,7 @@ from .operators import content, crypto, forms, images, lookup, raster
 from .operators import text as search
 from .plans.extract import Documents
 from .sources import filters, pdf
+from .sources.walk import scratch
 from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,10 +199,10 @@ def rect_contains(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.contains(G.rect(10, 0.02, 30, 0.06), F.col("l_quantity"), F.col("l_discount")).alias("inside"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity > 10 AND l_quantity < 40 AND l_quantity + 5 > 10 AND l_discount < 0.07 AND l_discount + 0.01 > 0.03 AS overlap FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity < 40 AND l_quantity + 5 > 10 AND l_discount < 0.07 AND l_discount + 0.01 > 0.03 AS overlap FROM lineitem")
 def rect_intersects(spark, sf_dir):
     q, d = F.col("l_quantity"), F.col("l_discount")
-    hit = G.intersects(G.rect(q, d, q + 5, d + 0.01), G.rect(10, 0.03, 40, 0.07)) & (q > 10)
+    hit = G.intersects(G.rect(q, d, q + 5, d + 0.01), G.rect(10, 0.03, 40, 0.07))
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hit.alias("overlap"))
 
 
@@ -525,23 +524,13 @@ def image_kinds(spark, sf_dir):
 # --- streams
 
 
-def _folder() -> str:
-    return f"{tempfile.gettempdir()}/quire-stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     stream = windows.arriving(spark, sf_dir, events.schema, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
-    done = windows.drain(windows.windowed(stream, "ts", "1 day", ["event_type"]), name, _checkpoint(spark), "complete")
+    done = windows.drain(windows.windowed(stream, "ts", "1 day", ["event_type"]), scratch(spark), "complete")
     return done.select(F.col("window_start").cast(dict(events.dtypes)["ts"]).alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/quire-stream-{uuid.uuid4().hex}" if shared else _folder()
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_roundtrip(spark, sf_dir)

@@ -50,32 +50,43 @@ def lzw(data: bytes, early: int = 1) -> bytes:
 
 
 def lzw_encode(data: bytes, early: int = 1) -> bytes:
-    codes, table, width, before = [(256, 9)], {bytes([k]): k for k in range(256)}, 9, b""
-    size = 258
+    """Codes of 9 to 12 bits, most significant bit first; whole bytes are given out as they fill."""
+    out, value, bits = bytearray(), 0, 0
+
+    def put(code: int) -> None:
+        nonlocal value, bits
+        value, bits = value << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(value >> bits)
+            value &= (1 << bits) - 1
+
+    table, width, size, before = {}, 9, 258, None  # the table maps (code of what was read, next byte) to a code
+    put(256)
     for byte in data:
-        longer = before + bytes([byte])
-        if longer in table:
-            before = longer
+        if before is None:
+            before = byte
+            continue
+        if (code := table.get((before, byte))) is not None:
+            before = code
             continue
-        codes.append((table[before], width))
-        table[longer] = size
+        put(before)
+        table[before, byte] = size
         size += 1
-        if size + early > (1 << width) and width < 12:
+        if size + early > 1 << width and width < 12:
             width += 1
         if size >= 4094:
-            codes.append((256, width))
-            table, width, size = {bytes([k]): k for k in range(256)}, 9, 258
-        before = bytes([byte])
-    if before:
-        codes.append((table[before], width))
-        if size + 1 + early > (1 << width) and width < 12:
+            put(256)
+            table, width, size = {}, 9, 258
+        before = byte
+    if before is not None:
+        put(before)
+        if size + 1 + early > 1 << width and width < 12:
             width += 1
-    codes.append((257, width))
-    value, bits = 0, 0
-    for code, w in codes:
-        value, bits = value << w | code, bits + w
-    pad = -bits % 8
-    return (value << pad).to_bytes((bits + pad) // 8, "big")
+    put(257)
+    if bits:
+        out.append(value << (8 - bits) & 255)
+    return bytes(out)
 
 
 def run_length(data: bytes) -> bytes:
@@ -110,7 +121,9 @@ def ascii85(data: bytes) -> bytes:
 
 
 def predicted(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns: int = 1) -> bytes:
-    """Undoes a TIFF (2, 8 bits) or PNG (10 and more) predictor."""
+    """Undoes a TIFF (2, 8 bits) or PNG (10 and more) predictor. Sizes that make no sense leave the data as it is."""
+    if min(colors, bits, columns) < 1 or colors * bits * columns > 1 << 31:
+        return data
     pixel, row = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
     if predictor == 2 and bits == 8:
         whole = len(data) // row * row
@@ -177,7 +190,7 @@ def decode(raw: bytes, filters: list[str], parms: list[dict]) -> bytes:
                 raw = ascii85(raw)
             elif name == "RunLengthDecode":
                 raw = run_length(raw)
-        except (ValueError, zlib.error):
+        except (ValueError, IndexError, zlib.error):
             return b""
         if name in ("FlateDecode", "LZWDecode") and p.get("Predictor", 1) > 1:
             raw = predicted(raw, p["Predictor"], p.get("Colors", 1), p.get("BitsPerComponent", 8), p.get("Columns", 1))

@@ -2,7 +2,8 @@
 
 ``xref`` and ``nodes`` come from one pass of Arrow batches over the bytes; all that follows (reference resolution, the page
 tree, inherited attributes, streams, fields, annotations) is joins and recursion over them. Documents that
-can't be read give a row with an error in ``files`` and none elsewhere.
+can't be read give a row with an error in ``files`` and none elsewhere; one that goes wrong while it is parsed gives a node of
+kind ``error`` with the reason, and what other documents have is not touched by it.
 """
 
 from __future__ import annotations
@@ -60,9 +61,11 @@ def files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.length("content").alias("length"), F.when(version == "", "1.4").otherwise(version).alias("version"), error.alias("error"))
 
 
-def readable(docs: DataFrame) -> DataFrame:
-    """Only what has the header goes to Python."""
-    return docs.where(F.startswith(F.col("content"), F.lit(b"%PDF-"))).select("doc_id", "content")
+def readable(part: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+    """Of a batch, the documents that have the header. Told here and not by a filter, which would make Spark evaluate an expression for the content twice."""
+    for doc, content in zip(part["doc_id"], part["content"], strict=True):
+        if content is not None and content[:5] == b"%PDF-":
+            yield doc, content
 
 
 def xref(docs: DataFrame) -> DataFrame:
@@ -70,16 +73,17 @@ def xref(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [
-                (doc, revision, obj, kind, field, gen)
-                for doc, content in zip(part["doc_id"], part["content"], strict=True)
-                for revision, entries, _ in syntax.sections(content)
-                for obj, (kind, field, gen) in entries.items()
-            ]
+            rows = []
+            for doc, content in readable(part):
+                try:
+                    found = [(doc, revision, obj, kind, field, gen) for revision, entries, _ in syntax.sections(content) for obj, (kind, field, gen) in entries.items()]
+                except (ValueError, TypeError, IndexError, OverflowError, RecursionError):
+                    continue  # ``nodes`` has the reason
+                rows += [r for r in found if 0 <= r[2] < 1 << 31 and 0 <= r[4] < 1 << 62 and 0 <= r[5] < 1 << 31]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "revision", "obj_num", "type", "field", "gen"])
 
-    return readable(docs).mapInPandas(run, XREF)
+    return docs.select("doc_id", "content").mapInPandas(run, XREF)
 
 
 def latest(entries: DataFrame, oldest: bool = False) -> DataFrame:
@@ -135,17 +139,25 @@ def nodes(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for start in range(0, len(part), 200):  # many documents a batch, but not all: their nodes are larger than they are
-                some = part.iloc[start : start + 200]
-                rows = [
-                    (doc, number, gen, path, kind, i, d, s, r.obj if r else None, r.gen if r else None, raw if not path else None)
-                    for doc, content in zip(some["doc_id"], some["content"], strict=True)
-                    for number, gen, value, raw in _objects(content)
-                    for path, kind, i, d, s, r in syntax.flattened(value)
-                ]
-                made = pd.DataFrame(rows, columns=["doc_id", "obj_num", "gen", "path", "kind", "i", "d", "s", "ref_obj", "ref_gen", "raw"])  # the trailer is always there
-                yield made.astype({"i": "Int64", "ref_obj": "Int32", "ref_gen": "Int32"})
+                rows = []
+                for doc, content in readable(part.iloc[start : start + 200]):
+                    try:
+                        rows += list(_rows(doc, content))
+                    except (ValueError, TypeError, IndexError, KeyError, OverflowError, RecursionError, AttributeError) as e:
+                        rows.append((doc, TRAILER, 0, ["error"], "error", None, None, f"{type(e).__name__}: {e}".encode("utf-8", "replace")[:1000], None, None, None))
+                if rows:
+                    made = pd.DataFrame(rows, columns=["doc_id", "obj_num", "gen", "path", "kind", "i", "d", "s", "ref_obj", "ref_gen", "raw"])
+                    yield made.astype({"i": "Int64", "ref_obj": "Int32", "ref_gen": "Int32"})
 
-    return readable(docs).mapInPandas(run, NODES)
+    return docs.select("doc_id", "content").mapInPandas(run, NODES)
+
+
+def _rows(doc: int, content: bytes) -> Iterator[tuple]:
+    found = [x for x in _objects(content) if x[0] < 1 << 31 and x[1] < 1 << 31]
+    arrays = {number: value for number, _, value, _ in found if isinstance(value, list)}
+    for number, gen, value, raw in found:
+        for path, kind, i, d, s, r in syntax.flattened(value, arrays=arrays):
+            yield doc, number, gen, path, kind, i, d, s, r.obj if r else None, r.gen if r else None, raw if not path else None
 
 
 def entries_of(table: DataFrame, *keys: str) -> DataFrame:
@@ -201,7 +213,7 @@ def inherited(tree: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def boxes(table: DataFrame, key: str) -> DataFrame:
     """(doc_id, owner, box): rectangles that are direct arrays of four numbers, with sorted corners."""
-    parts = table.where((F.size("path") == 2) & (F.get("path", F.lit(0)) == key) & F.col("d").isNotNull())
+    parts = table.where((F.size("path") == 2) & (F.get("path", F.lit(0)) == key) & F.col("d").isNotNull() & F.get("path", F.lit(1)).rlike("^[0-9]{1,3}$"))
     four = parts.groupBy("doc_id", F.col("obj_num").alias("owner")).agg(F.map_from_entries(F.collect_list(F.struct(F.get("path", F.lit(1)).cast("int"), F.col("d")))).alias("v"))
     v = F.col("v")
     box = F.struct(F.least(v[0], v[2]).alias("left"), F.least(v[1], v[3]).alias("top"), F.greatest(v[0], v[2]).alias("right"), F.greatest(v[1], v[3]).alias("bottom"))

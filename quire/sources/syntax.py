@@ -12,6 +12,10 @@ _REFERENCE = re.compile(rb"[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+R(?![^\x00\t\n\f
 _ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|[\s\S])")
 _PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 DEEPEST = 512
+MOST_INFLATED = 1 << 30  # bytes that one stream may inflate to
+LARGEST = 1 << 63
+#: Entries whose value may be a reference to an array elsewhere; the array is then read as if it stood there.
+LISTS = frozenset("Kids Contents MediaBox CropBox BleedBox TrimBox ArtBox Annots Fields Opt Rect BBox Matrix Filter DecodeParms Widths W Decode ColorSpace Coords Extend Background".split())
 
 
 class Name(str):
@@ -78,9 +82,9 @@ def read(data: bytes, at: int, depth: int = 0, references: bool = True):
     if t[:1] == b"/":
         return name_of(t[1:]), at
     if _NUMBER.match(t):
-        if references and t.isdigit() and (r := _REFERENCE.match(data, at)):
+        if references and t.isdigit() and len(t) < 10 and (r := _REFERENCE.match(data, at)) and len(r[1]) < 10:
             return Ref(int(t), int(r[1])), r.end()
-        return (float(t) if b"." in t else int(t)), at
+        return (float(t) if b"." in t or len(t) > 300 else int(t)), at
     if t in (b"true", b"false"):
         return t == b"true", at
     return (None if t == b"null" else Keyword(t)), at
@@ -132,7 +136,7 @@ def inflated(raw: bytes) -> bytes:
     for bits in (15, -15):
         z = zlib.decompressobj(bits)
         try:
-            return z.decompress(raw)
+            return z.decompress(raw, MOST_INFLATED)
         except zlib.error:
             continue
     return raw
@@ -174,14 +178,16 @@ def _table(data: bytes, at: int):
 
 def _stream(data: bytes, at: int):
     got = indirect(data, at)
-    if got is None or got[3] is None or not isinstance(w := got[2].get("W"), list) or len(w) < 3:
+    if got is None or got[3] is None or not isinstance(w := got[2].get("W"), list) or len(w) < 3 or not all(isinstance(x, int) and 0 <= x <= 8 for x in w) or not any(w):
         return None
     from .filters import decode
 
     body, entries, place = decode(got[3], *filter_list(got[2])), {}, 0
     index = got[2].get("Index") or [0, got[2].get("Size", 0)]
+    if not isinstance(index, list) or not all(isinstance(x, int) and x >= 0 for x in index):
+        return None
     for first, count in zip(index[::2], index[1::2]):
-        for k in range(count):
+        for k in range(min(count, (len(body) - place) // sum(w[:3]) + 1)):
             fields = []
             for size in w[:3]:
                 fields.append(int.from_bytes(body[place : place + size], "big"))
@@ -198,18 +204,26 @@ def filter_list(d: dict) -> tuple[list[str], list[dict]]:
     return names, [{str(k): int(v) for k, v in x.items() if isinstance(v, (int, float, bool))} for x in (parms + [{}] * len(names))[: len(names)]]
 
 
-def flattened(value, path: tuple[str, ...] = ()):
-    """(path, kind, int, double, bytes, reference) of every node of an object, parents first."""
+def flattened(value, path: tuple[str, ...] = (), arrays: dict[int, list] | None = None, ref: Ref | None = None):
+    """(path, kind, int, double, bytes, reference) of every node of an object, parents first.
+
+    arrays: by object number; where an entry of LISTS refers to one, it is read as the entry's value, and the entry keeps the
+    reference. Whole numbers beyond 64 bits have a double only.
+    """
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     kind = (
         "null" if value is None else "bool" if isinstance(value, bool) else "int" if isinstance(value, int) else "real" if number
         else "ref" if isinstance(value, Ref) else "name" if isinstance(value, Name) else "string" if isinstance(value, bytes) else "array" if isinstance(value, list) else "dict"
     )
     data = value.encode("latin-1", "replace") if kind == "name" else value if kind == "string" else None
-    yield list(path), kind, int(value) if number or kind == "bool" else None, float(value) if number else None, data, value if kind == "ref" else None
+    whole = int(value) if kind == "bool" or number and -LARGEST < value < LARGEST else None
+    yield list(path), kind, whole, float(value) if number else None, data, value if kind == "ref" else ref
     if kind == "array":
         for k, x in enumerate(value):
-            yield from flattened(x, (*path, str(k)))
+            yield from flattened(x, (*path, str(k)), arrays)
     elif kind == "dict":
         for k, x in value.items():
-            yield from flattened(x, (*path, str(k)))
+            if arrays and k in LISTS and isinstance(x, Ref) and x.obj in arrays:
+                yield from flattened(arrays[x.obj], (*path, str(k)), {n: a for n, a in arrays.items() if n != x.obj}, x)
+            else:
+                yield from flattened(x, (*path, str(k)), arrays)

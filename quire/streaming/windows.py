@@ -48,13 +48,23 @@ def upsert_latest(spark: SparkSession, path: str, keys: list[str], order: str):
     return apply
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a Parquet folder beside its checkpoint (append) or a table in memory (other modes)."""
+def drain(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there into Parquet folders beside its checkpoint.
+
+    In the other modes than append each micro-batch's result is a folder of its own, written by the executors; the last one
+    is read. A batch that is run again writes the same folder.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint}/out"
     if mode == "append":
-        out = f"{checkpoint}/out"
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/state").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
-        return stream.sparkSession.read.schema(stream.schema).parquet(out)
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/state").outputMode(mode).trigger(availableNow=True).start()
+        return spark.read.schema(stream.schema).parquet(out)
+    done: list[int] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        done.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(done)}") if done else spark.createDataFrame([], stream.schema)
