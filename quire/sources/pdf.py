@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,20 +38,46 @@ def from_text(text: Column, width: int = 612, height: int = 792) -> Column:
         return F.encode(c if isinstance(c, Column) else F.lit(c), "ISO-8859-1")
 
     stream = latin(F.concat(F.lit("BT /F1 12 Tf 100 700 Td "), T.string_object(text), F.lit(" Tj ET")))
-    objects = [
-        latin("1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"),
-        latin(f"2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 {width} {height}] >>\nendobj\n"),
-        latin("3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>\nendobj\n"),
-        F.concat(latin("4 0 obj\n<< /Length "), latin(F.length(stream).cast("string")), latin(" >>\nstream\n"), stream, latin("\nendstream\nendobj\n")),
-        latin("5 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>\nendobj\n"),
-    ]
-    body, places, at = latin("%PDF-1.4\n"), [], F.lit(9)
-    for o in objects:
+    return assembled(
+        [
+            F.lit("<< /Type /Catalog /Pages 2 0 R >>"),
+            F.lit(f"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 {width} {height}] >>"),
+            F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>"),
+            stream_body(stream),
+            F.lit("<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"),
+        ]
+    )
+
+
+class Bytes(NamedTuple):
+    """A column of binary data, told from one of text."""
+
+    column: Column
+
+
+def stream_body(data: Column, entries: Column | str = "") -> Bytes:
+    """The body of a stream object. data: binary, encoded already; entries: text of more dictionary entries."""
+    more = entries if isinstance(entries, Column) else F.lit(entries)
+    head = F.concat(F.lit("<< /Length "), F.length(data).cast("string"), more, F.lit(" >>\nstream\n"))
+    return Bytes(F.concat(F.encode(head, "ISO-8859-1"), data, F.lit(b"\nendstream")))
+
+
+def assembled(bodies: list[Column | Bytes], trailer: Column | str = "") -> Column:
+    """A document (binary) of objects 1, 2, ... with these bodies (Latin-1 text, or Bytes); object 1 is the catalog. trailer: text of more entries. An expression."""
+
+    def binary(c: Column) -> Column:
+        return F.encode(c, "ISO-8859-1")
+
+    out, places, at = binary(F.lit("%PDF-1.4\n")), [], F.lit(9)
+    for k, body in enumerate(bodies, 1):
+        made = F.concat(binary(F.lit(f"{k} 0 obj\n")), body.column if isinstance(body, Bytes) else binary(body), binary(F.lit("\nendobj\n")))
         places.append(at)
-        body, at = F.concat(body, o), at + F.length(o)
+        out, at = F.concat(out, made), at + F.length(made)
+    n = len(bodies) + 1
     entries = [F.concat(F.lpad(p.cast("string"), 10, "0"), F.lit(" 00000 n \n")) for p in places]
-    table = F.concat(F.lit("xref\n0 6\n0000000000 65535 f \n"), *entries, F.lit("trailer\n<< /Size 6 /Root 1 0 R >>\nstartxref\n"), at.cast("string"), F.lit("\n%%EOF\n"))
-    return F.concat(body, latin(table))
+    more = trailer if isinstance(trailer, Column) else F.lit(trailer)
+    head = F.concat(F.lit(f"xref\n0 {n}\n0000000000 65535 f \n"), *entries, F.lit(f"trailer\n<< /Size {n} /Root 1 0 R"), more, F.lit(" >>\nstartxref\n"))
+    return F.concat(out, binary(F.concat(head, at.cast("string"), F.lit("\n%%EOF\n"))))
 
 
 def files(docs: DataFrame) -> DataFrame:
@@ -223,19 +250,20 @@ def boxes(table: DataFrame, key: str) -> DataFrame:
 def pages(table: DataFrame, inherit_rotation: bool = True, tree: DataFrame | None = None) -> DataFrame:
     """doc_id, page_index, obj_num, media_box, crop_box, rotation (0, 90, 180, 270), width, height.
 
-    tree: the page tree, if it is kept; it is read once for each inherited attribute.
+    tree: the page tree, if it is kept. One join finds all inherited attributes.
     """
+    from ..operators.objects import attributes, nearest, rect_of
+
     tree = page_tree(table) if tree is None else tree
-    out = tree
-    for key, name in (("MediaBox", "media_box"), ("CropBox", "crop_box")):
-        found = inherited(tree, table, key).join(boxes(table, key), ["doc_id", "owner"]).select("doc_id", "obj_num", F.col("box").alias(name))
-        out = out.join(found, ["doc_id", "obj_num"], "left")
-    turns = table.where((F.col("path") == F.array(F.lit("Rotate"))) & (F.col("kind") == "int")).select("doc_id", F.col("obj_num").alias("owner"), F.col("i").alias("turn"))
-    owner = inherited(tree, table, "Rotate") if inherit_rotation else tree.select("doc_id", "obj_num", F.col("obj_num").alias("owner"))
-    out = out.join(owner.join(turns, ["doc_id", "owner"]).select("doc_id", "obj_num", "turn"), ["doc_id", "obj_num"], "left")
+    wanted = {"media_box": ("nums", "MediaBox"), "crop_box": ("nums", "CropBox"), "turn": ("int", "Rotate")}
+    found = attributes(table, wanted)
+    names = list(wanted) if inherit_rotation else list(wanted)[:2]
+    out = tree.join(nearest(tree, found, names), ["doc_id", "obj_num"], "left")
+    if not inherit_rotation:
+        out = out.join(found.select("doc_id", "obj_num", "turn"), ["doc_id", "obj_num"], "left")
     whole = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(612.0).alias("right"), F.lit(792.0).alias("bottom"))
     turn = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(360))
-    out = out.withColumn("media_box", F.coalesce("media_box", whole)).withColumn("crop_box", F.coalesce("crop_box", "media_box"))
+    out = out.withColumn("media_box", F.coalesce(rect_of(F.col("media_box")), whole)).withColumn("crop_box", F.coalesce(rect_of(F.col("crop_box")), F.col("media_box")))
     out = out.withColumn("rotation", F.when(turn % 90 == 0, turn).otherwise(0).cast("int"))
     w, h = F.expr("media_box.right - media_box.left"), F.expr("media_box.bottom - media_box.top")
     turned = F.col("rotation").isin(90, 270)
