@@ -126,12 +126,6 @@ def md5_sha256(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"))
 
 
-@query("SELECT doc_id, k AS key, CASE k WHEN 'Lang' THEN lang ELSE source END AS value FROM documents, (VALUES ('Lang'), ('Source')) AS v(k)")
-def metadata(spark, sf_dir):
-    m = F.create_map(F.lit("Lang"), F.col("lang"), F.lit("Source"), F.col("source"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(m).alias("key", "value"))
-
-
 @query(
     """WITH p AS (SELECT unnest(string_split(text, ' ')) AS w, doc_id, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents),
        q AS (SELECT right(w, 1) AS l, left(lead(w) OVER (PARTITION BY doc_id ORDER BY k), 1) AS r FROM p)
@@ -157,12 +151,6 @@ def line_segment(spark, sf_dir):
     return content.lines(events, ["user_id"], ["ts", "event_id"], y="second").select("event_id", "user_id", F.col("line").cast("long").alias("segment"))
 
 
-@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
-def reading_order(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _t(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) - l_quantity AS x FROM lineitem")
 def text_advance(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
@@ -351,11 +339,6 @@ def draw_line(spark, sf_dir):
 # --- joins, trees, flags
 
 
-@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-def ref_resolution(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
-
-
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def free_entries(spark, sf_dir):
     return lookup.unresolved(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
