@@ -152,3 +152,76 @@ def in_color_key(components: Column, lows: Column, highs: Column) -> Column:
     """Whether every component is within its range; false if the lengths differ."""
     inside = F.forall(F.zip_with(F.arrays_zip(components.alias("c"), lows.alias("l")), highs, lambda x, h: (x["c"] >= x["l"]) & (x["c"] <= h)), lambda b: b)
     return (F.size(components) == F.size(lows)) & (F.size(lows) == F.size(highs)) & F.coalesce(inside, F.lit(False))
+
+
+#: Colour spaces by name, and their numbers of components.
+SPACES = {"DeviceGray": 1, "G": 1, "CalGray": 1, "DeviceRGB": 3, "RGB": 3, "CalRGB": 3, "Lab": 3, "DeviceCMYK": 4, "CMYK": 4, "Indexed": 1, "I": 1, "Separation": 1, "Pattern": 0}
+LONG_NAMES = {"G": "DeviceGray", "RGB": "DeviceRGB", "CMYK": "DeviceCMYK", "I": "Indexed"}
+
+
+def space_of(name: Column) -> Column:
+    """struct<space, components> of a space's name or the first element of its array; null if it is unknown. ICCBased and DeviceN have as many as they say."""
+    whole = F.coalesce(F.create_map(*[F.lit(x) for pair in LONG_NAMES.items() for x in pair])[name], name)
+    count = F.create_map(*[F.lit(x) for pair in SPACES.items() for x in pair])[name]
+    return F.when(name.isin(*SPACES, "ICCBased", "DeviceN"), F.struct(whole.alias("space"), count.alias("components")))
+
+
+def icc_alternate(alternate: Column, components: Column) -> Column:
+    """The space that stands in for a profile: its alternate, else the device space of as many components."""
+    return F.coalesce(alternate, F.when(components == 1, "DeviceGray").when(components == 3, "DeviceRGB").when(components == 4, "DeviceCMYK"))
+
+
+def icc_to_rgb(parts: Column, components: Column) -> Column:
+    at = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(0.0))
+    return F.when(components == 1, gray_to_rgb(at(0))).when(components == 3, device_rgb(at(0), at(1), at(2))).when(components == 4, cmyk_to_rgb(at(0), at(1), at(2), at(3)))
+
+
+def cal_rgb_to_rgb(a, b, c, compat: bool = True, gamma=(1.0, 1.0, 1.0), matrix=(0.4124, 0.2126, 0.0193, 0.3576, 0.7152, 0.1192, 0.1805, 0.0722, 0.9505)) -> Column:
+    """compat: parameters are ignored and the components taken as device ones; else by gamma and matrix to XYZ."""
+    if compat:
+        return device_rgb(a, b, c)
+    parts = [F.pow(clamp(v), F.lit(float(g))) for v, g in zip((a, b, c), gamma, strict=True)]
+    return xyz_to_rgb(*[sum((p * matrix[3 * k + j] for k, p in enumerate(parts)), F.lit(0.0)) for j in range(3)])
+
+
+def pattern_to_rgb(underlying: Column) -> Column:
+    """The colour of an uncolored pattern's underlying space, else black."""
+    return F.coalesce(underlying, rgb(0, 0, 0))
+
+
+def demultiplied(color) -> Column:
+    """Straight alpha of a premultiplied colour; without alpha all is zero."""
+    a = channel(color, "a")
+    return F.when(a == 0, F.lit(0).cast("long")).otherwise(argb(a, *[F.least(F.floor(channel(color, n) * 255 / a), F.lit(255)) for n in "rgb"]))
+
+
+def gradient(first, second, share) -> Column:
+    """A colour between two, channel by channel, rounded to the nearest; share: 0 to 1."""
+    parts = [F.floor(channel(first, n) + (channel(second, n) - channel(first, n)) * _c(share) + 0.5) for n in "argb"]
+    return argb(*parts)
+
+
+def multiplied_bytes(a: Column, b: Column) -> Column:
+    """Of two bytes as shares of 255, rounded."""
+    t = a * b + 128
+    return F.shiftright(F.shiftright(t, 8) + t, 8).cast("int")
+
+
+def sycc_to_rgb(y, cb, cr, bits: int = 8) -> Column:
+    """Components of so many bits, chroma offset by half the range; the result in as many bits, clamped and cut."""
+    half, most = 1 << (bits - 1), (1 << bits) - 1
+    u, v = _c(cb) - half, _c(cr) - half
+    parts = (_c(y) + 1.402 * v, _c(y) - 0.344 * u - 0.714 * v, _c(y) + 1.772 * u)
+    return rgb(*[F.greatest(F.least(p.cast("int"), F.lit(most)), F.lit(0)) for p in parts])
+
+
+def to_byte(value: Column, bits: int, signed: bool = False) -> Column:
+    """A component of so many bits as a byte: shifted down, or spread up over the whole range."""
+    v = value + (1 << (bits - 1)) if signed else value
+    return (F.shiftright(v, bits - 8) if bits > 8 else F.floor(v * 255 / ((1 << bits) - 1))).cast("int")
+
+
+def ycck_to_rgb(y, cb, cr, k) -> Column:
+    """Inverted CMYK behind a luma-chroma transform: RGB of the first three, scaled by the fourth as light."""
+    plain = ycc_to_rgb(y, cb, cr)
+    return rgb(*[F.floor(plain[n] * _c(k) / 255).cast("int") for n in "rgb"])

@@ -95,6 +95,13 @@ def find_first(text: Column, what, start: Column | int = 0) -> Column:
     return F.locate(what, text, start + 1) - 1 if isinstance(what, str) else F.call_function("locate", what, text, start + 1) - 1
 
 
+def part(text: Column, start: int, count: int = -1) -> Column:
+    """``count`` characters from a 0-based place on, all that are left if it is negative; empty before the beginning or past the end."""
+    if start < 0 or count == 0:
+        return F.when(text.isNotNull(), F.lit(""))
+    return F.substring(text, start + 1, count if count > 0 else (1 << 31) - 1)
+
+
 def count_hits(text: Column, what: Column) -> Column:
     """How often a non-empty string occurs, not overlapping."""
     return F.when(F.length(what) > 0, ((F.length(text) - F.length(F.replace(text, what, F.lit("")))) / F.length(what)).cast("long")).otherwise(F.lit(0).cast("long"))

@@ -72,6 +72,32 @@ def authenticate_user(password: bytes, owner: bytes, user: bytes, permissions: i
     return key if user_value(key, file_id, revision)[:n] == user[:n] else None
 
 
+def digest(data: Column, kind: str) -> Column:
+    """Lower-case hex of md5, sha256, sha384 or sha512."""
+    return F.md5(data) if kind == "md5" else F.sha2(data, int(kind[3:]))
+
+
+def object_key(key: bytes, obj: int, gen: int, aes: bool) -> bytes:
+    made = hashlib.md5(key + obj.to_bytes(3, "little") + gen.to_bytes(2, "little") + (b"sAlT" if aes else b"")).digest()
+    return made[: min(len(key) + 5, 16)]
+
+
+def security(entries: dict, file_id: bytes, password: bytes) -> tuple[str, bytes]:
+    """(rc4, aes or none; the file's key) of an encryption dictionary; a wrong password or an unknown handler is an error."""
+    version, revision = entries.get("V", 0), entries.get("R", 2)
+    if entries.get("Filter") != "Standard" or version not in (1, 2, 4):
+        raise ValueError("unknown security handler")
+    method, bits = "rc4", entries.get("Length", 40) if version > 1 else 40
+    if version == 4:
+        filters = entries.get("CF", {}).get(entries.get("StmF", "Identity"), {})
+        method, bits = {"AESV2": "aes", "V2": "rc4"}.get(filters.get("CFM", "None"), "none"), 128
+    given = (entries["O"][:32], entries["U"], entries["P"], file_id, revision, max(5, min(16, bits // 8)))
+    key = authenticate_user(password, *given) or authenticate_owner(password, *given)
+    if key is None:
+        raise ValueError("wrong password")
+    return method, key
+
+
 def _owner_key(password: bytes, revision: int, length: int) -> bytes:
     key = hashlib.md5((password + PAD)[:32]).digest()
     for _ in range(50 if revision >= 3 else 0):

@@ -12,8 +12,8 @@ from ..sources import pdf
 class Documents:
     """Lazy tables of a set of documents (doc_id, content); each is built once and shared by what follows."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, password: bytes = b""):
+        self.docs, self.password = docs, password
         self._made: dict[str, DataFrame] = {}
 
     def _table(self, name: str, make) -> DataFrame:
@@ -28,7 +28,7 @@ class Documents:
     @property
     def nodes(self) -> DataFrame:
         """Parsed once: what is asked of the nodes several times is kept, on disk if memory is short."""
-        return self._table("nodes", lambda: pdf.nodes(self.docs).persist())
+        return self._table("nodes", lambda: pdf.nodes(self.docs, self.password).persist())
 
     @property
     def tree(self) -> DataFrame:

@@ -101,7 +101,7 @@ def text_find_first(spark, sf_dir):
 
 @query("SELECT doc_id, substr(text, 6, 20) AS part FROM documents")
 def text_substring(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 6, 20).alias("part"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.part(F.col("text"), 5, 20).alias("part"))
 
 
 @query("SELECT doc_id, w AS what, ((length(text) - length(replace(text, w, ''))) // length(w))::BIGINT AS hits FROM documents, (VALUES ('the'), ('der'), ('le'), ('de')) AS v(w)")
@@ -123,7 +123,7 @@ def hex_string_roundtrip(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
 def md5_sha256(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"))
+    return _t(spark, sf_dir, "documents").select("doc_id", crypto.digest(F.col("text"), "md5").alias("m"), crypto.digest(F.col("text"), "sha256").alias("s"))
 
 
 @query(
@@ -153,8 +153,10 @@ def line_segment(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) - l_quantity AS x FROM lineitem")
 def text_advance(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.sum("l_quantity").over(w) - F.col("l_quantity")).alias("x"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    glyphs = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.row_number().over(w).alias("n")).alias("place"), F.lit(0).alias("glyph"), F.col("l_quantity").alias("advance"))
+    none = spark.createDataFrame([], "left int, right int, kern double")
+    return search.kerned(glyphs, none, ["l_orderkey"], "place").select("l_orderkey", F.col("place.l_linenumber").alias("l_linenumber"), "x")
 
 
 @query(

@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import crypto
 from . import syntax
 from .filters import decode, decoded
 from .walk import levels, scratch, written
 
 XREF = "doc_id long, revision int, obj_num int, type int, field long, gen int"
 NODES = "doc_id long, obj_num int, gen int, path array<string>, kind string, i long, d double, s binary, ref_obj int, ref_gen int, raw binary"
+COLUMNS = [x.split()[0] for x in NODES.split(", ")]
 TRAILER = 0  # the trailer's nodes have this object number
 
 
@@ -120,8 +122,11 @@ def latest(entries: DataFrame, oldest: bool = False) -> DataFrame:
     return entries.groupBy("doc_id", "obj_num").agg(one).select("doc_id", "obj_num", "e.*")
 
 
-def _objects(content: bytes):
-    """(number, generation, object, raw stream) of each object that is in use, of the newest revision."""
+def _objects(content: bytes, password: bytes = b""):
+    """(number, generation, object, raw stream, key) of each object that is in use, of the newest revision.
+
+    What is encrypted with RC4 is decrypted here; of what is encrypted with AES the object's key is given along.
+    """
     entries, trailer = {}, None
     for _, some, t in syntax.sections(content):
         entries = some | entries
@@ -132,25 +137,47 @@ def _objects(content: bytes):
         got = syntax.indirect(content, at) if kind == 1 else None
         return got[2] if got else None
 
-    yield TRAILER, 0, trailer or {}, None
+    trailer = trailer or {}
+    yield TRAILER, 0, trailer, None, None
+    locked = trailer.get("Encrypt")
+    at_lock = locked.obj if isinstance(locked, syntax.Ref) else -1
+    if isinstance(locked, syntax.Ref):
+        kind, at, _ = entries.get(locked.obj, (0, 0, 0))
+        locked = got[2] if kind == 1 and (got := syntax.indirect(content, at)) else None
+    method, key = "none", b""
+    if isinstance(locked, dict):
+        ident = trailer.get("ID") or [b""]
+        method, key = crypto.security(locked, ident[0], password)
+
+    def opened(number: int, gen: int, value, raw):
+        if method == "none" or number == at_lock or isinstance(value, dict) and value.get("Type") == "XRef":
+            return value, raw, None
+        own = crypto.object_key(key, number, gen, method == "aes")
+        if method == "aes":
+            return value, raw, own
+        return syntax.mapped(value, lambda s: crypto.rc4_bytes(own, s)), None if raw is None else crypto.rc4_bytes(own, raw), None
+
     packs: dict[int, dict[int, tuple]] = {}
     for number, (kind, at, gen) in sorted(entries.items()):
         if kind == 1 and (got := syntax.indirect(content, at, length_of)):
-            yield number, got[1], got[2], got[3]
+            value, raw, own = opened(number, got[1], got[2], got[3])
+            yield number, got[1], value, raw, own
         elif kind == 2:
+            if method == "aes":
+                raise ValueError("object streams under AES can't be read")
             if at not in packs:
-                packs[at] = _pack(content, entries, at, length_of)
+                packs[at] = _pack(content, entries, at, length_of, lambda n, raw: opened(n, 0, None, raw)[1])
             if number in packs[at]:
-                yield number, 0, packs[at][number], None
+                yield number, 0, packs[at][number], None, None
 
 
-def _pack(content: bytes, entries: dict, stream: int, length_of) -> dict:
+def _pack(content: bytes, entries: dict, stream: int, length_of, opened) -> dict:
     """Objects of one object stream, by number."""
     kind, at, _ = entries.get(stream, (0, 0, 0))
     got = syntax.indirect(content, at, length_of) if kind == 1 else None
     if not got or got[3] is None:
         return {}
-    body, d, out = decode(got[3], *syntax.filter_list(got[2])), got[2], {}
+    body, d, out = decode(opened(stream, got[3]), *syntax.filter_list(got[2])), got[2], {}
     numbers = [int(x) for x in re.findall(rb"\d+", body[: d.get("First", 0)])]
     for number, offset in zip(numbers[::2], numbers[1::2]):
         try:
@@ -160,8 +187,11 @@ def _pack(content: bytes, entries: dict, stream: int, length_of) -> dict:
     return out
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """All objects in use, flattened: a row for each node of their trees; streams keep their raw bytes at the root."""
+def nodes(docs: DataFrame, password: bytes = b"") -> DataFrame:
+    """All objects in use, flattened: a row for each node of their trees; streams keep their raw bytes at the root.
+
+    password: of the user or owner, for documents with the standard security handler of versions 1, 2 and 4.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -169,22 +199,24 @@ def nodes(docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc, content in readable(part.iloc[start : start + 200]):
                     try:
-                        rows += list(_rows(doc, content))
+                        rows += list(_rows(doc, content, password))
                     except (ValueError, TypeError, IndexError, KeyError, OverflowError, RecursionError, AttributeError) as e:
-                        rows.append((doc, TRAILER, 0, ["error"], "error", None, None, f"{type(e).__name__}: {e}".encode("utf-8", "replace")[:1000], None, None, None))
+                        rows.append((doc, TRAILER, 0, ["error"], "error", None, None, f"{type(e).__name__}: {e}".encode("utf-8", "replace")[:1000], None, None, None, None))
                 if rows:
-                    made = pd.DataFrame(rows, columns=["doc_id", "obj_num", "gen", "path", "kind", "i", "d", "s", "ref_obj", "ref_gen", "raw"])
+                    made = pd.DataFrame(rows, columns=["doc_id", "obj_num", "gen", "path", "kind", "i", "d", "s", "ref_obj", "ref_gen", "raw", "key"])
                     yield made.astype({"i": "Int64", "ref_obj": "Int32", "ref_gen": "Int32"})
 
-    return docs.select("doc_id", "content").mapInPandas(run, NODES)
+    made = docs.select("doc_id", "content").mapInPandas(run, f"{NODES}, key binary")
+    opened = {"s": F.when(F.col("kind") == "string", crypto.aes_decrypt(F.col("key"), F.col("s"))).otherwise(F.col("s")), "raw": crypto.aes_decrypt(F.col("key"), F.col("raw"))}
+    return made.select(*[F.when(F.col("key").isNotNull(), opened[c]).otherwise(F.col(c)).alias(c) if c in opened else c for c in COLUMNS])
 
 
-def _rows(doc: int, content: bytes) -> Iterator[tuple]:
-    found = [x for x in _objects(content) if x[0] < 1 << 31 and x[1] < 1 << 31]
-    arrays = {number: value for number, _, value, _ in found if isinstance(value, list)}
-    for number, gen, value, raw in found:
+def _rows(doc: int, content: bytes, password: bytes) -> Iterator[tuple]:
+    found = [x for x in _objects(content, password) if x[0] < 1 << 31 and x[1] < 1 << 31]
+    arrays = {number: value for number, _, value, _, _ in found if isinstance(value, list)}
+    for number, gen, value, raw, key in found:
         for path, kind, i, d, s, r in syntax.flattened(value, arrays=arrays):
-            yield doc, number, gen, path, kind, i, d, s, r.obj if r else None, r.gen if r else None, raw if not path else None
+            yield doc, number, gen, path, kind, i, d, s, r.obj if r else None, r.gen if r else None, raw if not path else None, key
 
 
 def entries_of(table: DataFrame, *keys: str) -> DataFrame:
@@ -324,6 +356,25 @@ def append_revision(content: Column, last_xref, obj_num, body: Column) -> Column
     return F.concat(content, made, latin(table))
 
 
+def updated(content: Column, last_xref: Column, changes: dict[int, Column | None]) -> Column:
+    """The document with several objects replaced or added, and those whose body is None deleted, by one incremental update; an expression."""
+
+    def latin(c: Column) -> Column:
+        return F.encode(c, "ISO-8859-1")
+
+    out, lines = content, []
+    for number, body in sorted(changes.items()):
+        place = F.lpad(F.length(out).cast("string"), 10, "0")
+        if body is None:
+            lines.append(F.lit(f"{number} 1\n0000000000 00001 f \n"))
+            continue
+        lines.append(F.concat(F.lit(f"{number} 1\n"), place, F.lit(" 00000 n \n")))
+        out = F.concat(out, latin(F.concat(F.lit(f"{number} 0 obj\n"), body, F.lit("\nendobj\n"))))
+    size = max(changes, default=0) + 1
+    table = F.concat(F.lit("xref\n"), *lines, F.lit(f"trailer\n<< /Size {size} /Root 1 0 R /Prev "), last_xref.cast("string"), F.lit(" >>\nstartxref\n"), F.length(out).cast("string"), F.lit("\n%%EOF\n"))
+    return F.concat(out, latin(table))
+
+
 def start_of_xref(content: Column) -> Column:
     """Place of the newest cross-reference section: the last ``startxref`` within the final 1,024 bytes."""
     tail = F.decode(F.substring(content, F.greatest(F.length(content) - 1023, F.lit(1)), F.lit(1024)), "ISO-8859-1")

@@ -196,6 +196,15 @@ def _stream(data: bytes, at: int):
     return entries, got[2]
 
 
+def mapped(value, change):
+    """The object with all its strings changed."""
+    if isinstance(value, bytes) and not isinstance(value, Keyword):
+        return change(value)
+    if isinstance(value, list):
+        return [mapped(x, change) for x in value]
+    return {k: mapped(x, change) for k, x in value.items()} if isinstance(value, dict) else value
+
+
 def filter_list(d: dict) -> tuple[list[str], list[dict]]:
     """Names and parameters of a stream's filters. One dictionary for several filters belongs to the first."""
     f, p = d.get("Filter", d.get("F")), d.get("DecodeParms", d.get("DP"))
