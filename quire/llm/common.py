@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.walk import scratch
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-_OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one of our own only where it names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quire-checkpoint-")
-        found = _OWN[app]
-    return found.rstrip("/")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names; without one only a session within one process goes on (tests)."""
+    folder = scratch(spark)
+    _MADE.append(folder)
+    return f"{folder}/{name}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/quire-{uuid.uuid4().hex[:12]}/{name}"
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to scratch paths made within: for work whose result is written elsewhere by then."""
+    first = len(_MADE)
+    yield
+    for folder in _MADE[first:]:
+        remove(spark, folder)
+    del _MADE[first:]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -112,14 +120,15 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def batches(texts: Iterable[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` characters each, so that what is built for a range is bounded."""
-    start, size, k = 0, 0, 0
+    start, size, k, any_text = 0, 0, 0, False
     for k, t in enumerate(texts):
+        any_text = True
         n = len(t) if t else 0
         if size and size + n > most:
             yield start, k
             start, size = k, 0
         size += n
-    if k >= start and size >= 0:
+    if any_text:
         yield start, k + 1
 
 

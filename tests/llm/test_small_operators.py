@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import math
+import os
 import random
 import time
 import urllib.parse
@@ -106,6 +107,40 @@ def test_shards_against_brute_force_and_growth(spark):
     assert sum(r.grown_shard == 3 for r in out) == pytest.approx(600, rel=0.2)
 
 
+def test_shards_of_an_empty_table_clashing_names_and_long_keys(spark):
+    weights = {s: 1.0 for s in range(16)}
+    empty = spark.createDataFrame([], "doc_id long, size long, shard string, slot int")
+    placed = sharding.assign(empty, "doc_id", weights)
+    assert placed.columns == ["doc_id", "size", "shard", "slot", "_shard"] and sharding.with_slots(placed, "_shard", ["size"], "doc_id").count() == 0
+    rows = [("k" * 100_000 + str(k), k, "own", 7) for k in range(40)] + [(None, 1, None, None)] * 2
+    df = spark.createDataFrame(rows, "key string, size long, shard string, slot int")
+    out = sharding.with_slots(sharding.assign(df, "key", weights), "_shard", ["size"], "key").collect()
+    assert len(out) == 42 and {r.shard for r in out} == {"own", None} and {r["_shard"] for r in out} <= set(range(16))
+    for s in {r["_shard"] for r in out}:
+        mine = sorted(r["_slot"] for r in out if r["_shard"] == s)
+        assert mine == list(range(len(mine)))
+
+
+def test_scratch_scopes_delete_what_they_made(spark):
+    from quire.llm.common import batches, materialize, scratch_scope
+
+    with scratch_scope(spark):
+        inner = materialize(spark.range(3), "inner")
+        files = inner.inputFiles()
+        assert inner.count() == 3
+    assert not any(os.path.exists(urllib.parse.urlparse(f).path) for f in files)
+    assert list(batches([], 10)) == [] and list(batches([None, "abc", "d"], 3)) == [(0, 2), (2, 3)]
+
+
+def test_op1_of_empty_and_repeated_urls(spark, tmp_path):
+    rows = [(1, "http://a.example.com/x"), (1, "http://a.example.com/x"), (2, None), (3, "x" * 200_000)]
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, "page_id long, url string").write.parquet(f"file://{tmp_path}/{name}/pages.parquet")
+    out = queries.op1_url_filter(spark, f"file://{tmp_path}/some").collect()
+    assert sorted(r.page_id for r in out) == [1, 1, 2, 3] and all(r.verdict == "allow" for r in out)
+    assert queries.op1_url_filter(spark, f"file://{tmp_path}/none").count() == 0
+
+
 # --- WARC
 
 
