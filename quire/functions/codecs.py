@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +160,25 @@ def normalized_angle(a: Column) -> Column:
     """An angle in radians to 0 up to two pi."""
     turn = 6.283185307179586
     return a - F.floor(a / turn) * turn
+
+
+def pitch(width: Column, components: Column | int, bits: Column | int, padded_to: int = 1) -> Column:
+    """Bytes of a row of samples, padded to so many bytes."""
+    whole = 8 * padded_to
+    return (F.floor((width * components * bits + whole - 1) / whole) * padded_to).cast("long")
+
+
+def vertex_bounds(vertices: DataFrame, keys: list[str], command: str = "cmd") -> DataFrame:
+    """vertices: keys, x, y, command -> one box for each path, of its vertices only: ends of polygons have no place. Control points count."""
+    at = is_vertex(F.col(command))
+    sides = [f(F.when(at, F.col(c))).alias(n) for f, c, n in ((F.min, "x", "left"), (F.min, "y", "top"), (F.max, "x", "right"), (F.max, "y", "bottom"))]
+    return vertices.groupBy(*keys).agg(*sides).where(F.col("left").isNotNull())
+
+
+def bessel(order: int, x: Column, terms: int = 40) -> Column:
+    """The Bessel function of the first kind of a whole order by its power series; so many terms are enough for arguments up to about 20."""
+    half = x / 2
+    first = F.pow(half, F.lit(order)) / float(math.factorial(order))
+    step = lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (-s["term"] * half * half / ((k + 1) * (k + 1 + order))).alias("term"))
+    start = F.struct(F.lit(0.0).alias("sum"), first.cast("double").alias("term"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step)["sum"]

@@ -225,3 +225,24 @@ def ycck_to_rgb(y, cb, cr, k) -> Column:
     """Inverted CMYK behind a luma-chroma transform: RGB of the first three, scaled by the fourth as light."""
     plain = ycc_to_rgb(y, cb, cr)
     return rgb(*[F.floor(plain[n] * _c(k) / 255).cast("int") for n in "rgb"])
+
+
+#: Wavelengths in nanometres between which the colours of the spectrum change: violet, blue, cyan, green, yellow, red, end.
+SPECTRUM = (380, 440, 490, 510, 580, 645, 780)
+
+
+def wavelength_to_rgb(nm: Column, gamma: float = 1.0) -> Column:
+    """struct<r, g, b> of doubles from 0 to 1: straight lines between the spectrum's bounds, dimmer at both ends; outside of it black."""
+    violet, blue, cyan, green, yellow, red, end = (float(x) for x in SPECTRUM)
+
+    def line(low: float, high: float) -> Column:
+        return (nm - low) / (high - low)
+
+    def within(low: float, high: float) -> Column:
+        return (nm >= low) & (nm <= high)
+
+    r = F.when(within(violet, blue), 1 - line(violet, blue)).when(within(green, yellow), line(green, yellow)).when(within(yellow, end), 1.0).otherwise(0.0)
+    g = F.when(within(blue, cyan), line(blue, cyan)).when(within(cyan, yellow), 1.0).when(within(yellow, red), 1 - line(yellow, red)).otherwise(0.0)
+    b = F.when(within(violet, cyan), 1.0).when(within(cyan, green), 1 - line(cyan, green)).otherwise(0.0)
+    dim = F.when(nm > 700, 0.3 + 0.7 * (end - nm) / 80).when(nm < 420, 0.3 + 0.7 * (nm - violet) / 40).otherwise(1.0)
+    return F.struct(*[F.pow(F.greatest(c * dim, F.lit(0.0)), F.lit(gamma)).alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))])

@@ -204,6 +204,11 @@ def transform_rect(m: Column, r: Column) -> Column:
     return bounds_of_points(F.transform(quad(r), lambda p: transform_point(m, p["x"], p["y"])))
 
 
+def unit_box(m: Column, device: Column | None = None) -> Column:
+    """The box that an image takes: the unit square under its matrix, and then under the device's."""
+    return transform_rect(m if device is None else multiply(m, device), rect(0, 0, 1, 1))
+
+
 def decomposed(m: Column) -> Column:
     """struct<x_unit, y_unit, rotation>; rotation in radians."""
     return F.struct(F.hypot(m["a"], m["b"]).alias("x_unit"), F.hypot(m["c"], m["d"]).alias("y_unit"), F.atan2(m["b"], m["a"]).alias("rotation"))

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.sniff import big_endian
 
 
+#: Fixed values (JPEG 2000, annex F): the lifting factors of the irreversible 9-7 wavelet, and the scale of its low band.
+LIFTING = (-1.586134342059924, -0.052980118572961, 0.882911075530934, 0.443506852043971)
+LOW_SCALE = 1.230174104914001
+
+
 def samples(images: DataFrame) -> DataFrame:
     """images: img_id, data, width, height, components, bits (1, 2, 4, 8) -> img_id, x, y, c, v: every sample, rows padded to bytes, high bits first.
 
@@ -85,3 +90,75 @@ def lowered(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     even = rows.withColumn("_e", F.when(~odd, F.col(value) - F.floor((around + 2) / 4)))
     before, after = F.lag("_e").over(w), F.lead("_e").over(w)
     return even.withColumn(value, F.when(odd, F.col(value) + F.floor((F.coalesce(before, after) + F.coalesce(after, before)) / 2)).otherwise(F.col("_e")).cast("long")).drop("_e")
+
+
+def _moved(rows: DataFrame, keys: list[str], at: str, value: str, odd: int, factor: float) -> DataFrame:
+    """Places of one parity moved by a factor of the sum of both neighbours; both ends are mirrored."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    before, after = F.lag(value).over(w), F.lead(value).over(w)
+    around = F.coalesce(before, after, F.lit(0.0)) + F.coalesce(after, before, F.lit(0.0))
+    return rows.withColumn(value, F.when(F.col(at) % 2 == odd, F.col(value) + factor * around).otherwise(F.col(value)))
+
+
+def lifted_smooth(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """One level of the irreversible 9-7 wavelet along a row: four liftings by windows over one shuffle, then both bands are scaled. A row of one sample stays."""
+    out = rows.withColumn(value, F.col(value).cast("double"))
+    for k, factor in enumerate(LIFTING):
+        out = _moved(out, keys, at, value, 1 - k % 2, factor)
+    single = F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1
+    return out.withColumn(value, F.when(single, F.col(value)).when(F.col(at) % 2 == 1, F.col(value) * LOW_SCALE).otherwise(F.col(value) / LOW_SCALE))
+
+
+def lowered_smooth(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """Undoes ``lifted_smooth``."""
+    single = F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1
+    out = rows.withColumn(value, F.when(single, F.col(value)).when(F.col(at) % 2 == 1, F.col(value) / LOW_SCALE).otherwise(F.col(value) * LOW_SCALE))
+    for k, factor in reversed(list(enumerate(LIFTING))):
+        out = _moved(out, keys, at, value, 1 - k % 2, -factor)
+    return out
+
+
+def jp2_boxes(images: DataFrame) -> DataFrame:
+    """images: img_id, data -> img_id, k, parent, type, offset, header, length, whole: the boxes of a JP2 file and those within its header box.
+
+    A length of 1 stands for one of 64 bits after the type, 0 for all that is left. A box shorter than its own header ends the walk; one that the data cuts short isn't whole.
+    """
+    kind = images.schema["img_id"].dataType.simpleString()
+
+    def boxes(data: bytes) -> list[tuple]:
+        rows, ahead = [], [(0, len(data), None)]
+        while ahead:
+            at, end, parent = ahead.pop()
+            if at + 8 > end:
+                continue
+            length, name, header = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode("latin-1"), 8
+            if length == 1:
+                length, header = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+            elif length == 0:
+                length = end - at
+            if length < header:
+                continue
+            rows.append((len(rows), parent, name, at, header, length, at + length <= end))
+            ahead.append((at + length, end, parent))
+            if name == "jp2h":
+                ahead.append((at + header, min(at + length, end), name))
+        return rows
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for img, data in zip(part["img_id"], part["data"], strict=True):
+                if rows := boxes(data):
+                    yield pd.DataFrame([(img, *r) for r in rows], columns=["img_id", "k", "parent", "type", "offset", "header", "length", "whole"])
+
+    signed = images.where(F.startswith(F.col("data"), F.lit(b"\x00\x00\x00\x0cjP  \r\n\x87\n"))).select("img_id", "data")
+    return signed.mapInPandas(run, f"img_id {kind}, k int, parent string, type string, offset long, header int, length long, whole boolean")
+
+
+def palette_mapped(samples: DataFrame, palettes: DataFrame) -> DataFrame:
+    """samples: img_id, x, y, v; palettes: img_id, entry, c, level -> img_id, x, y, c, v: each index becomes one sample a channel, an equi-join.
+
+    An index past the last entry takes the last one; images without a palette are left out.
+    """
+    last = palettes.groupBy("img_id").agg(F.max("entry").alias("last"))
+    placed = samples.join(last, "img_id").withColumn("entry", F.greatest(F.least(F.col("v"), F.col("last")), F.lit(0)))
+    return placed.join(palettes, ["img_id", "entry"]).select("img_id", "x", "y", "c", F.col("level").alias("v"))

@@ -121,7 +121,7 @@ def ascii85(data: bytes) -> bytes:
 
 
 def predicted(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns: int = 1) -> bytes:
-    """Undoes a TIFF (2, 8 bits) or PNG (10 and more) predictor. Sizes that make no sense leave the data as it is."""
+    """Undoes a TIFF (2; 1, 8 or 16 bits) or PNG (10 and more) predictor. Sizes that make no sense leave the data as it is."""
     if min(colors, bits, columns) < 1 or colors * bits * columns > 1 << 31:
         return data
     pixel, row = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
@@ -129,6 +129,16 @@ def predicted(data: bytes, predictor: int, colors: int = 1, bits: int = 8, colum
         whole = len(data) // row * row
         rows = np.frombuffer(data[:whole], np.uint8).reshape(-1, columns, colors)
         return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes() + data[whole:]
+    if predictor == 2 and bits == 16:
+        whole = len(data) // row * row
+        rows = np.frombuffer(data[:whole], ">u2").astype(np.uint16).reshape(-1, columns, colors)
+        return np.cumsum(rows, axis=1, dtype=np.uint16).astype(">u2").tobytes() + data[whole:]
+    if predictor == 2 and bits == 1:
+        whole = len(data) // row * row
+        every = np.unpackbits(np.frombuffer(data[:whole], np.uint8).reshape(-1, row), axis=1)
+        used = colors * columns
+        every[:, :used] = np.bitwise_xor.accumulate(every[:, :used].reshape(-1, columns, colors), axis=1).reshape(-1, used)
+        return np.packbits(every, axis=1).tobytes() + data[whole:]
     if predictor < 10:
         return data
     out, above = [], np.zeros(row, np.uint8)
