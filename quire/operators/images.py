@@ -133,7 +133,7 @@ def jp2_boxes(images: DataFrame) -> DataFrame:
                 continue
             length, name, header = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode("latin-1"), 8
             if length == 1:
-                length, header = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+                length, header = min(int.from_bytes(data[at + 8 : at + 16], "big"), (1 << 63) - 1), 16
             elif length == 0:
                 length = end - at
             if length < header:

@@ -15,6 +15,7 @@ from .operators import content, crypto, forms, images, lookup, raster
 from .operators import text as search
 from .plans.extract import Documents
 from .sources import filters, pdf
+from .sources.scan import spread
 from .sources.walk import scratch
 from .streaming import windows
 
@@ -36,7 +37,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
+    docs = spread(spark, f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", pdf.from_text(F.col("text")).alias("content"))
 
 
@@ -74,7 +75,7 @@ def pdf_header(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def codec_roundtrip(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    docs = spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "utf-8").alias("raw"))
     chain = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ASCII85Decode"), F.lit("FlateDecode"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("ASCIIHexDecode"), F.lit("LZWDecode"))).otherwise(F.array(F.lit("RunLengthDecode")))
     coded = docs.withColumn("filters", chain).withColumn("coded", filters.encoded(F.col("raw"), F.col("filters")))
     return coded.select("doc_id", F.md5(filters.decoded(F.col("coded"), F.col("filters"), F.lit(None).cast("array<map<string,bigint>>"))).alias("digest"))
@@ -82,7 +83,7 @@ def codec_roundtrip(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def rc4_roundtrip(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(spark, f"{sf_dir}/documents.parquet")
     key = T.object_key(F.lit(b"12345"), F.col("doc_id") % 1000, F.lit(0))
     return docs.select("doc_id", F.md5(crypto.rc4(key, crypto.rc4(key, F.encode("text", "utf-8")))).alias("digest"))
 
