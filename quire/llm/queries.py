@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, url_filter, warc
+from . import decontaminate, fill_middle, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, url_filter, warc
 from .common import materialize, scratch_path
 
 URL_RULES = [
@@ -144,8 +144,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, name = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    m = F.col(name)
+    cut = m["form"] != "plain"
+    return made.select(
+        "doc_id",
+        m["n"].alias("n"),
+        m["form"].alias("form"),
+        F.when(cut, F.length(m["prefix"]).cast("long")).alias("prefix_chars"),
+        F.when(cut, F.length(m["middle"]).cast("long")).alias("middle_chars"),
+        F.sha2(m["output"].cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(m["output"], m["form"]).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_url_filter, op2_decontamination, op3_near_dedup, op4_packing, op5_warc, op6_sharding, op7_lm_score, op8_language_id, op9_quality_rules, op10_html_text]
+    made = [op1_url_filter, op2_decontamination, op3_near_dedup, op4_packing, op5_warc, op6_sharding, op7_lm_score, op8_language_id, op9_quality_rules, op10_html_text, op13_fill_middle]
     return {f.__name__: f for f in made}
 
 
@@ -173,6 +188,16 @@ ORACLE = {
         q AS (SELECT *, n >= 1000 AND page_id < max(page_id) OVER (PARTITION BY digest) AS again, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
         SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN again THEN last END AS refers_to FROM q""",
+    "op13_fill_middle": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS s, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(s, '[A-Za-z]+|[^A-Za-z]') AS p, [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT FOR k IN range(4)] AS r FROM t),
+        c AS (SELECT *, len(p) AS n, least(r[1] % (len(p) + 1), r[2] % (len(p) + 1)) AS a, greatest(r[1] % (len(p) + 1), r[2] % (len(p) + 1)) AS b FROM u),
+        f AS (SELECT *, CASE WHEN s = '' OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+                             WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                     array_to_string(p[1 : a], '') AS x, array_to_string(p[a + 1 : b], '') AS y, array_to_string(p[b + 1 :], '') AS z FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+               sha256(s) AS restored_sha256 FROM f""",
 }
 
 
