@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, url_filter, warc
+from . import decontaminate, fill_middle, hard_negatives, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, toxicity, url_filter, warc
 from .common import materialize, scratch_path
 
 URL_RULES = [
@@ -144,6 +144,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = toxicity.fit(toxicity.training_keys(labels.where(~held_out), "doc_id", "toxic"), docs, "doc_id", "text")
+    scored, name = toxicity.find(docs, "text", model)
+    t = F.col(name)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), t["probability"].alias("score"), (t["probability"] >= 0.5).cast("int").alias("predicted"),
+        F.size(t["passages"]).cast("long").alias("n_passages"), t["evidence"].alias("evidence"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved first, as noise; ids divisible by 100 are the anchors."""
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = table.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    rows = materialize(hard_negatives.vectors(moved, "vec_id", "embedding", "label"), "rows")
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0").select("id"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, name = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     m = F.col(name)
@@ -160,7 +180,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_url_filter, op2_decontamination, op3_near_dedup, op4_packing, op5_warc, op6_sharding, op7_lm_score, op8_language_id, op9_quality_rules, op10_html_text, op13_fill_middle]
+    made = [op1_url_filter, op2_decontamination, op3_near_dedup, op4_packing, op5_warc, op6_sharding, op7_lm_score, op8_language_id, op9_quality_rules, op10_html_text, op11_toxicity, op12_hard_negatives, op13_fill_middle]
     return {f.__name__: f for f in made}
 
 
@@ -188,6 +208,15 @@ ORACLE = {
         q AS (SELECT *, n >= 1000 AND page_id < max(page_id) OVER (PARTITION BY digest) AS again, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
         SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN again THEN last END AS refers_to FROM q""",
+    "op12_hard_negatives": """
+        WITH t AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS x FROM embeddings),
+        r AS (SELECT id, label, [floor(256 * c::DOUBLE) FOR c IN x] AS v FROM t
+              WHERE id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+        n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank, other AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op13_fill_middle": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS s, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
         u AS (SELECT *, regexp_extract_all(s, '[A-Za-z]+|[^A-Za-z]') AS p, [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT FOR k IN range(4)] AS r FROM t),
