@@ -15,7 +15,7 @@ OPERATIONS = "doc_id long, page_index int, op_seq int, op string, args array<str
 OBJECTS = (
     "doc_id long, page_index int, seq int, type string, matrix struct<a:double,b:double,c:double,d:double,e:double,f:double>, text binary, font string, size double, "
     "char_space double, word_space double, scale double, render_mode int, fill array<double>, stroke array<double>, paint string, "
-    "segments array<struct<op:string,pts:array<double>>>"
+    "segments array<struct<op:string,pts:array<double>>>, line int, base struct<a:double,b:double,c:double,d:double,e:double,f:double>, lead double, state_font string"
 )
 PAINTS = frozenset("S s f F f* B B* b b*".split())
 UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -53,27 +53,40 @@ def _times(m: tuple, n: tuple) -> tuple:
     return (a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + l)
 
 
-def fold(doc, page, ops: list[tuple[str, list[dict]]], compat: bool) -> list[dict]:
-    """The page objects that one page's operations draw. compat: the order of ``cm`` is reversed, BT forgets the font, and modes are one too high."""
-    state = {"ctm": UNIT, "fill": [0.0], "stroke": [0.0], "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0, "Tr": 0}
-    saved, out, path, tm, tlm = [], [], [], UNIT, UNIT
+def fold(doc, page, ops: list[tuple[str, list[dict]]], compat: bool, inherit: bool = False) -> list[dict]:
+    """The page objects that one page's operations draw. compat: the order of ``cm`` is reversed, BT forgets the font, and modes are one too high.
+
+    ``matrix`` of a text moves on by half the size for each byte before it. What doesn't depend on the font is given besides, for
+    ``typeset``: the ``line`` within which advances add up, its matrix ``base``, and the ``lead`` that numbers in TJ add before the string,
+    as a share of the size. inherit: what the operations don't set is null, as the programme is run by another.
+    """
+    zero, whole, black = (None, None, None) if inherit else (0.0, 100.0, [0.0])
+    state = {"ctm": UNIT, "fill": black, "stroke": black, "font": None, "size": zero, "Tc": zero, "Tw": zero, "Tz": whole, "TL": 0.0, "Ts": 0.0, "Tr": None if inherit else 0}
+    saved, out, path, tm, tlm, lines, lead = [], [], [], UNIT, UNIT, 0, 0.0
 
     def emit(kind: str, matrix: tuple, **more) -> None:
         row = dict(
             doc_id=doc, page_index=page, seq=len(out), type=kind, matrix=dict(zip("abcdef", matrix, strict=True)), text=None, font=state["font"], size=state["size"], char_space=state["Tc"],
-            word_space=state["Tw"], scale=state["Tz"] / 100, render_mode=(state["Tr"] + compat) % 8, fill=state["fill"], stroke=state["stroke"], paint=None, segments=None,
+            word_space=state["Tw"], scale=None if state["Tz"] is None else state["Tz"] / 100, render_mode=None if state["Tr"] is None else (state["Tr"] + compat) % 8, fill=state["fill"],
+            stroke=state["stroke"], paint=None, segments=None, line=None, base=None, lead=None, state_font=None,
         )
         out.append(row | more)
 
     def show(data: bytes) -> None:
-        nonlocal tm
-        emit("text", _times(tm, state["ctm"]), text=data)
-        advance = ((0.5 * state["size"] + state["Tc"]) * len(data) + state["Tw"] * data.count(b" ")) * state["Tz"] / 100
-        tm = _times((1.0, 0.0, 0.0, 1.0, advance, 0.0), tm)
+        nonlocal tm, lead
+        base = _times(_times((1.0, 0.0, 0.0, 1.0, 0.0, state["Ts"]), tlm), state["ctm"])
+        emit("text", _times(tm, state["ctm"]), text=data, line=lines, base=dict(zip("abcdef", base, strict=True)), lead=lead)
+        lead = 0.0 if data else lead
+        size, between, spaces, scale = (state[x] or 0.0 for x in ("size", "Tc", "Tw", "Tz"))
+        tm = _times((1.0, 0.0, 0.0, 1.0, ((0.5 * size + between) * len(data) + spaces * data.count(b" ")) * scale / 100, 0.0), tm)
+
+    def begin(matrix: tuple) -> None:
+        nonlocal tm, tlm, lines, lead
+        tm = tlm = matrix
+        lines, lead = lines + 1, 0.0
 
     def line(x: float, y: float) -> None:
-        nonlocal tm, tlm
-        tlm = tm = _times((1.0, 0.0, 0.0, 1.0, x, y), tlm)
+        begin(_times((1.0, 0.0, 0.0, 1.0, x, y), tlm))
 
     for op, args in ops:
         nums = [a["num"] for a in args if a["num"] is not None]
@@ -104,10 +117,11 @@ def fold(doc, page, ops: list[tuple[str, list[dict]]], compat: bool) -> list[dic
         elif op == "n":
             path = []
         elif op == "BT":
-            tm = tlm = UNIT
+            begin(UNIT)
             if compat:
                 state |= {"font": None, "size": 0.0}
         elif op == "Tf" and nums:
+            lead *= (state["size"] or nums[0]) / nums[0] if nums[0] else 0.0
             state |= {"font": next((a["name"] for a in args if a["name"]), None), "size": nums[0]}
         elif op in ("Tc", "Tw", "Tz", "TL", "Ts") and nums:
             state[op] = nums[0]
@@ -118,7 +132,7 @@ def fold(doc, page, ops: list[tuple[str, list[dict]]], compat: bool) -> list[dic
                 state["TL"] = -nums[1]
             line(*nums)
         elif op == "Tm" and len(nums) == 6:
-            tm = tlm = tuple(nums)
+            begin(tuple(nums))
         elif op == "T*":
             line(0.0, -state["TL"])
         elif op in ("Tj", "'", '"'):
@@ -133,22 +147,24 @@ def fold(doc, page, ops: list[tuple[str, list[dict]]], compat: bool) -> list[dic
                 if a["str"] is not None:
                     show(a["str"])
                 elif a["num"] is not None:
-                    tm = _times((1.0, 0.0, 0.0, 1.0, -a["num"] / 1000 * state["size"] * state["Tz"] / 100, 0.0), tm)
+                    lead -= a["num"] / 1000
+                    tm = _times((1.0, 0.0, 0.0, 1.0, -a["num"] / 1000 * (state["size"] or 0.0) * (state["Tz"] or 0.0) / 100, 0.0), tm)
         elif op == "Do":
-            emit("xobject", state["ctm"], font=next((a["name"] for a in args if a["name"]), None))
+            emit("xobject", state["ctm"], font=next((a["name"] for a in args if a["name"]), None), state_font=state["font"])
     return out
 
 
-def page_objects(contents: DataFrame, compat: bool = False) -> DataFrame:
-    """Text, path and XObject rows in drawing order of (doc_id, page_index, data): an ordered fold over each page, without a shuffle."""
+def page_objects(contents: DataFrame, compat: bool = False, inherit: bool = False) -> DataFrame:
+    """Text, path and XObject rows in drawing order of (doc_id, page_index, data): an ordered fold over each page, without a shuffle. inherit: see ``fold``."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "page_index", "seq", "type", "matrix", "text", "font", "size", "char_space", "word_space", "scale", "render_mode", "fill", "stroke", "paint", "segments"]
+        columns += ["line", "base", "lead", "state_font"]
         for part in parts:
             rows = [
                 row
                 for doc, page, data in zip(part["doc_id"], part["page_index"], part["data"], strict=True)
-                for row in fold(doc, page, [(op, arguments(x)) for op, x in syntax.operations(data or b"")], compat)
+                for row in fold(doc, page, [(op, arguments(x)) for op, x in syntax.operations(data or b"")], compat, inherit)
             ]
             if rows:
                 yield pd.DataFrame(rows, columns=columns)

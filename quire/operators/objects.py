@@ -90,8 +90,8 @@ def page_boxes(table: DataFrame, tree: DataFrame) -> DataFrame:
     return out.select("doc_id", "page_index", "obj_num", *BOXES)
 
 
-def resources(table: DataFrame, tree: DataFrame, category: str) -> DataFrame:
-    """(doc_id, obj_num, name, ref_obj): what a page's own or inherited resources call by a name. category: Font, XObject, Pattern, Shading ..."""
+def named_resources(table: DataFrame, category: str) -> DataFrame:
+    """(doc_id, owner, name, ref_obj): what the resources of a page, page tree node or form call by a name. category: Font, XObject, Pattern, Shading ..."""
     part = lambda k: F.get("path", F.lit(k))
     refs = table.where(F.col("kind") == "ref")
     direct = refs.where((F.size("path") == 3) & (part(0) == "Resources") & (part(1) == category)).select("doc_id", F.col("obj_num").alias("owner"), part(2).alias("name"), "ref_obj")
@@ -99,9 +99,13 @@ def resources(table: DataFrame, tree: DataFrame, category: str) -> DataFrame:
     elsewhere = refs.where(F.array_join("path", ".") == "Resources").select("doc_id", F.col("obj_num").alias("owner"), F.col("ref_obj").alias("held"))
     apart = refs.where(F.array_join("path", ".") == f"Resources.{category}").select("doc_id", F.col("obj_num").alias("owner"), F.col("ref_obj").alias("held"))
     top = refs.where(F.size("path") == 1).select("doc_id", F.col("obj_num").alias("held"), part(0).alias("name"), "ref_obj")
-    found = direct.unionByName(elsewhere.join(listed, ["doc_id", "held"]).drop("held")).unionByName(apart.join(top, ["doc_id", "held"]).drop("held"))
+    return direct.unionByName(elsewhere.join(listed, ["doc_id", "held"]).drop("held")).unionByName(apart.join(top, ["doc_id", "held"]).drop("held"))
+
+
+def resources(table: DataFrame, tree: DataFrame, category: str) -> DataFrame:
+    """(doc_id, obj_num, name, ref_obj): what a page's own or inherited resources call by a name."""
     owners = inherited(tree, table, "Resources")
-    return owners.join(found, ["doc_id", "owner"]).select("doc_id", "obj_num", "name", "ref_obj")
+    return owners.join(named_resources(table, category), ["doc_id", "owner"]).select("doc_id", "obj_num", "name", "ref_obj")
 
 
 def fonts(table: DataFrame) -> DataFrame:

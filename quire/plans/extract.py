@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import content
+from ..operators import content, drawing, typeset
 from ..sources import pdf
 
 
@@ -51,6 +51,20 @@ class Documents:
     def objects(self) -> DataFrame:
         return self._table("objects", lambda: content.page_objects(self.contents))
 
+    @property
+    def streams(self) -> DataFrame:
+        return self._table("streams", lambda: pdf.streams(self.nodes))
+
+    @property
+    def drawn(self) -> DataFrame:
+        """Page objects with those of the form XObjects that run."""
+        return self._table("drawn", lambda: drawing.drawn(self.nodes, self.tree, self.streams, self.contents))
+
+    @property
+    def glyphs(self) -> DataFrame:
+        """Characters set in their fonts, forms included."""
+        return self._table("glyphs", lambda: typeset.glyphs(self.drawn, self.nodes, self.streams))
+
     @property
     def text(self) -> DataFrame:
         return content.page_text(self.objects)
