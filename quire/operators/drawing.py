@@ -50,6 +50,7 @@ def runs(table: DataFrame, tree: DataFrame, calls: DataFrame) -> DataFrame:
     m = F.col("m")
     known = written(found.withColumn("m", F.struct(*[m[k].alias(c) for k, c in enumerate("abcdef")])), scratch(table.sparkSession))
     owners = pdf.inherited(tree, table, "Resources")
+    calls = calls.select("doc_id", "obj_num", "seq", "font", "matrix", "state_font", *[c for c in STATE if c not in ("font", "font_owner")])
     first = {
         "font": F.lit(None).cast("string"), "font_owner": F.lit(None).cast("int"), "size": F.lit(0.0), "char_space": F.lit(0.0), "word_space": F.lit(0.0), "scale": F.lit(1.0), "render_mode": F.lit(0),
         "fill": F.array(F.lit(0.0)), "stroke": F.array(F.lit(0.0)),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charcodes as CC
 from ..functions import text as T
+from ..sources.walk import scratch, written
 from . import lookup, objects
 
 #: Thousandths of the size for a simple font without widths, and for a composite one.
@@ -110,7 +111,8 @@ def shifted(text: Column, by: Column) -> Column:
 def codes(drawn: DataFrame, table: DataFrame, streams: DataFrame) -> DataFrame:
     """A row for each code that is shown: the keys and state of ``drawing.drawn``, k (its place in the string), n (of codes there), code, space (a single byte 32), and the font's coding."""
     named = objects.named_resources(table, "Font").select("doc_id", F.col("owner").alias("font_owner"), F.col("name").alias("font"), F.col("ref_obj").alias("font_obj"))
-    shown = drawn.where("type = 'text'").join(named, ["doc_id", "font_owner", "font"], "left").join(font_codings(table, streams), ["doc_id", "font_obj"], "left")
+    codings = written(font_codings(table, streams), scratch(table.sparkSession))
+    shown = drawn.where("type = 'text'").join(named, ["doc_id", "font_owner", "font"], "left").join(codings, ["doc_id", "font_obj"], "left")
     scheme = F.coalesce("scheme", F.lit("one"))
     cut = shown.withColumn("cut", CC.codes(F.col("text"), scheme, F.coalesce("leads", F.array().cast(CC.RANGES)), F.coalesce("spaces", F.array().cast("array<struct<low:string,high:string>>"))))
     keep = ["doc_id", "page_index", "run", "place", "place_text", "seq", "line", "base", "lead", "size", "char_space", "word_space", "scale", "font_obj", "simple", "coding", "vertical", "to_unicode", "cmap", "fallback", "below"]
@@ -125,11 +127,14 @@ def glyphs(drawn: DataFrame, table: DataFrame, streams: DataFrame) -> DataFrame:
     ch is what the font's ToUnicode map says; without one the byte of a simple font in PDFDocEncoding, or the code of a code map in Unicode; else null.
     Empty strings move what follows by their lead alone. Codes and widths are looked up once for each font and code, not for each character.
     """
-    rows = codes(drawn, table, streams)
-    used = rows.where("font_obj IS NOT NULL").select("doc_id", "font_obj", "code", "simple", "cmap", "to_unicode", "below").distinct()
+    def kept(df: DataFrame) -> DataFrame:
+        return written(df, scratch(table.sparkSession))  # used several times below: else plans grow with the number of ways to them
+
+    rows = kept(codes(drawn, table, streams))
+    used = kept(rows.where("font_obj IS NOT NULL").select("doc_id", "font_obj", "code", "simple", "cmap", "to_unicode", "below").distinct())
     one_key = F.concat_ws("/", "doc_id", "cmap"), F.concat_ws("/", "doc_id", "to_unicode")
     wanted_maps = used.select("doc_id", F.explode(F.array("cmap", "to_unicode")).alias("obj_num")).where("obj_num IS NOT NULL").distinct()
-    bodies = streams.join(wanted_maps, ["doc_id", "obj_num"], "left_semi").select(F.concat_ws("/", "doc_id", "obj_num").alias("font_id"), F.decode("data", "ISO-8859-1").alias("body"))
+    bodies = kept(streams.join(wanted_maps, ["doc_id", "obj_num"], "left_semi").select(F.concat_ws("/", "doc_id", "obj_num").alias("font_id"), F.decode("data", "ISO-8859-1").alias("body")))
     from . import text as text_operators
 
     known = used.withColumn("cmap_id", one_key[0]).withColumn("unicode_id", one_key[1])
@@ -139,7 +144,7 @@ def glyphs(drawn: DataFrame, table: DataFrame, streams: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("text", (F.col("code") - F.col("low")).alias("by")), F.struct(F.expr("high - low"), "text")).alias("u")
     said = lookup.grouped_ranges(by_unicode, ["font_id"], "code", unicode_ranges(bodies), first).select(F.col("font_id").alias("unicode_id"), "code", shifted(F.col("u.text"), F.col("u.by")).alias("said"))
     named = known.join(cid, ["cmap_id", "code"], "left").join(said, ["unicode_id", "code"], "left")
-    named = named.withColumn("cid", F.when(F.col("simple"), F.col("code")).when(F.col("cmap").isNull(), F.col("code")).otherwise(F.coalesce("cid", F.lit(0))))
+    named = kept(named.withColumn("cid", F.when(F.col("simple") | F.col("cmap").isNull(), F.col("code")).otherwise(F.coalesce("cid", F.lit(0)))))
     simple = lookup.grouped_ranges(named.where("simple").select("doc_id", "font_obj", "code"), ["doc_id", "font_obj"], "code", simple_widths(table), F.max("width").alias("width"))
     asked = named.where("NOT simple AND below IS NOT NULL").select("doc_id", "below", "cid").distinct()
     composite = lookup.grouped_ranges(asked, ["doc_id", "below"], "cid", cid_widths(table), F.max("width").alias("cid_width"))
