@@ -6,11 +6,16 @@ words out, so a text isn't explained by itself; a word that no other document ha
 of log S over its words, and per word. One start mark precedes the first word; contexts don't reach beyond it, and what a
 document's beginning lacks of a context costs nothing.
 
-Documents are exploded to rows (document, n-gram, count), one a document and n-gram, and shuffled by the n-gram's hash. The
-counts are a table, summed by that hash, and joined to the same rows without another shuffle; what other documents have
-is gathered by document and goes through the backoff of its words.
+Distinct texts are exploded to rows (text, n-gram, count), one a text and n-gram, and shuffled by the n-gram's hash; copies of a text count
+as often as there are copies, and are scored once. The counts are a table, summed by that hash, and joined to the same rows without another shuffle; what
+the documents have in all is gathered by text and goes, less the text's own, through the backoff of its words.
 
-Defined results: a null text, or one without words, has n_words 0 and null scores. Repeated rows are scored alike.
+N-grams that ``SHARE`` of all documents have or more would each be a row a document in one task. There are few of them (a document's n-grams over ``SHARE`` at
+most, on average), so they aren't exploded: they are found and counted where the texts are read, in batches that are summed before
+anything is shuffled, and looked up there again. The start mark's count is the number of documents with words.
+
+Defined results: a null text, or one without words, has n_words 0 and null scores. Repeated rows are scored alike. A text of any length is one
+row of its n-grams. Result columns whose names the key column has get leading underscores.
 """
 
 from __future__ import annotations
@@ -23,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, col, long_texts, materialize, mix, word_bytes
+from .common import Memo, batches, col, fresh, long_texts, materialize, mix, word_bytes
 
 BACKOFF = 0.4
 START = np.uint64(0x5354415254)
+#: Of documents that have an n-gram, from which it is common; the most n-grams that are taken for common (others are exploded as any are).
+SHARE, MOST_COMMON = 0.01, 200_000
 
 
 def _hashes() -> Memo:
@@ -59,36 +66,84 @@ def _place(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
-def _exploded(order: int):
-    """Rows (key, h, n): how often a document has an n-gram of 1 to ``order`` words."""
+def _grams(texts: list, hashes: Memo, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text's place, n-gram, how often it has it), once a text and n-gram, and the words of each text; the start mark alone is no n-gram here. In stretches of a million characters."""
+    for start, end in batches(texts, 1_000_000):
+        seq, sizes = _tokens(texts[start:end], hashes)
+        held = sizes + (sizes > 0)
+        doc = np.repeat(np.arange(len(sizes)), held)
+        at = np.arange(len(seq)) - np.repeat(np.cumsum(held) - held, held)
+        docs, found, counts = [], [], []
+        for k, h in enumerate(_ngrams(seq, order)):
+            whole = at >= max(k, 1)
+            d, h = doc[whole], h[whole]
+            _, first, n = np.unique(mix(mix(d.astype(np.uint64) + np.uint64(1)) ^ h), return_index=True, return_counts=True)
+            docs.append(d[first])
+            found.append(h[first])
+            counts.append(n)
+        yield np.concatenate(docs) + start, np.concatenate(found), np.concatenate(counts), sizes
+
+
+def _frequent(order: int, share: float):
+    """Rows (h, part) of the n-grams that ``share`` of a stretch's texts or more have: each n-gram that this share of all has is among them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _hashes()
+        for part in parts:
+            for _, h, _, sizes in _grams(part["text"].tolist(), hashes, order):
+                some, n = np.unique(h, return_counts=True)
+                often = (n >= share * len(sizes)) & (n > 1)
+                yield pd.DataFrame({"h": some[often].view(np.int64), "part": n[often] / len(sizes)})
+
+    return run
+
+
+def _counted(order: int, wanted: np.ndarray):
+    """Rows (h, total, docs) of the ``wanted`` n-grams, summed by stretch; and one of all words and the texts that have any, with h null."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _hashes()
+        for part in parts:
+            for _, h, n, sizes in _grams(part["text"].tolist(), hashes, order):
+                at, there = _place(wanted, h)
+                total, docs = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+                np.add.at(total, at[there], n[there])
+                np.add.at(docs, at[there], 1)
+                held = np.flatnonzero(docs)
+                yield pd.DataFrame({"h": pd.array([*wanted[held].view(np.int64), None], "Int64"), "total": [*total[held], int(sizes.sum())], "docs": [*docs[held], int((sizes > 0).sum())]})
+
+    return run
+
+
+def _exploded(order: int, common: np.ndarray):
+    """Rows (key, h, n, m): how often all copies of a text have an n-gram of 1 to ``order`` words that isn't common, and the copies."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _hashes()
         for part in parts:
-            texts, keys = part["text"].tolist(), part["key"].to_numpy(np.int64)
-            for start, end in batches(texts, 1_000_000):
-                seq, sizes = _tokens(texts[start:end], hashes)
-                if not len(seq):
-                    continue
-                held = sizes + (sizes > 0)
-                doc = np.repeat(np.arange(len(sizes)), held)
-                at = np.arange(len(seq)) - np.repeat(np.cumsum(held) - held, held)
-                for k, h in enumerate(_ngrams(seq, order)):
-                    whole = at >= k
-                    d, h = doc[whole], h[whole]
-                    _, first, n = np.unique(mix(mix(d.astype(np.uint64) + np.uint64(1)) ^ h), return_index=True, return_counts=True)
-                    yield pd.DataFrame({"key": keys[start:end][d[first]], "h": h[first].view(np.int64), "n": n.astype(np.int32)})
+            keys, copies = part["key"].to_numpy(np.int64), part["m"].to_numpy(np.int64)
+            for doc, h, n, _ in _grams(part["text"].tolist(), hashes, order):
+                rare = ~_place(common, h)[1]
+                d = doc[rare]
+                yield pd.DataFrame({"key": keys[d], "h": h[rare].view(np.int64), "n": n[rare] * copies[d], "m": copies[d]})
 
     return run
 
 
-def _backoff(seq: np.ndarray, table: np.ndarray, others: np.ndarray, order: int) -> tuple[float, int]:
-    """(sum of log S without the share of N, words scored without a context). table, others: n-grams that other documents have, sorted, and their counts."""
+def _backoff(seq: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], others: int, order: int) -> tuple[float, int]:
+    """(sum of log S without the share of N, words scored without a context). tables: sorted n-grams and their counts in all documents; others: documents with words, less this one."""
     counts = []
     for k, h in enumerate(_ngrams(seq, order)):
-        at, found = _place(table, h)
-        found[:k] = False
-        counts.append(np.where(found, others[at] if len(others) else 0, 0))
+        _, back, own = np.unique(h[k:], return_inverse=True, return_counts=True)
+        total = np.zeros(len(h), np.int64)
+        for table, n in tables:
+            at, found = _place(table, h)
+            if len(table):
+                total[found] = n[at[found]]
+        total[k:] -= own[back]
+        total[:k] = 0
+        counts.append(np.maximum(total, 0))  # what no other document has is in no table
+    counts[0][0] = others
     longest = np.minimum(np.arange(len(seq)) + 1, order)
     value = np.log(BACKOFF) * (longest - 1) + np.log(np.maximum(counts[0], 1))
     single = np.ones(len(seq), bool)
@@ -99,8 +154,8 @@ def _backoff(seq: np.ndarray, table: np.ndarray, others: np.ndarray, order: int)
     return float(value[1:].sum()), int(single[1:].sum())
 
 
-def _scored(order: int):
-    """Rows (id, n_words, value, single) of each document."""
+def _scored(order: int, common: tuple[np.ndarray, np.ndarray], docs: int):
+    """Rows (key, n_words, value, single) of each distinct text."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _hashes()
@@ -108,42 +163,52 @@ def _scored(order: int):
             values, sizes = [], []
             for text, h, n in zip(part["text"], part["hs"], part["ns"], strict=True):
                 seq, (size,) = _tokens([text], hashes)
-                table, first = np.unique(np.asarray(() if h is None else h, np.int64).view(np.uint64), return_index=True)  # repeated rows give the same twice
-                values.append(_backoff(seq, table, np.asarray(() if n is None else n, np.int64)[first], order) if size else (0.0, 0))
+                table = np.asarray(() if h is None else h, np.int64).view(np.uint64)
+                by = np.argsort(table)
+                values.append(_backoff(seq, [common, (table[by], np.asarray(() if n is None else n, np.int64)[by])], docs - 1, order) if size else (0.0, 0))
                 sizes.append(int(size))
-            yield pd.DataFrame({"id": part["id"], "n_words": sizes, "value": [v for v, _ in values], "single": [s for _, s in values]})
+            yield pd.DataFrame({"key": part["key"], "n_words": sizes, "value": [v for v, _ in values], "single": [s for _, s in values]})
 
     return run
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
-    """(h, total) of the n-grams that more than one document has. rows: key, h, n, partitioned by h."""
+    """(h, total) of the n-grams that more than one document has. rows: key, h, n, m, partitioned by h."""
     # key is counted so that this reads the columns of the join's other side, and both read one shuffle
-    return rows.groupBy("h").agg(F.sum("n").alias("total"), F.count("key").alias("docs")).where("docs > 1").select("h", "total")
+    return rows.groupBy("h").agg(F.sum("n").alias("total"), F.sum("m").alias("docs"), F.count("key").alias("texts")).where("docs > 1 AND texts > 0").select("h", "total")
 
 
-def score(docs: DataFrame, doc_id: str, text: str, most_words: int | None = None, share: int | None = None, bucket_bytes: int = 24 << 20, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 24 << 20, order: int = 2, share: float = SHARE) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row.
 
-    bucket_bytes: of exploded rows, about as many in a task. most_words and share have no effect: no word table is held in memory any more.
+    bucket_bytes: of exploded rows, about as many in a task. share: of documents, from which an n-gram is common; it changes the plan, not the scores.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
     spark = docs.sparkSession
     long_texts(spark)
-    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    rows = docs.select(col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).alias("text"))
+    likely = rows.select("text").mapInPandas(_frequent(order, share), "h long, part double").groupBy("h").agg(F.max("part").alias("part"))
+    wanted = np.sort(np.array([r.h for r in likely.orderBy(F.desc("part"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+    sums = rows.select("text").mapInPandas(_counted(order, wanted), "h long, total long, docs long").groupBy("h").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).collect()
+    tokens, held = next(((r.total, r.docs) for r in sums if r.h is None), (0, 0))
+    often = sorted((r.h % (1 << 64), r.total) for r in sums if r.h is not None and r.docs >= share * held)
+    common = np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars * 6 * order // bucket_bytes))  # a row of 36 bytes and order for each word of six characters
 
-    grams = rows.select("key", "text").mapInPandas(_exploded(order), "key long, h long, n int")
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m"))
+    grams = texts.select("key", "m", "text").mapInPandas(_exploded(order, common[0]), "key long, h long, n long, m long")
     grams = grams.where("key is not null and h is not null").repartition(int(buckets), "h")  # none is; said here so that both readers filter alike and share the shuffle
-    joined = grams.join(ngram_counts(grams).hint("shuffle_hash"), "h").select("key", "h", (F.col("total") - F.col("n")).alias("others"))
-    found = joined.groupBy("key").agg(F.collect_list(F.struct("h", "others")).alias("found"))
-    with_counts = rows.join(found, "key", "left").select("id", "text", F.col("found.h").alias("hs"), F.col("found.others").alias("ns"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    made = materialize(with_counts.mapInPandas(_scored(order), f"id {kind}, n_words long, value double, single long"), "scored")
+    joined = grams.join(ngram_counts(grams).hint("shuffle_hash"), "h").select("key", "h", "total")
+    found = joined.groupBy("key").agg(F.collect_list(F.struct("h", "total")).alias("found"))
+    with_counts = texts.join(found, "key", "left").select("key", "text", F.col("found.h").alias("hs"), F.col("found.total").alias("ns"))
+    made = materialize(with_counts.mapInPandas(_scored(order, common, held), "key long, n_words long, value double, single long"), "scored")
 
-    tokens = made.agg(F.sum("n_words")).first()[0] or 0
+    names = fresh(docs.select(col(doc_id)), "n_words", "log_score", "mean_log_score")
     n = F.col("n_words")
     value = F.col("value") - F.col("single") * F.log(F.greatest(F.lit(tokens) - n, F.lit(1)).cast("double"))
-    return made.select(F.col("id").alias(doc_id), n, F.when(n > 0, value).alias("log_score"), F.when(n > 0, value / n).alias("mean_log_score"))
+    scored = keyed.select("id", "key").join(made, "key")
+    columns = [n, F.when(n > 0, value), F.when(n > 0, value / n)]
+    return scored.select(F.col("id").alias(doc_id), *[c.alias(x) for c, x in zip(columns, names, strict=True)])

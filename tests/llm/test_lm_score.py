@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import lm_score, queries
 
@@ -44,7 +45,7 @@ def rows(spark, sf_small):
     return [*made, made[0], (9001, None), (9002, ""), (9003, "!!!"), (9004, "the The THE the"), (None, "the end")]
 
 
-@pytest.mark.parametrize("options", [{}, {"most_words": 40}, {"share": 50, "bucket_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"share": 0.3}, {"share": 2.0, "bucket_bytes": 2000}])
 def test_against_brute_force(spark, rows, options):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm_score.score(docs, "doc_id", "text", **options).collect()), key=str)
@@ -55,6 +56,24 @@ def test_against_brute_force(spark, rows, options):
         assert e[2] is None or g[2] == pytest.approx(e[2], rel=1e-5)
 
 
+def test_many_equal_rows(spark):
+    text = " ".join(f"w{k % 97}" for k in range(300))
+    docs = spark.range(100_000).select(F.col("id").alias("n_words"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(-1, "w1 w2 and more")], "n_words long, text string"))
+    out = lm_score.score(docs, "n_words", "text", order=3)
+    assert out.columns == ["n_words", "_n_words", "log_score", "mean_log_score"]
+    rows = out.groupBy("_n_words", "log_score").count().orderBy("_n_words").collect()
+    assert [(r["_n_words"], r["count"]) for r in rows] == [(4, 1), (300, 100_000)]
+
+
+def test_hashes_of_copies_and_commons_agree(spark, rows):
+    docs = spark.createDataFrame([*rows, *rows[:50], *rows[:50]], "doc_id long, text string")
+    for share in (2.0, 0.05):
+        got = sorted(((r.doc_id, r.log_score) for r in lm_score.score(docs, "doc_id", "text", order=3, share=share).collect()), key=str)
+        expected = sorted(((i, v) for i, _, v in brute_order([*rows, *rows[:50], *rows[:50]], 3)), key=str)
+        for g, e in zip(got, expected, strict=True):
+            assert g[0] == e[0] and (g[1] is None and e[1] is None or g[1] == pytest.approx(e[1], rel=1e-9))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, key string, id int")
     assert lm_score.score(docs, "doc_id", "text").count() == 0
