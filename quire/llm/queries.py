@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fill_middle, hard_negatives, html_text, language_id, lm_score, near_dedup, packing, quality, sharding, toxicity, url_filter, warc
@@ -53,9 +54,10 @@ def url_labels(pages: DataFrame, url: str, most: int = 20_000, folds: int = 3) -
     host, path = url_filter.host_of(F.col(url)), url_filter.path_of(F.col(url))
     _, ruled = url_filter.rule_of(host, path, URL_RULES)
     kind = F.when(_seeded(host), "seed").otherwise(F.coalesce(ruled, F.lit("open")))
-    rows = pages.where(F.col(url).isNotNull()).select(F.concat(host, path).alias("s"), host.alias("host"), kind.alias("kind")).distinct()
-    first = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("s"), "s"))
-    sample = materialize(rows.withColumn("first", first).where(F.col("first") <= most).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int")), "urls")
+    rows = materialize(pages.where(F.col(url).isNotNull()).select(F.concat(host, path).alias("s"), host.alias("host"), kind.alias("kind")).distinct(), "urls")
+    # A limit after a sort keeps ``most`` rows of each task only; a window would bring a kind's rows together first.
+    firsts = [rows.where(F.col("kind") == k).orderBy(F.xxhash64("s"), "s").limit(most) for k in ("seed", "allow", "block", "open")]
+    sample = materialize(reduce(DataFrame.unionByName, firsts).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int")), "sample")
     chances: dict[str, list[float]] = {}
     for k in range(folds):
         known = sample.where((F.col("kind") == "seed") | (F.col("kind").isin("allow", "open") & (F.col("fold") != k)))
