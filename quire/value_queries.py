@@ -9,7 +9,7 @@ from .functions import codecs, fonts, writing
 from .functions import color as C
 from .functions import geometry as G
 from .functions import text as T
-from .operators import crypto, forms, objects, raster
+from .operators import crypto, forms, lookup, objects, raster
 from .operators import text as search
 from .queries import _t, query
 from .sources import pdf
@@ -394,3 +394,12 @@ def stream_first_of_each(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     stream = windows.arriving(spark, sf_dir, events.schema, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("pair", F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")))
     return windows.drain(windows.first_of_each(stream, "pair", "ts", "4000 days"), scratch(spark)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def stream_newest(spark, sf_dir):
+    """The newest row of each key from a log of changes that keyed state makes."""
+    events = _t(spark, sf_dir, "events")
+    stream = windows.arriving(spark, sf_dir, events.schema, pathGlobFilter="events.parquet").select("user_id", "event_id", "event_type")
+    changes = windows.drain(windows.newer_only(stream, "user_id", "event_id"), scratch(spark))
+    return lookup.latest(changes, ["user_id"], ["event_id"])

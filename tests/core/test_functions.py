@@ -126,7 +126,10 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     late = spark.createDataFrame([(1, 3, "c"), (2, 0, "old"), (3, 1, "d")], schema)
     apply(late, 1)
     apply(late, 1)  # a batch that runs again
-    rows = spark.read.parquet(str(tmp_path / "t" / "generation=1")).orderBy("k").collect()
+    apply(spark.createDataFrame([(2, 0, "older")], schema), 7)  # numbers needn't follow each other
+    table = spark.createDataFrame([], schema).schema
+    rows = windows.newest(spark, str(tmp_path / "t"), table, ["k"], "rev").orderBy("k").collect()
+    assert windows.newest(spark, str(tmp_path / "none"), table, ["k"], "rev").count() == 0
     assert [(r.k, r.rev, r.v) for r in rows] == [(1, 3, "c"), (2, 1, "b"), (3, 1, "d")]
 
 
