@@ -88,13 +88,14 @@ def predefined_code_maps(spark, sf_dir):
 
 
 @query(
-    """WITH c(place, code, size, bytes) AS (VALUES (0, 65, 1, '41'), (1, 33072, 2, '8130'), (2, 0, 1, '00'), (3, 2174562, 3, '212E62'), (4, 0, 1, '00'), (5, 0, 1, '00'))
-       SELECT p_partkey AS k, 'mixed_four' AS scheme, 6 AS n_codes, place::INT AS place, code::BIGINT AS code, size::INT AS size, bytes, (16 + p_size)::BIGINT AS value, 0::BIGINT AS large, 'two' AS single FROM part, c"""
+    """WITH c(place, base, step, size) AS (VALUES (0, 65, 0, 1), (1, 33072, 10, 2), (2, 0, 0, 1), (3, 2174562, 0, 3), (4, 2711724449, 4, 4), (5, 0, 0, 1), (6, 0, 0, 1)),
+       d AS (SELECT *, base + CASE WHEN step = 0 THEN 0 ELSE p_size % step END AS code FROM part, c)
+       SELECT p_partkey AS k, 'mixed_four' AS scheme, 7 AS n_codes, place::INT AS place, code::BIGINT AS code, size::INT AS size, CASE WHEN code = 0 THEN '00' ELSE hex(code) END AS bytes, (16 + p_size)::BIGINT AS value, 0::BIGINT AS large, 'two' AS single FROM d"""
 )
 def code_spaces(spark, sf_dir):
     body = F.lit("4 begincodespacerange <40> <7F> <8130> <8439> endcodespacerange 1 begincodespacerange <212E00> <212EFF> <A1A1A1A1> <A4A4A4A4> endcodespacerange")
     spaces = charcodes.code_spaces(body)
-    scheme, data = charcodes.scheme_of(spaces), F.unhex(F.lit("41813085212E62A1A185A4"))
+    scheme, data = charcodes.scheme_of(spaces), F.unhex(F.concat(F.lit("4181"), F.hex(F.col("n") % 10 + 48), F.lit("85212E62A1A1A1"), F.hex(F.col("n") % 4 + 161), F.lit("A1A185A4")))
     cut = charcodes.codes(data, scheme, spaces=spaces)
     word = F.concat(F.lit("<"), F.hex(F.col("n") + 16), F.lit(">"))
     single = charcodes.scheme_of(charcodes.code_spaces(F.lit("begincodespacerange <0000> <FFFF> endcodespacerange")))

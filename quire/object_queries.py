@@ -187,12 +187,16 @@ def image_attributes(spark, sf_dir):
     return found.select("doc_id", "width", "height", "bits", "is_mask", "space", F.col("decode")[0].alias("low"), "soft_mask", "compression", objects.has_filter(F.col("filters"), "FlateDecode").alias("flate"))
 
 
-@query("SELECT p_partkey AS doc_id, x::INT AS x, ((ascii(substr(p_name, (x // 2 + 1)::INT, 1)) >> (4 - 4 * (x % 2))::INT) & 15)::INT AS v FROM part, range(4) AS r(x)")
+@query(
+    """WITH s AS (SELECT p_partkey AS doc_id, p_name, p_size, y, unnest(range(p_size)) AS x FROM part, range(2) AS r(y)), b AS (SELECT *, y * ((p_size + 1) // 2) + x // 2 AS pos FROM s)
+       SELECT doc_id, x::INT AS x, y::INT AS y, CASE WHEN pos < length(p_name) THEN (ascii(substr(p_name, pos::INT + 1, 1)) >> (4 - 4 * (x % 2))::INT) & 15 END::INT AS v FROM b"""
+)
 def image_rows(spark, sf_dir):
+    """Every sample of the images at their own size; those that the data is too short for are null."""
     d = _documents(spark, sf_dir)
     found = objects.images(d.nodes).join(pdf.streams(d.nodes).select("doc_id", "obj_num", "data"), ["doc_id", "obj_num"])
-    made = found.select(F.col("doc_id").alias("img_id"), "data", F.lit(4).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("components"), F.col("bits").cast("int").alias("bits"))
-    return images.samples(made).select(F.col("img_id").alias("doc_id"), "x", "v")
+    made = found.select(F.col("doc_id").alias("img_id"), "data", *[F.col(c).cast("int").alias(c) for c in ("width", "height", "bits")], F.lit(1).alias("components"))
+    return images.samples(made).select(F.col("img_id").alias("doc_id"), "x", "y", "v")
 
 
 @query("SELECT p_partkey AS doc_id, 1.0::DOUBLE AS x1, 6.0::DOUBLE AS y2, p_size::DOUBLE AS dx, 'Transparency' AS group_kind, true AS transparent FROM part")

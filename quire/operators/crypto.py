@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -117,3 +118,51 @@ def authenticate_owner(password: bytes, owner: bytes, user: bytes, permissions:
     for k in reversed(range(20 if revision >= 3 else 1)):
         value = rc4_bytes(bytes(b ^ k for b in key), value)
     return authenticate_user(value, owner, user, permissions, file_id, revision, length)
+
+
+@lru_cache(maxsize=1)
+def _aes_tables() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(S-box, its inverse, products with 9, 11, 13, 14), from the field's rule."""
+    powers, x = [], 1
+    for _ in range(255):  # 3 generates the field's 255 units
+        powers.append(x)
+        x ^= (x << 1) ^ (0x11B if x & 0x80 else 0)
+    logs = {v: k for k, v in enumerate(powers)}
+    times = lambda a, b: powers[(logs[a] + logs[b]) % 255] if a and b else 0
+    box = np.zeros(256, np.uint8)
+    for v in range(256):
+        b = powers[-logs[v] % 255] if v else 0
+        box[v] = (b ^ (b << 1 | b >> 7) ^ (b << 2 | b >> 6) ^ (b << 3 | b >> 5) ^ (b << 4 | b >> 4) ^ 0x63) & 0xFF
+    inverse = np.zeros(256, np.uint8)
+    inverse[box] = np.arange(256, dtype=np.uint8)
+    return box, inverse, [np.array([times(v, m) for v in range(256)], np.uint8) for m in (9, 11, 13, 14)]
+
+
+def aes_cbc_bytes(key: bytes, data: bytes) -> bytes:
+    """AES-CBC data with its vector first and PKCS padding, all blocks at once; for what must be opened while a document is parsed. Nothing comes of data that isn't whole blocks."""
+    if len(data) < 32 or len(data) % 16 or len(key) not in (16, 24, 32):
+        return b""
+    box, inverse, (by9, by11, by13, by14) = _aes_tables()
+    words, n, round_constant = [list(key[k : k + 4]) for k in range(0, len(key), 4)], len(key) // 4, 1
+    rounds = n + 6
+    for k in range(n, 4 * (rounds + 1)):
+        w = list(words[-1])
+        if k % n == 0:
+            w = [int(box[x]) for x in w[1:] + w[:1]]
+            w[0] ^= round_constant
+            round_constant = (round_constant << 1) ^ (0x11B if round_constant & 0x80 else 0)
+        elif n > 6 and k % n == 4:
+            w = [int(box[x]) for x in w]
+        words.append([a ^ b for a, b in zip(words[k - n], w, strict=True)])
+    keys = np.array(words, np.uint8).reshape(rounds + 1, 16)
+    whole = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    state = whole[1:] ^ keys[rounds]
+    moved = [(4 * (c - r) + r) % 16 for c in range(4) for r in range(4)]  # rows turned back
+    for k in range(rounds - 1, -1, -1):
+        state = inverse[state[:, moved]] ^ keys[k]
+        if k:
+            a, b, c, d = (state.reshape(-1, 4, 4)[:, :, r] for r in range(4))
+            columns = [by14[w] ^ by11[x] ^ by13[y] ^ by9[z] for w, x, y, z in ((a, b, c, d), (b, c, d, a), (c, d, a, b), (d, a, b, c))]
+            state = np.stack(columns, axis=2).reshape(-1, 16)
+    plain = (state ^ whole[:-1]).tobytes()
+    return plain[: -plain[-1]] if 1 <= plain[-1] <= 16 else plain

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import paths, typeset
+from .operators import content as content_operators
+from .operators import crypto, layout, paths, typeset
 from .plans.extract import Documents
 from .queries import _t, query
 from .sources import pdf
@@ -154,3 +155,54 @@ def curve_bounds(spark, sf_dir):
     box = F.col("box")
     found = paths.exact_bounds(_shapes(spark, sf_dir).objects.where("seq = 2"))
     return found.select("doc_id", *[F.round(box[k], 6).alias(n) for k, n in (("left", "x1"), ("top", "y1"), ("right", "x2"), ("bottom", "y2"))])
+
+
+def _scattered(spark, sf_dir: str) -> DataFrame:
+    """Characters of pages of a title and two columns, drawn from the bottom up and from right to left; with their places in the text."""
+    strings = [(300, 500, "p_type", "right two"), (50, 500, "p_brand", "left two"), (300, 520, "p_brand", "right one"), (50, 520, "p_name", "left one"), (50, 700, "p_type", "title")]
+    content = F.concat(*[F.concat(F.lit(f"BT /F1 8 Tf {x} {y} Td "), T.string_object(F.col(c)), F.lit(" Tj ET ")) for x, y, c, _ in strings])
+    d = _parts(spark, sf_dir, content, ["<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"])
+    chars = content_operators.characters(d.objects)
+    return layout.text_index(layout.reading_order(chars))
+
+
+@query("SELECT p_partkey AS doc_id, 0 AS page_index, p_type || chr(10) || p_name || chr(10) || p_brand || chr(10) || p_brand || chr(10) || p_type AS text FROM part")
+def column_text(spark, sf_dir):
+    return layout.page_text(_scattered(spark, sf_dir))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS doc_id, length(p_type) AS a, length(p_name) AS b, p_name, p_brand FROM part)
+       SELECT doc_id, 1 AS line, right(p_name, 3) AS chars, round(50 + 4.0 * (b - 3), 4)::DOUBLE AS x1, round(50 + 4.0 * b, 4)::DOUBLE AS x2, 520::DOUBLE AS y FROM t
+       UNION ALL SELECT doc_id, 2, left(p_brand, 2), 50, 58, 500 FROM t"""
+)
+def boxes_across_lines(spark, sf_dir):
+    """The boxes of a range of the text from the last three characters of one line to the first two of the next: what lies between them, a line end, has none."""
+    indexed = _scattered(spark, sf_dir)
+    start = (F.length("p_type") + 1 + F.length("p_name") - 3).cast("int")
+    ranges = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(1).alias("id"), start.alias("start"), (start + 6).alias("stop"))
+    box = F.col("box")
+    return layout.range_boxes(ranges, indexed).select("doc_id", "line", "chars", F.round(box["left"], 4).alias("x1"), F.round(box["right"], 4).alias("x2"), box["top"].alias("y"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS text, p_brand AS title, p_size::DOUBLE AS width FROM part")
+def packed_encrypted(spark, sf_dir):
+    """Documents under AES whose catalog, page tree and information lie in an object stream, and whose cross-reference section is a stream."""
+    owner, ident, permissions = bytes(range(32)), b"\x02" * 16, -44
+    key = crypto.file_key(b"", owner, permissions, ident, 4, 16)
+    user = crypto.user_value(key, ident, 4)
+
+    def lock(n: int):
+        return lambda data: F.aes_encrypt(data, T.object_key(F.lit(key), F.lit(n), F.lit(0), aes=True), F.lit("CBC"), F.lit("PKCS"))
+
+    shown = F.encode(F.concat(F.lit("BT /F1 12 Tf "), T.string_object(F.col("p_name")), F.lit(" Tj ET")), "ISO-8859-1")
+    inside = {
+        1: F.lit("<< /Type /Catalog /Pages 2 0 R >>"), 2: F.concat(F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 "), F.col("p_size").cast("string"), F.lit(" 9] >>")),
+        3: F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"), 6: F.concat(F.lit("<< /Title "), T.string_object(F.col("p_brand")), F.lit(" >>")),
+    }
+    crypt = f"<< /Filter /Standard /V 4 /R 4 /Length 128 /P {permissions} /O <{owner.hex()}> /U <{user.hex()}> /CF << /StdCF << /CFM /AESV2 /Length 16 >> >> /StmF /StdCF /StrF /StdCF >>"
+    bodies = {4: pdf.stream_body(lock(4)(shown)), 5: F.lit(crypt), 7: pdf.object_stream(inside, lock(7))}
+    made = pdf.assembled_compactly(bodies, {7: list(inside)}, f"/Info 6 0 R /Encrypt 5 0 R /ID [<{ident.hex()}> <{ident.hex()}>]")
+    d = Documents(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), made.alias("content")))
+    sizes = d.pages.select("doc_id", "width")
+    return d.text.select("doc_id", "text").join(pdf.metadata(d.nodes).where("key = 'Title'").select("doc_id", F.col("value").alias("title")), "doc_id").join(sizes, "doc_id")

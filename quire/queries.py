@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -382,10 +383,12 @@ def form_data(spark, sf_dir):
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     region, nation, supplier = (_t(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
-    one, none = F.lit(1).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("parent_obj")
+    one, none = F.col("r_regionkey").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("parent_obj")
     tops = region.select(one, F.col("r_regionkey").cast("long").alias("obj_num"), none, F.col("r_name").alias("name"))
-    mid = nation.select(one, (F.col("n_nationkey") + 100).cast("long").alias("obj_num"), F.col("n_regionkey").cast("long").alias("parent_obj"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).alias("name"))
-    leaves = supplier.select(one, (F.col("s_suppkey") + 1000).cast("long").alias("obj_num"), (F.col("s_nationkey") + 100).cast("long").alias("parent_obj"), F.col("s_name").alias("name"))
+    of_nation = nation.withColumnRenamed("n_regionkey", "r_regionkey")
+    mid = of_nation.select(one, (F.col("n_nationkey") + 100).cast("long").alias("obj_num"), F.col("r_regionkey").cast("long").alias("parent_obj"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).alias("name"))
+    placed = supplier.join(of_nation, supplier["s_nationkey"] == of_nation["n_nationkey"])
+    leaves = placed.select(one, (F.col("s_suppkey") + 1000).cast("long").alias("obj_num"), (F.col("s_nationkey") + 100).cast("long").alias("parent_obj"), F.col("s_name").alias("name"))
     return tops.unionByName(mid).unionByName(leaves)
 
 
@@ -408,19 +411,24 @@ def inherited_attr(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT r_regionkey, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-       SELECT s_suppkey, (row_number() OVER (ORDER BY r_regionkey, n_nationkey, s_suppkey) - 1)::INT AS page_index FROM t"""
+    """SELECT l_orderkey AS doc_id, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2 = 0, l_linenumber) - 1)::INT AS page_index
+       FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"""
 )
 def page_tree(spark, sf_dir):
-    root = spark.createDataFrame(
-        [(1, 0, ["Root"], "ref", None, 10_000_000), (1, 10_000_000, ["Pages"], "ref", None, 10_000_001)],
-        "doc_id long, obj_num long, path array<string>, kind string, s binary, ref_obj long",
-    )
-    links = _tree(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("parent_obj").orderBy("obj_num")) - 1  # at most as many rows as the small dimension tables have
-    kids = links.select("doc_id", F.coalesce("parent_obj", F.lit(10_000_001)).alias("obj_num"), F.array(F.lit("Kids"), place.cast("string")).alias("path"), F.lit("ref").alias("kind"), F.lit(None).cast("binary").alias("s"), F.col("obj_num").alias("ref_obj"))
-    types = links.where("obj_num >= 1000").select("doc_id", "obj_num", F.array(F.lit("Type")).alias("path"), F.lit("name").alias("kind"), F.lit(b"Page").alias("s"), F.lit(None).cast("long").alias("ref_obj"))
-    return pdf.page_tree(root.unionByName(kids).unionByName(types)).select((F.col("obj_num") - 1000).alias("s_suppkey"), "page_index")
+    """An order is a document and its lines are pages: those of odd numbers below the root, the others below a node that comes after them."""
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).distinct()
+
+    def node(df, obj, path, kind, ref=None, s=None):
+        cast = lambda c: (c if not isinstance(c, int) else F.lit(c)).cast("long")
+        return df.select("doc_id", cast(obj).alias("obj_num"), F.array(*path).alias("path"), F.lit(kind).alias("kind"), F.lit(s).cast("binary").alias("s"), (F.lit(None) if ref is None else cast(ref)).cast("long").alias("ref_obj"))
+
+    docs, even, number = lines.select("doc_id").distinct(), F.col("n") % 2 == 0, F.col("n") + 10
+    parts = [
+        node(docs, pdf.TRAILER, [F.lit("Root")], "ref", 1), node(docs, 1, [F.lit("Pages")], "ref", 2), node(docs, 2, [F.lit("Kids"), F.lit("100")], "ref", 3),
+        node(lines, F.when(even, 3).otherwise(2), [F.lit("Kids"), F.col("n").cast("string")], "ref", number), node(lines, number, [F.lit("Type")], "name", None, b"Page"),
+    ]
+    table = reduce(DataFrame.unionByName, parts)
+    return pdf.page_tree(table).select("doc_id", (F.col("obj_num") - 10).cast("int").alias("l_linenumber"), "page_index")
 
 
 # --- numbers, dates

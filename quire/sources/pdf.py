@@ -82,6 +82,40 @@ def assembled(bodies: list[Column | Bytes], trailer: Column | str = "") -> Colum
     return F.concat(out, binary(F.concat(head, at.cast("string"), F.lit("\n%%EOF\n"))))
 
 
+def object_stream(objects: dict[int, Column], lock=lambda data: data) -> Bytes:
+    """The body of an object stream of some objects' texts (Latin-1). lock: what encrypts its data, if anything does."""
+    heads, at = [], F.lit(0)
+    for n, text in objects.items():
+        heads.append(F.concat(F.lit(f"{n} "), at.cast("string"), F.lit(" ")))
+        at = at + F.length(text) + 1
+    head = F.concat(*heads)
+    data = F.encode(F.concat(head, *[F.concat(t, F.lit("\n")) for t in objects.values()]), "ISO-8859-1")
+    return stream_body(lock(data), F.concat(F.lit(f" /Type /ObjStm /N {len(objects)} /First "), F.length(head).cast("string")))
+
+
+def assembled_compactly(bodies: dict[int, Column | Bytes], packed: dict[int, list[int]], trailer: str = "") -> Column:
+    """A document (binary) whose cross-reference section is a stream, with objects in object streams. packed: number of an object stream -> the objects in it, in order. An expression."""
+
+    def binary(c: Column) -> Column:
+        return F.encode(c, "ISO-8859-1")
+
+    def row(kind: int, field: Column, more: int) -> Column:
+        return F.concat(F.lit(bytes([kind])), F.unhex(F.lpad(F.hex(field.cast("long")), 8, "0")), F.lit(more.to_bytes(2, "big")))
+
+    out, rows = binary(F.lit("%PDF-1.5\n")), {0: row(0, F.lit(0), 65535)}
+    for n, body in sorted(bodies.items()):
+        rows[n] = row(1, F.length(out), 0)
+        out = F.concat(out, binary(F.lit(f"{n} 0 obj\n")), body.column if isinstance(body, Bytes) else binary(body), binary(F.lit("\nendobj\n")))
+    for stream, inside in packed.items():
+        rows |= {n: row(2, F.lit(stream), k) for k, n in enumerate(inside)}
+    last = max(rows) + 1
+    start = F.length(out)
+    rows[last] = row(1, start, 0)
+    table = F.concat(*[rows.get(n, row(0, F.lit(0), 0)) for n in range(last + 1)])
+    section = stream_body(table, f" /Type /XRef /W [1 4 2] /Size {last + 1} /Root 1 0 R {trailer}")
+    return F.concat(out, binary(F.lit(f"{last} 0 obj\n")), section.column, binary(F.concat(F.lit("\nendobj\nstartxref\n"), start.cast("string"), F.lit("\n%%EOF\n"))))
+
+
 def files(docs: DataFrame) -> DataFrame:
     """doc_id, length, version and error (null, or what is wrong with the header) of (doc_id, content)."""
     head = F.decode(F.substring("content", 1, 20), "ISO-8859-1")
@@ -157,16 +191,20 @@ def _objects(content: bytes, password: bytes = b""):
             return value, raw, own
         return syntax.mapped(value, lambda s: crypto.rc4_bytes(own, s)), None if raw is None else crypto.rc4_bytes(own, raw), None
 
+    def body_of(number: int, raw: bytes) -> bytes:
+        """Of an object stream: it must be read here, and what is within it isn't encrypted once more."""
+        if method == "aes":
+            return crypto.aes_cbc_bytes(crypto.object_key(key, number, 0, True), raw)
+        return opened(number, 0, None, raw)[1]
+
     packs: dict[int, dict[int, tuple]] = {}
     for number, (kind, at, gen) in sorted(entries.items()):
         if kind == 1 and (got := syntax.indirect(content, at, length_of)):
             value, raw, own = opened(number, got[1], got[2], got[3])
             yield number, got[1], value, raw, own
         elif kind == 2:
-            if method == "aes":
-                raise ValueError("object streams under AES can't be read")
             if at not in packs:
-                packs[at] = _pack(content, entries, at, length_of, lambda n, raw: opened(n, 0, None, raw)[1])
+                packs[at] = _pack(content, entries, at, length_of, body_of)
             if number in packs[at]:
                 yield number, 0, packs[at][number], None, None
 

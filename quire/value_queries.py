@@ -151,24 +151,25 @@ def half_floats_and_roots(spark, sf_dir):
 
 
 @query(
-    """SELECT c::INT AS c, c BETWEEN 1 AND 14 AS vertex, c BETWEEN 2 AND 14 AS drawing, c IN (3, 4) AS curve, c & 15 = 15 AS ends, c & ~48 = 79 AS closes, c = 0 OR c = 1 OR c & 15 = 15 AS next,
-       CASE WHEN c & 32 <> 0 THEN 'cw' WHEN c & 16 <> 0 THEN 'ccw' ELSE 'none' END AS orientation, (c & ~48)::INT AS bare, c & 8 <> 0 AS gray FROM range(128) AS r(c)"""
+    """SELECT l_orderkey, l_linenumber, c::INT AS c, c BETWEEN 1 AND 14 AS vertex, c BETWEEN 2 AND 14 AS drawing, c IN (3, 4) AS curve, c & 15 = 15 AS ends, c & ~48 = 79 AS closes, c = 0 OR c = 1 OR c & 15 = 15 AS next,
+       CASE WHEN c & 32 <> 0 THEN 'cw' WHEN c & 16 <> 0 THEN 'ccw' ELSE 'none' END AS orientation, (c & ~48)::INT AS bare, c & 8 <> 0 AS gray FROM (SELECT *, (l_partkey * 7 + l_linenumber) % 128 AS c FROM lineitem)"""
 )
 def path_commands(spark, sf_dir):
     c = F.col("c")
-    return spark.range(128).select(F.col("id").cast("int").alias("c")).select(
-        "c", codecs.is_vertex(c).alias("vertex"), codecs.is_drawing(c).alias("drawing"), codecs.is_curve(c).alias("curve"), codecs.is_end_poly(c).alias("ends"), codecs.is_close(c).alias("closes"),
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 128).cast("int").alias("c"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "c", codecs.is_vertex(c).alias("vertex"), codecs.is_drawing(c).alias("drawing"), codecs.is_curve(c).alias("curve"), codecs.is_end_poly(c).alias("ends"), codecs.is_close(c).alias("closes"),
         codecs.is_next_poly(c).alias("next"), codecs.orientation(c).alias("orientation"), codecs.without_orientation(c).alias("bare"), codecs.has_flag(c, "grayscale").alias("gray"),
     )
 
 
 @query(
-    """WITH t AS (SELECT p_partkey AS k, p_partkey % 5 AS o, l, r, c, p FROM part, range(2) AS a(l), range(3) AS b(r), range(2) AS d(c), range(2) AS e(p) WHERE p_partkey % 10 = 0 OR p_partkey % 10 < 5)
+    """WITH t AS (SELECT p_partkey AS k, p_partkey % 5 AS o, l, r, c, p FROM part, range(2) AS a(l), range(3) AS b(r), range(2) AS d(c), range(2) AS e(p))
        SELECT k, row_number() OVER (PARTITION BY k ORDER BY CASE o WHEN 0 THEN l WHEN 1 THEN r WHEN 2 THEN r WHEN 3 THEN p ELSE c END, CASE o WHEN 0 THEN r WHEN 1 THEN l WHEN 2 THEN p WHEN 3 THEN c ELSE p END,
        CASE o WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN c WHEN 3 THEN r ELSE r END, CASE o WHEN 0 THEN p WHEN 1 THEN p ELSE l END)::INT - 1 AS seq, l::INT AS layer, r::INT AS resolution, c::INT AS component, p::INT AS precinct FROM t"""
 )
 def packet_order(spark, sf_dir):
-    tiles = _parts(spark, sf_dir).where("k % 10 = 0 or k % 10 < 5").select("k", (F.col("k") % 5).alias("progression"), F.lit(2).alias("layers"), F.lit(3).alias("resolutions"), F.lit(2).alias("components"), F.lit(2).alias("precincts"))
+    tiles = _parts(spark, sf_dir).select("k", (F.col("k") % 5).alias("progression"), F.lit(2).alias("layers"), F.lit(3).alias("resolutions"), F.lit(2).alias("components"), F.lit(2).alias("precincts"))
     return codecs.packets(tiles, ["k"])
 
 
