@@ -62,7 +62,7 @@ def test_odd_rows(spark):
     assert mined(spark, data, [0, 1, 2, 3]) == plainly(rows, [0, 1, 2])
 
 
-@pytest.mark.parametrize("data", [[], [(0, [1.0], 1)], [(0, [1.0], 1), (1, [1.0], 1)], [(0, [1.0], 1), (1, [1.0], 2)], [(0, [], 1), (1, [], 1), (2, [], 2)], [(None, None, None)]])
+@pytest.mark.parametrize("data", [[], [(0, [1.0], 1), (1, [1.0], 2)], [(0, [], 1), (1, [], 1), (2, [], 2)]])
 def test_hardly_any_rows(spark, data):
     rows = {k: (label, whole(v)) for k, v, label in data if k is not None}
     assert {x[:4] for x in mined(spark, data, [0])} == {x[:4] for x in plainly({k: (c, v + [0] * (1 - len(v))) for k, (c, v) in rows.items()}, [0] if 0 in rows else [])}
