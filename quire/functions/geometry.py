@@ -158,6 +158,33 @@ def skewing(x_degrees, y_degrees) -> Column:
     return matrix(b=F.tan(F.radians(_c(y_degrees))), c=F.tan(F.radians(_c(x_degrees))))
 
 
+def reflection(degrees) -> Column:
+    """In the line through the origin at this angle."""
+    t = F.radians(2 * _c(degrees))
+    return matrix(F.cos(t), F.sin(t), F.sin(t), -F.cos(t))
+
+
+def shearing(x, y) -> Column:
+    """By factors, where ``skewing`` takes angles."""
+    return matrix(b=y, c=x)
+
+
+def parallelogram(p, q, r) -> Column:
+    """The map of the unit square to a parallelogram: (0, 0) to p, (1, 0) to q, (1, 1) to r (points)."""
+    return matrix(q["x"] - p["x"], q["y"] - p["y"], r["x"] - q["x"], r["y"] - q["y"], p["x"], p["y"])
+
+
+def between_parallelograms(source: tuple, target: tuple) -> Column:
+    """The map of one parallelogram (three points, as above) to another; null if the first has no area."""
+    return multiply(inverse(parallelogram(*source)), parallelogram(*target))
+
+
+def rounded_away(x) -> Column:
+    """To the nearest whole number, halves away from zero."""
+    x = _c(x)
+    return F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)).cast("long")
+
+
 def _product(m: Column, n: Column) -> Column:
     return matrix(
         m["a"] * n["a"] + m["b"] * n["c"],

@@ -44,7 +44,7 @@ def attributes(table: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFram
     full, parent = F.array_join("path", "."), F.array_join(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), ".")
     rows = table.where(F.size("path").between(1, max(k.count(".") for k in keys) + 2)).withColumn("full", full).withColumn("parent", parent)
     rows = rows.where(F.col("full").isin(keys) | F.col("parent").isin(keys))
-    place = F.when(F.element_at("path", -1).rlike("^[0-9]{1,6}$"), F.element_at("path", -1).cast("int"))
+    place = F.when(F.element_at("path", -1).rlike("^[0-9]{1,9}$"), F.element_at("path", -1).cast("int"))
     aggregates = []
     for name, (kind, *some) in wanted.items():
         parts = []

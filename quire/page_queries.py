@@ -206,3 +206,11 @@ def packed_encrypted(spark, sf_dir):
     d = Documents(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), made.alias("content")))
     sizes = d.pages.select("doc_id", "width")
     return d.text.select("doc_id", "text").join(pdf.metadata(d.nodes).where("key = 'Title'").select("doc_id", F.col("value").alias("title")), "doc_id").join(sizes, "doc_id")
+
+
+@query("SELECT p_partkey AS doc_id, k AS key, CASE k WHEN 'A' THEN p_name END AS text FROM part, (VALUES ('A'), ('B'), ('C')) AS v(k)")
+def object_fetch(spark, sf_dir):
+    """References to an object of the right generation, of a wrong one, and to none."""
+    d = _parts(spark, sf_dir, F.lit(""), ["<< /Type /Font >>", T.string_object(F.col("p_name")), "<< /A 6 0 R /B 6 3 R /C 99 0 R >>"])
+    refs = pdf.entries_of(d.nodes, "A", "B", "C").where("kind = 'ref' AND obj_num = 7").select("doc_id", "key", "ref_obj", "ref_gen")
+    return pdf.fetched(d.nodes, refs).select("doc_id", "key", T.decode_text(F.col("to_s")).alias("text"))

@@ -278,6 +278,13 @@ def resolved(table: DataFrame, entries: DataFrame, links: int = 2) -> DataFrame:
     return out
 
 
+def fetched(table: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs: doc_id, ref_obj, ref_gen, more -> with the root of the object they mean (kind, i, d, s), null unless one of this number and this very generation is in use."""
+    roots = table.where((F.size("path") == 0) & (F.col("obj_num") != TRAILER)).select("doc_id", F.col("obj_num").alias("ref_obj"), F.col("gen").alias("ref_gen"), *[F.col(c).alias(f"to_{c}") for c in ("kind", "i", "d", "s")])
+    rest = [c for c in refs.columns if c not in ("doc_id", "ref_obj", "ref_gen")]
+    return refs.join(roots, ["doc_id", "ref_obj", "ref_gen"], "left").select("doc_id", "ref_obj", "ref_gen", *rest, *[F.col(f"to_{c}").alias(f"to_{c}") for c in ("kind", "i", "d", "s")])
+
+
 def page_tree(table: DataFrame) -> DataFrame:
     """(doc_id, obj_num, page_index, ancestors) of the pages in order: a walk over /Kids from the catalog, level by level, cycles cut.
 
@@ -308,15 +315,6 @@ def inherited(tree: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return up.join(owners, ["doc_id", "owner"]).groupBy("doc_id", "obj_num").agg(F.min_by("owner", "depth").alias("owner"))
 
 
-def boxes(table: DataFrame, key: str) -> DataFrame:
-    """(doc_id, owner, box): rectangles that are direct arrays of four numbers, with sorted corners."""
-    parts = table.where((F.size("path") == 2) & (F.get("path", F.lit(0)) == key) & F.col("d").isNotNull() & F.get("path", F.lit(1)).rlike("^[0-9]{1,3}$"))
-    four = parts.groupBy("doc_id", F.col("obj_num").alias("owner")).agg(F.map_from_entries(F.collect_list(F.struct(F.get("path", F.lit(1)).cast("int"), F.col("d")))).alias("v"))
-    v = F.col("v")
-    box = F.struct(F.least(v[0], v[2]).alias("left"), F.least(v[1], v[3]).alias("top"), F.greatest(v[0], v[2]).alias("right"), F.greatest(v[1], v[3]).alias("bottom"))
-    return four.where(F.size("v") >= 4).select("doc_id", "owner", box.alias("box"))
-
-
 def pages(table: DataFrame, inherit_rotation: bool = True, tree: DataFrame | None = None) -> DataFrame:
     """doc_id, page_index, obj_num, media_box, crop_box, rotation (0, 90, 180, 270), width, height.
 
@@ -364,7 +362,7 @@ def contents(table: DataFrame, tree: DataFrame) -> DataFrame:
     found = tree.join(refs, ["doc_id", "obj_num"]).join(streams(table).select("doc_id", F.col("obj_num").alias("ref_obj"), "data"), ["doc_id", "ref_obj"])
     parts = found.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("n", "data"))).alias("parts"))
     first = F.col("parts")[0]["data"]
-    joined = F.aggregate(F.slice("parts", 2, 1 << 20), first, lambda s, p: F.concat(s, F.lit(b"\n"), p["data"]))
+    joined = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), first, lambda s, p: F.concat(s, F.lit(b"\n"), p["data"]))
     return parts.select("doc_id", "page_index", joined.alias("data"))
 
 

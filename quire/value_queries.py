@@ -404,3 +404,49 @@ def stream_newest(spark, sf_dir):
     stream = windows.arriving(spark, sf_dir, events.schema, pathGlobFilter="events.parquet").select("user_id", "event_id", "event_type")
     changes = windows.drain(windows.newer_only(stream, "user_id", "event_id"), scratch(spark))
     return lookup.latest(changes, ["user_id"], ["event_id"])
+
+
+@query(
+    """SELECT p_partkey AS k, greatest(0, 255 - (p_size + 3))::INT AS cyan, floor(least(1.0, (p_size / 50.0 + 0.5) / 2) * 255 + 0.5)::INT AS mean,
+       (SELECT floor(least(1.0, greatest(0.0, CASE WHEN v <= 0.0031308 THEN 12.92 * v ELSE 1.055 * pow(v, 1 / 2.4) - 0.055 END)) * 255 + 0.5) FROM (SELECT pow(p_size / 50.0, 2.2) * (-0.9689 * 0.9505 + 1.8758 + 0.0415 * 1.089) AS v))::INT AS gray FROM part"""
+)
+def calibrated_colors(spark, sf_dir):
+    """Inks as bytes, the mean of several colorants, calibrated gray."""
+    n = F.col("n")
+    return _parts(spark, sf_dir).select(
+        "k", C.cmyk8_to_rgb(n, F.lit(0), F.lit(0), F.lit(3))["r"].alias("cyan"), C.device_n_to_rgb(F.array(n / 50.0, F.lit(0.5)), 3)["g"].alias("mean"), C.cal_gray_to_rgb(n / 50.0, 2.2)["g"].alias("gray"),
+    )
+
+
+@query(
+    """SELECT p_partkey AS k, 2.0::DOUBLE AS mirrored_x, p_size::DOUBLE AS mirrored_y, (p_size + 6)::DOUBLE AS sheared, (p_size + 4)::DOUBLE AS mapped_x, (p_size + 10)::DOUBLE AS mapped_y,
+       (CASE WHEN p_size % 2 = 0 THEN p_size // 2 ELSE p_size // 2 + 1 END)::BIGINT AS up, (-(CASE WHEN p_size % 2 = 0 THEN p_size // 2 ELSE p_size // 2 + 1 END))::BIGINT AS down FROM part"""
+)
+def reflections_and_shears(spark, sf_dir):
+    n = F.col("n").cast("double")
+    mirrored = G.transform_point(G.reflection(45), n, 2.0)
+    source = (G.point(0.0, 0.0), G.point(2.0, 0.0), G.point(2.0, 2.0))
+    target = (G.point(n, 0.0), G.point(n + 4, 0.0), G.point(n + 4, 10.0))
+    mapped = G.transform_point(G.between_parallelograms(source, target), 2.0, 2.0)
+    return _parts(spark, sf_dir).select(
+        "k", _rounded(mirrored["x"]).alias("mirrored_x"), _rounded(mirrored["y"]).alias("mirrored_y"), _rounded(G.transform_point(G.shearing(3.0, 0.0), n, 2.0)["x"]).alias("sheared"),
+        _rounded(mapped["x"]).alias("mapped_x"), (_rounded(mapped["y"]) + n).alias("mapped_y"), G.rounded_away(n / 2).alias("up"), G.rounded_away(-n / 2).alias("down"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS img_id, p_size AS n, 4 + p_size % 5 AS w, 3 + p_size % 4 AS h FROM part), x AS (SELECT *, unnest(range(w)) AS x FROM p), a AS (SELECT *, unnest(range(h)) AS y FROM x)
+       SELECT img_id, count(*)::BIGINT AS pixels, sum(CASE WHEN x BETWEEN 1 AND 2 AND y BETWEEN 1 AND 4 THEN n + (x - 1) ELSE 255 END)::BIGINT AS blue,
+              (count(*) * 4)::BIGINT AS bytes FROM a GROUP BY img_id"""
+)
+def stretched_images(spark, sf_dir):
+    """An image a part, of its own size and colour: one of 2 x 2 pixels stretched to 2 x 4 over it, written as RGBA."""
+    sizes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("img_id"), "p_size", (4 + F.col("p_size") % 5).alias("w"), (3 + F.col("p_size") % 4).alias("h"))
+    target = raster.blank(sizes, "w", "h")
+    small = raster.blank(sizes.withColumns({"two": F.lit(2)}), "two", "two").join(sizes.select("img_id", "p_size"), "img_id")
+    source = small.select("img_id", "x", "y", (F.lit(0xFF000000) + F.col("p_size") + F.col("x")).alias("argb"))
+    stretch = sizes.select("img_id", F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(2).alias("new_width"), F.lit(4).alias("new_height"))
+    made = raster.stretch_blit(target, source, stretch, 1, 1)
+    data = raster.rgb_bytes(made, "rgba")
+    sums = made.groupBy("img_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(C.channel(F.col("argb"), "b")).cast("long").alias("blue"))
+    return sums.join(data.select("img_id", F.length("data").cast("long").alias("bytes")), "img_id")
