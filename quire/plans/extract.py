@@ -27,12 +27,12 @@ class Documents:
 
     @property
     def nodes(self) -> DataFrame:
-        """Parsed once: what is asked of the nodes several times is kept, on disk if memory is short."""
+        """Parsed once: what is asked of the nodes several times is kept, on disk if memory is short, until ``close``."""
         return self._table("nodes", lambda: pdf.nodes(self.docs, self.password).persist())
 
     @property
     def tree(self) -> DataFrame:
-        """The recursive walk is done once; a row a page is kept."""
+        """The tables that the walk wrote are read once; a row a page is kept."""
         return self._table("tree", lambda: pdf.page_tree(self.nodes).persist())
 
     @property
@@ -69,6 +69,19 @@ class Documents:
     def text(self) -> DataFrame:
         return content.page_text(self.objects)
 
+    def close(self) -> None:
+        """Releases what is kept; tables that are asked for again are made again."""
+        for name in ("nodes", "tree"):
+            if name in self._made:
+                self._made[name].unpersist()
+        self._made.clear()
+
+    def __enter__(self) -> Documents:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def page_sizes_and_text(self) -> DataFrame:
         """doc_id, page_index, width, height, text of every page; pages without text have an empty one."""
         sizes = self.pages.select("doc_id", "page_index", "width", "height")

@@ -162,3 +162,18 @@ def test_images_fonts_and_search(spark):
     texts = d.text.withColumn("what", F.lit("lo"))
     boxes = search.hit_boxes(search.hits(texts, "text", "what"), chars, ["doc_id", "page_index"], "what").collect()
     assert [(r.at, tuple(r.box)) for r in boxes] == [(3, (65.0, 60.0, 75.0, 70.0))]
+
+
+def test_files_of_a_folder_and_release(spark, tmp_path):
+    from quire.plans.extract import Documents
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.pdf").write_bytes(build(BASE))
+    (tmp_path / "deep" / "b.pdf").write_bytes(b"no document")
+    read = pdf.read_files(spark, f"file://{tmp_path}")
+    assert sorted((r.path.rsplit("/", 1)[1], r.length == len(r.content)) for r in read.collect()) == [("a.pdf", True), ("b.pdf", True)]
+    with Documents(read.select("doc_id", "content")) as d:
+        assert [r.text for r in d.text.collect()] == ["Hello)World"]
+        assert d.nodes.is_cached
+        nodes = d.nodes
+    assert not nodes.is_cached
