@@ -82,20 +82,27 @@ class SuffixAutomaton:
         self.least = min(self.least, len(ids))
 
     def finish(self) -> SuffixAutomaton:
-        """Notes, at every state that holds runs of just ``window`` words, the items that have them; and where short items end."""
+        """Notes, at every state that holds runs of just ``window`` words, the items that have them; and where short items end.
+
+        Of each state the ancestor that holds its runs of ``window`` words is noted (``cut``), and the nearest one, itself included, at which a
+        short item ends (``short``): a walk along links, which is as long as an item is repetitive, is then a look-up.
+        """
+        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)  # links lead to shorter runs
+        self.cut, self.short = list(range(len(self.length))), [0] * len(self.length)
+        for at in order:
+            if self.length[self.link[at]] >= self.window:
+                self.cut[at] = self.cut[self.link[at]]
         self.having: dict[int, list[int]] = {}
         for k, ids in enumerate(self._ends):
             state = 0
             for n, w in enumerate(ids, 1):
                 state = self.follow[state][w]
-                if n >= self.window:
-                    at = state
-                    while self.length[self.link[at]] >= self.window:
-                        at = self.link[at]
-                    if (got := self.having.setdefault(at, []))[-1:] != [k]:
-                        got.append(k)
+                if n >= self.window and (got := self.having.setdefault(self.cut[state], []))[-1:] != [k]:
+                    got.append(k)
             if len(ids) < self.window:
                 self.whole.setdefault(state, []).append((len(ids), k))
+        for at in order:
+            self.short[at] = at if at in self.whole else self.short[self.link[at]]
         self._ends = []
         self.shorts = bool(self.whole)
         return self
@@ -112,19 +119,16 @@ class SuffixAutomaton:
                 continue
             state, run = to, run + 1
             if run >= window:
-                at = state
-                while length[link[at]] >= window:
-                    at = link[at]
                 hits.append((offset + k - window + 1, offset + k))
-                found.update(self.having[at])
+                found.update(self.having[self.cut[state]])
             if self.shorts:
-                at = state
-                while at > 0:
-                    for n, item in self.whole.get(at, ()):
+                at = self.short[state]
+                while at > 0:  # short items that end here, one within the other: fewer than ``window``
+                    for n, item in self.whole[at]:
                         if n <= run:
                             hits.append((offset + k - n + 1, offset + k))
                             found.add(item)
-                    at = link[at]
+                    at = self.short[link[at]]
 
     def match(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """words: ids, -1 for words that no item has. Only stretches of known words that could hold a hit are walked."""

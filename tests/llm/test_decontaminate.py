@@ -1,5 +1,6 @@
 """Benchmark hits against a search for every window in every text."""
 
+import time
 import random
 import re
 
@@ -87,3 +88,17 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.remove(docs, "text", items, "item_id", "text").count() == 1
     assert decontaminate.remove(docs.where(F.lit(False)), "text", items, "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("least", [13, 30_000])
+def test_repeated_word_takes_linear_time(least):
+    automaton = decontaminate.SuffixAutomaton(least)
+    automaton.add("a", "w " * 20_000)
+    automaton.add("b", "w w")
+    automaton.finish()
+    began = time.perf_counter()
+    hits, items = automaton.match([0] * 20_000)
+    if least == 13:
+        assert items == {"a", "b"} and decontaminate.merged(hits) == [(0, 19_999)] and time.perf_counter() - began < 3
+    else:  # items shorter than a window are whole: one each for the two of them, at most, at each place
+        assert items == {"a", "b"} and len(hits) == 1 + 19_999
