@@ -7,9 +7,10 @@ runs cause are found level by level, by joins of all documents at once, and the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..sources import pdf
 from ..sources.walk import levels, scratch, written
 from . import content, objects
@@ -18,19 +19,6 @@ from . import content, objects
 STATE = ("font", "font_owner", "size", "char_space", "word_space", "scale", "render_mode", "fill", "stroke")
 
 
-def unit() -> Column:
-    return F.struct(*[F.lit(v).alias(k) for k, v in zip("abcdef", (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), strict=True)])
-
-
-def times(m: Column, n: Column) -> Column:
-    """Matrices as structs of a to f: m first, then n."""
-    made = {
-        "a": m["a"] * n["a"] + m["b"] * n["c"], "b": m["a"] * n["b"] + m["b"] * n["d"], "c": m["c"] * n["a"] + m["d"] * n["c"], "d": m["c"] * n["b"] + m["d"] * n["d"],
-        "e": m["e"] * n["a"] + m["f"] * n["c"] + n["e"], "f": m["e"] * n["b"] + m["f"] * n["d"] + n["f"],
-    }
-    return F.struct(*[v.alias(k) for k, v in made.items()])
-
-
 def programmes(table: DataFrame, tree: DataFrame, streams: DataFrame, contents: DataFrame) -> DataFrame:
     """Rows of ``content.page_objects`` of every page and form, by (doc_id, obj_num), with nulls for what is inherited."""
     pages = contents.join(tree.select("doc_id", "page_index", "obj_num"), ["doc_id", "page_index"]).select("doc_id", F.col("obj_num").alias("page_index"), "data")
@@ -56,7 +44,7 @@ def runs(table: DataFrame, tree: DataFrame, calls: DataFrame) -> DataFrame:
         "fill": F.array(F.lit(0.0)), "stroke": F.array(F.lit(0.0)),
     }
     top = tree.join(owners, ["doc_id", "obj_num"], "left").select(
-        "doc_id", "page_index", "obj_num", F.array().cast("array<int>").alias("place"), F.array("obj_num").alias("ancestors"), "owner", unit().alias("ctm"),
+        "doc_id", "page_index", "obj_num", F.array().cast("array<int>").alias("place"), F.array("obj_num").alias("ancestors"), "owner", G.matrix().alias("ctm"),
         F.struct(*[first[c].alias(c) for c in STATE]).alias("state"),
     )
     inner = calls.select("doc_id", "obj_num", "seq", F.col("font").alias("name"), "matrix", F.struct(*[F.col(c) for c in STATE if c not in ("font", "font_owner")]).alias("set"), F.col("state_font").alias("set_font"))
@@ -69,7 +57,7 @@ def runs(table: DataFrame, tree: DataFrame, calls: DataFrame) -> DataFrame:
         state["font_owner"] = F.when(F.col("set_font").isNotNull(), F.col("owner")).otherwise(F.col("state")["font_owner"])
         return entered.select(
             "doc_id", "page_index", F.col("form").alias("obj_num"), F.array_append("place", F.col("seq")).alias("place"), F.array_append("ancestors", F.col("form")).alias("ancestors"),
-            F.when(F.coalesce("has_own", F.lit(False)), F.col("form")).otherwise(F.col("owner")).alias("owner"), times(F.col("m"), times(F.col("matrix"), F.col("ctm"))).alias("ctm"),
+            F.when(F.coalesce("has_own", F.lit(False)), F.col("form")).otherwise(F.col("owner")).alias("owner"), G.multiply(F.col("m"), G.multiply(F.col("matrix"), F.col("ctm"))).alias("ctm"),
             F.struct(*[state[c].alias(c) for c in STATE]).alias("state"),
         )
 
@@ -92,6 +80,6 @@ def drawn(table: DataFrame, tree: DataFrame, streams: DataFrame, contents: DataF
     out["font_owner"] = F.when(is_call | set_here, F.col("owner")).otherwise(s["font_owner"])
     return joined.select(
         "doc_id", "page_index", "obj_num", F.col("place").alias("run"), F.array_append("place", F.col("seq")).alias("place"), F.concat_ws(".", F.array_append("place", F.col("seq")).cast("array<string>")).alias("place_text"),
-        "seq", "type", times(F.col("matrix"), F.col("ctm")).alias("matrix"), F.when(F.col("base").isNotNull(), times(F.col("base"), F.col("ctm"))).alias("base"), "line", "lead", "text",
+        "seq", "type", G.multiply(F.col("matrix"), F.col("ctm")).alias("matrix"), F.when(F.col("base").isNotNull(), G.multiply(F.col("base"), F.col("ctm"))).alias("base"), "line", "lead", "text",
         *[out[c].alias(c) for c in STATE], "paint", "segments",
     )
