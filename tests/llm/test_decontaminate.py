@@ -1,8 +1,8 @@
 """Benchmark hits against a search for every window in every text."""
 
-import time
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
