@@ -185,6 +185,40 @@ def rounded_away(x) -> Column:
     return F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)).cast("long")
 
 
+def saturated(x, limit) -> Column:
+    """Rounded as by ``rounded_away``, and kept within the limit on both sides."""
+    x, limit = _c(x), _c(limit)
+    return F.when(x < -limit, -limit).when(x > limit, limit).otherwise(rounded_away(x)).cast("long")
+
+
+def multiply_one(a, b, bits: int) -> Column:
+    """Product of two numbers of so many bits, of which the greatest stands for one."""
+    q = _c(a).cast("long") * _c(b).cast("long") + (1 << (bits - 1))
+    return F.shiftright(q + F.shiftright(q, bits), bits)
+
+
+def nearly(x, y, epsilon) -> Column:
+    """Equal but for a share of one plus the size; of unlike signs, both within epsilon of zero."""
+    x, y = _c(x), _c(y)
+    unlike = (x < 0) != (y < 0)
+    return F.when(unlike, (F.abs(x) < epsilon) & (F.abs(y) < epsilon)).otherwise(F.abs(x - y) < epsilon * (1 + F.abs(x)))
+
+
+def touches(r: Column, s: Column) -> Column:
+    """Overlap where common edges count, as ``intersects`` doesn't."""
+    return (r["left"] <= s["right"]) & (s["left"] <= r["right"]) & (r["top"] <= s["bottom"]) & (s["top"] <= r["bottom"])
+
+
+def meet(r: Column, s: Column) -> Column:
+    """What both have; inverted if they lie apart, where ``intersection`` is null."""
+    return rect(F.greatest(r["left"], s["left"]), F.greatest(r["top"], s["top"]), F.least(r["right"], s["right"]), F.least(r["bottom"], s["bottom"]))
+
+
+def clipped(r: Column, s: Column) -> Column:
+    """The part of the first within the second; null if they don't even touch."""
+    return F.when(touches(r, s), meet(r, s))
+
+
 def _product(m: Column, n: Column) -> Column:
     return matrix(
         m["a"] * n["a"] + m["b"] * n["c"],
@@ -308,7 +342,24 @@ def fixed_divide(a, b, bits: int = 16) -> Column:
     return F.when(b == 0, F.lit(0x7FFFFFFF).cast("long")).otherwise(F.signum(a.cast("double")).cast("long") * F.signum(b.cast("double")).cast("long") * quotient)
 
 
-def snapped(x, unit_bits: int = 6) -> Column:
-    """A 26.6 number rounded to whole pixels."""
+def snapped(x, unit_bits: int = 6, how: str = "round") -> Column:
+    """A 26.6 number brought to whole pixels: the nearest one, or the one below (floor) or above (ceil)."""
     one = 1 << unit_bits
-    return F.shiftleft(F.shiftright(_c(x).cast("long") + one // 2, unit_bits), unit_bits)
+    more = {"round": one // 2, "floor": 0, "ceil": one - 1}[how]
+    return F.shiftleft(F.shiftright(_c(x).cast("long") + more, unit_bits), unit_bits)
+
+
+def fixed_transform(xx, xy, yx, yy, x, y) -> Column:
+    """struct<x, y>: a vector under a matrix of 16.16 numbers."""
+    return F.struct((fixed_multiply(xx, x) + fixed_multiply(xy, y)).alias("x"), (fixed_multiply(yx, x) + fixed_multiply(yy, y)).alias("y"))
+
+
+def fixed_inverse(xx, xy, yx, yy) -> Column:
+    """struct<xx, xy, yx, yy>: the inverse of a matrix of 16.16 numbers; null if it has none."""
+    k = fixed_multiply(xx, yy) - fixed_multiply(xy, yx)
+
+    def over(k: Column) -> Column:
+        cells = (fixed_divide(yy, k), -fixed_divide(xy, k), -fixed_divide(yx, k), fixed_divide(xx, k))
+        return F.when(k != 0, F.struct(*[c.alias(n) for c, n in zip(cells, ("xx", "xy", "yx", "yy"), strict=True)]))
+
+    return let(k, over)

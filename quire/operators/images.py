@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sniff import big_endian
+from ..sources.filters import run_length_checked
 
 
 #: Fixed values (JPEG 2000, annex F): the lifting factors of the irreversible 9-7 wavelet, and the scale of its low band.
@@ -33,6 +34,29 @@ def samples(images: DataFrame) -> DataFrame:
     return every.select("img_id", x.alias("x"), "y", c.alias("c"), v.cast("int").alias("v"))
 
 
+def run_length_lines(images: DataFrame) -> DataFrame:
+    """images: img_id, data (runs), width, height, components, bits -> img_id, y, line: all rows of samples, padded with zeros to a multiple of four bytes.
+
+    Images whose runs announce less than the whole image have no rows. Where a run is announced but its bytes are missing, a row is filled up with zeros.
+    """
+    sample_bits = F.col("width") * F.col("components") * F.col("bits")
+    least = F.ceil(sample_bits * F.col("height") / 8).cast("long")
+    made = images.select("img_id", run_length_checked("data", least).alias("data"), F.ceil(sample_bits / 8).cast("int").alias("used"), (F.ceil(sample_bits / 32) * 4).cast("int").alias("pitch"), "height")
+    rows = made.where("data IS NOT NULL AND height > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    line = F.substring("data", F.col("y") * F.col("used") + 1, F.col("used"))
+    return rows.select("img_id", "y", F.rpad(line, F.col("pitch"), F.lit(b"\0")).alias("line"))
+
+
+def rgb_pixels(images: DataFrame, swapped: bool = False) -> DataFrame:
+    """images: img_id, data, width, height of three bytes a pixel -> pixels (img_id, x, y, argb), without a shuffle. swapped: the first byte is blue. Pixels that the data is too short for are left out."""
+    rows = images.where("width > 0 AND height > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    line = rows.select("img_id", "y", "width", F.substring("data", F.col("y") * F.col("width") * 3 + 1, F.col("width") * 3).alias("line"))
+    every = line.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    v = big_endian(F.col("line"), F.col("x") * 3, 3)
+    color = F.shiftleft(v.bitwiseAND(255), 16) + v.bitwiseAND(0xFF00) + F.shiftright(v, 16) if swapped else v
+    return every.select("img_id", "x", "y", (color + 0xFF000000).alias("argb")).where("argb IS NOT NULL")
+
+
 def scaled_to_bytes(rows: DataFrame, bits: int) -> DataFrame:
     return rows.withColumn("v", F.floor(F.col("v") * 255 / ((1 << bits) - 1)).cast("int"))
 

@@ -102,6 +102,21 @@ def run_length(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def run_length_size(data: bytes) -> int:
+    """How many bytes the runs announce, without making them; a last run that the data cuts short counts in full."""
+    size = at = 0
+    while at < len(data) and data[at] != 128:
+        n = data[at]
+        size, at = (size + n + 1, at + n + 2) if n < 128 else (size + 257 - n, at + 2)
+    return size
+
+
+@F.pandas_udf(BinaryType())
+def run_length_checked(raw: pd.Series, least: pd.Series) -> pd.Series:
+    """Decoded runs; null if they announce fewer bytes than ``least``, which is known before any is made."""
+    return pd.Series([None if r is None or run_length_size(r) < n else run_length(r) for r, n in zip(raw, least, strict=True)], dtype=object)
+
+
 def run_length_encode(data: bytes) -> bytes:
     out = []
     for m in re.finditer(rb"([\s\S])\1{1,127}|(?:([\s\S])(?!\2)){1,128}", data):

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from quire import format_queries, object_queries, page_queries, queries, value_queries  # noqa: F401
+from quire import detail_queries, format_queries, object_queries, page_queries, queries, value_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
