@@ -9,11 +9,12 @@ candidates become links if their exact probability Jaccard similarity is at leas
 Large groups: equal texts are one node. In each bucket all nodes are first compared with one hub (a pair a row, at most);
 a hub with many partners is joined to them in cells, of which each has its own copy of the hub's row.
 Only nodes of one bucket that are then still in different components are compared with each
-other, block by block inside tasks, and only links that connect classes leave a task. Two texts that share several open buckets are
-compared in one of them. No bucket or partner is capped, and no pair that could join two classes is left out.
+other, block by block inside tasks: first by their registers alone; the vectors follow to cells of the pairs that may be alike, a bounded number of bytes
+each, and only links that connect classes leave a cell. Two texts that share several open buckets are compared in one of them. No bucket or partner is capped, and no pair that could join two classes is left out.
 
 Defined results: a null text is a class of its own; texts without words are alike only if equal; texts of one to four words
-have one shingle, all their words. class_id is the least doc_id of a class; rows with equal doc_id keep their own rows.
+have one shingle, all their words. class_id is the least doc_id of a class; rows with equal doc_id keep their own rows. Result columns whose names
+the key column has get leading underscores.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import MASK, batches, col, fresh, long_texts, materialize, mix, ngr
 from .components import connected_components
 
 SPLIT = 4096  # partners of a hub in one cell
+CELL_BYTES = 1 << 20  # of vectors of each side, about as many in a cell of candidate pairs
 REGISTERS, ROWS = 192, 6  # 32 bands: a pair at 0.8 shares one with probability 0.99994
 
 
@@ -101,6 +103,7 @@ def _signed(bands: int, most_chars: int = 4_000_000):
                     "digest": part["digest"].iloc[start:end].to_numpy(),
                     "marks": [m.tobytes() for m in marks],
                     "keys": [k if n else [] for k, n in zip(key, sizes, strict=True)],
+                    "size": sizes,
                 })
 
     return run
@@ -130,45 +133,75 @@ def _agreeing(m1: pd.Series, m2: pd.Series) -> pd.Series:
     return pd.Series((a == b).sum(axis=1, dtype=np.int32))
 
 
-def _across(least: int, similarity: float):
-    """Links between the nodes of two blocks that are still in different classes; no more than connect them."""
+def _candidates(least: int):
+    """Cells (nodes, labels, pairs) of the pairs of two blocks' nodes that are in different classes and whose marks agree often enough; nodes without such a partner are in none."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
-                if found := _links(row, least, similarity):
-                    yield pd.DataFrame(found, columns=["a", "b"])
+                if found := list(_cells(row, least)):
+                    yield pd.DataFrame(found, columns=["nodes", "labels", "pairs"])
 
     return run
 
 
-def _links(row, least: int, similarity: float) -> list[tuple[bytes, bytes]]:
+def _cells(row, least: int) -> Iterator[tuple[list[bytes], list[bytes], bytes]]:
     m1, m2 = (np.frombuffer(b"".join(m), "<u2").reshape(len(m), -1) for m in (row.marks1, row.marks2))
     names = {x: k for k, x in enumerate({*row.labels1, *row.labels2})}
     l1, l2 = (np.array([names[x] for x in labels]) for labels in (row.labels1, row.labels2))
     k1, k2 = ([frozenset(x.tolist()) for x in keys] for keys in (row.keys1, row.keys2))
-    head, out, vectors = list(range(len(names))), [], {}
-
-    def root(k: int) -> int:
-        while head[k] != k:
-            head[k] = k = head[head[k]]
-        return k
-
-    def vector(side: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if (side, k) not in vectors:
-            h, w = (row.h1[k], row.w1[k]) if side == 1 else (row.h2[k], row.w2[k])
-            vectors[side, k] = np.frombuffer(h, np.uint64), np.frombuffer(w, "<u4").astype(np.int64)
-        return vectors[side, k]
-
     alike = (m1[:, None, :] == m2[None, :, :]).sum(axis=2, dtype=np.int16)
     i, j = np.nonzero((alike >= least) & (l1[:, None] != l2[None, :]))
+    if row.cut1 == row.cut2:
+        i, j = i[i < j], j[i < j]
+    # two texts that share several open buckets are compared in the least of them only
+    here = np.array([min(k1[x] & k2[y]) == row.key for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    i, j = i[here], j[here]
     order = np.argsort(-alike[i, j], kind="stable")  # likely links first: what they join needn't be compared again
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        p, q = root(int(l1[x])), root(int(l2[y]))
-        if p != q and min(k1[x] & k2[y]) == row.key and prob_jaccard(*vector(1, x), *vector(2, y)) >= similarity:
-            head[p] = q
-            out.append((row.nodes1[x], row.nodes2[y]))
-    return out
+    i, j = i[order], j[order]
+
+    def parts(used: np.ndarray, sizes) -> np.ndarray:
+        """For each place of ``used`` the part of about ``CELL_BYTES`` of vectors that its node is in."""
+        some, back = np.unique(used, return_inverse=True)
+        held = np.cumsum(np.asarray(sizes, np.int64)[some] * 12)
+        return (held // CELL_BYTES)[back]
+
+    p, q = parts(i, row.sizes1), parts(j, row.sizes2)
+    for one, two in sorted({*zip(p.tolist(), q.tolist(), strict=True)}):
+        inside = np.flatnonzero((p == one) & (q == two))
+        at, nodes, labels, pairs = {}, [], [], []
+        for x, y in zip(i[inside].tolist(), j[inside].tolist(), strict=True):
+            for node, label in ((row.nodes1[x], row.labels1[x]), (row.nodes2[y], row.labels2[y])):
+                if node not in at:
+                    at[node] = len(nodes)
+                    nodes.append(node)
+                    labels.append(label)
+            pairs.append((at[row.nodes1[x]], at[row.nodes2[y]]))
+        yield nodes, labels, np.array(pairs, "<u2").tobytes()
+
+
+def _verified(similarity: float):
+    """Links of a cell: of its pairs no more than connect its classes, by exact similarity."""
+
+    def run(cell: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for nodes, labels, pairs in zip(cell["nodes"], cell["labels"], cell["pairs"], strict=True):
+            vectors = {d: (np.frombuffer(h, np.uint64), np.frombuffer(w, "<u4").astype(np.int64)) for d, h, w in zip(held["digest"], held["h"], held["w"], strict=True)}
+            head = {x: x for x in labels}
+
+            def root(x: bytes, head=head) -> bytes:
+                while head[x] != x:
+                    head[x] = x = head[head[x]]
+                return x
+
+            for x, y in np.frombuffer(pairs, "<u2").reshape(-1, 2).tolist():
+                p, q = root(labels[x]), root(labels[y])
+                if p != q and prob_jaccard(*vectors[nodes[x]], *vectors[nodes[y]]) >= similarity:
+                    head[p] = q
+                    found.append((nodes[x], nodes[y]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, block: int = 128) -> DataFrame:
@@ -183,7 +216,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, bl
     rows = docs.select(col(doc_id).alias("id"), F.unhex(F.md5(col(text))).alias("digest"), col(text).alias("text"))
     texts = rows.select("digest", "text").where("text is not null")
 
-    signed = texts.mapInPandas(_signed(bands), "digest binary, marks binary, keys array<long>").dropDuplicates(["digest"])
+    signed = texts.mapInPandas(_signed(bands), "digest binary, marks binary, keys array<long>, size long").dropDuplicates(["digest"])
     signed = materialize(signed, "signed")
     banded = signed.select("digest", F.explode("keys").alias("key"))
     company = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -219,15 +252,20 @@ def classes(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, bl
     members = materialize(named.join(open_keys, "key"), "unsettled")
     keys = members.groupBy("digest").agg(F.collect_list("key").alias("keys"))  # one for each band at most
     cut = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / block)).cast("int").alias("cut")
-    payload = keys.join(marks, "digest").join(vectors, "digest")
+    # Blocks are compared by their marks; vectors follow only to the cells of pairs that pass.
+    payload = keys.join(signed.select("digest", "marks", "size"), "digest")
     blocks = members.select("key", "digest", "label", cut).join(payload, "digest")
-    parts = ("nodes", "labels", "keys", "marks", "h", "w")
-    listed = [F.col("m")[c].alias(p) for c, p in zip(("digest", "label", "keys", "marks", "h", "w"), parts, strict=True)]
-    grouped = blocks.groupBy("key", "cut").agg(F.collect_list(F.struct("digest", "label", "keys", "marks", "h", "w")).alias("m"))
+    parts = ("nodes", "labels", "keys", "marks", "sizes")
+    listed = [F.col("m")[c].alias(p) for c, p in zip(("digest", "label", "keys", "marks", "size"), parts, strict=True)]
+    grouped = blocks.groupBy("key", "cut").agg(F.collect_list(F.struct("digest", "label", "keys", "marks", "size")).alias("m"))
     grouped = materialize(grouped.select("key", "cut", *listed), "blocks")
     left = grouped.select("key", *[F.col(c).alias(f"{c}1") for c in ("cut", *parts)])
     right = grouped.select("key", *[F.col(c).alias(f"{c}2") for c in ("cut", *parts)])
-    rest = left.join(right, "key").where("cut1 <= cut2").drop("cut1", "cut2").mapInPandas(_across(least, similarity), "a binary, b binary")
+    pairs = left.join(right, "key").where("cut1 <= cut2").mapInPandas(_candidates(least), "nodes array<binary>, labels array<binary>, pairs binary")
+    # the number is written down with the cell, so that it can't change when a task runs again
+    cells = materialize(pairs.withColumn("cell", F.monotonically_increasing_id()), "cells")
+    held = cells.select(F.col("cell").alias("of"), F.explode("nodes").alias("digest")).join(vectors, "digest")
+    rest = cells.groupBy("cell").cogroup(held.groupBy("of")).applyInPandas(_verified(similarity), "a binary, b binary")
     labels = connected_components(materialize(rest, "rest"), labels)
 
     named = rows.select("id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
@@ -242,7 +280,9 @@ def _with_classes(named: DataFrame, doc_id: str) -> DataFrame:
     placed = materialize(placed, "placed")
     heads = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "place")).alias("head"), F.count(F.lit(1)).alias("class_size"))
     known = placed.join(heads, "label").select("id", F.col("head.id").alias("class_id"), "class_size", (F.col("place") == F.col("head.place")).alias("representative"))
-    return known.unionByName(alone).select(F.col("id").alias(doc_id), "class_id", "class_size", "representative")
+    made = known.unionByName(alone)
+    columns = ("class_id", "class_size", "representative")
+    return made.select(F.col("id").alias(doc_id), *[F.col(c).alias(n) for c, n in zip(columns, fresh(made.select(F.col("id").alias(doc_id)), *columns), strict=True)])
 
 
 def dedupe(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8) -> DataFrame:

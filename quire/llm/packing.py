@@ -12,7 +12,8 @@ whole stream.
 
 Defined results: a null text is empty and has only the end token. Each id lies in exactly one piece. Strings that the
 vocabulary lists as added tokens get those tokens' ids, as in the tokenizers library. Where ranges begin is sampled by
-Spark's range sort, so sequence ids can differ between two runs over more than one partition.
+Spark's range sort, so sequence ids can differ between two runs over more than one partition. Repeated rows, and rows with equal or null ids, are packed one
+after the other, each whole; all rows of one id are in one range. Result columns whose names the key column has get leading underscores.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, col, long_texts
+from .common import Memo, col, fresh, long_texts
 
 _LONE = re.compile(r"\s(?:\s|\Z)")
 SENTENCE, INSIDE, WINDOW = 1, 8, 4  # penalties of a cut at a sentence end and inside a sentence, and the fee of a window; in tokens of padding
@@ -330,4 +331,6 @@ def pack(docs: DataFrame, doc_id: str, text: str, json_path: str, end_id: int =
     kind = rows.schema["key"].dataType.simpleString()
     ordered = rows.repartitionByRange("key").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("key", "tie").select("key", "text")
     schema = f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return ordered.mapInPandas(_packed(json_path, end_id, size, segment), schema).withColumnRenamed("key", doc_id)
+    made = ordered.mapInPandas(_packed(json_path, end_id, size, segment), schema)
+    names = fresh(made.select(F.col("key").alias(doc_id)), *made.columns[1:])
+    return made.select(F.col("key").alias(doc_id), *[F.col(c).alias(n) for c, n in zip(made.columns[1:], names, strict=True)])

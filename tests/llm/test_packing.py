@@ -126,3 +126,11 @@ def test_every_id_is_in_one_piece(spark, sf_small, segment):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, ids int"), "doc_id", "text", PATH).count() == 0
+
+
+def test_names_that_clash_and_odd_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "c. d."), (1, "c. d.")], "length long, text string")
+    pieces = packing.pack(docs, "length", "text", PATH)
+    assert pieces.columns == ["length", "start", "_length", "ids", "doc_tokens", "sequence_id", "offset"]
+    rows = pieces.collect()
+    assert sum(r._length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0) and sum(r.start == 0 for r in rows) == 5
