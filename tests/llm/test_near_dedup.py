@@ -71,7 +71,6 @@ def make_rows():
 
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SPLIT", 8)  # hubs have several cells
-    monkeypatch.setattr(near_dedup, "CELL_BYTES", 1 << 13)  # blocks have several cells of candidates
     rows = make_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = near_dedup.classes(docs, "doc_id", "text", block=16).collect()
@@ -91,35 +90,6 @@ def test_dedupe_keeps_one_row_of_each_class_and_all_columns(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (None, "q r s t u v"), (3, None), (4, None)], key=str)
 
 
-def test_candidates_are_cut_into_cells_without_loss(monkeypatch):
-    """Every pair whose marks agree, in this bucket and of different classes, is in just one cell, and cells are of bounded size."""
-    from types import SimpleNamespace
-
-    rng, n = np.random.default_rng(4), 40
-    base = rng.integers(0, 1 << 16, near_dedup.REGISTERS).astype("<u2")
-    sides = []
-    for side in range(2):
-        marks = [np.where(rng.random(near_dedup.REGISTERS) < 0.15, rng.integers(0, 1 << 16, near_dedup.REGISTERS), base).astype("<u2").tobytes() for _ in range(n)]
-        keys = [np.array([7, *([3] if k % 5 == 0 else [])]) for k in range(n)]
-        sides.append(([b"%d.%02d" % (side, k) for k in range(n)], [b"%02d" % (k % 9) for k in range(n)], keys, marks, rng.integers(1, 300, n)))
-    monkeypatch.setattr(near_dedup, "CELL_BYTES", 6000)
-    for same in (False, True):
-        one, two = sides[0], sides[0] if same else sides[1]
-        row = SimpleNamespace(key=7, cut1=0, cut2=0 if same else 1, **{f"{x}{k}": v for k, side in ((1, one), (2, two)) for x, v in zip(("nodes", "labels", "keys", "marks", "sizes"), side)})
-        got = []
-        size = {**dict(zip(one[0], one[4])), **dict(zip(two[0], two[4]))}
-        for nodes, labels, pairs in near_dedup._cells(row, 130):
-            assert sum(int(size[x]) * 12 for x in nodes) <= 2 * (6000 + 300 * 12)
-            got += [tuple(sorted((nodes[x], nodes[y]))) for x, y in np.frombuffer(pairs, "<u2").reshape(-1, 2)]
-        expected = set()
-        for x in range(n):
-            for y in range(x + 1 if same else 0, n):
-                a, b = np.frombuffer(one[3][x], "<u2"), np.frombuffer(two[3][y], "<u2")
-                if (a == b).sum() >= 130 and one[1][x] != two[1][y] and not (x % 5 == 0 and y % 5 == 0):
-                    expected.add(tuple(sorted((one[0][x], two[0][y]))))
-        assert len(got) == len(set(got)) and set(got) == expected and 100 < len(expected)
-
-
 def test_names_that_clash(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "class_id long, text string")
     got = near_dedup.classes(docs, "class_id", "text")
