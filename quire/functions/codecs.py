@@ -176,9 +176,9 @@ def vertex_bounds(vertices: DataFrame, keys: list[str], command: str = "cmd") ->
 
 
 def bessel(order: int, x: Column, terms: int = 40) -> Column:
-    """The Bessel function of the first kind of a whole order by its power series; so many terms are enough for arguments up to about 20."""
+    """The Bessel function of the first kind of a whole order by its power series; null for arguments beyond 20 on either side, for which so many terms aren't enough."""
     half = x / 2
     first = F.pow(half, F.lit(order)) / float(math.factorial(order))
     step = lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (-s["term"] * half * half / ((k + 1) * (k + 1 + order))).alias("term"))
     start = F.struct(F.lit(0.0).alias("sum"), first.cast("double").alias("term"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step)["sum"]
+    return F.when(F.abs(x) <= 20, F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step)["sum"])

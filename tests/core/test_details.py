@@ -1,10 +1,12 @@
 """Field links on odd forms, rows from runs, pixels and fixed-point numbers against plain versions."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from made import build, documents
+from quire.functions import codecs
 from quire.functions import geometry as G
 from quire.operators import forms, images, raster
 from quire.sources import filters
@@ -75,3 +77,15 @@ def test_numbers(spark):
     one = 65536
     m = spark.range(1).select(G.fixed_inverse(F.lit(one), F.lit(2 * one), F.lit(one), F.lit(2 * one)).alias("none"), G.fixed_inverse(F.lit(2 * one), F.lit(one), F.lit(0), F.lit(one)).alias("m")).first()
     assert m.none is None and tuple(m.m) == (one // 2, -one // 2, 0, one)
+
+
+def test_bessel_says_where_it_ends(spark):
+    """Against the integral of the definition, and null where the series would be wrong."""
+    rows = spark.createDataFrame([(k / 2,) for k in range(0, 45)], "x double").select("x", codecs.bessel(1, F.col("x")).alias("j")).collect()
+    for r in rows:
+        if r.x > 20:
+            assert r.j is None
+        else:
+            n = 2000
+            mean = sum(math.cos(t - r.x * math.sin(t)) for t in (math.pi * (k + 0.5) / n for k in range(n))) / n
+            assert abs(r.j - mean) < 1e-6
