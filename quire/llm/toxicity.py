@@ -1,9 +1,10 @@
 """Toxic passages: maximum-scoring segments of token log-odds.
 
-**Tokens.** A word belongs to at most one class of the lexicon: the shortest of its beginnings (``SHORTEST`` to ``LONGEST``
-characters, but not all) or else the whole word that labelled toxic texts hold significantly more often. Significance is the z-score of the
-log-odds ratio of document counts under an informative Dirichlet prior, whose mass is ``PRIOR`` of the counts and whose
-centre is the pooled distribution. A class scores the log-odds of its tokens in a toxic passage, of which ``DENSITY`` is toxic
+**Tokens.** A word belongs to at most one class of the lexicon: of its beginnings (``SHORTEST`` to ``LONGEST``
+characters, but not all) and the whole word the one that labelled toxic texts hold most significantly more often. Significance is the root of the likelihood ratio
+statistic of document counts: of documents that have the class at all, or that have it ``OFTEN`` times, whichever says more. Of few labelled texts
+it tells more than a z-score, and a stem that clean texts have too, by chance and seldom, is known by the documents that have it often. Besides, the log-odds
+ratio of token counts must be great, under an informative Dirichlet prior, whose mass is ``PRIOR`` of the counts and whose centre is the pooled distribution. A class scores the log-odds of its tokens in a toxic passage, of which ``DENSITY`` is toxic
 tokens, against clean text (smoothed by the same kind of prior); every other word scores the log-odds of the rest, below zero.
 
 **Segments.** One scan in linear time finds all maximal segments: the best one, the best ones to its left and right, and so on.
@@ -39,10 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import Memo, col, fresh, long_texts, materialize, mix, ngram_hashes, word_bytes, word_hashes
 
-SHORTEST, LONGEST = 3, 8
+SHORTEST, LONGEST = 3, 12
 MAX_TRAIN, MAX_NODES, FOLDS, MARKS = 10_000, 100_000, 3, 15
-#: Mass of the Dirichlet priors as a share of the counts; the least z-score and log-odds ratio of a lexicon class; toxic tokens in a toxic passage.
-PRIOR, LEAST_Z, LEAST_ODDS, DENSITY = 0.05, 3.2, 3.5, 0.2
+#: Mass of the Dirichlet priors as a share of the counts; the least significance and log-odds ratio of a lexicon class; toxic tokens in a toxic passage.
+PRIOR, LEAST_Z, LEAST_ODDS, DENSITY = 0.05, 3.7, 3.0, 0.2
+#: Occurrences in a document from which it has a class often.
+OFTEN = 2
+COUNTED = ("docs", "tokens", "often")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as word_bytes, before lower-casing
 
 
@@ -63,22 +67,42 @@ class Lexicon:
         return next((self.scores[n] for n in nodes_of(word.decode("utf-8", "replace")) if n in self.scores), 0.0)
 
 
+def _odds(n0: float, n1: float, all0: float, all1: float) -> float:
+    """Log-odds ratio of n1 of all1 against n0 of all0."""
+    mass = PRIOR * (all0 + all1)
+    a = mass * (n0 + n1) / (all0 + all1)
+    if not n1 or n1 + a >= all1 + mass:
+        return 0.0
+    return math.log((n1 + a) / (all1 + mass - n1 - a)) - math.log((n0 + a) / max(all0 + mass - n0 - a, 1e-9))
+
+
+def _significance(n0: float, n1: float, all0: float, all1: float) -> float:
+    """Root of the likelihood ratio statistic of two shares, 0 if the second isn't greater: as a z-score, but also where a count is 0."""
+    if n1 * all0 <= n0 * all1:
+        return 0.0
+    pooled = (n0 + n1) / (all0 + all1)
+    g = sum(x * math.log(x / (whole * p)) for n, whole in ((n0, all0), (n1, all1)) for x, p in ((n, pooled), (whole - n, 1 - pooled)) if x > 0 and p > 0)
+    return math.sqrt(max(0.0, 2 * g))
+
+
 def lexicon(counts: dict[str, np.ndarray], totals: np.ndarray) -> Lexicon:
-    """counts: node -> (documents, tokens) of clean and toxic texts, as an array [class, kind]; totals: the same of all texts."""
-    (docs0, words0), (docs1, words1) = totals
+    """counts: node -> (documents, tokens, documents that have it often, if these were counted) of clean and toxic texts, as an array [class, kind]; totals: the same of all texts."""
+    (docs0, words0), (docs1, words1) = totals[:, :2]
     if not docs0 or not docs1:
         return Lexicon({}, -1.0)
-    mass, kept = PRIOR * (docs0 + docs1), {}
-    for node in sorted(counts, key=lambda n: (len(n), n)):
-        (d0, _), (d1, _) = counts[node]
-        if any(node[:k] in kept for k in range(SHORTEST, len(node))):
-            continue
-        a = mass * (d0 + d1) / (docs0 + docs1)
-        if not d1 or d1 + a >= docs1 + mass:
-            continue
-        odds = math.log((d1 + a) / (docs1 + mass - d1 - a)) - math.log((d0 + a) / max(docs0 + mass - d0 - a, 1e-9))
-        if odds >= LEAST_ODDS and odds >= LEAST_Z * math.sqrt(1 / (d1 + a) + 1 / (d0 + a)):
+    likely = []
+    for node, found in counts.items():
+        (_, t0, *_), (_, t1, *_) = found
+        z = max(_significance(n0, n1, docs0, docs1) for n0, n1 in found[:, [0, *range(2, found.shape[1])]].T)
+        if z >= LEAST_Z and _odds(t0, t1, words0, words1) >= LEAST_ODDS:
+            likely.append((-z, len(node), node))
+    kept: dict[str, np.ndarray] = {}
+    above: set[str] = set()
+    for _, _, node in sorted(likely):  # of a word's classes the most significant
+        beginnings = [node[:k] for k in range(SHORTEST, len(node))]
+        if node not in above and not any(b in kept for b in beginnings):
             kept[node] = counts[node][:, 1]
+            above.update(beginnings)
     toxic = sum(t1 for _, t1 in kept.values())
     mass, scores, rest = PRIOR * (words0 + words1), {}, 1.0
     for node, (t0, t1) in kept.items():
@@ -191,7 +215,7 @@ def _weighted(sample: DataFrame) -> DataFrame:
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """(node, weighted documents and tokens by fold and class) of a table of text, label, fold and weight. Each batch is summed before it is shuffled."""
+    """(node, weighted documents, tokens and documents that have it often, by fold and class) of a table of text, label, fold and weight. Each batch is summed before it is shuffled."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -205,14 +229,15 @@ def _counted(sample: DataFrame) -> DataFrame:
                 own[""] += 0
                 at = sums.setdefault(fold * 2 + label, {})
                 for node, n in own.items():
-                    x = at.setdefault(node, [0.0, 0.0])
+                    x = at.setdefault(node, [0.0, 0.0, 0.0])
                     x[0] += weight
                     x[1] += weight * n
+                    x[2] += weight * (n >= OFTEN)
             for place, found in sums.items():
-                yield pd.DataFrame({"node": list(found), "place": place, "docs": [x[0] for x in found.values()], "tokens": [x[1] for x in found.values()]})
+                yield pd.DataFrame({"node": list(found), "place": place} | {name: [x[k] for x in found.values()] for k, name in enumerate(COUNTED)})
 
-    rows = sample.mapInPandas(count, "node string, place int, docs double, tokens double")
-    sums = [F.sum(F.when(F.col("place") == 2 * f + c, F.col(x)).otherwise(0)).alias(f"{x}{f}{c}") for f in range(FOLDS) for c in range(2) for x in ("docs", "tokens")]
+    rows = sample.mapInPandas(count, "node string, place int, docs double, tokens double, often double")
+    sums = [F.sum(F.when(F.col("place") == 2 * f + c, F.col(x)).otherwise(0)).alias(f"{x}{f}{c}") for f in range(FOLDS) for c in range(2) for x in COUNTED]
     return rows.groupBy("node").agg(*sums)
 
 
@@ -224,16 +249,17 @@ def fit(keys: DataFrame, docs: DataFrame, key: str, text: str) -> Model:
     sample = materialize(_weighted(drawn), "weighted")
     counted = materialize(_counted(sample), "tokens")
     columns = counted.columns[1:]
-    as_array = lambda r: np.array(r[1:], np.float64).reshape(FOLDS, 2, 2)
+    as_array = lambda r: np.array(r[1:], np.float64).reshape(FOLDS, 2, len(COUNTED))
     root = counted.where("node = ''").collect()
     if not root:
         return Model(Lexicon({}, -1.0), 1.0, -500.0, 0.0)
     totals = as_array(root[0])
-    (docs0, _), (docs1, _) = totals.sum(axis=0)
+    docs0, docs1 = totals.sum(axis=0)[:, 0]
     if not docs0 or not docs1:
         return Model(Lexicon({}, -1.0), 1.0, 500.0 if docs1 else -500.0, 0.0)
-    clean, toxic = (sum(F.col(c) for c in columns if c.startswith("docs") and c.endswith(str(x))) for x in (0, 1))
-    likely = counted.where((F.col("node") != "") & (toxic >= 1.5) & (toxic * float(docs0) >= clean * (2 * float(docs1))))
+    clean, toxic, seldom, often = (sum(F.col(c) for c in columns if c.startswith(k) and c.endswith(str(x))) for k in ("docs", "often") for x in (0, 1))
+    more = lambda some, others: (some >= 1.5) & (some * float(docs0) >= others * (2 * float(docs1)))
+    likely = counted.where((F.col("node") != "") & (more(toxic, clean) | more(often, seldom)))
     counts = {r.node: as_array(r) for r in likely.orderBy(toxic.desc(), "node").limit(MAX_NODES).collect()}
     others = [lexicon({n: c.sum(axis=0) - c[f] for n, c in counts.items()}, totals.sum(axis=0) - totals[f]) for f in range(FOLDS)]
 

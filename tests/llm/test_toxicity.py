@@ -61,6 +61,16 @@ def test_lexicon_has_no_beginning_of_another():
     assert lex.of(b"badwordish") > 0 and lex.of(b"bad") == 0 and lex.of(b"goodness") == 0 and lex.of(b"ba") == 0
 
 
+def test_stems_that_clean_texts_have_too():
+    """Of one language among several: texts of both classes have them, toxic ones often; and of few labelled texts."""
+    totals = np.array([[3531.0, 1_400_000.0, 3531.0], [431.0, 170_000.0, 431.0]])
+    counts = {"achl": np.array([[58.0, 63.0, 4.0], [63.0, 577.0, 61.0]]), "ach": np.array([[390.0, 700.0, 150.0], [64.0, 700.0, 62.0]]), "the ": np.array([[2000.0, 50_000.0, 1900.0], [260.0, 6000.0, 240.0]])}
+    assert set(toxicity.lexicon(counts, totals).scores) == {"achl"}
+    totals = np.array([[284.0, 110_000.0, 284.0], [45.0, 18_000.0, 45.0]])
+    counts = {"veju": np.array([[0.0, 0.0, 0.0], [4.0, 30.0, 4.0]]), "once ": np.array([[0.0, 0.0, 0.0], [1.0, 1.0, 0.0]])}
+    assert set(toxicity.lexicon(counts, totals).scores) == {"veju"}
+
+
 @pytest.fixture(scope="module")
 def judged(spark, sf_dir):
     out = queries.op11_toxicity(spark, sf_dir)
