@@ -44,30 +44,28 @@ def _seeded(host: Column) -> Column:
     return found
 
 
-def url_labels(pages: DataFrame, url: str, most: int = 20_000, folds: int = 3) -> DataFrame:
+def url_labels(pages: DataFrame, url: str, folds: int = 3) -> DataFrame:
     """Training rows of the URL model: a seed in the host rejects; else the rule, if there is one, decides.
 
     A URL that neither decides is a training row only if its host is found acceptable, by the mean over its URLs, by a model
     of the seeds and of hosts other than this one (``folds`` groups of hosts); it is then accepted, else left out. Where no
-    host has a seed nothing speaks against any of them. Of each kind the ``most`` URLs with the smallest hashes are used.
+    host has a seed nothing speaks against any of them. All distinct URLs take part.
     """
     host, path = url_filter.host_of(F.col(url)), url_filter.path_of(F.col(url))
     _, ruled = url_filter.rule_of(host, path, URL_RULES)
     kind = F.when(_seeded(host), "seed").otherwise(F.coalesce(ruled, F.lit("open")))
-    rows = materialize(pages.where(F.col(url).isNotNull()).select(F.concat(host, path).alias("s"), host.alias("host"), kind.alias("kind")).distinct(), "urls")
-    # A limit after a sort keeps ``most`` rows of each task only; a window would bring a kind's rows together first.
-    firsts = [rows.where(F.col("kind") == k).orderBy(F.xxhash64("s"), "s").limit(most) for k in ("seed", "allow", "block", "open")]
-    sample = materialize(reduce(DataFrame.unionByName, firsts).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int")), "sample")
-    chances: dict[str, list[float]] = {}
+    fold = F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int")
+    rows = pages.where(F.col(url).isNotNull()).select(F.concat(host, path).alias("s"), host.alias("host"), kind.alias("kind")).distinct()
+    rows = materialize(rows.withColumn("fold", fold), "urls")
+    asked = []
     for k in range(folds):
-        known = sample.where((F.col("kind") == "seed") | (F.col("kind").isin("allow", "open") & (F.col("fold") != k)))
-        model = url_filter.fit(known.select("s", (F.col("kind") != "seed").alias("a")), "s", "a", max_train=most)
-        for r in sample.where((F.col("kind") == "open") & (F.col("fold") == k)).select("s", "host").collect():
-            chances.setdefault(r.host, []).append(1.0 if model is None else model.probability(model.score(r.s)))
-    good = [(h,) for h, found in chances.items() if sum(found) >= 0.5 * len(found)]
-    fine = F.broadcast(pages.sparkSession.createDataFrame(good, "host string"))  # at most ``most`` hosts
-    decided = sample.where("kind <> 'open'").select("s", (F.col("kind") == "allow").alias("a"))
-    return decided.unionByName(sample.where("kind = 'open'").join(fine, "host", "left_semi").select("s", F.lit(True).alias("a")))
+        known = rows.where((F.col("kind") == "seed") | (F.col("kind").isin("allow", "open") & (F.col("fold") != k)))
+        model = url_filter.fit(known.select("s", (F.col("kind") != "seed").alias("a")), "s", "a")
+        chance = F.lit(1.0) if model is None else url_filter.scored(pages.sparkSession, model, F.col("s"))["url_probability"]
+        asked.append(rows.where((F.col("kind") == "open") & (F.col("fold") == k)).select("host", chance.alias("chance")))
+    fine = reduce(DataFrame.unionByName, asked).groupBy("host").agg(F.avg("chance").alias("chance")).where("chance >= 0.5").select("host")
+    decided = rows.where("kind <> 'open'").select("s", (F.col("kind") == "allow").alias("a"))
+    return decided.unionByName(rows.where("kind = 'open'").join(materialize(fine, "hosts"), "host", "left_semi").select("s", F.lit(True).alias("a")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

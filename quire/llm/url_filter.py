@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, materialize
 
 START, END = "\x02", "\x03"
 
@@ -133,9 +133,9 @@ def _grams(text: Column, order: int) -> Column:
     return F.flatten(F.array(*[_runs(padded, n) for n in range(1, order + 2)]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, slightly ridged, by Newton's method; both classes weigh the same."""
-    w = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())) * len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, slightly ridged, by Newton's method; both classes weigh the same. n: how many cases a row stands for."""
+    w = n * np.where(y > 0.5, 0.5 / max(1, n[y > 0.5].sum()), 0.5 / max(1, n[y <= 0.5].sum())) * n.sum()
     beta, design = np.zeros(2), np.column_stack([x, np.ones_like(x)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -147,29 +147,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(beta[0]), float(beta[1])
 
 
-def fit(labelled: DataFrame, text: str, accepted: str, order: int = 4, max_train: int = 20_000) -> UrlModel | None:
-    """labelled: a string and a boolean column. Of each class the ``max_train`` distinct strings with the smallest hashes are used.
+def scored(spark: SparkSession, model: UrlModel, text: Column) -> Column:
+    """Struct url_score, url_probability of host and path. The model is broadcast: its size follows the different n-grams of its training URLs."""
+    shared = spark.sparkContext.broadcast(model)
 
-    The n-grams are counted by Spark; what reaches the driver is bounded by ``max_train``. None if a class is empty.
+    @F.pandas_udf("url_score double, url_probability double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for texts in parts:
+            s = [m.score(t) for t in texts]
+            yield pd.DataFrame({"url_score": s, "url_probability": [m.probability(x) for x in s]}, dtype="float64")
+
+    return score(text)
+
+
+def fit(labelled: DataFrame, text: str, accepted: str, order: int = 4) -> UrlModel | None:
+    """labelled: a string and a boolean column. All distinct strings are used, a fifth of them to calibrate.
+
+    The n-grams are counted by Spark; the driver gets one row for each different n-gram, of ``order`` + 1 characters at most, and
+    the number of held-out strings at each score (in thousandths). None if a class is empty.
     """
     rows = labelled.select(col(text).alias("s"), col(accepted).alias("a")).where("s is not null and a is not null").distinct()
-    h = F.xxhash64("s")
-    parts = [rows.where(F.col("a") == a).orderBy(h, "s").limit(max_train) for a in (True, False)]
-    sample = parts[0].unionByName(parts[1]).withColumn("held", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(5)) == 0).persist()
-    try:
-        counted = sample.where("not held").select("a", F.explode(_grams(F.col("s"), order)).alias("g")).groupBy("a", "g").count().collect()
-        held = [(r.s, r.a) for r in sample.where("held").select("s", "a").collect()]
-    finally:
-        sample.unpersist()
+    rows = materialize(rows.withColumn("held", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(5)) == 0), "training")
     counts: dict[bool, dict[str, int]] = {True: {}, False: {}}
-    for a, g, n in counted:
+    for a, g, n in rows.where("not held").select("a", F.explode(_grams(F.col("s"), order)).alias("g")).groupBy("a", "g").count().toLocalIterator():
         counts[a][g] = n
     if not counts[True] or not counts[False]:
         return None
     model = UrlModel(MarkovModel.fit(counts[True], order), MarkovModel.fit(counts[False], order))
-    if len({a for _, a in held}) == 2:
-        x = np.array([model.score(s) for s, _ in held])
-        model.slope, model.offset = _logistic(x, np.array([float(a) for _, a in held]))
+    score = scored(rows.sparkSession, model, F.col("s"))["url_score"]
+    held = rows.where("held").select("a", F.round(score, 3).alias("x")).groupBy("a", "x").count().collect()
+    if len({a for a, _, _ in held}) == 2:
+        y, x, n = (np.array(v, np.float64) for v in zip(*sorted(map(tuple, held)), strict=True))
+        model.slope, model.offset = _logistic(x, y, n)
         if model.slope <= 0:  # too few held-out URLs to calibrate on
             model.slope, model.offset = 1.0, 0.0
     return model
@@ -178,7 +188,7 @@ def fit(labelled: DataFrame, text: str, accepted: str, order: int = 4, max_train
 def filter_urls(df: DataFrame, url: str, rules: list[Rule], model: UrlModel | None, least: float = 0.5) -> DataFrame:
     """Adds host, path, rule, verdict, url_score and url_probability (clashing names get a leading underscore).
 
-    The model is a bounded broadcast: its size follows ``max_train`` of ``fit``, not the input.
+    The model is a broadcast: its size follows the different n-grams of its training URLs, not their number.
     """
     names = fresh(df, "host", "path", "rule", "verdict", "url_score", "url_probability")
     host, path, rule, verdict, score, chance = names
@@ -187,16 +197,7 @@ def filter_urls(df: DataFrame, url: str, rules: list[Rule], model: UrlModel | No
     out = out.withColumn(rule, pattern)
     if model is None:
         return out.withColumn(verdict, F.coalesce(ruled, F.lit("allow"))).withColumn(score, F.lit(None).cast("double")).withColumn(chance, F.lit(None).cast("double"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("url_score double, url_probability double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for texts in parts:
-            s = [m.score(t) for t in texts]
-            yield pd.DataFrame({"url_score": s, "url_probability": [m.probability(x) for x in s]}, dtype="float64")
-
     (made,) = fresh(out, "scored")
-    out = out.withColumn(made, scored(F.concat(col(host), col(path))))
+    out = out.withColumn(made, scored(df.sparkSession, model, F.concat(col(host), col(path))))
     own = F.when(col(made)["url_probability"] >= least, F.lit("allow")).otherwise(F.lit("block"))
     return out.withColumn(verdict, F.coalesce(ruled, own)).withColumn(score, col(made)["url_score"]).withColumn(chance, col(made)["url_probability"]).drop(made)

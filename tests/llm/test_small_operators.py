@@ -132,6 +132,16 @@ def test_scratch_scopes_delete_what_they_made(spark):
     assert list(batches([], 10)) == [] and list(batches([None, "abc", "d"], 3)) == [(0, 2), (2, 3)]
 
 
+def test_url_model_counts_all_training_urls(spark):
+    rows = spark.createDataFrame([(f"h/{chr(0x4E00 + k)}", k % 20 > 0) for k in range(22_000)], "s string, a boolean")
+    model = url_filter.fit(rows, "s", "a")
+    used = {(r.s[2], r.a) for r in rows.where("pmod(xxhash64(s, 1), 5) <> 0").collect()}
+    for a, m in ((True, model.accepted), (False, model.rejected)):
+        assert {g for g in m.logp if len(g) == 1 and ord(g) >= 0x4E00} == {c for c, b in used if b == a}
+    pages = rows.select(F.concat(F.lit("http://"), "s").alias("url"))
+    assert queries.url_labels(pages, "url").count() == 22_000
+
+
 def test_op1_of_empty_and_repeated_urls(spark, tmp_path):
     rows = [(1, "http://a.example.com/x"), (1, "http://a.example.com/x"), (2, None), (3, "x" * 200_000)]
     for name, some in (("some", rows), ("none", [])):
