@@ -97,12 +97,14 @@ class ByteBpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if _LONE.search(text) or len(text) > 64 and max(map(len, text.split(" "))) > 4000:
+        if _LONE.search(text):
             return self._ids(text)
         bare, spaced, lines = self._bare, self._spaced, []
         for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(bare[first] + b"".join(map(spaced.__getitem__, rest)))
+            words = line.split(" ")
+            if len(line) > 4000 and max(map(len, words)) > 4000:  # too long to be remembered
+                return self._ids(text)
+            lines.append(bare[words[0]] + b"".join(map(spaced.__getitem__, words[1:])))
         return self._feed.join(lines)
 
     def sentence_ends(self) -> np.ndarray:

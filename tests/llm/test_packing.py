@@ -134,3 +134,11 @@ def test_names_that_clash_and_odd_ids(spark):
     assert pieces.columns == ["length", "start", "_length", "ids", "doc_tokens", "sequence_id", "offset"]
     rows = pieces.collect()
     assert sum(r._length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0) and sum(r.start == 0 for r in rows) == 5
+
+
+def test_long_runs_without_spaces_are_encoded_word_by_word():
+    bpe = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "\n".join(f"line{k}" for k in range(2000))
+    assert bpe.encode(text) == bpe._ids(text) and "line7" in bpe._bare  # no word is long, only what lies between spaces
+    for text in ("a " + "b" * 4001 + " c\nd", "x" * 4001, "y" * 4000 + "\n" + "z" * 4000):
+        assert bpe.encode(text) == bpe._ids(text)
