@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -84,6 +85,25 @@ class Memo(dict):
         return value
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from task to task, of one operator at a time: workers serve one stage after the other, and what each left would add up."""
+    if key not in _KEPT:
+        released()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def released() -> None:
+    """Called where a task begins that needs nothing kept: drops what another operator's tasks left in the worker, and gives freed memory back to the system."""
+    _KEPT.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def word_hashes(most: int = 400_000) -> Memo:
     """word, in UTF-8 -> 64-bit hash."""
     return Memo(xxhash.xxh64_intdigest, most)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, col, fresh, long_texts, materialize
+from .common import Memo, col, fresh, long_texts, materialize, released
 
 #: Words of normalised text; in raw text the upper-case letters belong to them too.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -177,6 +177,7 @@ def _matcher(spark, rows: list, window: int, coverage: int | None):
 
     @F.pandas_udf(SCHEMA)
     def matched(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        released()
         a = shared.value
         ids = Memo(lambda w: a.vocabulary.get(normalise(w), -1), 300_000)
         for texts, had, marked in parts:

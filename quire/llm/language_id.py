@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, col, fresh, long_texts
+from .common import batches, col, fresh, long_texts, released
 
 FEATURES = 1 << 15
 MOST = 512  # languages that a model on the driver has room for: 64 MB of counts
@@ -112,11 +112,12 @@ def _counted(languages: list[str]):
     at = {x: k for k, x in enumerate(languages)}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         total = np.zeros((len(languages), FEATURES), np.int64)
         for part in parts:
             for language, rows in part.groupby("lang"):
                 texts = rows["text"].tolist()
-                for start, end in batches(texts, 2_000_000):
+                for start, end in batches(texts, 500_000):
                     total[at[language]] += np.bincount(features(b"\0\0".join(map(prepared, texts[start:end]))), minlength=FEATURES)
         lang, feature = np.nonzero(total)
         if len(lang):
@@ -129,13 +130,14 @@ def _judged(shared):
     """Rows (lang, bit, right, texts): how many of a task's texts have a bit told right."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         m = shared.value
         at = {x: k for k, x in enumerate(m.languages)}
         bits = m.code.shape[1]
         right, texts = np.zeros((len(at), bits), np.int64), np.zeros(len(at), np.int64)
         for part in parts:
             some, labels = part["text"].tolist(), np.array([at[x] for x in part["lang"]], np.int64)
-            for start, end in batches(some, 2_000_000):
+            for start, end in batches(some, 500_000):
                 if start < end:
                     own = labels[start:end]
                     told = m.margins([prepared(t) for t in some[start:end]])[:, :bits] > 0
@@ -180,11 +182,12 @@ def identify(docs: DataFrame, text: str, model: EcocModel, margin: float = 1.0)
 
     @F.pandas_udf("p string, s double, a boolean")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        released()
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for series in parts:
             texts, out = series.tolist(), []
-            for start, end in batches(texts, 2_000_000):
+            for start, end in batches(texts, 500_000):
                 some = texts[start:end]
                 known = np.array([bool(t and m.languages and _LETTER.search(t)) for t in some])
                 if m.languages:

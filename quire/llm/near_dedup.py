@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from .common import MASK, batches, col, fresh, long_texts, materialize, mix, ngram_hashes, uniform, word_bytes, word_hashes
+from .common import MASK, batches, col, fresh, long_texts, materialize, mix, ngram_hashes, released, uniform, word_bytes, word_hashes
 from .components import connected_components
 
 SPLIT = 4096  # partners of a hub in one cell
+WORDS = 150_000  # words whose hashes a task remembers
 REGISTERS, ROWS = 192, 6  # 32 bands: a pair at 0.8 shares one with probability 0.99994
 
 
@@ -81,9 +82,10 @@ def prob_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray)
     return float((1 / ((only1 + above_a[k]) / a + (only2 + below_b[k]) / b)).sum())
 
 
-def _signed(bands: int, most_chars: int = 4_000_000):
+def _signed(bands: int, most_chars: int = 1_000_000):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
+        released()
+        words = word_hashes(WORDS)
         for part in parts:
             texts = part["text"].tolist()
             for start, end in batches(texts, most_chars):
@@ -108,10 +110,11 @@ def _signed(bands: int, most_chars: int = 4_000_000):
 
 
 def _vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = word_hashes()
+    released()
+    words = word_hashes(WORDS)
     for part in parts:
         texts = part["text"].tolist()
-        for start, end in batches(texts, 4_000_000):
+        for start, end in batches(texts, 1_000_000):
             made = [shingles(t, words) for t in texts[start:end]]
             yield pd.DataFrame({"digest": part["digest"].iloc[start:end].to_numpy(), "h": [h.tobytes() for h, _ in made], "w": [c.astype("<u4").tobytes() for _, c in made]})
 
@@ -135,6 +138,7 @@ def _across(least: int, similarity: float):
     """Links between the nodes of two blocks that are still in different classes; no more than connect them."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         for part in parts:
             for row in part.itertuples(index=False):
                 if found := _links(row, least, similarity):

@@ -26,7 +26,6 @@ import sys
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, col, fresh, long_texts
+from .common import Memo, col, fresh, kept, long_texts
 
 _LONE = re.compile(r"\s(?:\s|\Z)")
 SENTENCE, INSIDE, WINDOW = 1, 8, 4  # penalties of a cut at a sentence end and inside a sentence, and the fee of a window; in tokens of padding
@@ -113,10 +112,9 @@ class ByteBpe:
         return np.array([t.endswith((b".", b"!", b"?")) or b"\n" in t for t in tokens])
 
 
-@lru_cache(2)
 def byte_bpe(json_path: str) -> ByteBpe:
-    """One a process: what a worker remembers serves its later tasks too."""
-    return ByteBpe(json_path)
+    """One a process: what a worker remembers serves its later tasks too, until another operator's begin."""
+    return kept(("byte_bpe", json_path), lambda: ByteBpe(json_path))
 
 
 def windows(ends: np.ndarray, penalties: np.ndarray, total: int, size: int, last: bool = True) -> list[int]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, long_texts
+from .common import col, fresh, long_texts, released
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")  # what str.split takes for space too
@@ -70,6 +70,7 @@ def measures(df: DataFrame, text: str, name: str) -> DataFrame:
 
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
     def measured(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        released()
         for texts in parts:
             yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
 

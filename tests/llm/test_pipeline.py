@@ -2,8 +2,11 @@
 
 from collections import Counter
 
+import pandas as pd
+
 import corpus_pipeline
-from quire.llm import decontaminate, queries
+from quire.llm import decontaminate, near_dedup, packing, queries
+from quire.llm.queries import tokenizer_path
 
 
 def test_stages_and_result(spark, sf_small):
@@ -26,3 +29,11 @@ def test_stages_and_result(spark, sf_small):
         assert not any(tuple(w[k : k + 13]) in windows for k in range(len(w) - 12))
     packed = corpus_pipeline.run(spark, sf_small).collect()
     assert {r.doc_id for r in packed} == seen[3]
+
+
+def test_workers_keep_the_state_of_one_operator():
+    path, part = tokenizer_path(), pd.DataFrame({"digest": [b"1"], "text": ["some words of a text that is signed"]})
+    bpe = packing.byte_bpe(path)
+    assert packing.byte_bpe(path) is bpe  # serves later tasks of packing
+    assert len(next(near_dedup._signed(32)(iter([part])))) == 1
+    assert packing.byte_bpe(path) is not bpe  # but isn't held while others use the worker
