@@ -152,9 +152,9 @@ def batches(texts: Iterable[str | None], most: int) -> Iterator[tuple[int, int]]
         yield start, k + 1
 
 
-_SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def word_bytes(text: str | None) -> list[bytes]:
     """Words of letters, digits and any non-ASCII characters, A-Z lower-cased, in UTF-8: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
-    return text.encode("utf-8", "surrogatepass").translate(_SEPARATE).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(SEPARATE).split() if text else []

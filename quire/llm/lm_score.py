@@ -6,13 +6,12 @@ words out, so a text isn't explained by itself; a word that no other document ha
 of log S over its words, and per word. One start mark precedes the first word; contexts don't reach beyond it, and what a
 document's beginning lacks of a context costs nothing.
 
-Distinct texts are exploded to rows (text, n-gram, count), one a text and n-gram, and shuffled by the n-gram's hash; copies of a text count
-as often as there are copies, and are scored once. The counts are a table, summed by that hash, and joined to the same rows without another shuffle; what
-the documents have in all is gathered by text and goes, less the text's own, through the backoff of its words.
-
-N-grams that ``SHARE`` of all documents have or more would each be a row a document in one task. There are few of them (a document's n-grams over ``SHARE`` at
-most, on average), so they aren't exploded: they are found and counted where the texts are read, in batches that are summed before
-anything is shuffled, and looked up there again. The start mark's count is the number of documents with words.
+Distinct texts are dealt to stretches of about ``STRETCH`` characters and written down; copies of a text count as often as there are copies, and
+are scored once. For one order after the other, and a part of its n-grams at a time, the texts are exploded to rows (n-gram, stretch, count), one a
+stretch and n-gram, which are shuffled by the n-gram's hash; their counts are a table, summed by that hash, and joined to the same rows without another shuffle.
+What a stretch's n-grams count in all is written down too, without those that occur once. A share of the stretches at a time, texts and counts are put
+together by stretch; the counts, less a text's own, go through the backoff of its words. So only a part of the exploded rows is on disk at once, and
+an n-gram has no more rows than there are stretches, however common it is. Nothing is gathered in the driver.
 
 Defined results: a null text, or one without words, has n_words 0 and null scores. Repeated rows are scored alike. A text of any length is one
 row of its n-grams. Result columns whose names the key column has get leading underscores.
@@ -21,31 +20,57 @@ row of its n-grams. Result columns whose names the key column has get leading un
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, col, fresh, long_texts, materialize, mix, word_bytes
+from .common import MASK, SEPARATE, batches, col, fresh, long_texts, materialize, mix, released
 
 BACKOFF = 0.4
-START = np.uint64(0x5354415254)
-#: Of documents that have an n-gram, from which it is common; the most n-grams that are taken for common (others are exploded as any are).
-SHARE, MOST_COMMON = 0.01, 200_000
-
-
-def _hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 400_000)
-
-
-def _tokens(texts: list, hashes: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts, each with the start mark before it, number of words of each); texts without words have no mark."""
-    found = [list(map(hashes.__getitem__, word_bytes(t))) for t in texts]
-    sizes = np.array([len(x) for x in found], np.int64)
-    flat = (x for part in found if part for x in (int(START), *part))
-    return np.fromiter(flat, np.uint64, int(sizes.sum() + (sizes > 0).sum())), sizes
+#: The hash of the start mark, whose count is the number of documents with words; that under which the number of all words is counted.
+START, ALL = np.uint64(0x5354415254), np.uint64(0x414C4C574F524453)
+#: Characters of a stretch; parts of an order's n-grams that are counted one after the other; shares of the stretches that are scored one after the other.
+STRETCH, PARTS, SHARES = 16_000_000, 2, 4
+SHARE = 0.01
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C17
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS.get("up", ())) <= n:
+        for name, x in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n + 1, x, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, each with the start mark before it, number of words of each); texts without words have no mark.
+
+    A word's hash is the sum of its bytes' random numbers times powers of a base: the difference of two running sums.
+    """
+    coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    begins = np.cumsum([0, *(len(c) + 1 for c in coded)])[:-1]
+    text = np.frombuffer(b" ".join(coded).translate(SEPARATE), np.uint8)
+    inside = np.concatenate(([False], text != 32, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edges[::2], edges[1::2]
+    up, down = _powers(len(text))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTE[text] * up[: len(text)], out=sums[1:])
+    words = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+    doc = np.searchsorted(begins, first, side="right") - 1
+    sizes = np.bincount(doc, minlength=len(coded)).astype(np.int64)
+    seq = np.full(int(sizes.sum() + (sizes > 0).sum()), START)
+    seq[np.arange(len(words)) + np.cumsum(sizes > 0)[doc]] = words
+    return seq, sizes
 
 
 def _ngrams(seq: np.ndarray, order: int) -> list[np.ndarray]:
@@ -58,157 +83,167 @@ def _ngrams(seq: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _place(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in a sorted table, whether it is there)."""
-    if not len(table):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return at, table[at] == h
-
-
-def _grams(texts: list, hashes: Memo, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text's place, n-gram, how often it has it), once a text and n-gram, and the words of each text; the start mark alone is no n-gram here. In stretches of a million characters."""
-    for start, end in batches(texts, 1_000_000):
-        seq, sizes = _tokens(texts[start:end], hashes)
-        held = sizes + (sizes > 0)
-        doc = np.repeat(np.arange(len(sizes)), held)
-        at = np.arange(len(seq)) - np.repeat(np.cumsum(held) - held, held)
-        docs, found, counts = [], [], []
-        for k, h in enumerate(_ngrams(seq, order)):
-            whole = at >= max(k, 1)
-            d, h = doc[whole], h[whole]
-            _, first, n = np.unique(mix(mix(d.astype(np.uint64) + np.uint64(1)) ^ h), return_index=True, return_counts=True)
-            docs.append(d[first])
-            found.append(h[first])
-            counts.append(n)
-        yield np.concatenate(docs) + start, np.concatenate(found), np.concatenate(counts), sizes
-
-
-def _frequent(order: int, share: float):
-    """Rows (h, part) of the n-grams that ``share`` of a stretch's texts or more have: each n-gram that this share of all has is among them."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _hashes()
-        for part in parts:
-            for _, h, _, sizes in _grams(part["text"].tolist(), hashes, order):
-                some, n = np.unique(h, return_counts=True)
-                often = (n >= share * len(sizes)) & (n > 1)
-                yield pd.DataFrame({"h": some[often].view(np.int64), "part": n[often] / len(sizes)})
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in it) of each element, the start mark being at place 0."""
+    held = sizes + (sizes > 0)
+    return np.repeat(np.arange(len(sizes)), held), np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their n."""
+    if (n == 1).all():
+        h = np.sort(h)
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return h[first], np.diff(np.append(first, len(h)))
+    by = np.argsort(h)
+    h, n = h[by], n[by]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(n, first)
+
+
+def _exploded(k: int, part: int, parts: int):
+    """Rows (h, stretch, n): how often a stretch's texts, with their copies, have an n-gram of k words; of those that fall to ``part``."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
+        held, at = [], None
+
+        def flush() -> Iterator[pd.DataFrame]:
+            h, n = _summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            held.clear()
+            for i in range(0, len(h), 100_000):
+                yield pd.DataFrame({"h": h[i : i + 100_000].view(np.int64), "stretch": np.int32(at), "n": n[i : i + 100_000]})
+
+        for some in rows:
+            for stretch, group in some.groupby("stretch"):
+                if held and stretch != at:
+                    yield from flush()
+                at, texts, copies = stretch, group["text"].tolist(), group["m"].to_numpy(np.int64)
+                for start, end in batches(texts, 1_000_000):
+                    seq, sizes = _tokens(texts[start:end])
+                    if not len(seq):
+                        continue
+                    doc, place = _places(sizes)
+                    h, m = _ngrams(seq, k)[-1], copies[start:end]
+                    mine = (place >= k - 1) & ((h >> np.uint64(33)) % np.uint64(parts) == part)
+                    held.append((h[mine], m[doc[mine]]))
+                    if k == 1:
+                        held.append((np.array([ALL]), np.array([int((sizes * m).sum())])))
+        if held and any(len(x) for x, _ in held):
+            yield from flush()
 
     return run
 
 
-def _counted(order: int, wanted: np.ndarray):
-    """Rows (h, total, docs) of the ``wanted`` n-grams, summed by stretch; and one of all words and the texts that have any, with h null."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _hashes()
-        for part in parts:
-            for _, h, n, sizes in _grams(part["text"].tolist(), hashes, order):
-                at, there = _place(wanted, h)
-                total, docs = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
-                np.add.at(total, at[there], n[there])
-                np.add.at(docs, at[there], 1)
-                held = np.flatnonzero(docs)
-                yield pd.DataFrame({"h": pd.array([*wanted[held].view(np.int64), None], "Int64"), "total": [*total[held], int(sizes.sum())], "docs": [*docs[held], int((sizes > 0).sum())]})
-
-    return run
-
+def _left(h: np.ndarray, doc: np.ndarray, table: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How often the other documents have the n-gram at each place."""
+    by = np.argsort(h, kind="stable")  # documents stay in order
+    hs, ds = h[by], doc[by]
+    other = np.concatenate(([True], hs[1:] != hs[:-1]))
+    first = np.flatnonzero(other | np.concatenate(([True], ds[1:] != ds[:-1])))
+    own = np.diff(np.append(first, len(hs)))
+    each = hs[first]
+    at = np.minimum(np.searchsorted(table, each), len(table) - 1)
+    left = np.where(table[at] == each, totals[at] - own, 0)
+    out = np.empty(len(h), np.int64)
+    out[by] = np.repeat(np.maximum(left, 0), own)
+    return out
 
-def _exploded(order: int, common: np.ndarray):
-    """Rows (key, h, n, m): how often all copies of a text have an n-gram of 1 to ``order`` words that isn't common, and the copies."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _hashes()
-        for part in parts:
-            keys, copies = part["key"].to_numpy(np.int64), part["m"].to_numpy(np.int64)
-            for doc, h, n, _ in _grams(part["text"].tolist(), hashes, order):
-                rare = ~_place(common, h)[1]
-                d = doc[rare]
-                yield pd.DataFrame({"key": keys[d], "h": h[rare].view(np.int64), "n": n[rare] * copies[d], "m": copies[d]})
+def _backoff(texts: list, table: np.ndarray, totals: np.ndarray, words: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, sum of log S) of each text. table: sorted n-grams that occur more than once, and their counts in all documents; words: of all documents."""
+    seq, sizes = _tokens(texts)
+    value = np.zeros(len(texts))
+    if not len(seq):
+        return sizes, value
+    doc, place = _places(sizes)
+    grams = _ngrams(seq, order)
+    longest = np.minimum(place + 1, order)
+    below = _left(seq, doc, table, totals)  # of the start mark: the other documents with words
+    rest = np.maximum(words - sizes, 1)
+    scores = np.log(BACKOFF) * (longest - 1) + np.log(np.maximum(below, 1)) - np.log(rest)[doc]
+    for k in range(2, order + 1):
+        may = np.flatnonzero((place[1:] >= k - 1) & (below[1:] > 0) & (below[:-1] > 0)) + 1  # else no other document has the longer run
+        found = np.zeros(len(seq), np.int64)
+        if len(may):
+            found[may] = _left(grams[k - 1][may], doc[may], table, totals)
+        seen = np.flatnonzero(found)
+        scores[seen] = np.log(BACKOFF) * (longest[seen] - k) + np.log(found[seen]) - np.log(below[seen - 1])
+        below = found
+    return sizes, np.bincount(doc, np.where(place > 0, scores, 0.0), minlength=len(texts))
+
+
+def _scored(order: int):
+    """Rows (key, n_words, value) of a stretch's texts."""
+
+    def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        released()
+        h, n = counts["h"].to_numpy(np.int64).view(np.uint64), counts["total"].to_numpy(np.int64)
+        by = np.argsort(h)
+        table, totals = np.append(h[by], np.uint64(MASK)), np.append(n[by], 0)
+        at = int(np.searchsorted(table, ALL))
+        words = int(totals[at]) if table[at] == ALL else 1
+        some, made = texts["text"].tolist(), [(np.zeros(0, np.int64), np.zeros(0))]
+        for start, end in batches(some, 2_000_000):
+            made.append(_backoff(some[start:end], table, totals, words, order))
+        return pd.DataFrame({"key": texts["key"], "n_words": np.concatenate([x for x, _ in made]), "value": np.concatenate([x for _, x in made])})
 
     return run
 
 
-def _backoff(seq: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], others: int, order: int) -> tuple[float, int]:
-    """(sum of log S without the share of N, words scored without a context). tables: sorted n-grams and their counts in all documents; others: documents with words, less this one."""
-    counts = []
-    for k, h in enumerate(_ngrams(seq, order)):
-        _, back, own = np.unique(h[k:], return_inverse=True, return_counts=True)
-        total = np.zeros(len(h), np.int64)
-        for table, n in tables:
-            at, found = _place(table, h)
-            if len(table):
-                total[found] = n[at[found]]
-        total[k:] -= own[back]
-        total[:k] = 0
-        counts.append(np.maximum(total, 0))  # what no other document has is in no table
-    counts[0][0] = others
-    longest = np.minimum(np.arange(len(seq)) + 1, order)
-    value = np.log(BACKOFF) * (longest - 1) + np.log(np.maximum(counts[0], 1))
-    single = np.ones(len(seq), bool)
-    for k in range(1, order):
-        seen = np.flatnonzero(counts[k] > 0)
-        value[seen] = np.log(BACKOFF) * (longest[seen] - k - 1) + np.log(counts[k][seen]) - np.log(counts[k - 1][seen - 1])
-        single[seen] = False
-    return float(value[1:].sum()), int(single[1:].sum())
-
-
-def _scored(order: int, common: tuple[np.ndarray, np.ndarray], docs: int):
-    """Rows (key, n_words, value, single) of each distinct text."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _hashes()
-        for part in parts:
-            values, sizes = [], []
-            for text, h, n in zip(part["text"], part["hs"], part["ns"], strict=True):
-                seq, (size,) = _tokens([text], hashes)
-                table = np.asarray(() if h is None else h, np.int64).view(np.uint64)
-                by = np.argsort(table)
-                values.append(_backoff(seq, [common, (table[by], np.asarray(() if n is None else n, np.int64)[by])], docs - 1, order) if size else (0.0, 0))
-                sizes.append(int(size))
-            yield pd.DataFrame({"key": part["key"], "n_words": sizes, "value": [v for v, _ in values], "single": [s for _, s in values]})
-
-    return run
+def ngram_counts(rows: DataFrame) -> DataFrame:
+    """(h, total) of the n-grams that occur more than once. rows: h, stretch, n, partitioned by h."""
+    # stretch is counted so that this reads the columns of the join's other side, and both read one shuffle
+    return rows.groupBy("h").agg(F.sum("n").alias("total"), F.count("stretch").alias("stretches")).where("total > 1 AND stretches > 0").select("h", "total")
 
 
-def ngram_counts(rows: DataFrame) -> DataFrame:
-    """(h, total) of the n-grams that more than one document has. rows: key, h, n, m, partitioned by h."""
-    # key is counted so that this reads the columns of the join's other side, and both read one shuffle
-    return rows.groupBy("h").agg(F.sum("n").alias("total"), F.sum("m").alias("docs"), F.count("key").alias("texts")).where("docs > 1 AND texts > 0").select("h", "total")
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def score(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 24 << 20, order: int = 2, share: float = SHARE) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row.
 
-    bucket_bytes: of exploded rows, about as many in a task. share: of documents, from which an n-gram is common; it changes the plan, not the scores.
+    bucket_bytes: of exploded rows, about as many in a task. share: has no effect any more, common n-grams need no way of their own.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
     spark = docs.sparkSession
     long_texts(spark)
-    rows = docs.select(col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).alias("text"))
-    likely = rows.select("text").mapInPandas(_frequent(order, share), "h long, part double").groupBy("h").agg(F.max("part").alias("part"))
-    wanted = np.sort(np.array([r.h for r in likely.orderBy(F.desc("part"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
-    sums = rows.select("text").mapInPandas(_counted(order, wanted), "h long, total long, docs long").groupBy("h").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).collect()
-    tokens, held = next(((r.total, r.docs) for r in sums if r.h is None), (0, 0))
-    often = sorted((r.h % (1 << 64), r.total) for r in sums if r.h is not None and r.docs >= share * held)
-    common = np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars * 6 * order // bucket_bytes))  # a row of 36 bytes and order for each word of six characters
-
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m"))
-    grams = texts.select("key", "m", "text").mapInPandas(_exploded(order, common[0]), "key long, h long, n long, m long")
-    grams = grams.where("key is not null and h is not null").repartition(int(buckets), "h")  # none is; said here so that both readers filter alike and share the shuffle
-    joined = grams.join(ngram_counts(grams).hint("shuffle_hash"), "h").select("key", "h", "total")
-    found = joined.groupBy("key").agg(F.collect_list(F.struct("h", "total")).alias("found"))
-    with_counts = texts.join(found, "key", "left").select("key", "text", F.col("found.h").alias("hs"), F.col("found.total").alias("ns"))
-    made = materialize(with_counts.mapInPandas(_scored(order, common, held), "key long, n_words long, value double, single long"), "scored")
+    keyed = docs.select(col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
+    stretches = max(1, -(-chars // STRETCH))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-chars * 6 // (PARTS * bucket_bytes)))  # a row of 36 bytes for each word of six characters
+
+    with _cleaned(spark):
+        texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m")).withColumn("stretch", F.pmod("key", F.lit(stretches)).cast("int"))
+        texts = materialize(texts.repartition(max(tasks, stretches), "stretch").sortWithinPartitions("stretch"), "texts")
+        counts = []
+        for k in range(order, 0, -1):  # the most rows first, while little is written
+            parts = PARTS if k > 1 and stretches > 1 else 1
+            for part in range(parts):
+                grams = texts.select("stretch", "m", "text").mapInPandas(_exploded(k, part, parts), "h long, stretch int, n long")
+                grams = grams.where("h is not null").repartition(int(buckets), "h")  # none is; said here so that both readers filter alike and share the shuffle
+                counts.append(materialize(grams.join(ngram_counts(grams).hint("shuffle_hash"), "h").select("stretch", "h", "total"), "counts"))
+        counted, made = reduce(DataFrame.unionByName, counts), []
+        for k in range(min(SHARES, stretches)):
+            some, known = (x.where(F.pmod("stretch", F.lit(min(SHARES, stretches))) == k) for x in (texts, counted))
+            rows = some.select("stretch", "key", "text").groupBy("stretch").cogroup(known.groupBy("stretch"))
+            made.append(materialize(rows.applyInPandas(_scored(order), "key long, n_words long, value double"), "scored"))
+    made = reduce(DataFrame.unionByName, made)
 
     names = fresh(docs.select(col(doc_id)), "n_words", "log_score", "mean_log_score")
     n = F.col("n_words")
-    value = F.col("value") - F.col("single") * F.log(F.greatest(F.lit(tokens) - n, F.lit(1)).cast("double"))
+    value = F.col("value")
     scored = keyed.select("id", "key").join(made, "key")
     columns = [n, F.when(n > 0, value), F.when(n > 0, value / n)]
     return scored.select(F.col("id").alias(doc_id), *[c.alias(x) for c, x in zip(columns, names, strict=True)])

@@ -114,3 +114,12 @@ def test_texts_that_differ_in_trigrams_only_score_apart(spark):
     rows = [*enumerate(corpus), (10, "z a b c"), (11, "z a b d")]
     out = {r.doc_id: r.log_score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", order=queries.LM_ORDER).collect()}
     assert out[10] > out[11]
+
+
+def test_several_stretches_and_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm_score, "STRETCH", 100_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.log_score) for r in lm_score.score(docs, "doc_id", "text", order=3).collect()), key=str)
+    for g, (i, _, v) in zip(got, brute_order(rows, 3), strict=True):
+        assert g[0] == i and (v is None and g[1] is None or g[1] == pytest.approx(v, rel=1e-9))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == spark.newSession().conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
