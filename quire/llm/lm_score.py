@@ -7,9 +7,10 @@ of log S over its words, and per word. One start mark precedes the first word; c
 document's beginning lacks of a context costs nothing.
 
 Distinct texts are dealt to stretches of about ``STRETCH`` characters and written down; copies of a text count as often as there are copies, and
-are scored once. For one order after the other, and a part of its n-grams at a time, the texts are exploded to rows (n-gram, stretch, count), one a
-stretch and n-gram, which are shuffled by the n-gram's hash; their counts are a table, summed by that hash, and joined to the same rows without another shuffle.
-What a stretch's n-grams count in all is written down too, without those that occur once. A share of the stretches at a time, texts and counts are put
+are scored once. For one order after the other, and a part of its n-grams at a time, the texts give rows (n-gram, stretch, count), one a
+stretch and n-gram, which are shuffled by the beginning of the n-gram's hash, as arrays for each beginning and stretch, and exploded behind the shuffle; their counts are
+a table, summed by hash, and joined to the same rows without another shuffle.
+What a stretch's n-grams count in all is written down too, as arrays again, without those that occur once. A share of the stretches at a time, texts and counts are put
 together by stretch; the counts, less a text's own, go through the backoff of its words. So only a part of the exploded rows is on disk at once, and
 an n-gram has no more rows than there are stretches, however common it is. Nothing is gathered in the driver.
 
@@ -35,6 +36,8 @@ BACKOFF = 0.4
 START, ALL = np.uint64(0x5354415254), np.uint64(0x414C4C574F524453)
 #: Characters of a stretch; parts of an order's n-grams that are counted one after the other; shares of the stretches that are scored one after the other.
 STRETCH, PARTS, SHARES = 16_000_000, 2, 4
+#: Buckets to a partition, so that partitions come out about even; characters of texts that a worker takes apart at once, whose arrays fit the processor's cache.
+EVEN, BATCH = 4, 200_000
 SHARE = 0.01
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C17
@@ -57,7 +60,7 @@ def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     A word's hash is the sum of its bytes' random numbers times powers of a base: the difference of two running sums.
     """
     coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    begins = np.cumsum([0, *(len(c) + 1 for c in coded)])[:-1]
+    begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
     text = np.frombuffer(b" ".join(coded).translate(SEPARATE), np.uint8)
     inside = np.concatenate(([False], text != 32, [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -66,10 +69,11 @@ def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_BYTE[text] * up[: len(text)], out=sums[1:])
     words = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
-    doc = np.searchsorted(begins, first, side="right") - 1
-    sizes = np.bincount(doc, minlength=len(coded)).astype(np.int64)
-    seq = np.full(int(sizes.sum() + (sizes > 0).sum()), START)
-    seq[np.arange(len(words)) + np.cumsum(sizes > 0)[doc]] = words
+    sizes = np.diff(np.searchsorted(first, begins)).astype(np.int64)
+    held = sizes + (sizes > 0)
+    seq, is_word = np.full(int(held.sum()), START), np.ones(int(held.sum()), bool)
+    is_word[(np.cumsum(held) - held)[sizes > 0]] = False
+    seq[is_word] = words
     return seq, sizes
 
 
@@ -101,8 +105,9 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first)
 
 
-def _exploded(k: int, part: int, parts: int):
-    """Rows (h, stretch, n): how often a stretch's texts, with their copies, have an n-gram of k words; of those that fall to ``part``."""
+def _exploded(orders: tuple[int, ...], part: int, parts: int, buckets: int):
+    """Rows (bucket, stretch, h, n), h and n being arrays: how often a stretch's texts, with their copies, have the n-grams of so many words that fall to
+    ``part``. A bucket has the n-grams whose hashes begin alike."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         released()
@@ -111,23 +116,29 @@ def _exploded(k: int, part: int, parts: int):
         def flush() -> Iterator[pd.DataFrame]:
             h, n = _summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             held.clear()
-            for i in range(0, len(h), 100_000):
-                yield pd.DataFrame({"h": h[i : i + 100_000].view(np.int64), "stretch": np.int32(at), "n": n[i : i + 100_000]})
+            bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            end = np.append(first[1:], len(h))
+            h = h.view(np.int64)
+            for start in range(0, len(first), 500):
+                some = range(start, min(start + 500, len(first)))
+                yield pd.DataFrame({"bucket": bucket[first[some]], "stretch": np.int32(at), "h": [h[first[i] : end[i]] for i in some], "n": [n[first[i] : end[i]] for i in some]})
 
         for some in rows:
             for stretch, group in some.groupby("stretch"):
                 if held and stretch != at:
                     yield from flush()
                 at, texts, copies = stretch, group["text"].tolist(), group["m"].to_numpy(np.int64)
-                for start, end in batches(texts, 1_000_000):
+                for start, end in batches(texts, BATCH):
                     seq, sizes = _tokens(texts[start:end])
                     if not len(seq):
                         continue
                     doc, place = _places(sizes)
-                    h, m = _ngrams(seq, k)[-1], copies[start:end]
-                    mine = (place >= k - 1) & ((h >> np.uint64(33)) % np.uint64(parts) == part)
-                    held.append((h[mine], m[doc[mine]]))
-                    if k == 1:
+                    m, grams = copies[start:end], _ngrams(seq, max(orders))
+                    for k in orders:
+                        mine = np.flatnonzero((place >= k - 1) & ((grams[k - 1] >> np.uint64(33)) % np.uint64(parts) == part))
+                        held.append((grams[k - 1][mine], m[doc[mine]]))
+                    if 1 in orders and part == 0:
                         held.append((np.array([ALL]), np.array([int((sizes * m).sum())])))
         if held and any(len(x) for x, _ in held):
             yield from flush()
@@ -178,13 +189,14 @@ def _scored(order: int):
 
     def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         released()
-        h, n = counts["h"].to_numpy(np.int64).view(np.uint64), counts["total"].to_numpy(np.int64)
+        h, n = (np.concatenate([np.zeros(0, np.int64), *counts[x]]) for x in ("h", "total"))
+        h = h.view(np.uint64)
         by = np.argsort(h)
         table, totals = np.append(h[by], np.uint64(MASK)), np.append(n[by], 0)
         at = int(np.searchsorted(table, ALL))
         words = int(totals[at]) if table[at] == ALL else 1
         some, made = texts["text"].tolist(), [(np.zeros(0, np.int64), np.zeros(0))]
-        for start, end in batches(some, 2_000_000):
+        for start, end in batches(some, BATCH):
             made.append(_backoff(some[start:end], table, totals, words, order))
         return pd.DataFrame({"key": texts["key"], "n_words": np.concatenate([x for x, _ in made]), "value": np.concatenate([x for _, x in made])})
 
@@ -192,21 +204,40 @@ def _scored(order: int):
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
-    """(h, total) of the n-grams that occur more than once. rows: h, stretch, n, partitioned by h."""
+    """(bucket, h, total) of the n-grams that occur more than once. rows: bucket, stretch, h, n, partitioned by bucket, which h decides."""
     # stretch is counted so that this reads the columns of the join's other side, and both read one shuffle
-    return rows.groupBy("h").agg(F.sum("n").alias("total"), F.count("stretch").alias("stretches")).where("total > 1 AND stretches > 0").select("h", "total")
+    return rows.groupBy("bucket", "h").agg(F.sum("n").alias("total"), F.count("stretch").alias("stretches")).where("total > 1 AND stretches > 0").select("bucket", "h", "total")
+
+
+def _gathered(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of a stretch to one, with arrays."""
+    for some in rows:
+        stretch, h, total = (some[x].to_numpy() for x in ("stretch", "h", "total"))
+        first = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1]))[: len(stretch)])
+        yield pd.DataFrame({"stretch": stretch[first], "h": np.split(h, first[1:]) if len(h) else [], "total": np.split(total, first[1:]) if len(h) else []})
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    """(stretch, h, total), h and total being arrays: the n-grams of each stretch that occur more than once in all. rows: as in ``ngram_counts``."""
+    both = rows.join(ngram_counts(rows).hint("shuffle_hash"), ["bucket", "h"])
+    both = both.where("total >= n")  # it always is; said so that this side reads n too: else the shuffle, and all before it, is made twice
+    return both.select("stretch", "h", "total").mapInPandas(_gathered, "stretch int, h array<bigint>, total array<bigint>")
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage; rows that are dealt by one of a join's keys
+    stay where they are; and what is sent to Python at once is bounded by bytes."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    wanted |= {"spark.sql.execution.arrow.maxRecordsPerBatch": "100000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def score(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 24 << 20, order: int = 2, share: float = SHARE) -> DataFrame:
@@ -222,18 +253,19 @@ def score(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 24 << 20,
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     stretches = max(1, -(-chars // STRETCH))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(tasks, -(-chars * 6 // (PARTS * bucket_bytes)))  # a row of 36 bytes for each word of six characters
+    dealt = int(max(tasks, -(-chars * 6 // (PARTS * bucket_bytes))))  # a row of 36 bytes for each word of six characters
 
-    with _cleaned(spark):
+    with _settings(spark):
         texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m")).withColumn("stretch", F.pmod("key", F.lit(stretches)).cast("int"))
         texts = materialize(texts.repartition(max(tasks, stretches), "stretch").sortWithinPartitions("stretch"), "texts")
         counts = []
-        for k in range(order, 0, -1):  # the most rows first, while little is written
-            parts = PARTS if k > 1 and stretches > 1 else 1
+        for orders in [(k,) for k in range(order, 2, -1)] + [tuple(range(1, min(order, 2) + 1))]:  # the most rows first, while little is written
+            parts = PARTS if order > 1 and stretches > 1 else 1
             for part in range(parts):
-                grams = texts.select("stretch", "m", "text").mapInPandas(_exploded(k, part, parts), "h long, stretch int, n long")
-                grams = grams.where("h is not null").repartition(int(buckets), "h")  # none is; said here so that both readers filter alike and share the shuffle
-                counts.append(materialize(grams.join(ngram_counts(grams).hint("shuffle_hash"), "h").select("stretch", "h", "total"), "counts"))
+                cells = texts.select("stretch", "m", "text").mapInPandas(_exploded(orders, part, parts, EVEN * dealt), "bucket int, stretch int, h array<bigint>, n array<bigint>")
+                cells = cells.where("bucket is not null").repartition(dealt, "bucket")  # none is; said here so that both readers filter alike
+                rows = cells.select("bucket", "stretch", "n", F.posexplode("h").alias("at", "h")).select("bucket", "stretch", "h", F.col("n")[F.col("at")].alias("n"))
+                counts.append(materialize(_known(rows), "counts"))
         counted, made = reduce(DataFrame.unionByName, counts), []
         for k in range(min(SHARES, stretches)):
             some, known = (x.where(F.pmod("stretch", F.lit(min(SHARES, stretches))) == k) for x in (texts, counted))

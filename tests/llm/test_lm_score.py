@@ -123,3 +123,18 @@ def test_several_stretches_and_parts(spark, rows, monkeypatch):
     for g, (i, _, v) in zip(got, brute_order(rows, 3), strict=True):
         assert g[0] == i and (v is None and g[1] is None or g[1] == pytest.approx(v, rel=1e-9))
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == spark.newSession().conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
+def shuffled(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._gateway.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_ngrams_are_not_shuffled_row_by_row(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(200)], "doc_id long, text string")
+    before = shuffled(spark)
+    assert lm_score.score(docs, "doc_id", "text", order=3).where("n_words = 100").count() == 200
+    made = sum(rows for stage, rows in shuffled(spark).items() if stage not in before)
+    assert made < 200 * 100  # of some 60,000 n-grams
