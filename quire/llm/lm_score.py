@@ -34,8 +34,8 @@ from .common import MASK, SEPARATE, batches, col, fresh, long_texts, materialize
 BACKOFF = 0.4
 #: The hash of the start mark, whose count is the number of documents with words; that under which the number of all words is counted.
 START, ALL = np.uint64(0x5354415254), np.uint64(0x414C4C574F524453)
-#: Characters of a stretch; parts of an order's n-grams that are counted one after the other; shares of the stretches that are scored one after the other.
-STRETCH, PARTS, SHARES = 16_000_000, 2, 4
+#: Characters of a stretch; parts of an order's n-grams that are counted one after the other, but for the highest order's; shares of the stretches that are scored one after the other.
+STRETCH, PARTS, SHARES = 16_000_000, 2, 2
 #: Buckets to a partition, so that partitions come out about even; characters of texts that a worker takes apart at once, whose arrays fit the processor's cache.
 EVEN, BATCH = 4, 200_000
 SHARE = 0.01
@@ -253,14 +253,14 @@ def score(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 24 << 20,
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     stretches = max(1, -(-chars // STRETCH))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = int(max(tasks, -(-chars * 6 // (PARTS * bucket_bytes))))  # a row of 36 bytes for each word of six characters
+    dealt = int(max(tasks, -(-chars * 6 // bucket_bytes)))  # a row of 36 bytes for each word of six characters
 
     with _settings(spark):
         texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m")).withColumn("stretch", F.pmod("key", F.lit(stretches)).cast("int"))
         texts = materialize(texts.repartition(max(tasks, stretches), "stretch").sortWithinPartitions("stretch"), "texts")
         counts = []
         for orders in [(k,) for k in range(order, 2, -1)] + [tuple(range(1, min(order, 2) + 1))]:  # the most rows first, while little is written
-            parts = PARTS if order > 1 and stretches > 1 else 1
+            parts = PARTS if orders[-1] < order and stretches > 1 else 1
             for part in range(parts):
                 cells = texts.select("stretch", "m", "text").mapInPandas(_exploded(orders, part, parts, EVEN * dealt), "bucket int, stretch int, h array<bigint>, n array<bigint>")
                 cells = cells.where("bucket is not null").repartition(dealt, "bucket")  # none is; said here so that both readers filter alike
