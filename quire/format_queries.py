@@ -9,12 +9,12 @@ from .functions import charcodes, codecs
 from .functions import color as C
 from .functions import geometry as G
 from .operators import fontfiles, forms, images
-from .queries import _t, query
+from .queries import _dealt, _t, query
 from .sources import filters
 
 
 def _parts(spark, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), "p_name", "p_brand")
+    return _dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), "p_name", "p_brand")
 
 
 def _number(value: Column | int, size: int) -> Column:
@@ -122,10 +122,10 @@ def jp2_boxes(spark, sf_dir):
     """SELECT l_orderkey AS img_id, l_linenumber AS x, 0 AS y, c::INT AS c, (least(max(l_quantity)::INT, 31) * 8 + c)::INT AS v FROM lineitem, range(3) AS r(c) GROUP BY l_orderkey, l_linenumber, c"""
 )
 def palette_samples(spark, sf_dir):
-    samples = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("img_id"), F.col("l_linenumber").alias("x")).agg(F.max("l_quantity").cast("int").alias("v")).withColumn("y", F.lit(0))
-    entries = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("img_id"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("entry"))
-    palettes = entries.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("level", F.col("entry") * 8 + F.col("c"))
-    return images.palette_mapped(samples, palettes)
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img_id"), F.col("l_linenumber").alias("x"), "l_quantity").repartition("img_id")  # one shuffle for the sums and the join
+    samples = lines.groupBy("img_id", "x").agg(F.max("l_quantity").cast("int").alias("v")).withColumn("y", F.lit(0))
+    lookup = F.lit(bytes(entry * 8 + c for entry in range(32) for c in range(3)))
+    return images.palette_indexed(samples, _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("img_id"), lookup.alias("lookup")), 3)
 
 
 @query(

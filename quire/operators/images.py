@@ -16,6 +16,8 @@ from ..sources.filters import run_length_checked
 #: Fixed values (JPEG 2000, annex F): the lifting factors of the irreversible 9-7 wavelet, and the scale of its low band.
 LIFTING = (-1.586134342059924, -0.052980118572961, 0.882911075530934, 0.443506852043971)
 LOW_SCALE = 1.230174104914001
+#: Rows of many images that are given back at once.
+ROWS = 50_000
 
 
 def samples(images: DataFrame) -> DataFrame:
@@ -77,18 +79,23 @@ def sfnt_tables(fonts: DataFrame) -> DataFrame:
 def png_chunks(images: DataFrame) -> DataFrame:
     """images: img_id, data -> img_id, k, type, length, offset, crc_ok: all chunks of each image, one after the other; one that the data cuts short has no true crc_ok."""
     kind = images.schema["img_id"].dataType.simpleString()
+    columns = ["img_id", "k", "type", "length", "offset", "crc_ok"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            rows = []
             for img, data in zip(part["img_id"], part["data"], strict=True):
-                rows, at = [], 8
+                k, at = 0, 8
                 while at + 8 <= len(data):
                     length = int.from_bytes(data[at : at + 4], "big")
                     crc = data[at + 8 + length : at + 12 + length]
-                    rows.append((img, len(rows), data[at + 4 : at + 8].decode("latin-1"), length, at, len(crc) == 4 and zlib.crc32(data[at + 4 : at + 8 + length]) == int.from_bytes(crc, "big")))
-                    at += length + 12
-                if rows:
-                    yield pd.DataFrame(rows, columns=["img_id", "k", "type", "length", "offset", "crc_ok"])
+                    rows.append((img, k, data[at + 4 : at + 8].decode("latin-1"), length, at, len(crc) == 4 and zlib.crc32(data[at + 4 : at + 8 + length]) == int.from_bytes(crc, "big")))
+                    k, at = k + 1, at + length + 12
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     signed = images.where(F.startswith(F.col("data"), F.lit(b"\x89PNG\r\n\x1a\n"))).select("img_id", "data")
     return signed.mapInPandas(run, f"img_id {kind}, k int, type string, length long, offset long, crc_ok boolean")
@@ -186,3 +193,14 @@ def palette_mapped(samples: DataFrame, palettes: DataFrame) -> DataFrame:
     last = palettes.groupBy("img_id").agg(F.max("entry").alias("last"))
     placed = samples.join(last, "img_id").withColumn("entry", F.greatest(F.least(F.col("v"), F.col("last")), F.lit(0)))
     return placed.join(palettes, ["img_id", "entry"]).select("img_id", "x", "y", "c", F.col("level").alias("v"))
+
+
+def palette_indexed(samples: DataFrame, palettes: DataFrame, channels: int) -> DataFrame:
+    """samples: img_id, x, y, v; palettes: img_id, lookup (binary, ``channels`` bytes an entry, as documents hold it) -> img_id, x, y, c, v: what ``palette_mapped`` gives of the entries as rows.
+
+    An image's palette is one row, so what is shuffled doesn't grow with its entries.
+    """
+    entry = F.greatest(F.least(F.col("v"), (F.length("lookup") / channels).cast("int") - 1), F.lit(0))
+    placed = samples.join(palettes.where(F.length("lookup") >= channels), "img_id").select("img_id", "x", "y", F.substring("lookup", entry * channels + 1, F.lit(channels)).alias("color"))
+    levels = F.array(*[F.struct(F.lit(c).alias("c"), big_endian(F.col("color"), c, 1).cast("int").alias("v")) for c in range(channels)])
+    return placed.select("img_id", "x", "y", F.inline(levels))
