@@ -246,7 +246,7 @@ def triangle_contains(spark, sf_dir):
 )
 def rect_overlap_pairs(spark, sf_dir):
     boxes = _t(spark, sf_dir, "supplier").select("s_suppkey", G.rect(F.col("s_acctbal"), F.col("s_nationkey"), F.col("s_acctbal") + 200, F.col("s_nationkey") + 2).alias("box"))
-    pairs = lookup.overlap_join(boxes.select(F.col("s_suppkey").alias("a_key"), F.col("box").alias("l")), boxes.select(F.col("s_suppkey").alias("b_key"), F.col("box").alias("r")), 200.0)
+    pairs = lookup.overlap_join(boxes.select(F.col("s_suppkey").alias("a_key"), F.col("box").alias("l")), boxes.select(F.col("s_suppkey").alias("b_key"), F.col("box").alias("r")), 200.0, 2.0)
     return pairs.where("a_key < b_key").select("a_key", "b_key")
 
 

@@ -76,3 +76,41 @@ def test_palettes_of_one_row_an_image(spark):
 def test_a_palette_isn_t_taken_apart_before_the_join(spark, sf_small):
     plan = format_queries.palette_samples(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan and plan.index("inline") < plan.index("Join")
+
+
+def test_written_tables_are_not_broadcast(spark):
+    from quire.sources import walk
+
+    table = walk.written(spark.range(10).toDF("k"), walk.scratch(spark))
+    both = walk.levels(table.where("k = 0"), lambda level: level.where("k > 0"))
+    for some in (table, both):
+        plan = spark.range(10).toDF("k").join(some.where("k >= 0").select("k"), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_overlaps_in_flat_cells(spark):
+    import random
+
+    from quire.operators import lookup
+
+    r, near = random.Random(5), [2.0, 2.0000000000000004, 1.9999999999999998, 4.0, 0.0, -2.0, 6.0]
+    boxes = [(k, (x, y, x + r.choice([0.0, 2.0, 200.0, 5.0]), y + r.choice([0.0, 2.0, 1e-9]))) for k in range(80) for x, y in [(r.choice([*near, r.uniform(-400, 400)]), r.choice(near))]]
+    kind = "struct<left:double,top:double,right:double,bottom:double>"
+    a, b = (spark.createDataFrame(boxes, f"{i} long, {n} {kind}") for i, n in (("i", "l"), ("j", "r")))
+    got = sorted((x.i, x.j) for x in lookup.overlap_join(a, b, 200.0, 2.0).collect())
+    assert got == sorted((i, j) for i, p in boxes for j, q in boxes if p[0] < q[2] and q[0] < p[2] and p[1] < q[3] and q[1] < p[3])
+
+
+def test_keys_of_equal_encryption_are_found_once():
+    from quire.operators import crypto
+
+    owner, ident = crypto.owner_value(b"boss", b"guest", 3, 16), b"\x03" * 16
+    user = crypto.user_value(crypto.file_key(b"guest", owner, -44, ident, 3, 16), ident, 3)
+    entries = {"Filter": "Standard", "V": 2, "R": 3, "Length": 128, "P": -44, "O": owner, "U": user}
+    before = crypto._opened.cache_info().hits
+    assert crypto.security(entries, ident, b"boss") == crypto.security(dict(entries), ident, b"boss") == ("rc4", crypto.file_key(b"guest", owner, -44, ident, 3, 16))
+    assert crypto._opened.cache_info().hits == before + 1
+    with pytest.raises(ValueError):
+        crypto.security(entries, ident, b"bos")
+    with pytest.raises(ValueError):
+        crypto.security(entries, b"\x04" * 16, b"boss")
